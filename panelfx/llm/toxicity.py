@@ -5,9 +5,9 @@ letters (i d i o t, i.d.i.o.t). Each such span becomes a lattice: one column for
 may stand for and their costs. Viterbi finds the restored word of the highest probability under a character trigram
 model counted over all documents. A word of plain letters has one path only and is kept as it is.
 
-Evidence. For each word and word beginning (4 to 7 letters) of labelled texts: in how many different contexts (pairs
-with the word before) it occurs in toxic texts, and in how many other texts. Contexts, not texts, count as support, so
-that a passage copied into many toxic texts doesn't make its ordinary words evidence. A text's score is the noisy-or of
+Evidence. For each word and word beginning (4 to 7 letters) of labelled texts: in how many toxic texts and in how many
+different contexts (pairs with the word before) within them it occurs, and in how many other texts. The smaller of texts
+and contexts is its support, so that a passage copied into many toxic texts doesn't make its ordinary words evidence. A text's score is the noisy-or of
 its features' probabilities.
 """
 
@@ -15,13 +15,15 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import chunks, crc_mod, summed_table
+from .common import chunks, crc_mod, saved, summed_table
 
 # The letters of the model and the look-alike table.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäãåæçèéêëìíîïñòóôöõøœùúûüýÿß"
@@ -36,8 +38,9 @@ _CODES = np.zeros(0x180, np.int64)
 for _c, _i in _CODE.items():
     _CODES[ord(_c)] = _i
 
-_TOKEN = re.compile(r"[^\s]+")
-_PLAIN = re.compile(r"^[^\W\d_]+$")
+_GAP = re.compile(r"[ \t.\-_~]+")
+_INNER = re.compile(r"[^\w@$!*+|€]+")
+_DECOR = re.compile(r"([^\w\s])\1{2,}$|^([^\w\s])\2{2,}")  # a word's trimmings, as in word!!! or ***word
 _DRAWN = re.compile(r"(.)\1\1")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!*+|€])(?:[ \t.\-_*~]{1,2}(?:[^\W_]|[@$!*+|€])(?![^\W_])){3,}")
 _TRIM = " \t\r\n.,;:?\"'()[]{}<>«»“”‘’…-–—_/\\=^`~"
@@ -74,76 +77,70 @@ class Restorer:
     """Decodes lattices under the character model; remembers up to 200,000 spans."""
 
     def __init__(self, logp: np.ndarray):
-        self.logp, self.memo = logp, {}
+        self.logp, self.memo = logp.tolist(), {}
 
     def lattice(self, span: str) -> list[tuple[list[tuple[int, float]], bool]]:
-        """Columns of (letter code, cost), and whether the column may be skipped as a repetition."""
-        cols, last = [], ""
-        for ch in span:
+        """Columns of (letter code, cost), and whether a column may be skipped as part of a drawn-out letter."""
+        cols = []
+        for m in re.finditer(r"(.)\1*", span, re.S):
+            ch, n = m[1], len(m[0])
             if ch in _CODE:
                 options = [(_CODE[ch], 0.0)]
             elif ch in LOOKALIKE:
                 cost = WILD if ch == "*" else SUBSTITUTE
                 options = [(_CODE[x], cost) for x in LOOKALIKE[ch]]
             else:
-                last = ch
                 continue
-            cols.append((options, ch == last))
-            last = ch
+            cols += [(options, n >= 3 and k > 0) for k in range(min(n, 3))]
         return cols
 
     def decode(self, span: str) -> str:
+        """The most probable word (Viterbi over pairs of letters)."""
         if span in self.memo:
             return self.memo[span]
         lp = self.logp
-        beam: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         for options, repeated in self.lattice(span):
             after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (s, text) in beam.items():
+            for (a, b), (s, text) in best.items():
+                row = lp[a][b]
                 for x, cost in options:
-                    v = s + lp[a, b, x] - cost
+                    v = s + row[x] - cost
                     if (b, x) not in after or v > after[b, x][0]:
                         after[b, x] = (v, text + LETTERS[x - 1])
                 if repeated:
                     v = s - REPEAT
                     if (a, b) not in after or v > after[a, b][0]:
                         after[a, b] = (v, text)
-            beam = after
-        word = max(((s + lp[a, b, 0], text) for (a, b), (s, text) in beam.items()), default=(0, ""))[1]
+            best = after
+        word = max(((s + lp[a][b][0], text) for (a, b), (s, text) in best.items()), default=(0, ""))[1]
         if len(self.memo) > 200_000:
             self.memo.clear()
         self.memo[span] = word
         return word
 
-    def likely(self, word: str) -> float:
-        """log probability a letter, end included."""
-        c = [0, 0, *(_CODE[x] for x in word if x in _CODE), 0]
-        return sum(self.logp[c[i], c[i + 1], c[i + 2]] for i in range(len(c) - 2)) / (len(c) - 2)
+    def token(self, token: str) -> list[str]:
+        """The words that a token (lower-cased, without white space) stands for."""
+        w = _DECOR.sub("", token.strip(_TRIM)).strip(_TRIM)
+        if w.isalpha():
+            return [self.decode(w) if _DRAWN.search(w) else w]
+        core = w.rstrip("!+")
+        if core.isalpha():
+            return [self.decode(core) if _DRAWN.search(core) else core]
+        if not core or not (any(ch.isalpha() for ch in core) or len(core) >= 4) or len(core) > 40:
+            return [p for p in _INNER.split(core) if p.isalpha()]
+        whole = self.decode(core)
+        return [whole, *(p for p in _INNER.split(core) if p.isalpha() and p != whole)]
+
+    def spaced(self, text: str) -> list[str]:
+        """Words written with spaced-out letters."""
+        out = (self.decode(_GAP.sub("", span)) for span in _SPACED.findall(text))
+        return [w for w in out if len(w) >= 4]
 
     def words(self, text: str) -> list[str]:
-        """The restored words of a text, in order."""
+        """The restored words of a text, in order; those of spaced-out spans last."""
         text = text.lower()
-        extra = []
-        if m := _SPACED.findall(text):
-            for span in m:
-                letters = re.sub(r"[ \t.\-_~]+", "", span)
-                joined = self.decode(letters)
-                if len(joined) >= 4:
-                    extra.append(joined)
-        out = []
-        for token in text.split():
-            w = token.strip(_TRIM)
-            if w.isalpha():
-                out.append(self.decode(w) if _DRAWN.search(w) else w)
-            elif w:
-                core = w.rstrip("!")
-                if core.isalpha():
-                    out.append(self.decode(core) if _DRAWN.search(core) else core)
-                elif any(ch.isalpha() for ch in core) or len(core) >= 4:
-                    whole = self.decode(core)
-                    out.append(whole)
-                    out.extend(p for p in re.split(r"[^\w@$!*+|€]+", core) if p.isalpha() and p != whole)
-        return out + extra
+        return [w for t in text.split() for w in self.token(t)] + self.spaced(text)
 
 
 def features(word: str) -> tuple[str, ...]:
@@ -151,73 +148,84 @@ def features(word: str) -> tuple[str, ...]:
 
 
 def evidence(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_rows: int = 40_000, min_contexts: int = 5, max_features: int = 200_000) -> dict[str, float]:
-    """Feature: probability that a text is toxic given the feature, for those that are evidence. labels: doc_id, toxic.
-    Fitted on the max_rows labelled rows whose doc_id hashes lowest (all, if fewer); at most max_features are kept, the
-    best supported ones."""
+    """Feature: probability that a text is toxic given the feature, for those that are evidence: whose share of toxic
+    texts is above the overall share by more than chance over all features explains (Chernoff bound). labels: doc_id,
+    toxic. Fitted on the max_rows labelled rows whose doc_id hashes lowest (all, if fewer); of the features, at most
+    max_features are kept, the best supported ones."""
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    known = saved(known, "labels")
+    n_toxic, n_all = (int(x or 0) for x in known.agg(F.sum("toxic"), F.count("*")).first())
+    if not n_toxic or n_toxic == n_all:
+        return {}
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic")
     shared = spark.sparkContext.broadcast(model)
-    schema = "feature string, context long, toxic boolean, n long"
 
     def count(batches):
         restore = Restorer(shared.value)
-        pos: set[tuple[str, int]] = set()
-        neg: dict[str, int] = {}
+        contexts: set[tuple[str, int]] = set()
+        texts_with: dict[str, list[int]] = {}
+
+        def send():
+            rows = [*((f, c, 0, 0) for f, c in contexts), *((f, None, p, n) for f, (n, p) in texts_with.items())]
+            contexts.clear()
+            texts_with.clear()
+            for i in range(0, len(rows), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 20_000]), (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["feature", "context", "pos", "neg"])
+
         for batch, texts in chunks(batches, "text"):
             for t, y in zip(texts, batch.column("toxic").to_pylist(), strict=True):
                 ws = restore.words(t.decode())
                 if y:
                     for before, w in zip(["", *ws], ws):
                         c = hash_text(before)
-                        pos.update((f, c) for f in features(w))
-                else:
-                    for f in {f for w in set(ws) for f in features(w)}:
-                        neg[f] = neg.get(f, 0) + 1
-        keys = [*((f, c, True, 1) for f, c in pos), *((f, 0, False, n) for f, n in neg.items())]
-        for i in range(0, len(keys), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*keys[i : i + 20_000]), (pa.string(), pa.int64(), pa.bool_(), pa.int64()), strict=True)], ["feature", "context", "toxic", "n"])
-
-    parts = rows.mapInArrow(count, schema)
-    each = parts.groupBy("feature", "context", "toxic").agg(F.sum("n").alias("n"))
-    found = (
-        each.groupBy("feature")
-        .agg(F.sum(F.when(F.col("toxic"), 1).otherwise(0)).alias("pos"), F.sum(F.when(~F.col("toxic"), F.col("n")).otherwise(0)).alias("neg"))
-        .where((F.col("pos") >= min_contexts) & (F.col("pos") > 4 * F.col("neg")))
-        .orderBy(F.desc("pos"), "feature")
-        .limit(max_features)
-    )
-    return {r.feature: (r.pos + 0.2) / (r.pos + 4.0 * r.neg + 1.2) for r in found.collect()}
+                        contexts.update((f, c) for f in features(w))
+                for f in {f for w in set(ws) for f in features(w)}:
+                    texts_with.setdefault(f, [0, 0])[int(y)] += 1
+            if len(contexts) + len(texts_with) > 400_000:
+                yield from send()
+        yield from send()
+
+    parts = rows.mapInArrow(count, "feature string, context long, pos long, neg long")
+    each = parts.groupBy("feature", "context").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    found = each.groupBy("feature").agg(F.count("context").alias("contexts"), F.sum("pos").alias("docs"), F.sum("neg").alias("neg"))
+    found = saved(found.where("docs + neg >= 3"), "features")
+    tried = max(1, found.count())
+    base = n_toxic / n_all
+    pos = F.least("contexts", "docs").cast("double")
+    n = pos + F.col("neg")
+    share = pos / n
+    chance = n * (share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0))
+    sure = found.where((F.col("contexts") >= min_contexts) & (share >= 0.6) & (chance > math.log(tried) + 0.5))
+    best = sure.select("feature", pos.alias("pos"), "neg").orderBy(F.desc("pos"), "feature").limit(max_features)
+    return {r.feature: r.pos / (r.pos + r.neg + 0.5) for r in best.collect()}
 
 
 def hash_text(s: str) -> int:
-    import zlib
-
     return zlib.crc32(s.encode())
 
 
-def score_words(words, weight: dict[str, float], memo: dict[str, float]) -> float:
-    """Noisy-or over the distinct words; a word counts by its best feature. 0.01 without evidence, which long texts
-    don't change."""
-    log_clean = math.log(0.99)
-    for w in set(words):
-        p = memo.get(w)
+def score_text(text: str, restore: Restorer, weight: dict[str, float], memo: dict[str, float]) -> float:
+    """Noisy-or over the distinct tokens; a word counts by its best feature. 0.01 without evidence."""
+    text = text.lower()
+    doubt = 0.99
+    for t in set(text.split()):
+        p = memo.get(t)
         if p is None:
-            p = max((weight.get(f, 0.0) for f in features(w)), default=0.0)
-            memo[w] = p
+            p = memo[t] = max((weight.get(f, 0.0) for w in restore.token(t) for f in features(w)), default=0.0)
         if p:
-            log_clean += math.log1p(-min(p, 0.9999))
-    return 1 - math.exp(log_clean)
+            doubt *= 1 - min(p, 0.9999)
+    for w in restore.spaced(text):
+        doubt *= 1 - min(0.9999, max((weight.get(f, 0.0) for f in features(w)), default=0.0))
+    return 1 - doubt
 
 
 def score_texts(docs: DataFrame, model: np.ndarray, weight: dict[str, float]) -> DataFrame:
     """docs' columns and score: double, 0 to 1. Null and empty texts score 0.01. The model and the weights are of
     bounded size and broadcast."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model, weight))
+    shared = docs.sparkSession.sparkContext.broadcast((model, weight))
     fields = [f for f in docs.schema.fields if f.name != "score"]
     docs = docs.select(*[f"`{f.name}`" for f in fields])
-    from pyspark.sql.types import DoubleType, StructField, StructType
 
     def score(batches):
         lp, w = shared.value
@@ -225,7 +233,7 @@ def score_texts(docs: DataFrame, model: np.ndarray, weight: dict[str, float]) ->
         for batch, texts in chunks(batches, "text"):
             if len(memo) > 500_000:
                 memo.clear()
-            s = [score_words(restore.words(t.decode()), w, memo) for t in texts]
+            s = [score_text(t.decode(), restore, w, memo) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*batch.schema.names, "score"])
 
     return docs.mapInArrow(score, StructType([*fields, StructField("score", DoubleType())]))
