@@ -2,12 +2,13 @@
 
 A line is its set of words (A-Z lower-cased). Lines with equal sets form a class; the classes are joined: words are
 ordered by rarity (a counting sketch of fixed size gives the order; any total order is right), the rarest words of each
-set (prefix filter) index it, and pairs that meet under a word pass the length and positional filters before their sets
-are fetched and the Jaccard similarity is verified. A line goes if an earlier line, by (doc_id, line number), matches.
+set (prefix filter) index it, and pairs that meet under a word pass the length and positional filters, and a bitmap
+filter (64 parity bits of each set differ in no more bits than the sets do in words), before their sets are fetched and
+the Jaccard similarity is verified. A line goes if an earlier line, by (doc_id, line number), matches.
 
-Under a word, classes are sorted by their first position. A class is compared with the earliest ones first, in rounds of
-8, 64, 512, ... earlier classes, and leaves once it has matched, so a large group of near copies costs about one
-comparison a class, and no group emits all its pairs; rounds go on until every pair that passes the filters is settled.
+Under a word, each class asks for its earliest 8 candidates only; those that no candidate settled ask for the next 64,
+512, ... in further rounds, until every pair that passes the filters is settled. So a group of near copies costs a few
+comparisons a class, and no group emits all its pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from .common import Words, chunks, group_starts, mix, saved, summed_table
 
 _U = np.uint64
 THRESHOLD = 0.8
-BUCKETS = 1 << 22
+BUCKETS = 1 << 23
 #: Bits of the filter that tells which classes' sets are fetched; when it fills up, more sets than needed are fetched.
 BLOOM = 1 << 26
 FIRST_ROUND, GROWTH = 8, 8
@@ -42,7 +43,7 @@ class Lines:
         base = np.where(w.text_start > 0, newlines[np.maximum(w.text_start - 1, 0)], 0) if len(w.buf) else np.zeros(len(texts), np.int64)
         self.n_lines = np.array([t.count(b"\n") + 1 if t else 0 for t in texts], np.int64)
         line_of = newlines[w.starts] if len(h) else np.zeros(0, np.int64)
-        code = rarity[(h >> _U(42)).astype(np.int64)].astype(np.int64) if rarity is not None else np.zeros(len(h), np.int64)
+        code = rarity[(h >> _U(41)).astype(np.int64)].astype(np.int64) if rarity is not None else np.zeros(len(h), np.int64)
         at = w.text * np.int64(1 << 36) + line_of  # unique per line, ascending
         order = np.lexsort((h, at << 8 | code)) if len(h) else np.zeros(0, np.int64)
         h, at, code = h[order], at[order], code[order]
@@ -55,6 +56,7 @@ class Lines:
         self.line = (at[self.start] & ((1 << 36) - 1)) - base[self.text] if len(self.start) else np.zeros(0, np.int64)
         self.k1 = np.add.reduceat(mix(self.words ^ _U(0x1234567)), self.start).view(np.int64) if len(self.start) else np.zeros(0, np.int64)
         self.k2 = np.add.reduceat(mix(self.words * _U(0x9E3779B97F4A7C15) + _U(1)), self.start).view(np.int64) if len(self.start) else np.zeros(0, np.int64)
+        self.bits = np.bitwise_xor.reduceat(_U(1) << (self.words >> _U(3) & _U(63)), self.start).view(np.int64) if len(self.start) else np.zeros(0, np.int64)
 
 
 def rarity_codes(docs: DataFrame) -> np.ndarray:
@@ -63,7 +65,7 @@ def rarity_codes(docs: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(BUCKETS, np.int64)
         for _, texts in chunks(batches, "text"):
-            b = np.sort((Words(texts).hashes() >> _U(42)).astype(np.int64))
+            b = np.sort((Words(texts).hashes() >> _U(41)).astype(np.int64))
             g = group_starts(b)
             total[b[g]] += np.diff(np.append(g, len(b)))
         return total
@@ -72,21 +74,37 @@ def rarity_codes(docs: DataFrame) -> np.ndarray:
     return np.minimum(255, np.round(10 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
 
 
-def _scan(docs: DataFrame, rarity) -> DataFrame:
-    """line rows (kind 0): doc_id, line, k1, k2, n; and postings (kind 1), one for each prefix word of each distinct set
-    of a chunk: word, k1, n, i (the word's position), doc_id, line."""
+def _ids(column: pa.Array) -> np.ndarray:
+    """doc_ids; null is the largest long."""
+    return np.array([2**63 - 1 if x is None else x for x in column.to_pylist()], np.int64)
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, line, k1, k2, n of every non-blank line."""
+
+    def apply(batches):
+        for batch, texts in chunks(batches, "text"):
+            s = Lines(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (_ids(batch.column(0))[s.text], s.line.astype(np.int32), s.k1, s.k2, s.size.astype(np.int32))], ["doc_id", "line", "k1", "k2", "n"])
+
+    return docs.mapInArrow(apply, "doc_id long, line int, k1 long, k2 long, n int")
+
+
+_POSTING = "word long, k long, bits long, n int, i int, doc_id long, line int"
+
+
+def _postings(docs: DataFrame, rarity) -> DataFrame:
+    """One row for each prefix word of each distinct set of a chunk: the word, the class, its parity bits and size, the
+    word's position, and the set's first place."""
 
     def apply(batches):
         table = rarity.value
-        for batch, texts in chunks(batches, "text", 4_000_000):
+        for batch, texts in chunks(batches, "text"):
             s = Lines(texts, table)
-            ids = batch.column(0)
-            d = ids.to_numpy(zero_copy_only=False) if not ids.null_count else np.where(np.array(ids.is_null()), np.iinfo(np.int64).max, ids.fill_null(0).to_numpy(zero_copy_only=False))
-            d = d.astype(np.int64)
-            doc = d[s.text]
-            first = np.lexsort((s.line, doc, s.k2, s.k1))
+            doc = _ids(batch.column(0))[s.text]
+            first = np.lexsort((s.line, doc, s.k1))
             fresh = np.ones(len(first), bool)
-            fresh[1:] = (s.k1[first][1:] != s.k1[first][:-1]) | (s.k2[first][1:] != s.k2[first][:-1])
+            fresh[1:] = s.k1[first][1:] != s.k1[first][:-1]
             rep = first[fresh]
             rep = rep[s.size[rep] >= 4]  # smaller sets match only if they are equal
             plen = s.size[rep] - np.ceil(THRESHOLD * s.size[rep] - 1e-9).astype(np.int64) + 1
@@ -95,64 +113,108 @@ def _scan(docs: DataFrame, rarity) -> DataFrame:
             at = s.start[row] + i
             shared = s.code[at] > 0  # a word that occurs once can't be shared
             row, i, at = row[shared], i[shared], at[shared]
-            zero = np.zeros(len(doc), np.int64)
-            kind = np.concatenate([zero, np.ones(len(row), np.int64)])
-            cols = [kind, np.concatenate([doc, doc[row]]), np.concatenate([s.line, s.line[row]]), np.concatenate([s.k1, s.k1[row]]), np.concatenate([s.k2, s.words[at].view(np.int64)]), np.concatenate([s.size, s.size[row]]), np.concatenate([zero, i])]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, (np.int8, np.int64, np.int32, np.int64, np.int64, np.int32, np.int32), strict=True)], ["kind", "doc_id", "line", "k1", "x", "n", "i"])
-
-    return docs.mapInArrow(apply, "kind byte, doc_id long, line int, k1 long, x long, n int, i int")
-
-
-_MET = "kind byte, a long, b long, na int, nb int, word long, i int, doc_id long, line int"
+            cols = (s.words[at].view(np.int64), s.k1[row], s.bits[row], s.size[row].astype(np.int32), i.astype(np.int32), doc[row], s.line[row].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["word", "k", "bits", "n", "i", "doc_id", "line"])
+
+    return docs.mapInArrow(apply, _POSTING)
+
+
+def _passing(n, i, bits, a, b):
+    """Which pairs of positions pass the length, positional and bitmap filters."""
+    na, nb = n[a], n[b]
+    least = need(na, nb)
+    ok = np.minimum(na, nb) >= THRESHOLD * np.maximum(na, nb) - 1e-9
+    ok &= np.minimum(na - i[a], nb - i[b]) >= least
+    ok &= np.bitwise_count((bits[a] ^ bits[b]).view(_U)) <= na + nb - 2 * least  # of signed numbers it would count the absolute value
+    return ok
+
+
+def candidates_in_runs(word, n, i, bits, asked, lo: int, hi: int):
+    """Within runs of equal words (rows in order): (earlier, later, beyond) positions of each asked row's passing
+    earlier candidates number lo to hi; beyond marks rows that have more."""
+    g = group_starts(word)
+    size = np.diff(np.append(g, len(word)))
+    left, right, more = [], [], []
+
+    def keep(a, b):
+        """a, b: passing pairs sorted by b, then a."""
+        s = group_starts(b)
+        rank = np.arange(len(b)) - np.repeat(s, np.diff(np.append(s, len(b))))
+        use = (rank >= lo) & (rank < hi)
+        left.append(a[use])
+        right.append(b[use])
+        more.append(np.unique(b[rank >= hi]))
+
+    for m in np.unique(size[(size > 1) & (size <= 64)]).tolist():
+        first = g[size == m]
+        j, k = np.tril_indices(m, -1)  # later, earlier; sorted by later
+        step = max(1, 500_000 // len(j))
+        for c in range(0, len(first), step):
+            base = first[c : c + step][:, None]
+            b, a = (base + j).ravel(), (base + k).ravel()
+            if not asked.all():
+                use = asked[b]
+                a, b = a[use], b[use]
+            ok = _passing(n, i, bits, a, b)
+            keep(a[ok], b[ok])
+    for at in np.flatnonzero(size > 64).tolist():
+        x, m = int(g[at]), int(size[at])
+        rows = x + np.flatnonzero(asked[x : x + m])
+        for c in range(0, len(rows), 256):
+            later = rows[c : c + 256]
+            got_a, got_b, found = [], [], np.zeros(len(later), np.int64)
+            for y in range(x, int(later[-1]), 4096):
+                live = np.flatnonzero(found <= hi)
+                if not len(live):
+                    break
+                earlier = np.arange(y, min(y + 4096, int(later[-1])))
+                b, a = np.meshgrid(later[live], earlier, indexing="ij")
+                b, a = b.ravel(), a.ravel()
+                ok = a < b
+                b, a = b[ok], a[ok]
+                ok = _passing(n, i, bits, a, b)
+                got_a.append(a[ok])
+                got_b.append(b[ok])
+                found += np.bincount(np.searchsorted(later, b[ok]), minlength=len(later))
+            if got_a:
+                a, b = np.concatenate(got_a), np.concatenate(got_b)
+                o = np.lexsort((a, b))
+                keep(a[o], b[o])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(left), np.concatenate(right), np.concatenate(more)) if left else (none, none, none)
+
+
+_MET = "kind byte, a long, b long, na int, nb int"
 
 
 def _meet(postings: DataFrame, lo: int, hi: int) -> DataFrame:
-    """Pairs (kind 0: a, b, sizes; a first in order) of classes under a word that pass the filters, each class with its
-    earlier ones number lo to hi; and the postings (kind 1) of groups that have more."""
+    """Pairs (kind 0: a, b, sizes; a first in order) that pass the filters under some word; and (kind 1: a the word, b
+    the class) of classes with further candidates. postings may have asked: false for classes that only serve."""
     parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = postings.repartition(parts, "word").sortWithinPartitions("word", "doc_id", "line")
+    dealt = postings.repartition(parts, "word").sortWithinPartitions("word", "doc_id", "line", "k")
+    names = ["word", "k", "bits", "n", "i"] + (["asked"] if "asked" in postings.columns else [])
 
     def apply(batches):
         held: list[np.ndarray] | None = None
 
         def settle(cols):
-            word, k, n, i, doc, line = cols
-            g = group_starts(word)
-            sizes = np.diff(np.append(g, len(word)))
+            word, k, bits, n, i = cols[:5]
+            asked = cols[5] if len(cols) > 5 else np.ones(len(word), bool)
             # of a class's postings under a word the earliest counts
             o = np.lexsort((np.arange(len(k)), k, word))
             again = np.zeros(len(k), bool)
             again[o[1:]] = (k[o][1:] == k[o][:-1]) & (word[o][1:] == word[o][:-1])
             if again.any():
-                word, k, n, i, doc, line = (c[~again] for c in (word, k, n, i, doc, line))
-                g = group_starts(word)
-                sizes = np.diff(np.append(g, len(word)))
-            first = np.repeat(g, sizes)
-            rank = np.arange(len(word)) - first
-            pairs = []
-            most = int(min(hi, sizes.max(initial=0)))
-            for e in range(lo, most):
-                j = np.flatnonzero(rank > e)
-                if not len(j):
-                    break
-                a = first[j] + e
-                small, large = np.minimum(n[a], n[j]), np.maximum(n[a], n[j])
-                ok = (small >= THRESHOLD * large - 1e-9) & (1 + np.minimum(n[a] - i[a], n[j] - i[j]) - 1 >= need(n[a], n[j]))
-                pairs.append((a[ok], j[ok]))
-            a = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.int64)
-            b = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, np.int64)
+                word, k, bits, n, i, asked = (c[~again] for c in (word, k, bits, n, i, asked))
+            a, b, more = candidates_in_runs(word, n.astype(np.int64), i.astype(np.int64), bits, asked, lo, hi)
             if len(a):
-                # one row a pair, whatever words it meets under in this batch
-                o = np.lexsort((k[b], k[a]))
-                keep = np.ones(len(o), bool)
-                keep[1:] = (k[a][o][1:] != k[a][o][:-1]) | (k[b][o][1:] != k[b][o][:-1])
-                a, b = a[o[keep]], b[o[keep]]
-                z = np.zeros(len(a), np.int64)
-                yield _batch([z, k[a], k[b], n[a], n[b], z, z, z, z])
-            more = np.flatnonzero(np.repeat(sizes > hi + 1, sizes))
-            if len(more):
-                z = np.zeros(len(more), np.int64)
-                yield _batch([z + 1, k[more], z, n[more], z, word[more], i[more], doc[more], line[more]])
+                o = np.lexsort((k[a], k[b]))  # one row a pair, whatever words it meets under here
+                one = np.ones(len(o), bool)
+                one[1:] = (k[a][o][1:] != k[a][o][:-1]) | (k[b][o][1:] != k[b][o][:-1])
+                a, b = a[o[one]], b[o[one]]
+            z = np.zeros(len(more), np.int64)
+            cols = (np.concatenate([np.zeros(len(a)), z + 1]), np.concatenate([k[a], word[more]]), np.concatenate([k[b], k[more]]), np.concatenate([n[a], z]), np.concatenate([n[b], z]))
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, (np.int8, np.int64, np.int64, np.int32, np.int32), strict=True)], ["kind", "a", "b", "na", "nb"])
 
         for batch in batches:
             new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -164,12 +226,7 @@ def _meet(postings: DataFrame, lo: int, hi: int) -> DataFrame:
         if held is not None and len(held[0]):
             yield from settle(held)
 
-    return dealt.select("word", "k", "n", "i", "doc_id", "line").mapInArrow(apply, _MET)
-
-
-def _batch(cols) -> pa.RecordBatch:
-    types = (np.int8, np.int64, np.int64, np.int32, np.int32, np.int64, np.int32, np.int64, np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, types, strict=True)], ["kind", "a", "b", "na", "nb", "word", "i", "doc_id", "line"])
+    return dealt.select(*names).mapInArrow(apply, _MET)
 
 
 def _bloom(keys: DataFrame) -> np.ndarray:
@@ -217,7 +274,7 @@ def _sets(docs: DataFrame, bloom, wanted: DataFrame) -> DataFrame:
 
     def apply(batches):
         bits = bloom.value
-        for _, texts in chunks(batches, "text", 4_000_000):
+        for _, texts in chunks(batches, "text"):
             s = Lines(texts)
             at = (s.k1.view(_U) >> _U(38)).astype(np.int64)
             hit = np.flatnonzero(bits[at >> 3] & (128 >> (at & 7)).astype(np.uint8))
@@ -236,28 +293,27 @@ def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rarity = spark.sparkContext.broadcast(rarity_codes(docs))
-    scanned = saved(_scan(docs, rarity), "line-scan")
-    lines = scanned.where("kind = 0").select("doc_id", "line", "k1", F.col("x").alias("k2"), "n")
-    postings = scanned.where("kind = 1").select(F.col("x").alias("word"), F.col("k1").alias("k"), "n", "i", "doc_id", "line")
-    gone, lo, hi = None, 0, FIRST_ROUND
+    lines = saved(_lines(docs), "lines")
+    gone, lo, hi, postings = None, 0, FIRST_ROUND, _postings(docs, rarity)
     while True:
         met = saved(_meet(postings, lo, hi), "line-pairs")
-        pairs = met.where("kind = 0").select("a", "b", "na", "nb").distinct()
-        if gone is not None:
-            pairs = pairs.join(gone.withColumnRenamed("k", "b"), "b", "left_anti").select("a", "b", "na", "nb")
-        wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k")))
+        pairs = saved(met.where("kind = 0").select("a", "b", "na", "nb").distinct(), "line-pairs")
+        wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
         bloom = spark.sparkContext.broadcast(_bloom(wanted))
-        sets = saved(_sets(docs, bloom, wanted.distinct()), "line-sets")
+        sets = saved(_sets(docs, bloom, wanted), "line-sets")
         left, right = sets.select(F.col("k").alias("a"), F.col("words").alias("wa")), sets.select(F.col("k").alias("b"), F.col("words").alias("wb"))
         both = F.size(F.array_intersect("wa", "wb"))
         same = pairs.join(left, "a").join(right, "b").withColumn("s", both).where(F.col("s") >= F.lit(THRESHOLD) * (F.col("na") + F.col("nb") - F.col("s")) - 1e-9)
-        new = same.select(F.col("b").alias("k")).distinct()
-        gone = saved(new if gone is None else new.unionByName(gone), "line-gone")
-        rest = met.where("kind = 1").select("word", F.col("a").alias("k"), F.col("na").alias("n"), "i", "doc_id", "line")
-        if rest.isEmpty():
+        new = same.select(F.col("b").alias("k"))
+        gone = saved((new if gone is None else new.unionByName(gone)).distinct(), "line-gone")
+        open_ = met.where("kind = 1").select(F.col("a").alias("word"), F.col("b").alias("k")).join(gone, "k", "left_anti")
+        if open_.isEmpty():
             return lines, gone
-        # matched classes stay as partners of later ones, but are asked no more: anti join above drops their pairs
-        postings, lo, hi = rest, hi, hi * GROWTH
+        open_ = saved(open_.distinct(), "line-open")
+        ask = open_.withColumn("asked", F.lit(True))
+        again = _postings(docs, rarity).join(open_.select("word").distinct(), "word", "left_semi")
+        postings = again.join(ask, ["word", "k"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+        lo, hi = hi, hi * GROWTH
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
