@@ -68,7 +68,7 @@ def _(t):
 
 @query("pivot", "SELECT year(trade_date) AS y, " + ", ".join(f"count(*) FILTER (quarter(trade_date) = {q}) AS q{q}" for q in (1, 2, 3, 4)) + " FROM bars_d GROUP BY 1")
 def _(t):
-    return t.bars_d.select(F.year("trade_date").alias("y"), F.quarter("trade_date").alias("q")).groupBy("y").pivot("q", [1, 2, 3, 4]).agg(F.count("*")).toDF("y", "q1", "q2", "q3", "q4")
+    return t.bars_d.select(F.year("trade_date").alias("y"), F.quarter("trade_date").alias("q")).groupBy("y").pivot("q", [1, 2, 3, 4]).agg(F.count(F.lit(1))).toDF("y", "q1", "q2", "q3", "q4")
 
 
 @query("unpivot", "SELECT code_id, trade_date, field, value FROM (SELECT code_id, trade_date, open, high, low, close FROM bars_m) UNPIVOT (value FOR field IN (open, high, low, close))")
