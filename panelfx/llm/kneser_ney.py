@@ -148,8 +148,8 @@ def _discount(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.where(c >= 3, d[2], np.where(c == 2, d[1], np.where(c == 1, d[0], 0.0)))
 
 
-def train(docs: DataFrame) -> Model | None:
-    """The model of docs.text (null: empty; each text's end is a token). None without rows."""
+def train(docs: DataFrame) -> Model:
+    """The model of docs.text (null: empty; each text's end is a token). Without rows, every token has probability 1."""
     spark = docs.sparkSession
     shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     uri = shared_dir(spark, "kneser-ney")
@@ -163,7 +163,7 @@ def train(docs: DataFrame) -> Model | None:
 
     t = counts.mapInArrow(totals, "v long, n long").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
     if not t.n:
-        return None
+        return Model(uri, shards, np.zeros(0, _U), {}, {}, 0, 0, 1.0, discounts(0, 0, 0, 0))
     v, n = int(t.v), int(t.n)
     limit = max(1, n // (8 * shards))  # fewer than 8 * shards words are as frequent as this
 
