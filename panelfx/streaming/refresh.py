@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def hour_bar_stream(events: DataFrame, watermark: str = "2 hours") -> DataFrame:
     """Hourly bars of an event stream (user_id, ts, value): event-time windows behind a watermark; later events are left
     out. user_id, bar_ts, n, amount, high, low."""
-    by = events.withWatermark("ts", watermark).groupBy("user_id", F.window("ts", "1 hour").alias("w"))
+    by = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark).groupBy("user_id", F.window("ts", "1 hour").alias("w"))
     out = by.agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("amount"), F.max("value").alias("high"), F.min("value").alias("low"))
     return out.select("user_id", F.col("w.start").alias("bar_ts"), "n", "amount", "high", "low")
 
