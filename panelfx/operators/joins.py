@@ -24,11 +24,15 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on
 
 
 def next_date_map(dates: DataFrame, calendar: DataFrame, date: str = "d", day: str = "trade_date") -> DataFrame:
-    """The first calendar day after each date; the last day where there is none. Both are small sorted lists: one day's
-    window of 400 days at most meets in a broadcast range join."""
+    """Adds next_date: the first calendar day after each date; the last day where there is none. The distinct dates and
+    the calendar (a row a day) are read once, backwards; the result goes back to the rows by a broadcast join."""
+    asked = dates.select(F.col(date).alias("__d")).where("__d is not null").distinct().withColumn("__c", F.lit(None).cast(calendar.schema[day].dataType))
+    both = asked.unionByName(calendar.select(F.col(day).alias("__d"), F.col(day).alias("__c")).distinct())
+    later = Window.orderBy(F.desc("__d"), F.col("__c").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__n", F.last("__c", ignorenulls=True).over(later)).where("__c is null").select("__d", "__n")
     last = calendar.agg(F.max(day).alias("__last"))
-    days = calendar.select(F.col(day).alias("__day"))
-    return dates.join(F.broadcast(days), F.col("__day") > F.col(date), "left").groupBy(*dates.columns).agg(F.min("__day").alias("next_date")).crossJoin(F.broadcast(last)).withColumn("next_date", F.coalesce("next_date", "__last")).drop("__last")
+    out = dates.join(F.broadcast(found), F.col(date) == F.col("__d"), "left").crossJoin(F.broadcast(last))
+    return out.withColumn("next_date", F.coalesce("__n", "__last")).drop("__d", "__n", "__last")
 
 
 def ordered_merge_ffill(home: DataFrame, foreign: DataFrame, fx: DataFrame, by: str, day: str = "trade_date", stale_days: int = 10) -> DataFrame:
