@@ -17,13 +17,17 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handled at a time inside a task; a longer single text makes a chunk of its own.
 CHUNK_BYTES = 2_000_000
-#: Rows of one Arrow batch at most.
+#: Rows of a chunk, and of an Arrow batch, at most.
 CHUNK_ROWS = 4096
+BATCH_ROWS = 2048
 
 _U = np.uint64
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of a folder. Texts are long: Arrow batches are kept to BATCH_ROWS rows, unless the session asks for less."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -28,7 +28,7 @@ SKIPPABLE_SEEK, SKIPPABLE_INDEX, SEEK_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 #: Ids in a frame, about; a document is never cut.
 FRAME_IDS = 1 << 16
 #: Distinct pieces of text whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 300_000
 
 # The published pre-tokenisation pattern of the byte-level BPE vocabulary (fixed value), for texts of _PLAIN characters,
 # where [^\W\d_] is \p{L} and \d is \p{N}. Texts with other characters go to the library whole: its Unicode tables decide.

@@ -150,8 +150,9 @@ def features(word: str) -> tuple[str, ...]:
 def evidence(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_rows: int = 40_000, min_contexts: int = 5, max_features: int = 200_000) -> dict[str, float]:
     """Feature: probability that a text is toxic given the feature, for those that are evidence: whose share of toxic
     texts is above the overall share by more than chance over all features explains (Chernoff bound). labels: doc_id,
-    toxic. Fitted on the max_rows labelled rows whose doc_id hashes lowest (all, if fewer); of the features, at most
-    max_features are kept, the best supported ones."""
+    toxic. Beginnings count words that aren't
+    evidence themselves, three at least. Fitted on the max_rows labelled rows whose doc_id hashes lowest (all, if fewer);
+    of words and of beginnings, at most max_features are kept, the best supported ones."""
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     known = saved(known, "labels")
@@ -171,34 +172,42 @@ def evidence(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_rows: in
             contexts.clear()
             texts_with.clear()
             for i in range(0, len(rows), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 20_000]), (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["feature", "context", "pos", "neg"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 20_000]), (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["word", "context", "pos", "neg"])
 
         for batch, texts in chunks(batches, "text"):
             for t, y in zip(texts, batch.column("toxic").to_pylist(), strict=True):
                 ws = restore.words(t.decode())
                 if y:
-                    for before, w in zip(["", *ws], ws):
-                        c = hash_text(before)
-                        contexts.update((f, c) for f in features(w))
-                for f in {f for w in set(ws) for f in features(w)}:
-                    texts_with.setdefault(f, [0, 0])[int(y)] += 1
+                    contexts.update((w, hash_text(before)) for before, w in zip(["", *ws], ws) if len(w) > 2)
+                for w in set(ws):
+                    if len(w) > 2:
+                        texts_with.setdefault(w, [0, 0])[int(y)] += 1
             if len(contexts) + len(texts_with) > 400_000:
                 yield from send()
         yield from send()
 
-    parts = rows.mapInArrow(count, "feature string, context long, pos long, neg long")
-    each = parts.groupBy("feature", "context").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    found = each.groupBy("feature").agg(F.count("context").alias("contexts"), F.sum("pos").alias("docs"), F.sum("neg").alias("neg"))
-    found = saved(found.where("docs + neg >= 3"), "features")
-    tried = max(1, found.count())
+    parts = rows.mapInArrow(count, "word string, context long, pos long, neg long")
+    each = parts.groupBy("word", "context").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    words = saved(each.groupBy("word").agg(F.count("context").alias("contexts"), F.sum("pos").alias("docs"), F.sum("neg").alias("neg")), "words")
     base = n_toxic / n_all
-    pos = F.least("contexts", "docs").cast("double")
-    n = pos + F.col("neg")
-    share = pos / n
-    chance = n * (share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0))
-    sure = found.where((F.col("contexts") >= min_contexts) & (share >= 0.6) & (chance > math.log(tried) + 0.5))
-    best = sure.select("feature", pos.alias("pos"), "neg").orderBy(F.desc("pos"), "feature").limit(max_features)
-    return {r.feature: r.pos / (r.pos + r.neg + 0.5) for r in best.collect()}
+
+    def sure(found: DataFrame) -> DataFrame:
+        found = found.where("docs + neg >= 3")
+        tried = max(1, found.count())
+        pos = F.least("contexts", "docs").cast("double")
+        n = pos + F.col("neg")
+        share = pos / n
+        chance = n * (share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0))
+        hit = found.where((F.col("contexts") >= min_contexts) & (share >= 0.6) & (chance > math.log(tried) + 0.5))
+        return hit.select("word", pos.alias("pos"), "neg").orderBy(F.desc("pos"), "word").limit(max_features)
+
+    whole = saved(sure(words), "toxic-words")
+    rest = words.join(F.broadcast(whole.select("word")), "word", "left_anti")
+    begin = F.explode(F.transform(F.sequence(F.lit(4), F.lit(7)), lambda k: F.when(F.length("word") > k, F.concat(F.substring("word", F.lit(1), k), F.lit("~")))))
+    stems = rest.where("length(word) > 4").select(begin.alias("stem"), "contexts", "docs", "neg").where("stem is not null")
+    stems = stems.groupBy(F.col("stem").alias("word")).agg(F.sum("contexts").alias("contexts"), F.sum("docs").alias("docs"), F.sum("neg").alias("neg"), F.count("*").alias("words")).where("words >= 3").drop("words")
+    best = whole.unionByName(sure(saved(stems, "stems")))
+    return {r.word: r.pos / (r.pos + r.neg + 0.5) for r in best.collect()}
 
 
 def hash_text(s: str) -> int:
