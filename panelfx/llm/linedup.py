@@ -3,11 +3,11 @@
 A line is its set of words (A-Z lower-cased). Lines with equal sets form a class; the classes are joined: words are
 ordered by rarity (a counting sketch of fixed size gives the order; any total order is right), the rarest words of each
 set (prefix filter) index it, and pairs that meet under a word pass the length and positional filters, and a bitmap
-filter (64 parity bits of each set differ in no more bits than the sets do in words), before their sets are fetched and
+filter (128 parity bits of each set differ in no more bits than the sets do in words), before their sets are fetched and
 the Jaccard similarity is verified. A line goes if an earlier line, by (doc_id, line number), matches.
 
-Under a word, each class asks for its earliest 8 candidates only; those that no candidate settled ask for the next 64,
-512, ... in further rounds, until every pair that passes the filters is settled. So a group of near copies costs a few
+Under a word, each class asks for its earliest 16 candidates only; those that no candidate settled ask for the
+next 256, 4,096, ... in further rounds, until every pair that passes the filters is settled. So a group of near copies costs a few
 comparisons a class, and no group emits all its pairs.
 """
 
@@ -25,7 +25,9 @@ THRESHOLD = 0.8
 BUCKETS = 1 << 23
 #: Bits of the filter that tells which classes' sets are fetched; when it fills up, more sets than needed are fetched.
 BLOOM = 1 << 26
-FIRST_ROUND, GROWTH = 8, 8
+FIRST_ROUND, GROWTH = 16, 16
+#: Pairs looked at in one go, inside a task.
+PAIRS = 250_000
 
 
 def need(a, b, t: float = THRESHOLD):
@@ -33,6 +35,20 @@ def need(a, b, t: float = THRESHOLD):
     return np.ceil(t / (1 + t) * (a + b) - 1e-9)
 
 
+def _line_order(h: np.ndarray, at: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The order by (at, code, h). One sort of a packed key does it, unless different words agree in its 32 hash bits."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    line = np.concatenate([[0], np.cumsum(at[1:] != at[:-1])]).astype(_U)
+    if int(line[-1]) < 1 << 24:
+        key = line << _U(40) | code.astype(_U) << _U(32) | h >> _U(32)
+        order = np.argsort(key)
+        k, x = key[order], h[order]
+        if not ((k[1:] == k[:-1]) & (x[1:] != x[:-1])).any():
+            return order
+    return np.lexsort((h, at << 8 | code))
+
+
 class Lines:
     """Sets of the non-blank lines of several texts: text, line number, size, class key, and words ordered by rarity."""
 
@@ -45,7 +61,7 @@ class Lines:
         line_of = newlines[w.starts] if len(h) else np.zeros(0, np.int64)
         code = rarity[(h >> _U(41)).astype(np.int64)].astype(np.int64) if rarity is not None else np.zeros(len(h), np.int64)
         at = w.text * np.int64(1 << 36) + line_of  # unique per line, ascending
-        order = np.lexsort((h, at << 8 | code)) if len(h) else np.zeros(0, np.int64)
+        order = _line_order(h, at, code)
         h, at, code = h[order], at[order], code[order]
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1])
@@ -56,7 +72,8 @@ class Lines:
         self.line = (at[self.start] & ((1 << 36) - 1)) - base[self.text] if len(self.start) else np.zeros(0, np.int64)
         self.k1 = np.add.reduceat(mix(self.words ^ _U(0x1234567)), self.start).view(np.int64) if len(self.start) else np.zeros(0, np.int64)
         self.k2 = np.add.reduceat(mix(self.words * _U(0x9E3779B97F4A7C15) + _U(1)), self.start).view(np.int64) if len(self.start) else np.zeros(0, np.int64)
-        self.bits = np.bitwise_xor.reduceat(_U(1) << (self.words >> _U(3) & _U(63)), self.start).view(np.int64) if len(self.start) else np.zeros(0, np.int64)
+        one, high = _U(1) << (self.words >> _U(3) & _U(63)), (self.words >> _U(9) & _U(1)).astype(bool)
+        self.bits = [np.bitwise_xor.reduceat(np.where(h, one, _U(0)), self.start).view(np.int64) if len(self.start) else np.zeros(0, np.int64) for h in (high, ~high)]
 
 
 def rarity_codes(docs: DataFrame) -> np.ndarray:
@@ -90,7 +107,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(apply, "doc_id long, line int, k1 long, k2 long, n int")
 
 
-_POSTING = "word long, k long, bits long, n int, i int, doc_id long, line int"
+_POSTING = "word long, k long, bits1 long, bits2 long, n int, i int, doc_id long, line int"
 
 
 def _postings(docs: DataFrame, rarity) -> DataFrame:
@@ -113,42 +130,41 @@ def _postings(docs: DataFrame, rarity) -> DataFrame:
             at = s.start[row] + i
             shared = s.code[at] > 0  # a word that occurs once can't be shared
             row, i, at = row[shared], i[shared], at[shared]
-            cols = (s.words[at].view(np.int64), s.k1[row], s.bits[row], s.size[row].astype(np.int32), i.astype(np.int32), doc[row], s.line[row].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["word", "k", "bits", "n", "i", "doc_id", "line"])
+            cols = (s.words[at].view(np.int64), s.k1[row], s.bits[0][row], s.bits[1][row], s.size[row].astype(np.int32), i.astype(np.int32), doc[row], s.line[row].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["word", "k", "bits1", "bits2", "n", "i", "doc_id", "line"])
 
     return docs.mapInArrow(apply, _POSTING)
 
 
 def _passing(n, i, bits, a, b):
-    """Which pairs of positions pass the length, positional and bitmap filters."""
+    """Which pairs of positions pass the length, positional and bitmap filters. bits: rows of unsigned words."""
     na, nb = n[a], n[b]
     least = need(na, nb)
     ok = np.minimum(na, nb) >= THRESHOLD * np.maximum(na, nb) - 1e-9
     ok &= np.minimum(na - i[a], nb - i[b]) >= least
-    ok &= np.bitwise_count((bits[a] ^ bits[b]).view(_U)) <= na + nb - 2 * least  # of signed numbers it would count the absolute value
+    at = np.flatnonzero(ok)
+    differ = np.bitwise_count(bits[a[at]] ^ bits[b[at]]).sum(1)
+    ok[at] = differ <= (na + nb - 2 * least)[at]
     return ok
 
 
 def candidates_in_runs(word, n, i, bits, asked, lo: int, hi: int):
-    """Within runs of equal words (rows in order): (earlier, later, beyond) positions of each asked row's passing
-    earlier candidates number lo to hi; beyond marks rows that have more."""
+    """Within runs of equal words (rows in order), in pieces of bounded size: (earlier, later, beyond) positions of each
+    asked row's passing earlier candidates number lo to hi; beyond: rows that have more."""
     g = group_starts(word)
     size = np.diff(np.append(g, len(word)))
-    left, right, more = [], [], []
 
     def keep(a, b):
         """a, b: passing pairs sorted by b, then a."""
         s = group_starts(b)
         rank = np.arange(len(b)) - np.repeat(s, np.diff(np.append(s, len(b))))
         use = (rank >= lo) & (rank < hi)
-        left.append(a[use])
-        right.append(b[use])
-        more.append(np.unique(b[rank >= hi]))
+        return a[use], b[use], np.unique(b[rank >= hi])
 
     for m in np.unique(size[(size > 1) & (size <= 64)]).tolist():
         first = g[size == m]
         j, k = np.tril_indices(m, -1)  # later, earlier; sorted by later
-        step = max(1, 500_000 // len(j))
+        step = max(1, PAIRS // len(j))
         for c in range(0, len(first), step):
             base = first[c : c + step][:, None]
             b, a = (base + j).ravel(), (base + k).ravel()
@@ -156,20 +172,19 @@ def candidates_in_runs(word, n, i, bits, asked, lo: int, hi: int):
                 use = asked[b]
                 a, b = a[use], b[use]
             ok = _passing(n, i, bits, a, b)
-            keep(a[ok], b[ok])
+            yield keep(a[ok], b[ok])
     for at in np.flatnonzero(size > 64).tolist():
         x, m = int(g[at]), int(size[at])
         rows = x + np.flatnonzero(asked[x : x + m])
-        for c in range(0, len(rows), 256):
-            later = rows[c : c + 256]
+        for c in range(0, len(rows), 64):
+            later = rows[c : c + 64]
             got_a, got_b, found = [], [], np.zeros(len(later), np.int64)
-            for y in range(x, int(later[-1]), 4096):
-                live = np.flatnonzero(found <= hi)
+            for y in range(x, int(later[-1]), PAIRS // 64):
+                live = later[found <= hi]
                 if not len(live):
                     break
-                earlier = np.arange(y, min(y + 4096, int(later[-1])))
-                b, a = np.meshgrid(later[live], earlier, indexing="ij")
-                b, a = b.ravel(), a.ravel()
+                earlier = np.arange(y, min(y + PAIRS // 64, int(later[-1])))
+                b, a = np.repeat(live, len(earlier)), np.tile(earlier, len(live))
                 ok = a < b
                 b, a = b[ok], a[ok]
                 ok = _passing(n, i, bits, a, b)
@@ -179,9 +194,7 @@ def candidates_in_runs(word, n, i, bits, asked, lo: int, hi: int):
             if got_a:
                 a, b = np.concatenate(got_a), np.concatenate(got_b)
                 o = np.lexsort((a, b))
-                keep(a[o], b[o])
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right), np.concatenate(more)) if left else (none, none, none)
+                yield keep(a[o], b[o])
 
 
 _MET = "kind byte, a long, b long, na int, nb int"
@@ -192,29 +205,32 @@ def _meet(postings: DataFrame, lo: int, hi: int) -> DataFrame:
     the class) of classes with further candidates. postings may have asked: false for classes that only serve."""
     parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = postings.repartition(parts, "word").sortWithinPartitions("word", "doc_id", "line", "k")
-    names = ["word", "k", "bits", "n", "i"] + (["asked"] if "asked" in postings.columns else [])
+    names = ["word", "k", "bits1", "bits2", "n", "i"] + (["asked"] if "asked" in postings.columns else [])
 
     def apply(batches):
         held: list[np.ndarray] | None = None
 
         def settle(cols):
-            word, k, bits, n, i = cols[:5]
-            asked = cols[5] if len(cols) > 5 else np.ones(len(word), bool)
+            word, k, b1, b2, n, i = cols[:6]
+            asked = cols[6] if len(cols) > 6 else np.ones(len(word), bool)
             # of a class's postings under a word the earliest counts
             o = np.lexsort((np.arange(len(k)), k, word))
             again = np.zeros(len(k), bool)
             again[o[1:]] = (k[o][1:] == k[o][:-1]) & (word[o][1:] == word[o][:-1])
             if again.any():
-                word, k, bits, n, i, asked = (c[~again] for c in (word, k, bits, n, i, asked))
-            a, b, more = candidates_in_runs(word, n.astype(np.int64), i.astype(np.int64), bits, asked, lo, hi)
-            if len(a):
-                o = np.lexsort((k[a], k[b]))  # one row a pair, whatever words it meets under here
-                one = np.ones(len(o), bool)
-                one[1:] = (k[a][o][1:] != k[a][o][:-1]) | (k[b][o][1:] != k[b][o][:-1])
-                a, b = a[o[one]], b[o[one]]
-            z = np.zeros(len(more), np.int64)
-            cols = (np.concatenate([np.zeros(len(a)), z + 1]), np.concatenate([k[a], word[more]]), np.concatenate([k[b], k[more]]), np.concatenate([n[a], z]), np.concatenate([n[b], z]))
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, (np.int8, np.int64, np.int64, np.int32, np.int32), strict=True)], ["kind", "a", "b", "na", "nb"])
+                word, k, b1, b2, n, i, asked = (c[~again] for c in (word, k, b1, b2, n, i, asked))
+            bits = np.stack([b1, b2], 1).view(_U)
+            seen: set[tuple[int, int]] = set()
+            for a, b, more in candidates_in_runs(word, n.astype(np.int64), i.astype(np.int64), bits, asked, lo, hi):
+                if len(a):  # one row a pair, whatever words it meets under here
+                    fresh = [x for x, p in enumerate(zip(k[a].tolist(), k[b].tolist())) if p not in seen and not seen.add(p)]
+                    a, b = a[fresh], b[fresh]
+                    if len(seen) > 300_000:
+                        seen.clear()
+                if len(a) or len(more):
+                    z = np.zeros(len(more), np.int64)
+                    out = (np.concatenate([np.zeros(len(a)), z + 1]), np.concatenate([k[a], word[more]]), np.concatenate([k[b], k[more]]), np.concatenate([n[a], z]), np.concatenate([n[b], z]))
+                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(out, (np.int8, np.int64, np.int64, np.int32, np.int32), strict=True)], ["kind", "a", "b", "na", "nb"])
 
         for batch in batches:
             new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
