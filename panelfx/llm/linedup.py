@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, group_starts, mix, saved, summed_table
+from .common import Words, chunks, group_starts, mix, saved
 
 _U = np.uint64
 THRESHOLD = 0.8
-BUCKETS = 1 << 23
+BUCKETS = 1 << 24
 #: Bits of the filter that tells which classes' sets are fetched; when it fills up, more sets than needed are fetched.
 BLOOM = 1 << 26
 FIRST_ROUND, GROWTH = 16, 16
@@ -54,12 +54,12 @@ class Lines:
 
     def __init__(self, texts: list[bytes], rarity: np.ndarray | None = None):
         w = Words(texts)
-        h = w.hashes()
+        self.all_hashes = h = w.hashes()
         newlines = np.cumsum(w.buf == 10)
         base = np.where(w.text_start > 0, newlines[np.maximum(w.text_start - 1, 0)], 0) if len(w.buf) else np.zeros(len(texts), np.int64)
         self.n_lines = np.array([t.count(b"\n") + 1 if t else 0 for t in texts], np.int64)
         line_of = newlines[w.starts] if len(h) else np.zeros(0, np.int64)
-        code = rarity[(h >> _U(41)).astype(np.int64)].astype(np.int64) if rarity is not None else np.zeros(len(h), np.int64)
+        code = rarity[(h >> _U(40)).astype(np.int64)].astype(np.int64) if rarity is not None else np.zeros(len(h), np.int64)
         at = w.text * np.int64(1 << 36) + line_of  # unique per line, ascending
         order = _line_order(h, at, code)
         h, at, code = h[order], at[order], code[order]
@@ -76,35 +76,50 @@ class Lines:
         self.bits = [np.bitwise_xor.reduceat(np.where(h, one, _U(0)), self.start).view(np.int64) if len(self.start) else np.zeros(0, np.int64) for h in (high, ~high)]
 
 
-def rarity_codes(docs: DataFrame) -> np.ndarray:
-    """Frequency class (0 to 255) of each bucket of words; 0: the bucket's word occurs once in all."""
+def first_scan(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """From one pass over the texts: every non-blank line (doc_id, line, k1, k2, n), and the frequency class (0 to 255) of
+    each bucket of words; 0: the bucket's word occurs once in all. A task's counts travel as blocks beside its lines."""
+    block = 1 << 18
 
-    def count(batches):
-        total = np.zeros(BUCKETS, np.int64)
-        for _, texts in chunks(batches, "text"):
-            b = np.sort((Words(texts).hashes() >> _U(41)).astype(np.int64))
+    def scan(batches):
+        total, none = np.zeros(BUCKETS, np.int32), None
+        for batch, texts in chunks(batches, "text"):
+            s = Lines(texts)
+            b = np.sort((s.all_hashes >> _U(40)).astype(np.int64))
             g = group_starts(b)
-            total[b[g]] += np.diff(np.append(g, len(b)))
-        return total
+            total[b[g]] += np.diff(np.append(g, len(b))).astype(np.int32)
+            m = len(s.line)
+            none = pa.nulls(m, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (_ids(batch.column(0))[s.text], s.line.astype(np.int32), s.k1, s.k2, s.size.astype(np.int32))] + [none, none], [*_LINE, "cells", "counts"])
+        for k in range(0, BUCKETS, block):
+            at = np.flatnonzero(total[k : k + block])
+            if len(at):
+                row = [pa.nulls(1, pa.int64()), pa.array([k // block], pa.int32()), *[pa.nulls(1, pa.int64())] * 2, pa.nulls(1, pa.int32()), pa.array([at.astype(np.uint32).tobytes()], pa.binary()), pa.array([total[k + at].tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(row, [*_LINE, "cells", "counts"])
 
-    counts = summed_table(docs.select("text"), count, BUCKETS)[0]
-    return np.minimum(255, np.round(10 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
+    def merge(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, cells, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums.setdefault(k, np.zeros(block, np.int64))[np.frombuffer(cells, np.uint32)] += np.frombuffer(counts, np.int32)
+        for k, x in sums.items():
+            code = np.minimum(255, np.round(10 * np.log2(np.maximum(x, 1)))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([code.tobytes()], pa.binary())], ["block", "codes"])
 
+    scanned = saved(docs.mapInArrow(scan, "doc_id long, line int, k1 long, k2 long, n int, cells binary, counts binary"), "lines")
+    blocks = scanned.where("cells is not null").select("line", "cells", "counts").repartition(BUCKETS // block, "line").mapInArrow(merge, "block int, codes binary")
+    codes = np.zeros(BUCKETS, np.uint8)
+    for r in blocks.collect():  # one byte a bucket
+        codes[r.block * block : (r.block + 1) * block] = np.frombuffer(r.codes, np.uint8)
+    return scanned.where("cells is null").select(*_LINE), codes
 
-def _ids(column: pa.Array) -> np.ndarray:
-    """doc_ids; null is the largest long."""
-    return np.array([2**63 - 1 if x is None else x for x in column.to_pylist()], np.int64)
 
+_LINE = ["doc_id", "line", "k1", "k2", "n"]
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line, k1, k2, n of every non-blank line."""
 
-    def apply(batches):
-        for batch, texts in chunks(batches, "text"):
-            s = Lines(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (_ids(batch.column(0))[s.text], s.line.astype(np.int32), s.k1, s.k2, s.size.astype(np.int32))], ["doc_id", "line", "k1", "k2", "n"])
-
-    return docs.mapInArrow(apply, "doc_id long, line int, k1 long, k2 long, n int")
+def _ids(column: pa.Array) -> np.ndarray:
+    """doc_ids; null is the largest long."""
+    return np.array([2**63 - 1 if x is None else x for x in column.to_pylist()], np.int64)
 
 
 _POSTING = "word long, k long, bits1 long, bits2 long, n int, i int, doc_id long, line int"
@@ -137,15 +152,15 @@ def _postings(docs: DataFrame, rarity) -> DataFrame:
 
 
 def _passing(n, i, bits, a, b):
-    """Which pairs of positions pass the length, positional and bitmap filters. bits: rows of unsigned words."""
+    """The pairs of positions that pass the length, positional and bitmap filters. bits: rows of unsigned words."""
     na, nb = n[a], n[b]
-    least = need(na, nb)
-    ok = np.minimum(na, nb) >= THRESHOLD * np.maximum(na, nb) - 1e-9
-    ok &= np.minimum(na - i[a], nb - i[b]) >= least
-    at = np.flatnonzero(ok)
-    differ = np.bitwise_count(bits[a[at]] ^ bits[b[at]]).sum(1)
-    ok[at] = differ <= (na + nb - 2 * least)[at]
-    return ok
+    at = np.flatnonzero((na >= THRESHOLD * nb - 1e-9) & (nb >= THRESHOLD * na - 1e-9))
+    a, b, na, nb = a[at], b[at], na[at], nb[at]
+    spare = na + nb - 2 * need(na, nb)
+    at = np.flatnonzero((np.bitwise_count(bits[0][a] ^ bits[0][b]) + np.bitwise_count(bits[1][a] ^ bits[1][b])) <= spare)
+    a, b, na, nb, spare = a[at], b[at], na[at], nb[at], spare[at]
+    ok = 2 * np.minimum(na - i[a], nb - i[b]) >= na + nb - spare
+    return a[ok], b[ok]
 
 
 def candidates_in_runs(word, n, i, bits, asked, lo: int, hi: int):
@@ -171,8 +186,7 @@ def candidates_in_runs(word, n, i, bits, asked, lo: int, hi: int):
             if not asked.all():
                 use = asked[b]
                 a, b = a[use], b[use]
-            ok = _passing(n, i, bits, a, b)
-            yield keep(a[ok], b[ok])
+            yield keep(*_passing(n, i, bits, a, b))
     for at in np.flatnonzero(size > 64).tolist():
         x, m = int(g[at]), int(size[at])
         rows = x + np.flatnonzero(asked[x : x + m])
@@ -187,10 +201,10 @@ def candidates_in_runs(word, n, i, bits, asked, lo: int, hi: int):
                 b, a = np.repeat(live, len(earlier)), np.tile(earlier, len(live))
                 ok = a < b
                 b, a = b[ok], a[ok]
-                ok = _passing(n, i, bits, a, b)
-                got_a.append(a[ok])
-                got_b.append(b[ok])
-                found += np.bincount(np.searchsorted(later, b[ok]), minlength=len(later))
+                a, b = _passing(n, i, bits, a, b)
+                got_a.append(a)
+                got_b.append(b)
+                found += np.bincount(np.searchsorted(later, b), minlength=len(later))
             if got_a:
                 a, b = np.concatenate(got_a), np.concatenate(got_b)
                 o = np.lexsort((a, b))
@@ -219,9 +233,9 @@ def _meet(postings: DataFrame, lo: int, hi: int) -> DataFrame:
             again[o[1:]] = (k[o][1:] == k[o][:-1]) & (word[o][1:] == word[o][:-1])
             if again.any():
                 word, k, b1, b2, n, i, asked = (c[~again] for c in (word, k, b1, b2, n, i, asked))
-            bits = np.stack([b1, b2], 1).view(_U)
+            bits = b1.view(_U), b2.view(_U)
             seen: set[tuple[int, int]] = set()
-            for a, b, more in candidates_in_runs(word, n.astype(np.int64), i.astype(np.int64), bits, asked, lo, hi):
+            for a, b, more in candidates_in_runs(word, n.astype(np.int32), i.astype(np.int32), bits, asked, lo, hi):
                 if len(a):  # one row a pair, whatever words it meets under here
                     fresh = [x for x, p in enumerate(zip(k[a].tolist(), k[b].tolist())) if p not in seen and not seen.add(p)]
                     a, b = a[fresh], b[fresh]
@@ -308,8 +322,8 @@ def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All non-blank lines (doc_id, line, k1, k2, n; null doc_id last) and the classes that match an earlier one (k)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rarity = spark.sparkContext.broadcast(rarity_codes(docs))
-    lines = saved(_lines(docs), "lines")
+    lines, codes = first_scan(docs)
+    rarity = spark.sparkContext.broadcast(codes)
     gone, lo, hi, postings = None, 0, FIRST_ROUND, _postings(docs, rarity)
     while True:
         met = saved(_meet(postings, lo, hi), "line-pairs")
