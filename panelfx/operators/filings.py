@@ -101,7 +101,7 @@ def legacy_derive(filings: DataFrame, field: str) -> DataFrame:
 
 
 def split_flow_stock(name: str) -> tuple[str, str, str]:
-    """(field, kind, suffix) of a column name such as R_revenue@xbx_yoy or r_revenue_ttm. Flow fields begin with R_ or
+    """(field, kind, suffix) of a column name such as R_revenue_yoy or r_revenue_ttm. Flow fields begin with R_ or
     C_, stock fields with B_; stock fields have no quarter or trailing view."""
     flow_only, suffixes = ("quarter", "ttm", "ttm_yoy", "quarter_yoy", "quarter_qoq"), ("quarter_yoy", "quarter_qoq", "ttm_yoy", "quarter", "ttm", "annual", "raw", "yoy", "qoq")
     suffix = next((s for s in suffixes if name.lower().endswith("_" + s)), "raw")
