@@ -7,10 +7,12 @@ large. Nothing but per-shard totals reaches the driver.
 
 Files, in the shared folder, all little-endian arrays sorted by hash:
     words-S: word hash u64 | backed-off log probability's value f64 | weight of the backed-off model after the word f64 | total of pairs after the word u32 x 2 (total, count)
-    pairs-S: pair hash u64 | count u8, 255 standing for an entry of `large-S` (u64 position, u64 count)
+    pairs-S, triples-S: number of keys and of large counts by column | hash u64 | large counts (u64 position, u64 count) by column | counts u8 by column, 255 standing for a large one
 
-The order is two: pairs, backed off to continuation counts of single words, backed off to a uniform distribution. With
-triples the files and the shuffle would need twice the disk (README).
+The order is two or three. Order two: pairs, backed off to continuation counts of single words, backed off to a uniform
+distribution. Order three: triples, backed off to pairs counted by the distinct words before them (pairs at a text's begin,
+which have none, by their occurrences), and so on. For triples, words travel as their ranks in the vocabulary, four bytes
+in planes. Triples are dealt as the pair of their first words is; those of two very frequent words by all three.
 """
 
 from __future__ import annotations
@@ -120,6 +122,101 @@ def _sum_columns(keys: np.ndarray, *cols: np.ndarray) -> tuple[np.ndarray, ...]:
     return (keys[s], *(np.add.reduceat(c[order], s) if len(s) else c[:0] for c in cols))
 
 
+def _by_shard(s: np.ndarray):
+    order = np.argsort(s, kind="stable")
+    g = group_starts(s[order])
+    for x, y in zip(g.tolist(), np.append(g[1:], len(s)).tolist()):
+        yield int(s[order[x]]), order[x:y]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers below 2^32, byte by byte: the upper bytes, mostly equal, are then compressed away."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unplanes(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
+def _write_keyed(path: str, key: np.ndarray, *cols: np.ndarray) -> None:
+    """A file of sorted keys with counts."""
+    large = [np.flatnonzero(c >= 255) for c in cols]
+    write_bytes(
+        path, np.array([len(key), *map(len, large)], "<u8").tobytes(), key.tobytes(),
+        *(x for at, c in zip(large, cols, strict=True) for x in (at.astype("<u8").tobytes(), c[at].astype("<u8").tobytes())), *(np.minimum(c, 255).astype(np.uint8).tobytes() for c in cols),
+    )
+
+
+def _open_keyed(path: str, width: int):
+    """Keys, and (positions of large counts, large counts, small counts) by column."""
+    raw = open_mapped(path)
+    n, *big = raw[: 8 * (width + 1)].view("<u8").tolist()
+    x = 8 * (width + 1)
+    key, x = raw[x : x + 8 * n].view(_U), x + 8 * n
+    large = []
+    for k in big:
+        large.append((raw[x : x + 8 * k].view("<u8"), raw[x + 8 * k : x + 16 * k].view("<u8")))
+        x += 16 * k
+    return key, [(*large[i], raw[x + n * i : x + n * (i + 1)]) for i in range(width)]
+
+
+@dataclass
+class Vocabulary:
+    """All words of the training texts, as files of sorted hashes. A word's id is its rank."""
+
+    shards: int
+    paths: dict[int, str]
+    starts: np.ndarray  # first id of each shard, and the number of words
+    hot: np.ndarray  # ids of very frequent words, sorted
+
+
+class Ids:
+    """A worker's view of the vocabulary."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.v, self.maps = vocab, {}
+
+    def _keys(self, s: int) -> np.ndarray:
+        if s not in self.maps:
+            self.maps[s] = open_mapped(self.v.paths[s]).view(_U) if s in self.v.paths else np.zeros(0, _U)
+        return self.maps[s]
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """Ids of hashes, all of them in the vocabulary."""
+        out = np.zeros(len(h), np.int64)
+        for s, at in _by_shard(_shard(h, self.v.shards)):
+            out[at] = self.v.starts[s] + np.searchsorted(self._keys(s), h[at])
+        return out
+
+    def hashes(self, ids: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(ids), _U)
+        for s, at in _by_shard(_id_shard(ids, self.v)):
+            out[at] = self._keys(s)[ids[at] - self.v.starts[s]]
+        return out
+
+
+def _id_shard(ids: np.ndarray, v: Vocabulary) -> np.ndarray:
+    return np.searchsorted(v.starts, ids, "right") - 1
+
+
+def _is_hot(ids: np.ndarray, v: Vocabulary) -> np.ndarray:
+    return v.hot[np.minimum(np.searchsorted(v.hot, ids), len(v.hot) - 1)] == ids if len(v.hot) else np.zeros(len(ids), bool)
+
+
+def triple_key(*ids: np.ndarray) -> np.ndarray:
+    return combine(*(x.astype(_U) for x in ids))
+
+
+def _triple_shard(a: np.ndarray, b: np.ndarray, c: np.ndarray, v: Vocabulary) -> np.ndarray:
+    s = _id_shard(a, v)
+    one, two = _is_hot(a, v), _is_hot(b, v)
+    x = one & ~two
+    s[x] = _shard(triple_key(a[x], b[x]), v.shards)
+    x = one & two
+    s[x] = _shard(triple_key(a[x], b[x], c[x]), v.shards)
+    return s
+
+
 @dataclass
 class Model:
     """What workers need: where the arrays are, and constants."""
@@ -133,6 +230,9 @@ class Model:
     vocabulary: int
     floor: float  # backed-off probability of an unknown word
     d2: tuple[float, float, float]  # discounts of pair counts
+    vocab: Vocabulary | None = None  # from here on, order three only
+    triples: dict[int, str] | None = None
+    d3: tuple[float, float, float] | None = None
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -148,8 +248,11 @@ def _discount(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.where(c >= 3, d[2], np.where(c == 2, d[1], np.where(c == 1, d[0], 0.0)))
 
 
-def train(docs: DataFrame) -> Model:
-    """The model of docs.text (null: empty; each text's end is a token). Without rows, every token has probability 1."""
+def train(docs: DataFrame, order: int = 2) -> Model:
+    """The model of docs.text (null: empty; each text's end is a token), of order 2 or 3. Without rows, every token has
+    probability 1."""
+    if order not in (2, 3):
+        raise ValueError(f"order {order}: 2 or 3")
     spark = docs.sparkSession
     shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     uri = shared_dir(spark, "kneser-ney")
@@ -175,7 +278,15 @@ def train(docs: DataFrame) -> Model:
 
     hot = np.sort(np.array([r.h for r in counts.mapInArrow(frequent, "h long").collect()], np.int64).view(_U))
 
-    pairs = saved(_pair_counts(docs, shards, hot, uri), "pair-shards")
+    vocab = triples = d3 = None
+    if order == 2:
+        pairs = saved(_pair_counts(docs, shards, hot, uri), "pair-shards")
+    else:
+        vocab = _vocabulary(counts, shards, hot, uri)
+        both = saved(_triple_counts(docs, vocab, hot, uri), "pair-shards")
+        pairs, files = both.where("path is not null"), both.where("tpath is not null")
+        triples = {r.shard: r.tpath for r in files.select("shard", "tpath").collect()}
+        d3 = discounts(*(int(x or 0) for x in files.select("t1", "t2", "t3", "t4").groupBy().sum().first()))
     # counts of counts, over shards
     n_of = pairs.select("n1", "n2", "n3", "n4").groupBy().sum().first()
     d2 = discounts(*(int(x or 0) for x in n_of))
@@ -189,7 +300,7 @@ def train(docs: DataFrame) -> Model:
     gamma = mass / total if total else 1.0
     floor = gamma / (v + 1)
     words = _write_words(stats, counts, uri, d1, total, floor)
-    return Model(uri, shards, hot, {r.shard: r.path for r in words.collect()}, {r.shard: r.path for r in pairs.select("shard", "path").collect()}, n, v, floor, d2)
+    return Model(uri, shards, hot, {r.shard: r.path for r in words.collect()}, {r.shard: r.path for r in pairs.select("shard", "path").collect()}, n, v, floor, d2, vocab, triples, d3)
 
 
 _PAIR_MAP = "shard int, a binary, runs binary, b binary, n binary"
@@ -203,6 +314,25 @@ def _pair_shard(a: np.ndarray, b: np.ndarray, shards: int, hot: np.ndarray) -> n
     return s
 
 
+_PAIR_SHARD = "shard int, path string, a binary, first binary, b binary, second binary, n1 long, n2 long, n3 long, n4 long"
+
+
+def _finished(s: int, path: str, a: np.ndarray, b: np.ndarray, c: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+    """Writes a shard's distinct pairs, sorted by first word, with their counts (and more columns); its row."""
+    key = pair_key(a, b)
+    order = np.argsort(key)
+    _write_keyed(path, key[order], *(x[order] for x in (c, *more)))
+    g = group_starts(a)
+    ends = [np.add.reduceat(x, g) for x in (c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c >= 3).astype(np.int64))]
+    vb, vc = _counted(b)
+    first = np.stack(ends).astype("<u4") if c.sum() < 2**32 else np.stack(ends).astype("<u8")
+    ns = [int((c == k).sum()) for k in (1, 2, 3, 4)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([x], t) for x, t in zip((s, path, a[g].tobytes(), first.tobytes(), vb.tobytes(), _varint(vc), *ns), (pa.int32(), pa.string(), *[pa.binary()] * 4, *[pa.int64()] * 4), strict=True)],
+        ["shard", "path", "a", "first", "b", "second", "n1", "n2", "n3", "n4"],
+    )
+
+
 def _pair_counts(docs: DataFrame, shards: int, hot: np.ndarray, uri: str) -> DataFrame:
     """Counts pairs and writes each shard's file; returns a row per shard with its path, its counts of counts, and its
     sums by first and by second word."""
@@ -260,23 +390,174 @@ def _pair_counts(docs: DataFrame, shards: int, hot: np.ndarray, uri: str) -> Dat
             del parts
             a, b, c = merged(held)
             del held
-            key = pair_key(a, b)
-            order = np.argsort(key)
-            small, sc = np.minimum(c[order], 255).astype(np.uint8), c[order]
-            large = np.flatnonzero(small == 255)
-            path = f"{uri}/pairs-{s:06d}-{uuid.uuid4().hex}"
-            write_bytes(path, np.array([len(key), len(large)], "<u8").tobytes(), key[order].tobytes(), large.astype("<u8").tobytes(), sc[large].astype("<u8").tobytes(), small.tobytes())
-            g = group_starts(a)
-            ends = [np.add.reduceat(x, g) for x in (c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c >= 3).astype(np.int64))]
-            vb, vc = _counted(b)
-            first = np.stack(ends).astype("<u4") if c.sum() < 2**32 else np.stack(ends).astype("<u8")
-            ns = [int((c == k).sum()) for k in (1, 2, 3, 4)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x], t) for x, t in zip((s, path, a[g].tobytes(), first.tobytes(), vb.tobytes(), _varint(vc), *ns), (pa.int32(), pa.string(), *[pa.binary()] * 4, *[pa.int64()] * 4), strict=True)],
-                ["shard", "path", "a", "first", "b", "second", "n1", "n2", "n3", "n4"],
-            )
+            yield _finished(s, f"{uri}/pairs-{s:06d}-{uuid.uuid4().hex}", a, b, c)
+
+    return docs.select("text").mapInArrow(local, _PAIR_MAP).repartition(shards, "shard").mapInArrow(merge, _PAIR_SHARD)
+
+
+def _vocabulary(counts: DataFrame, shards: int, hot: np.ndarray, uri: str) -> Vocabulary:
+    def write(batches):
+        for b in batches:
+            for s, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                path = f"{uri}/vocabulary-{s:06d}-{uuid.uuid4().hex}"
+                write_bytes(path, k)
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([path], pa.string()), pa.array([len(k) // 8], pa.int64())], ["shard", "path", "n"])
+
+    rows = counts.select("shard", "keys").mapInArrow(write, "shard int, path string, n long").collect()
+    sizes = np.zeros(shards + 1, np.int64)
+    for r in rows:
+        sizes[r.shard + 1] = r.n
+    vocab = Vocabulary(shards, {r.shard: r.path for r in rows}, np.cumsum(sizes), np.zeros(0, np.int64))
+    if vocab.starts[-1] >= 2**32:
+        raise ValueError(f"{vocab.starts[-1]} distinct words: ids have four bytes")
+    # ranks of the few frequent words, in the workers
+    paths = counts.sparkSession.createDataFrame([(h,) for h in hot.view(np.int64).tolist()], "h long")
+
+    def ranks(batches):
+        for b in batches:
+            h = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(_U)
+            yield pa.RecordBatch.from_arrays([pa.array(Ids(vocab).of(h), pa.int64())], ["i"])
+
+    vocab.hot = np.sort(np.array([r.i for r in paths.mapInArrow(ranks, "i long").collect()], np.int64))
+    return vocab
+
 
-    return docs.select("text").mapInArrow(local, _PAIR_MAP).repartition(shards, "shard").mapInArrow(merge, "shard int, path string, a binary, first binary, b binary, second binary, n1 long, n2 long, n3 long, n4 long")
+def _triple_counts(docs: DataFrame, v: Vocabulary, hot: np.ndarray, uri: str) -> DataFrame:
+    """Counts triples and writes each shard's file, then the pairs' files. Rows as from _pair_counts, a pair's count being
+    the number of distinct words before it, or its occurrences at a text's begin; and rows with the path and the counts of
+    counts of a shard of triples. Columns of a pair's file: count, then of the triples that begin with it the occurrences,
+    and how many occur once, twice, more often."""
+    shards, low = v.shards, 2**32 - 1
+    shared = docs.sparkSession.sparkContext.broadcast(v)
+    row = "shard int, a binary, runs binary, b binary, c binary, n binary, tpath string, t1 long, t2 long, t3 long, t4 long"
+    types = (pa.int32(), *[pa.binary()] * 5, pa.string(), *[pa.int64()] * 4)
+    names = ["shard", "a", "runs", "b", "c", "n", "tpath", "t1", "t2", "t3", "t4"]
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types, strict=True)], names)
+
+    def blocks(s, a, *cols):
+        """Rows for each shard; within, a stays sorted."""
+        order = np.argsort(s, kind="stable")
+        cuts = np.searchsorted(s[order], np.arange(shards + 1)).tolist()
+        for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
+            if y > x:
+                at = order[x:y]
+                g = group_starts(a[at])
+                yield i, _planes(a[at][g]), _varint(np.diff(np.append(g, y - x))), *(c[at] for c in cols)
+
+    def firsts(a, runs):
+        a = _unplanes(a)
+        return np.repeat(a, _unvarint(runs, len(a)))
+
+    def merged(two, c, n):
+        """Sorted distinct triples (first two words in one number) with their counts."""
+        order = np.lexsort((c, two))
+        two, c = two[order], c[order]
+        g = np.flatnonzero(np.concatenate([[True], (two[1:] != two[:-1]) | (c[1:] != c[:-1])])) if len(c) else np.zeros(0, np.int64)
+        return two[g], c[g], np.add.reduceat(n[order], g, dtype=np.int64) if len(g) else n[:0].astype(np.int64)
+
+    def sent(held):
+        two, c, n = merged(*(np.concatenate([x[i] for x in held]) for i in range(3)))
+        a, b, c = two >> 32 & low, two & low, c.astype(np.int64)
+        return batch([(i, a_, runs, _planes(b_), _planes(c_), _varint(n_), None, *[None] * 4) for i, a_, runs, b_, c_, n_ in blocks(_triple_shard(a, b, c, shared.value), a, b, c, n)])
+
+    def local(batches):
+        ids = Ids(shared.value)
+        end = int(ids.of(np.array([END], _U))[0])
+        held, n = [], 0
+        for _, texts in chunks(batches, "text"):
+            h, text = tokens(texts)
+            kinds, inv = np.unique(h, return_inverse=True)
+            c = ids.of(kinds)[inv]
+            begin = np.concatenate([[True], text[1:] != text[:-1]])
+            b = np.concatenate([[end], c[:-1]])
+            b[begin] = end
+            a = np.concatenate([[end], b[:-1]])
+            a[begin] = end
+            held.append((a << 32 | b, c.astype(np.uint32), np.ones(len(c), np.int32)))
+            n += len(c)
+            if n > HOLD:
+                yield sent(held)
+                held, n = [], 0
+        if held:
+            yield sent(held)
+
+    def merge(batches):
+        ids = Ids(shared.value)
+        end = int(ids.of(np.array([END], _U))[0])
+        got: dict[int, list] = {}
+        for x in batches:
+            for s, a, runs, b, c, n in zip(*(x.column(i).to_pylist() for i in range(6)), strict=True):
+                got.setdefault(s, []).append((a, runs, b, c, n))
+        for s in list(got):
+            parts = got.pop(s)
+            two = np.concatenate([firsts(a, runs).astype(np.int64) << 32 | _unplanes(b) for a, runs, b, _, _ in parts])
+            c = np.concatenate([_unplanes(c) for *_, c, _ in parts])
+            n = np.concatenate([_unvarint(n, len(c) // 4) for *_, c, n in parts])
+            del parts
+            two, c, n = merged(two, c, n)
+            begin = two & low == end  # the end of a text stands before its begin, and nowhere else
+            opening, opened = end << 32 | c[begin].astype(np.int64), n[begin]
+            two, c, n = two[~begin], c[~begin], n[~begin]
+            key = triple_key(two >> 32 & low, two & low, c)
+            order = np.argsort(key)
+            key = key[order]
+            path = f"{uri}/triples-{s:06d}-{uuid.uuid4().hex}"
+            _write_keyed(path, key, n[order])
+            del key, order
+            yield batch([(s, b"", b"", b"", b"", b"", path, *(int((n == k).sum()) for k in (1, 2, 3, 4)))])
+            g = group_starts(two)
+            context = [np.add.reduceat(x, g, dtype=np.int64) if len(g) else n[:0] for x in (n, n == 1, n == 2, n >= 3)]
+            front = two[g]
+            two <<= 32
+            two |= c
+            del c, n, g
+            after, before = _counted(two)
+            del two
+            none = np.zeros(len(after) + len(opening), np.int64)
+            key, *cols = _sum_columns(np.concatenate([front, after, opening]), np.concatenate([np.zeros(len(front), np.int64), before, opened]), *(np.concatenate([x, none]) for x in context))
+            del front, after, before, none, context
+            a, b = key >> 32 & low, key & low
+            del key
+            to = _id_shard(a, shared.value)
+            x = _is_hot(a, shared.value)
+            to[x] = _pair_shard(ids.hashes(a[x]), ids.hashes(b[x]), shards, hot)
+            order = np.lexsort((b, a))
+            for i, a_, runs, b_, *cols_ in blocks(to[order], a[order], b[order], *(x[order] for x in cols)):
+                parts = [_varint(x) for x in cols_]
+                yield batch([(i, a_, runs, _planes(b_), np.array([len(p) for p in parts], "<u8").tobytes(), b"".join(parts), None, *[None] * 4)])
+
+    def finish(batches):
+        ids = Ids(shared.value)
+        got: dict[int, list] = {}
+        for x in batches:
+            for s, a, runs, b, sizes, raw, tpath, *t in zip(*(col.to_pylist() for col in x.columns), strict=True):
+                if tpath is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([y], k) for y, k in zip((s, *[None] * 9, tpath, *t), out_types, strict=True)], out_names)
+                    continue
+                cuts = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<u8").astype(np.int64))]).tolist()
+                got.setdefault(s, []).append((a, runs, b, [raw[p:q] for p, q in zip(cuts[:-1], cuts[1:])]))
+        for s in list(got):
+            parts = got.pop(s)
+            key = np.concatenate([firsts(a, runs).astype(_U) << _U(32) | _unplanes(b) for a, runs, b, _ in parts])
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            g = group_starts(key)
+            key = key[g]
+            cols = []
+            for i in range(5):
+                cols.append(np.add.reduceat(np.concatenate([_unvarint(raw[i], len(b) // 4) for _, _, b, raw in parts])[order], g))
+            del parts, order, g
+            a, b = ids.hashes((key >> _U(32)).astype(np.int64)), ids.hashes((key & _U(low)).astype(np.int64))
+            del key
+            done = _finished(s, f"{uri}/pairs-{s:06d}-{uuid.uuid4().hex}", a, b, *cols)
+            yield pa.RecordBatch.from_arrays([*done.columns, pa.array([None], pa.string()), *[pa.array([None], pa.int64())] * 4], out_names)
+
+    out_names = ["shard", "path", "a", "first", "b", "second", "n1", "n2", "n3", "n4", "tpath", "t1", "t2", "t3", "t4"]
+    out_types = (pa.int32(), pa.string(), *[pa.binary()] * 4, *[pa.int64()] * 4, pa.string(), *[pa.int64()] * 4)
+    triples = docs.select("text").mapInArrow(local, row).repartition(shards, "shard").mapInArrow(merge, row)
+    return triples.repartition(shards, "shard").mapInArrow(finish, f"{_PAIR_SHARD}, tpath string, t1 long, t2 long, t3 long, t4 long")
 
 
 _STATS = "shard int, keys binary, total long, cont binary, gamma binary, sum binary, n1 long, n2 long, n3 long, n4 long, n3plus long"
@@ -353,6 +634,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.m, self.maps = model, {}
+        self.ids = Ids(model.vocab) if model.vocab else None
 
     def _words(self, s: int):
         if ("w", s) not in self.maps:
@@ -366,30 +648,33 @@ class Scorer:
                 self.maps["w", s] = (cut[0].view(_U), cut[1].view("<f8"), cut[2].view("<f8"), cut[3].view("<i8"), cut[4].view("<i8"))
         return self.maps["w", s]
 
-    def _pairs(self, s: int):
-        if ("p", s) not in self.maps:
-            path = self.m.pairs.get(s)
-            if path is None:
-                self.maps["p", s] = (np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.uint8))
-            else:
-                raw = open_mapped(path)
-                n, big = raw[:16].view("<u8").tolist()
-                x = 16 + 8 * n
-                self.maps["p", s] = (raw[16:x].view(_U), raw[x : x + 8 * big].view("<u8"), raw[x + 8 * big : x + 16 * big].view("<u8"), raw[x + 16 * big :])
-        return self.maps["p", s]
+    def _keyed(self, kind: str, s: int, width: int):
+        if (kind, s) not in self.maps:
+            path = (self.m.pairs if kind == "p" else self.m.triples).get(s)
+            self.maps[kind, s] = (np.zeros(0, _U), []) if path is None else _open_keyed(path, width)
+        return self.maps[kind, s]
 
-    @staticmethod
-    def _by_shard(s: np.ndarray):
-        order = np.argsort(s, kind="stable")
-        g = group_starts(s[order])
-        for x, y in zip(g.tolist(), np.append(g[1:], len(s)).tolist()):
-            yield int(s[order[x]]), order[x:y]
+    def _counts(self, kind: str, shard: np.ndarray, key: np.ndarray, width: int) -> np.ndarray:
+        out = np.zeros((width, len(key)), np.int64)
+        for s, at in _by_shard(shard):
+            keys, cols = self._keyed(kind, s, width)
+            if len(keys):
+                at = at[np.argsort(key[at])]  # ascending look-ups stay within few pages
+                pos = np.minimum(np.searchsorted(keys, key[at]), len(keys) - 1)
+                ok = keys[pos] == key[at]
+                for i, (where, large, small) in enumerate(cols):
+                    c = small[pos].astype(np.int64)
+                    if len(where):
+                        big = ok & (c == 255)
+                        c[big] = large[np.searchsorted(where, pos[big].astype(_U))].astype(np.int64)
+                    out[i, at[ok]] = c[ok]
+        return out
 
     def words(self, h: np.ndarray):
         """Backed-off probability, weight after, total after, count, for distinct hashes."""
         p, gamma = np.full(len(h), self.m.floor), np.ones(len(h))
         total, count = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-        for s, at in self._by_shard(_shard(h, self.m.shards)):
+        for s, at in _by_shard(_shard(h, self.m.shards)):
             keys, *cols = self._words(s)
             if len(keys):
                 pos = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
@@ -399,20 +684,14 @@ class Scorer:
         return p, gamma, total, count
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(a), np.int64)
-        key = pair_key(a, b)
-        for s, at in self._by_shard(_pair_shard(a, b, self.m.shards, self.m.hot)):
-            keys, where, large, small = self._pairs(s)
-            if len(keys):
-                at = at[np.argsort(key[at])]  # ascending look-ups stay within few pages
-                pos = np.minimum(np.searchsorted(keys, key[at]), len(keys) - 1)
-                ok = keys[pos] == key[at]
-                c = small[pos].astype(np.int64)
-                if len(where):
-                    big = ok & (c == 255)
-                    c[big] = large[np.searchsorted(where, pos[big].astype(_U))].astype(np.int64)
-                out[at[ok]] = c[ok]
-        return out
+        """A row a column of the pairs' files."""
+        return self._counts("p", _pair_shard(a, b, self.m.shards, self.m.hot), pair_key(a, b), 5 if self.m.triples is not None else 1)
+
+    def triples(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Counts of triples of hashes in the vocabulary."""
+        kinds, inv = np.unique(np.concatenate([a, b, c]), return_inverse=True)
+        a, b, c = np.split(self.ids.of(kinds)[inv], 3)
+        return self._counts("t", _triple_shard(a, b, c, self.m.vocab), triple_key(a, b, c), 1)[0]
 
     def score(self, texts: list[bytes]):
         """n_tokens, n_known, log10 probability and the smoothed single-word log10 probability of each text."""
@@ -425,17 +704,41 @@ class Scorer:
         code = prev * np.int64(len(kinds)) + inv
         distinct, dinv = np.unique(code, return_inverse=True)
         da, db = distinct // len(kinds), distinct % len(kinds)
-        c = np.zeros(len(distinct), np.int64)
+        cols = np.zeros((5 if self.m.triples is not None else 1, len(distinct)), np.int64)
         maybe = np.flatnonzero((total[da] > 0) & (count[db] > 0))  # other pairs can't have been seen
-        c[maybe] = self.pairs(kinds[da[maybe]], kinds[db[maybe]])
+        cols[:, maybe] = self.pairs(kinds[da[maybe]], kinds[db[maybe]])
+        c = cols[0]
         seen = total[da] > 0
         prob = np.where(seen, np.maximum(c - _discount(c, self.m.d2), 0) / np.maximum(total[da], 1) + gamma[da] * p[db], p[db])
-        lp = np.log10(prob)[dinv]
+        prob = prob[dinv]
+        if self.m.triples is not None:
+            prob = self._third(kinds, text, inv, dinv, da, cols, prob)
+        lp = np.log10(prob)
         base = np.log10((count + 0.5) / (self.m.train_tokens + 0.5 * (self.m.vocabulary + 1)))[inv]
         starts = group_starts(text)
         return (np.diff(np.append(starts, len(text))), np.add.reduceat((count > 0)[inv].astype(np.int64), starts), np.add.reduceat(lp, starts), np.add.reduceat(base, starts))
 
 
+    def _third(self, kinds, text, inv, dinv, da, cols, prob):
+        """Probabilities after two words, given those after one. A text's first word has no second one before it."""
+        at = np.flatnonzero(np.concatenate([[False], text[1:] == text[:-1]]))
+        at = at[cols[1][dinv[at - 1]] > 0]  # the words before have been seen before a word
+        before = dinv[at - 1]
+        code, back = np.unique(before * np.int64(len(kinds)) + inv[at], return_inverse=True)
+        first, last = code // len(kinds), code % len(kinds)
+        some = np.zeros(len(code), np.int64)
+        some[back] = at
+        n = np.zeros(len(code), np.int64)
+        maybe = np.flatnonzero(cols[0][dinv[some]] > 0)  # other triples can't have been seen
+        if len(maybe):
+            n[maybe] = self.triples(kinds[da[first[maybe]]], kinds[inv[some[maybe] - 1]], kinds[last[maybe]])
+        total = cols[1][first]
+        gamma = (self.m.d3[0] * cols[2][first] + self.m.d3[1] * cols[3][first] + self.m.d3[2] * cols[4][first]) / total
+        out = prob.copy()
+        out[at] = (np.maximum(n - _discount(n, self.m.d3), 0) / total)[back] + gamma[back] * prob[at]
+        return out
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity of every text (null: empty, its end alone).
     The model's arrays are mapped from the shared folder; only their paths travel."""

@@ -30,7 +30,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = kneser_ney.train(docs.where(crc_mod(F.col("doc_id"), 5) != 1))
+    model = kneser_ney.train(docs.where(crc_mod(F.col("doc_id"), 5) != 1), order=3)
     held_out = (crc_mod(F.col("doc_id"), 5) == 1).alias("held_out")
     return kneser_ney.score(docs, model).select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 

@@ -211,6 +211,64 @@ def test_kneser_ney_is_exact(spark, docs):
         assert r.score == pytest.approx(s, rel=1e-9) and r.base_score == pytest.approx(base, rel=1e-9)
 
 
+def brute_third(texts):
+    """Order three by the textbook: triples within a text (its begin counts as a word), pairs by distinct words before
+    them, those at a begin by occurrences."""
+    from collections import Counter
+
+    seqs = [["\0end", *words(t), "\0end"] for t in texts]
+    triples = Counter(x for s in seqs for x in zip(s, s[1:], s[2:]))
+    pairs = Counter((b, c) for _, b, c in triples) + Counter((s[0], s[1]) for s in seqs)
+    cont, vocab = Counter(c for _, c in pairs), {w for s in seqs for w in s}
+    d1, d2, d3 = (kneser_ney.discounts(*[sum(n == k for n in t.values()) for k in (1, 2, 3, 4)]) for t in (cont, pairs, triples))
+    sums, kinds = [Counter(), Counter()], [{}, {}]
+    for i, table in enumerate((pairs, triples)):
+        for key, n in table.items():
+            sums[i][key[:-1]] += n
+            kinds[i].setdefault(key[:-1], [0, 0, 0])[min(n, 3) - 1] += 1
+    less = lambda n, d: max(n - d[min(n, 3) - 1], 0) if n else 0
+    total = sum(cont.values())
+    g0 = sum(d1[min(c, 3) - 1] for c in cont.values()) / total
+
+    def p(context, w):
+        if not context:
+            return less(cont[w], d1) / total + g0 / (len(vocab) + 1)
+        i = len(context) - 1
+        if not sums[i][context]:
+            return p(context[1:], w)
+        d = (d2, d3)[i]
+        return less((pairs, triples)[i][(*context, w)], d) / sums[i][context] + sum(x * k for x, k in zip(d, kinds[i][context], strict=True)) / sums[i][context] * p(context[1:], w)
+
+    def score(text):
+        s = ["\0end", *words(text), "\0end"]
+        return sum(math.log10(p(tuple(s[max(i - 2, 0) : i]), s[i])) for i in range(1, len(s)))
+
+    return score, p, vocab
+
+
+def test_kneser_ney_third_order_is_exact(spark, docs, odd):
+    train = docs.where("doc_id % 5 <> 1").select("text").unionByName(odd.where("doc_id <> 5").select("text"))
+    model = kneser_ney.train(train, order=3)
+    score, p, vocab = brute_third([r.text for r in train.collect()])
+    assert len(model.hot) and model.triples
+    a, b = words(train.first().text)[:2]
+    assert sum(p((a, b), w) for w in vocab) + p((a, b), "\0unknown") == pytest.approx(1)
+    both = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    texts = both.collect()
+    got = kneser_ney.score(both, model).collect()
+    assert sorted((r.doc_id or -1, round(r.score, 6)) for r in got) == sorted((r.doc_id or -1, round(score(r.text), 6)) for r in texts)
+
+
+def test_kneser_ney_query_uses_three_words(spark, monkeypatch):
+    from panelfx.llm import queries
+
+    orders = []
+    plain = kneser_ney.train
+    monkeypatch.setattr(kneser_ney, "train", lambda d, order=2: orders.append(order) or plain(d, order))
+    queries.op4_language_model(spark, SF)
+    assert orders == [3]
+
+
 def test_kneser_ney_odd(spark, odd, empty):
     model = kneser_ney.train(odd)
     out = {r.doc_id: r for r in kneser_ney.score(odd, model).collect()}
