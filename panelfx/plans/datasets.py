@@ -49,14 +49,14 @@ def _(t):
 
 @query("rolling_train_predict")
 def _(t):
-    pred, _ = ops.rolling_train_predict(_dataset(t), ["momentum", "volume"], "label", _windows(t).where("window_id <= 2"), seeds=(1,), params={"maxIter": 3, "maxDepth": 3})
+    pred, _ = ops.rolling_train_predict(_dataset(t), ["momentum", "volume"], "label", _windows(t))
     return pred.withColumn("ml_factor", r6("ml_factor"))
 
 
 @query("rolling_train_linear")
 def _(t):
     """The deterministic baseline: one linear fit a window."""
-    pred, _ = ops.rolling_train_predict(_dataset(t), ["momentum", "volume"], "label", _windows(t).where("window_id <= 2"), kind="linear")
+    pred, _ = ops.rolling_train_predict(_dataset(t), ["momentum", "volume"], "label", _windows(t), kind="linear")
     return pred.withColumn("ml_factor", r6("ml_factor"))
 
 
@@ -82,13 +82,13 @@ def _(t):
 @query("param_search")
 def _(t):
     tries = ops.param_candidates({"regParam": [0.0, 0.1], "elasticNetParam": [0.0]}, 2)
-    return ops.param_search(_dataset(t), ["momentum", "volume"], "label", _windows(t).where("window_id <= 1"), tries).withColumns({"ic_mean": r6("ic_mean"), "ic_ir": r6("ic_ir")})
+    return ops.param_search(_dataset(t), ["momentum", "volume"], "label", _windows(t), tries).withColumns({"ic_mean": r6("ic_mean"), "ic_ir": r6("ic_ir")})
 
 
 @query("validate_params")
 def _(t):
     """One parameter set on validation rows."""
-    return ops.param_search(_dataset(t), ["momentum", "volume"], "label", _windows(t).where("window_id <= 1"), [{"regParam": 0.05}]).withColumns({"ic_mean": r6("ic_mean"), "ic_ir": r6("ic_ir")})
+    return ops.param_search(_dataset(t), ["momentum", "volume"], "label", _windows(t), [{"regParam": 0.05}]).withColumns({"ic_mean": r6("ic_mean"), "ic_ir": r6("ic_ir")})
 
 
 _IMP = "(SELECT industry AS model, 'f' || code_id % 7 AS feature, sum(float_shares) AS gain, count(*) AS splits FROM securities GROUP BY 1, 2)"

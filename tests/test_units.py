@@ -207,3 +207,33 @@ def test_stream_equals_batch(spark, tmp_path):
     got = read_latest(spark, str(tmp_path / "out"), ["user_id", "bar_ts"]).where("user_id >= 0")
     want = hour_bar_stream(events)
     assert got.count() == want.count() and got.select(*want.columns).exceptAll(want).isEmpty()
+
+
+def test_training_queries_use_every_window(spark, monkeypatch):
+    """All windows, with the operators' own seeds and parameters; the operator itself is replaced."""
+    from panelfx.plans import queries
+    from panelfx.plans.datasets import ops
+
+    seen = []
+
+    def train(dataset, features, label, windows, seeds=(1, 2, 3, 4, 5), kind="gbt", params=None, predict_on="test"):
+        seen.append((windows.count(), seeds, params))
+        return spark.createDataFrame([], "window_id int, trade_date date, code_id long, label double, ml_factor double"), None
+
+    monkeypatch.setattr(ops, "rolling_train_predict", train)
+    sf = "/root/testdata/sf0.001"
+    n = queries()["rolling_windows"](spark, sf).count()
+    for name in ("rolling_train_predict", "rolling_train_linear", "param_search", "validate_params"):
+        queries()[name](spark, sf)
+    assert n > 2 and [x[0] for x in seen] == [n] * 5
+    assert seen[0][1:] == seen[1][1:] == ((1, 2, 3, 4, 5), None)
+
+
+def test_rolling_train_linear_predicts_every_window(spark):
+    from panelfx.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.window_id for r in queries()["rolling_train_linear"](spark, sf).select("window_id").distinct().collect()}
+    days, windows = queries()["build_dataset"](spark, sf).select("trade_date").distinct(), queries()["rolling_windows"](spark, sf)
+    want = {r.window_id for r in days.join(windows, (F.col("trade_date") >= F.col("test_start")) & (F.col("trade_date") < F.col("test_end"))).select("window_id").distinct().collect()}
+    assert got == want and len(want) > 2
