@@ -35,14 +35,22 @@ def next_date_map(dates: DataFrame, calendar: DataFrame, date: str = "d", day: s
     return out.withColumn("next_date", F.coalesce("__n", "__last")).drop("__d", "__n", "__last")
 
 
+def _daily_rate(bars: DataFrame, fx: DataFrame, day: str) -> DataFrame:
+    """Bars with the latest rate at or before their day. Only distinct days are read in order, a few thousand rows; the
+    result goes back to the bars by a broadcast join."""
+    days = bars.select(F.col(day).alias("__d")).where("__d is not null").distinct().withColumn("__one", F.lit(1))
+    known = fx.groupBy(F.col(day).alias("__r")).agg(F.max("rate").alias("rate")).withColumn("__one", F.lit(1))
+    rates = asof_join(days, known, "__one", "__d", "__r", ["rate"]).drop("__one")
+    return bars.join(F.broadcast(rates), F.col(day) == F.col("__d"), "left").drop("__d")
+
+
 def ordered_merge_ffill(home: DataFrame, foreign: DataFrame, fx: DataFrame, by: str, day: str = "trade_date", stale_days: int = 10) -> DataFrame:
     """Home bars with the latest foreign close and exchange rate at or before the day, and foreign_adj = product. Codes
     whose latest foreign bar is more than stale_days older than their latest home bar get NULL."""
     fresh = foreign.groupBy(by).agg(F.max(day).alias("__f")).join(home.groupBy(by).agg(F.max(day).alias("__h")), by).where(F.datediff("__h", "__f") <= stale_days).select(by)
     out = asof_join(home, foreign.join(fresh, by, "left_semi"), by, day, day, ["foreign_close"])
-    one = F.lit(1).alias("__one")
-    out = asof_join(out.select("*", one), fx.select("*", one), "__one", day, day, ["rate"]) if by not in fx.columns else asof_join(out, fx, by, day, day, ["rate"])
-    return out.drop("__one").withColumn("foreign_adj", F.col("foreign_close") * F.col("rate"))
+    out = asof_join(out, fx, by, day, day, ["rate"]) if by in fx.columns else _daily_rate(out, fx, day)
+    return out.withColumn("foreign_adj", F.col("foreign_close") * F.col("rate"))
 
 
 def dividend_features(dividends: DataFrame, key: str = "code_id", report: str = "report_date", value: str = "dividend", price: str = "close") -> DataFrame:

@@ -46,6 +46,19 @@ def _(t):
     return ops.ordered_merge_ffill(t.bars_m.where("code_id < 10"), foreign, fx, "code_id").select("code_id", "trade_date", "foreign_close", "rate", r4("foreign_adj").alias("foreign_adj"))
 
 
+@query("ordered_merge_ffill_all")
+def _(t):
+    """Over every code: the stand-in foreign codes are spread over as many codes as there are suppliers. Their days are 92
+    after the orders', as bars end 95 days after orders: without that, every code is stale (so in ordered_merge_ffill)."""
+    from ..functions import r4
+
+    n = F.broadcast(t.supplier.agg(F.count("*").alias("n")))
+    o = t.orders.crossJoin(n).select(F.expr("o_custkey % n").alias("code_id"), F.col("o_orderdate").cast("date").alias("trade_date"), "o_orderdate", "o_custkey", "o_totalprice", "o_orderkey")
+    foreign = o.where(~((F.col("o_custkey") % 10 == 3) & (F.col("o_orderdate") > "1996-01-01"))).groupBy("code_id", F.date_add("trade_date", 92).alias("trade_date")).agg(F.max("o_totalprice").cast("double").alias("foreign_close"))
+    fx = o.groupBy("trade_date").agg(r6(F.avg(1 + (F.col("o_orderkey") % 7) / 10.0)).alias("rate"))
+    return ops.ordered_merge_ffill(t.bars_m, foreign, fx, "code_id").select("code_id", "trade_date", "foreign_close", "rate", r4("foreign_adj").alias("foreign_adj"))
+
+
 _DIV = "(SELECT code_id, report_date, max(b_inventory) / 100 AS dividend, 50.0 + code_id % 7 AS close FROM filings WHERE quarter(report_date) IN (2, 4) GROUP BY code_id, report_date)"
 
 

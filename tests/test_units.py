@@ -237,3 +237,47 @@ def test_rolling_train_linear_predicts_every_window(spark):
     days, windows = queries()["build_dataset"](spark, sf).select("trade_date").distinct(), queries()["rolling_windows"](spark, sf)
     want = {r.window_id for r in days.join(windows, (F.col("trade_date") >= F.col("test_start")) & (F.col("trade_date") < F.col("test_end"))).select("window_id").distinct().collect()}
     assert got == want and len(want) > 2
+
+
+def test_rates_are_resolved_once_a_day(spark):
+    days = [D(2020, 1, 1), D(2020, 1, 3), D(2020, 1, 4), None]
+    home = spark.createDataFrame([(c, d) for c in (1, 2, 3) for d in days] + [(1, D(2020, 1, 3))], "code_id long, trade_date date")
+    foreign = spark.createDataFrame([(1, D(2020, 1, 2), 5.0), (2, D(2019, 12, 30), 7.0)], "code_id long, trade_date date, foreign_close double")
+    fx = spark.createDataFrame([(D(2020, 1, 2), 2.0), (D(2020, 1, 4), 3.0), (D(2020, 1, 4), 4.0), (None, 9.0)], "trade_date date, rate double")
+    out = joins.ordered_merge_ffill(home, foreign, fx, "code_id")
+    close = {(1, days[1]): 5.0, (1, days[2]): 5.0, (2, days[0]): 7.0, (2, days[1]): 7.0, (2, days[2]): 7.0}
+    rate = {days[1]: 2.0, days[2]: 4.0}
+    want = [(c, d, close.get((c, d)), rate.get(d), close[c, d] * rate[d] if (c, d) in close and d in rate else None) for c, d in [tuple(r) for r in home.collect()]]
+    assert sorted(map(str, (tuple(r) for r in out.select("code_id", "trade_date", "foreign_close", "rate", "foreign_adj").collect()))) == sorted(map(str, want))
+    assert "strategy=broadcast" in out._jdf.queryExecution().analyzed().toString()  # the bars don't pass a single window
+
+
+def test_ordered_merge_ffill_all_has_every_bar(spark):
+    from panelfx.plans import queries
+    from panelfx.sources.fixtures import Tables
+
+    sf = "/root/testdata/sf0.001"
+    got = queries()["ordered_merge_ffill_all"](spark, sf).collect()
+    t = Tables(spark, sf)
+    n, orders = t.supplier.count(), t.orders.select("o_custkey", F.col("o_orderdate").cast("date").alias("day"), "o_totalprice", "o_orderkey").collect()
+    foreign, rates, last = {}, {}, {}
+    for r in orders:
+        rates.setdefault(r.day, []).append(1 + r.o_orderkey % 7 / 10)
+        if not (r.o_custkey % 10 == 3 and r.day > D(1996, 1, 1)):
+            of = foreign.setdefault(r.o_custkey % n, {})
+            day = r.day + dt.timedelta(92)
+            of[day] = max(of.get(day, 0.0), float(r.o_totalprice))
+    bars = t.bars_m.select("code_id", "trade_date").collect()
+    for r in bars:
+        last[r.code_id] = max(last.get(r.code_id, r.trade_date), r.trade_date)
+    want = {}
+    for r in bars:
+        of = foreign.get(r.code_id, {})
+        before = [d for d in of if d <= r.trade_date] if of and (last[r.code_id] - max(of)).days <= 10 else []
+        known = [d for d in rates if d <= r.trade_date]
+        want[r.code_id, r.trade_date] = (of[max(before)] if before else None, sum(rates[max(known)]) / len(rates[max(known)]) if known else None)
+    assert len(got) == len(want) and {r.code_id for r in got} == set(last) and any(r.foreign_adj for r in got) and any(r.foreign_adj is None for r in got)
+    for r in got:
+        close, rate = want[r.code_id, r.trade_date]
+        assert r.foreign_close == close and (r.rate is None if rate is None else r.rate == pytest.approx(rate, abs=2e-6))
+        assert r.foreign_adj is None if close is None or rate is None else r.foreign_adj == pytest.approx(close * r.rate, abs=1e-3)
