@@ -281,3 +281,31 @@ def test_ordered_merge_ffill_all_has_every_bar(spark):
         close, rate = want[r.code_id, r.trade_date]
         assert r.foreign_close == close and (r.rate is None if rate is None else r.rate == pytest.approx(rate, abs=2e-6))
         assert r.foreign_adj is None if close is None or rate is None else r.foreign_adj == pytest.approx(close * r.rate, abs=1e-3)
+
+
+def test_hourly_weights_all_is_brute_force(spark):
+    from panelfx.plans import queries
+    from panelfx.plans.selection import _weights
+    from panelfx.sources.fixtures import Tables
+
+    sf = "/root/testdata/sf0.001"
+    t = Tables(spark, sf)
+    days = sorted(r.trade_date for r in t.calendar.collect())
+    amount = {(r.code_id, r.trade_date): r.amount for r in t.bars_d.collect()}
+    chosen = {}
+    for r in _weights(t).collect():
+        of = chosen.setdefault(r.select_date, {})
+        of[r.code_id] = of.get(r.code_id, 0.0) + r.weight
+    begins = {}
+    for d in sorted(chosen):  # of selections that take effect on one day, the latest holds
+        begins[next((x for x in days if x > d), days[-1])] = d
+    want, held = {}, None
+    for d in days:
+        held = begins.get(d, held)
+        for code, w in chosen.get(held, {}).items():
+            factor = 1.0 if (code, d) not in amount else 0.5 if amount[code, d] > 1000 else 0.9
+            for h in ("09:30:00", "10:30:00", "13:00:00", "14:00:00"):
+                want[code, f"{d} {h}"] = w * factor
+    got = {(r.code_id, r.bar_ts): r.weight for r in queries()["hourly_weights_all"](spark, sf).collect()}
+    assert got == {k: pytest.approx(v, abs=2e-6) for k, v in want.items()}
+    assert min(ts for _, ts in got) < "1998" and min(chosen) < D(1998, 1, 1)
