@@ -44,10 +44,15 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 class Partition:
-    """Vectors of one index partition: m sorted arrays of projections, and the positions in their order."""
+    """Distinct vectors of one index partition: m sorted arrays of projections, and the positions in their order. Copies
+    count once: together they would reach the threshold and end a search before nearer vectors are verified."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, largest: float, lines: np.ndarray):
-        self.ids, self.x = ids, x
+        x = np.ascontiguousarray(x + 0.0)  # one zero
+        _, first, group = np.unique(x.view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
+        self.x = x = x[first]
+        order = np.lexsort((ids, group))
+        self.ids, self.starts = ids[order], np.concatenate([[0], np.cumsum(np.bincount(group))])
         extra = np.sqrt(np.maximum(largest**2 - (x**2).sum(1), 0))
         p = x @ lines[:, :-1].T + extra[:, None] * lines[:, -1]
         self.order = np.argsort(p, axis=0).T.copy()
@@ -56,8 +61,8 @@ class Partition:
         self.spread = float(np.median(np.abs(p - np.median(p, 0)))) or largest
 
     def search(self, q: np.ndarray, own: np.ndarray, k: int, lines: np.ndarray, largest: float) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each row of q: ids and scores of the best k verified vectors (all that tie with the last), without own."""
-        n, m = len(self.ids), len(lines)
+        """For each row of q: ids and scores of the best k verified vectors, without own; ties to the smaller id."""
+        n, m = len(self.x), len(lines)
         norm = np.sqrt((q**2).sum(1))
         c = (q @ lines[:, :-1].T) * (largest / norm)[:, None]  # scaled to the common norm; the extra coordinate is 0
         need, enough = int(np.ceil(THRESHOLD * m)), min(n, max(VERIFY_LEAST, int(VERIFY_SHARE * n)))
@@ -80,12 +85,16 @@ class Partition:
                 if len(at) < enough and (b[r] - a[r]).min() < n:
                     more.append(r)
                     continue
-                at = at[self.ids[at] != own[i]]
                 s = self.x[at] @ q[i]
-                if len(at) > k:
-                    top = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+                if len(at) > k + 1:
+                    top = np.flatnonzero(s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1])
                     at, s = at[top], s[top]
-                out[i] = (self.ids[at], s)
+                some = np.minimum(np.diff(self.starts)[at], k + 1)  # of copies, the smallest ids; own may be among them
+                ids = self.ids[np.repeat(self.starts[at] - np.cumsum(some) + some, some) + np.arange(some.sum())]
+                s = np.repeat(s, some)
+                s, ids = s[ids != own[i]], ids[ids != own[i]]
+                best = np.lexsort((ids, -s))[:k]
+                out[i] = (ids[best], s[best])
                 counts[i] = None
             lo, hi, live = a[more], b[more], live[more]
             radius *= GROWTH

@@ -561,6 +561,25 @@ def test_nearest_recall(spark):
     assert hits / total >= 0.9
 
 
+def test_nearest_recall_beside_copies(spark):
+    """A third of the rows are copies of one vector; asked are those that have 20 to 79 nearer neighbours than it."""
+    v = ann.valid(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).orderBy("vec_id").collect()
+    x = np.array([r.v for r in v])
+    copy = np.arange(len(x)) % 3 == 1
+    x[copy] = x[674].copy()
+    scores = x @ x.T
+    np.fill_diagonal(scores, -np.inf)
+    nearer = (scores[:, ~copy] > scores[:, [1]] + 1e-9).sum(1)
+    asked = np.flatnonzero(~copy & (nearer >= 20) & (nearer < 80))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, v array<double>")
+    got = {}
+    for r in ann.search(df, df.where(F.col("vec_id").isin(asked.tolist()))).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    true = {q: set(np.lexsort((np.arange(len(x)), -scores[q]))[:20].tolist()) for q in asked.tolist()}
+    assert len(true) > 50 and all(len(g) == 20 for g in got.values())
+    assert sum(len(true[q] & set(got[q])) for q in true) / (20 * len(true)) >= 0.9
+
+
 def test_nearest_odd(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [2.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (None, [1.0, 1.0]), (40, None)]
