@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import avg_rank
+from ..llm.common import checkpointed
 from .cross_section import preprocess_many
 from .evaluate import ic_summary, rank_ic
 from .joins import factor_attach
@@ -83,7 +84,7 @@ def rolling_train_predict(dataset: DataFrame, features: list[str], label: str, w
     (window_id, seed, trees, train_rmse, val_rmse). Each fit is distributed; the driver loops over windows and seeds, both
     few. Validation rows stop boosting early."""
     spark = dataset.sparkSession
-    ready = _assembled(dataset, features, label).select(DAY, KEY, "label", "features").persist()
+    ready = checkpointed(_assembled(dataset, features, label).select(DAY, KEY, "label", "features"))  # each fit plans anew
     predictions, records = None, []
     for w in windows.orderBy("window_id").collect():
         part = ready.where((F.col(DAY) >= F.lit(w.train_start)) & (F.col(DAY) < F.lit(w.test_start))).withColumn("is_val", F.col(DAY) >= F.lit(w.val_start))
