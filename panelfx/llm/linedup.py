@@ -1,18 +1,25 @@
 """Line dedup by an exact set-similarity join.
 
-A line is its set of words (A-Z lower-cased). Lines with equal sets form a class; the classes are joined: words are
-ordered by rarity (a counting sketch of fixed size gives the order; any total order is right), the rarest words of each
-set (prefix filter) index it, and pairs that meet under a word pass the length and positional filters, and a bitmap
-filter (128 parity bits of each set differ in no more bits than the sets do in words), before their sets are fetched and
-the Jaccard similarity is verified. A line goes if an earlier line, by (doc_id, line number), matches.
-
-Under a word, each class asks for its earliest 16 candidates only; those that no candidate settled ask for the
-next 256, 4,096, ... in further rounds, until every pair that passes the filters is settled. So a group of near copies costs a few
-comparisons a class, and no group emits all its pairs.
+A line is its set of words (A-Z lower-cased). Lines with equal sets form a class, told apart by 96 hash bits; the classes
+are joined: words are ordered by rarity (a counting sketch of fixed size gives the order; any total order is right), the
+rarest words of each set (prefix filter) index it, and pairs that meet under a word pass the length and positional
+filters, and a bitmap filter (64 parity bits of each set differ in no more bits than the sets do in words), before their
+sets are fetched and the Jaccard similarity is verified. A line goes if an earlier line, by (doc_id, line number), matches.
+
+Postings travel as blocks of columns, dealt by ranges of the word's hash whose number follows from the number of postings,
+so a task holds one range of bounded size at a time. Words that may stand in more prefixes than a range holds are dealt by
+the class instead, counted, and met cell by cell: first inside cells, where most members of a large group of near copies
+find an earlier one; the rest then visit the word's other cells.
+
+Under a word, each class asks for its earliest few candidates only; those that no candidate settled ask for the next, more
+and more, until every pair that passes the filters is settled. So a group of near copies costs a few comparisons a class,
+and no group emits all its pairs. Later rounds read the postings and sets that the first one saved, not the texts.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,11 +30,17 @@ from .common import Words, chunks, group_starts, mix, saved
 _U = np.uint64
 THRESHOLD = 0.8
 BUCKETS = 1 << 24
+#: Steps of a frequency class for each doubling of the count.
+STEPS = 6
 #: Bits of the filter that tells which classes' sets are fetched; when it fills up, more sets than needed are fetched.
 BLOOM = 1 << 26
-FIRST_ROUND, GROWTH = 16, 16
+FIRST_ROUND, GROWTH = 4, 16
+#: Postings that a task gathers before it sends them on; those of a range, about; those of a cell of a frequent word, about.
+HOLD, RANGE, CELL = 1_000_000, 1_000_000, 1_000_000
 #: Pairs looked at in one go, inside a task.
-PAIRS = 250_000
+PAIRS = 500_000
+#: Runs of a word up to this size are met in one go.
+RUN = 512
 
 
 def need(a, b, t: float = THRESHOLD):
@@ -35,6 +48,10 @@ def need(a, b, t: float = THRESHOLD):
     return np.ceil(t / (1 + t) * (a + b) - 1e-9)
 
 
+def prefix_length(n):
+    return n - np.ceil(THRESHOLD * n - 1e-9).astype(np.int64) + 1
+
+
 def _line_order(h: np.ndarray, at: np.ndarray, code: np.ndarray) -> np.ndarray:
     """The order by (at, code, h). One sort of a packed key does it, unless different words agree in its 32 hash bits."""
     if not len(h):
@@ -50,14 +67,13 @@ def _line_order(h: np.ndarray, at: np.ndarray, code: np.ndarray) -> np.ndarray:
 
 
 class Lines:
-    """Sets of the non-blank lines of several texts: text, line number, size, class key, and words ordered by rarity."""
+    """Sets of the non-blank lines of several texts: text, line number, size, class keys, and words ordered by rarity."""
 
     def __init__(self, texts: list[bytes], rarity: np.ndarray | None = None):
         w = Words(texts)
         self.all_hashes = h = w.hashes()
         newlines = np.cumsum(w.buf == 10)
         base = np.where(w.text_start > 0, newlines[np.maximum(w.text_start - 1, 0)], 0) if len(w.buf) else np.zeros(len(texts), np.int64)
-        self.n_lines = np.array([t.count(b"\n") + 1 if t else 0 for t in texts], np.int64)
         line_of = newlines[w.starts] if len(h) else np.zeros(0, np.int64)
         code = rarity[(h >> _U(40)).astype(np.int64)].astype(np.int64) if rarity is not None else np.zeros(len(h), np.int64)
         at = w.text * np.int64(1 << 36) + line_of  # unique per line, ascending
@@ -69,33 +85,44 @@ class Lines:
         self.start = group_starts(at)
         self.size = np.diff(np.append(self.start, len(at)))
         self.text = (at[self.start] >> 36).astype(np.int64)
-        self.line = (at[self.start] & ((1 << 36) - 1)) - base[self.text] if len(self.start) else np.zeros(0, np.int64)
-        self.k1 = np.add.reduceat(mix(self.words ^ _U(0x1234567)), self.start).view(np.int64) if len(self.start) else np.zeros(0, np.int64)
-        self.k2 = np.add.reduceat(mix(self.words * _U(0x9E3779B97F4A7C15) + _U(1)), self.start).view(np.int64) if len(self.start) else np.zeros(0, np.int64)
-        one, high = _U(1) << (self.words >> _U(3) & _U(63)), (self.words >> _U(9) & _U(1)).astype(bool)
-        self.bits = [np.bitwise_xor.reduceat(np.where(h, one, _U(0)), self.start).view(np.int64) if len(self.start) else np.zeros(0, np.int64) for h in (high, ~high)]
+        self.line = ((at[self.start] & ((1 << 36) - 1)) - base[self.text] if len(self.start) else np.zeros(0, np.int64)).astype(np.int32)
+        self.k1 = self._sums(mix(self.words ^ _U(0x1234567))).view(np.int64)
+        self.k2 = (self._sums(mix(self.words * _U(0x9E3779B97F4A7C15) + _U(1))) >> _U(32)).astype(np.uint32).view(np.int32)
+
+    def _sums(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x, self.start) if len(self.start) else np.zeros(0, _U)
+
+    def bits(self) -> np.ndarray:
+        """64 parity bits of each set."""
+        return np.bitwise_xor.reduceat(_U(1) << (self.words >> _U(3) & _U(63)), self.start).view(np.int64) if len(self.start) else np.zeros(0, np.int64)
+
 
+_TEXT = ["doc_id", "text_hash", "lines", "k1", "k2"]
 
-def first_scan(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """From one pass over the texts: every non-blank line (doc_id, line, k1, k2, n), and the frequency class (0 to 255) of
-    each bucket of words; 0: the bucket's word occurs once in all. A task's counts travel as blocks beside its lines."""
+
+def first_scan(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
+    """From one pass over the texts: every text's non-blank lines (doc_id, text_hash, and arrays of line numbers and class
+    keys), the frequency class of each bucket of words (0: the bucket's word occurs once in all), and the
+    number of postings. A task's counts travel as blocks beside its lines."""
     block = 1 << 18
 
     def scan(batches):
-        total, none = np.zeros(BUCKETS, np.int32), None
+        total = np.zeros(BUCKETS, np.int32)
         for batch, texts in chunks(batches, "text"):
             s = Lines(texts)
             b = np.sort((s.all_hashes >> _U(40)).astype(np.int64))
             g = group_starts(b)
             total[b[g]] += np.diff(np.append(g, len(b))).astype(np.int32)
-            m = len(s.line)
-            none = pa.nulls(m, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (_ids(batch.column(0))[s.text], s.line.astype(np.int32), s.k1, s.k2, s.size.astype(np.int32))] + [none, none], [*_LINE, "cells", "counts"])
+            edges = pa.array(np.searchsorted(s.text, np.arange(len(texts) + 1)).astype(np.int32))
+            posts = np.bincount(s.text, np.where(s.size >= 4, prefix_length(s.size), 0), minlength=len(texts)).astype(np.int64)
+            lists = [pa.ListArray.from_arrays(edges, pa.array(c)) for c in (s.line, s.k1, s.k2)]
+            m = len(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(_ids(batch.column(0))), batch.column(1), *lists, pa.array(posts), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names)
         for k in range(0, BUCKETS, block):
             at = np.flatnonzero(total[k : k + block])
             if len(at):
-                row = [pa.nulls(1, pa.int64()), pa.array([k // block], pa.int32()), *[pa.nulls(1, pa.int64())] * 2, pa.nulls(1, pa.int32()), pa.array([at.astype(np.uint32).tobytes()], pa.binary()), pa.array([total[k + at].tobytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays(row, [*_LINE, "cells", "counts"])
+                nothing = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*nothing, pa.array([k // block], pa.int32()), pa.array([at.astype(np.uint32).tobytes()], pa.binary()), pa.array([total[k + at].tobytes()], pa.binary())], names)
 
     def merge(batches):
         sums: dict[int, np.ndarray] = {}
@@ -103,18 +130,17 @@ def first_scan(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             for k, cells, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 sums.setdefault(k, np.zeros(block, np.int64))[np.frombuffer(cells, np.uint32)] += np.frombuffer(counts, np.int32)
         for k, x in sums.items():
-            code = np.minimum(255, np.round(10 * np.log2(np.maximum(x, 1)))).astype(np.uint8)
+            code = np.minimum(255, np.round(STEPS * np.log2(np.maximum(x, 1)))).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([code.tobytes()], pa.binary())], ["block", "codes"])
 
-    scanned = saved(docs.mapInArrow(scan, "doc_id long, line int, k1 long, k2 long, n int, cells binary, counts binary"), "lines")
-    blocks = scanned.where("cells is not null").select("line", "cells", "counts").repartition(BUCKETS // block, "line").mapInArrow(merge, "block int, codes binary")
+    names = [*_TEXT, "posts", "block", "cells", "counts"]
+    scanned = saved(docs.mapInArrow(scan, "doc_id long, text_hash long, lines array<int>, k1 array<long>, k2 array<int>, posts long, block int, cells binary, counts binary"), "lines")
+    blocks = scanned.where("cells is not null").select("block", "cells", "counts").repartition(BUCKETS // block, "block").mapInArrow(merge, "block int, codes binary")
     codes = np.zeros(BUCKETS, np.uint8)
     for r in blocks.collect():  # one byte a bucket
         codes[r.block * block : (r.block + 1) * block] = np.frombuffer(r.codes, np.uint8)
-    return scanned.where("cells is null").select(*_LINE), codes
-
-
-_LINE = ["doc_id", "line", "k1", "k2", "n"]
+    texts = scanned.where("cells is null")
+    return texts.select(*_TEXT), codes, int(texts.agg(F.sum("posts")).first()[0] or 0)
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -122,145 +148,267 @@ def _ids(column: pa.Array) -> np.ndarray:
     return np.array([2**63 - 1 if x is None else x for x in column.to_pylist()], np.int64)
 
 
-_POSTING = "word long, k long, bits1 long, bits2 long, n int, i int, doc_id long, line int"
+#: A block's columns: the word's upper 40 bits as differences, the class, its parity bits, its first place, its size, and the
+#: word's position. Numbers that are mostly small are laid out byte by byte, so that the shuffle's compression takes the zeros.
+_COLUMNS = (("word", "<u8", True), ("k1", "<i8", False), ("k2", "<i4", False), ("bits", "<i8", False), ("doc_id", "<i8", True), ("line", "<i4", True), ("n", "<i4", True), ("i", "<i4", True))
+
+
+def _packed(cols: list[np.ndarray]) -> bytes:
+    out = []
+    for x, (_, kind, planes) in zip(cols, _COLUMNS, strict=True):
+        raw = np.ascontiguousarray(x.astype(kind)).view(np.uint8)
+        out.append(raw.reshape(-1, np.dtype(kind).itemsize).T.tobytes() if planes else raw.tobytes())
+    return b"".join(out)
 
 
-def _postings(docs: DataFrame, rarity) -> DataFrame:
-    """One row for each prefix word of each distinct set of a chunk: the word, the class, its parity bits and size, the
-    word's position, and the set's first place."""
+def _unpacked(raw: bytes, n: int) -> list[np.ndarray]:
+    out, at = [], 0
+    for _, kind, planes in _COLUMNS:
+        size = np.dtype(kind).itemsize
+        x = np.frombuffer(raw, np.uint8, n * size, at)
+        out.append((x.reshape(size, n).T.copy() if planes else x).view(kind).ravel())
+        at += n * size
+    out[0] = np.cumsum(out[0], dtype=np.uint64)
+    return out
+
+
+def _postings(docs: DataFrame, rarity, ranges: int, parts: int) -> DataFrame:
+    """Blocks (range, n, block) of a row for each prefix word of each distinct set of a chunk. Words that may be too
+    frequent for a range go to the ranges after the last."""
+    frequent = STEPS * np.log2(CELL)
 
     def apply(batches):
         table = rarity.value
+        held: list[list[np.ndarray]] = []
+
+        def send():
+            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+            word, to = cols[0], cols.pop()
+            order = np.lexsort((word, to))
+            to = to[order]
+            cols = [c[order] for c in cols]
+            g = group_starts(to)
+            rows = []
+            for a, b in zip(g.tolist(), np.append(g[1:], len(to)).tolist()):
+                part = [c[a:b] for c in cols]
+                part[0] = np.diff(part[0], prepend=_U(0))
+                rows.append((int(to[a]), b - a, _packed(part)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["range", "n", "block"])
+
         for batch, texts in chunks(batches, "text"):
             s = Lines(texts, table)
             doc = _ids(batch.column(0))[s.text]
-            first = np.lexsort((s.line, doc, s.k1))
+            first = np.lexsort((s.line, doc, s.k2, s.k1))
             fresh = np.ones(len(first), bool)
-            fresh[1:] = s.k1[first][1:] != s.k1[first][:-1]
+            fresh[1:] = (s.k1[first][1:] != s.k1[first][:-1]) | (s.k2[first][1:] != s.k2[first][:-1])
             rep = first[fresh]
             rep = rep[s.size[rep] >= 4]  # smaller sets match only if they are equal
-            plen = s.size[rep] - np.ceil(THRESHOLD * s.size[rep] - 1e-9).astype(np.int64) + 1
+            plen = prefix_length(s.size[rep])
             row = np.repeat(rep, plen)
             i = np.arange(len(row)) - np.repeat(np.cumsum(plen) - plen, plen)
             at = s.start[row] + i
             shared = s.code[at] > 0  # a word that occurs once can't be shared
             row, i, at = row[shared], i[shared], at[shared]
-            cols = (s.words[at].view(np.int64), s.k1[row], s.bits[0][row], s.bits[1][row], s.size[row].astype(np.int32), i.astype(np.int32), doc[row], s.line[row].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["word", "k", "bits1", "bits2", "n", "i", "doc_id", "line"])
+            word = s.words[at] >> _U(24)
+            to = ((word >> _U(8)) * _U(ranges) >> _U(32)).astype(np.int64)
+            if (hot := s.code[at] >= frequent).any():
+                to[hot] = ranges + (s.k1[row[hot]].view(_U) % _U(parts)).astype(np.int64)
+            held.append([word, s.k1[row], s.k2[row], s.bits()[row], doc[row], s.line[row], s.size[row], i, to])
+            if sum(len(c[0]) for c in held) > HOLD:
+                yield send()
+        if sum(len(c[0]) for c in held):
+            yield send()
 
-    return docs.mapInArrow(apply, _POSTING)
+    return docs.mapInArrow(apply, "range long, n int, block binary")
 
 
 def _passing(n, i, bits, a, b):
-    """The pairs of positions that pass the length, positional and bitmap filters. bits: rows of unsigned words."""
+    """The pairs of positions that pass the length, positional and bitmap filters. bits: unsigned."""
     na, nb = n[a], n[b]
-    at = np.flatnonzero((na >= THRESHOLD * nb - 1e-9) & (nb >= THRESHOLD * na - 1e-9))
-    a, b, na, nb = a[at], b[at], na[at], nb[at]
+    ok = np.flatnonzero((na >= THRESHOLD * nb - 1e-9) & (nb >= THRESHOLD * na - 1e-9))
+    if len(ok) < len(a):
+        a, b, na, nb = a[ok], b[ok], na[ok], nb[ok]
     spare = na + nb - 2 * need(na, nb)
-    at = np.flatnonzero((np.bitwise_count(bits[0][a] ^ bits[0][b]) + np.bitwise_count(bits[1][a] ^ bits[1][b])) <= spare)
-    a, b, na, nb, spare = a[at], b[at], na[at], nb[at], spare[at]
+    ok = np.flatnonzero(np.bitwise_count(bits[a] ^ bits[b]) <= spare)
+    a, b, na, nb, spare = a[ok], b[ok], na[ok], nb[ok], spare[ok]
     ok = 2 * np.minimum(na - i[a], nb - i[b]) >= na + nb - spare
     return a[ok], b[ok]
 
 
-def candidates_in_runs(word, n, i, bits, asked, lo: int, hi: int):
-    """Within runs of equal words (rows in order), in pieces of bounded size: (earlier, later, beyond) positions of each
-    asked row's passing earlier candidates number lo to hi; beyond: rows that have more."""
+def candidates_in_runs(word, n, i, bits, asked, serves, lo: int, hi: int):
+    """Within runs of equal words (rows in order of place), in pieces of bounded size: (earlier, later, beyond) positions
+    of each asked row's passing earlier candidates number lo to hi that serve; beyond: rows that have more."""
     g = group_starts(word)
     size = np.diff(np.append(g, len(word)))
 
     def keep(a, b):
-        """a, b: passing pairs sorted by b, then a."""
+        use = asked[b] & serves[a]
+        a, b = a[use], b[use]
+        o = np.lexsort((a, b))
+        a, b = a[o], b[o]
         s = group_starts(b)
         rank = np.arange(len(b)) - np.repeat(s, np.diff(np.append(s, len(b))))
         use = (rank >= lo) & (rank < hi)
         return a[use], b[use], np.unique(b[rank >= hi])
 
-    for m in np.unique(size[(size > 1) & (size <= 64)]).tolist():
-        first = g[size == m]
-        j, k = np.tril_indices(m, -1)  # later, earlier; sorted by later
-        step = max(1, PAIRS // len(j))
-        for c in range(0, len(first), step):
-            base = first[c : c + step][:, None]
-            b, a = (base + j).ravel(), (base + k).ravel()
-            if not asked.all():
-                use = asked[b]
-                a, b = a[use], b[use]
-            yield keep(*_passing(n, i, bits, a, b))
-    for at in np.flatnonzero(size > 64).tolist():
+    small = np.flatnonzero((size > 1) & (size <= RUN))
+    if len(small):  # in order of size, a row meets the rows before it that aren't too small
+        run = np.repeat(np.arange(len(small)), size[small])
+        rows = np.arange(len(run)) - np.repeat(np.cumsum(size[small]) - size[small], size[small]) + g[small][run]
+        key = run << 32 | n[rows]
+        o = np.argsort(key, kind="stable")
+        key, rows, run = key[o], rows[o], run[o]
+        low = np.searchsorted(key, run << 32 | np.ceil(THRESHOLD * n[rows] - 1e-9).astype(np.int64))
+        count = np.arange(len(rows)) - low
+        ends = np.cumsum(count)
+        tail = np.flatnonzero(np.diff(run, append=-1)) + 1  # ends of runs
+        x = done = 0
+        while x < len(rows):
+            y = int(tail[max(np.searchsorted(ends[tail - 1], done + PAIRS, "right") - 1, np.searchsorted(tail, x, "right"))])
+            c = count[x:y]
+            b = np.repeat(np.arange(x, y), c)
+            a = np.arange(len(b)) - np.repeat(np.cumsum(c) - c - low[x:y], c)
+            a, b = _passing(n, i, bits, rows[a], rows[b])
+            yield keep(np.minimum(a, b), np.maximum(a, b))
+            x, done = y, int(ends[y - 1])
+    for at in np.flatnonzero(size > RUN).tolist():  # by classes of size; a row stops when it has found enough
         x, m = int(g[at]), int(size[at])
-        rows = x + np.flatnonzero(asked[x : x + m])
-        for c in range(0, len(rows), 64):
-            later = rows[c : c + 64]
-            got_a, got_b, found = [], [], np.zeros(len(later), np.int64)
-            for y in range(x, int(later[-1]), PAIRS // 64):
-                live = later[found <= hi]
-                if not len(live):
-                    break
-                earlier = np.arange(y, min(y + PAIRS // 64, int(later[-1])))
-                b, a = np.repeat(live, len(earlier)), np.tile(earlier, len(live))
-                ok = a < b
-                b, a = b[ok], a[ok]
-                a, b = _passing(n, i, bits, a, b)
-                got_a.append(a)
-                got_b.append(b)
-                found += np.bincount(np.searchsorted(later, b), minlength=len(later))
-            if got_a:
-                a, b = np.concatenate(got_a), np.concatenate(got_b)
-                o = np.lexsort((a, b))
-                yield keep(a[o], b[o])
-
-
-_MET = "kind byte, a long, b long, na int, nb int"
-
-
-def _meet(postings: DataFrame, lo: int, hi: int) -> DataFrame:
-    """Pairs (kind 0: a, b, sizes; a first in order) that pass the filters under some word; and (kind 1: a the word, b
-    the class) of classes with further candidates. postings may have asked: false for classes that only serve."""
-    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = postings.repartition(parts, "word").sortWithinPartitions("word", "doc_id", "line", "k")
-    names = ["word", "k", "bits1", "bits2", "n", "i"] + (["asked"] if "asked" in postings.columns else [])
+        kind = np.floor(np.log(n[x : x + m]) / -np.log(THRESHOLD)).astype(np.int64)
+        for k in np.unique(kind[asked[x : x + m]]).tolist():
+            ask = x + np.flatnonzero((kind == k) & asked[x : x + m])
+            serve = x + np.flatnonzero((np.abs(kind - k) <= 1) & serves[x : x + m])
+            for c in range(0, len(ask), 64):
+                later = ask[c : c + 64]
+                stop = int(np.searchsorted(serve, later[-1]))
+                got_a, got_b, found = [], [], np.zeros(len(later), np.int64)
+                for y in range(0, stop, PAIRS // 64):
+                    live = later[found <= hi]
+                    if not len(live):
+                        break
+                    earlier = serve[y : min(y + PAIRS // 64, stop)]
+                    b, a = np.repeat(live, len(earlier)), np.tile(earlier, len(live))
+                    ok = a < b
+                    a, b = _passing(n, i, bits, a[ok], b[ok])
+                    got_a.append(a)
+                    got_b.append(b)
+                    found += np.bincount(np.searchsorted(later, b), minlength=len(later))
+                if got_a:
+                    yield keep(np.concatenate(got_a), np.concatenate(got_b))
+
+
+_POST = ["word", "k1", "k2", "bits", "doc_id", "line", "n", "i"]
+#: kind 0: a pair of classes, the later one first, the earlier one (p1, p2, size m) beside it; kind 1: a posting of a word
+#: under which some class has further candidates (asked: this one has); kind 2: a posting of a word that may be frequent.
+_MET = "kind byte, word long, k1 long, k2 int, bits long, doc_id long, line int, n int, i int, p1 long, p2 int, m int, asked boolean, serves boolean"
+_MET_NAMES = [x.split()[0] for x in _MET.split(", ")]
+_MET_TYPES = [{"byte": pa.int8(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[x.split()[1]] for x in _MET.split(", ")]
+
+
+def _row_batch(kind: int, cols: dict[str, np.ndarray], m: int) -> pa.RecordBatch:
+    given = {"kind": np.full(m, kind, np.int8)} | cols
+    return pa.RecordBatch.from_arrays([pa.array(given[c]).cast(t) if c in given else pa.nulls(m, t) for c, t in zip(_MET_NAMES, _MET_TYPES, strict=True)], _MET_NAMES)
+
+
+def _settled(cols: list[np.ndarray], asked: np.ndarray, serves: np.ndarray, lo: int, hi: int):
+    """Rows of kinds 0 and 1 for whole runs of words, in any order."""
+    word = cols[0]
+    o = np.argsort(word, kind="stable")
+    w = word[o]
+    same = w[1:] == w[:-1]
+    o = o[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(o) else o  # of runs of two and more
+    cols, asked, serves = [c[o] for c in cols], asked[o], serves[o]
+    word, k1, k2, bits, doc, line, n, i = cols
+    # of a class's postings under a word the earliest counts
+    o = np.lexsort((line, doc, k2, k1, word))
+    again = np.concatenate([[False], (word[o][1:] == word[o][:-1]) & (k1[o][1:] == k1[o][:-1]) & (k2[o][1:] == k2[o][:-1])]) if len(o) else np.zeros(0, bool)
+    o = o[~again]
+    o = o[np.lexsort((k2[o], k1[o], line[o], doc[o], word[o]))]
+    cols, asked, serves = [c[o] for c in cols], asked[o], serves[o]
+    word, k1, k2, bits, doc, line, n, i = cols
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    further = np.zeros(len(word), bool)
+
+    def fresh():
+        """One row a pair, whatever words it meets under here."""
+        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        pairs.clear()
+        o = np.lexsort((k2[a], k1[a], k2[b], k1[b]))
+        a, b = a[o], b[o]
+        new = np.ones(len(a), bool)
+        new[1:] = (k1[a][1:] != k1[a][:-1]) | (k1[b][1:] != k1[b][:-1]) | (k2[a][1:] != k2[a][:-1]) | (k2[b][1:] != k2[b][:-1])
+        a, b = a[new], b[new]
+        return _row_batch(0, {"k1": k1[b], "k2": k2[b], "n": n[b], "p1": k1[a], "p2": k2[a], "m": n[a]}, len(a))
+
+    for a, b, more in candidates_in_runs(word, n.astype(np.int64), i.astype(np.int64), bits.view(_U), asked, serves, lo, hi):
+        further[more] = True
+        if len(a):
+            pairs.append((a, b))
+            if sum(len(x) for x, _ in pairs) > 300_000:
+                yield fresh()
+    if pairs:
+        yield fresh()
+    if further.any():
+        g = group_starts(word)
+        size = np.diff(np.append(g, len(word)))
+        at = np.flatnonzero(np.repeat(np.maximum.reduceat(further, g), size))
+        for x in range(0, len(at), 100_000):
+            y = at[x : x + 100_000]
+            yield _row_batch(1, dict(zip(_POST, (c[y] for c in (word.view(np.int64), *cols[1:])), strict=True)) | {"asked": further[y], "serves": serves[y]}, len(y))
+
+
+def _meet_blocks(blocks: DataFrame, ranges: int, hi: int, parts: int) -> DataFrame:
+    """The first round: ranges of postings, one at a time."""
+
+    def apply(batches):
+        now, held = -1, []
+
+        def out():
+            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+            held.clear()
+            every = np.ones(len(cols[0]), bool)
+            yield from _settled(cols, every, every, 0, hi)
+
+        for batch in batches:
+            for r, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if r != now and held:
+                    yield from out()
+                now, cols = r, _unpacked(raw.as_buffer(), n)
+                if r < ranges:
+                    held.append(cols)
+                else:
+                    yield _row_batch(2, dict(zip(_POST, (cols[0].view(np.int64), *cols[1:]), strict=True)), n)
+        if held:
+            yield from out()
+
+    return blocks.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(apply, _MET)
+
+
+def _meet_rows(rows: DataFrame, lo: int, hi: int) -> DataFrame:
+    """A later round, on postings with asked (whether the class asks) and serves (whether others may meet it)."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def apply(batches):
         held: list[np.ndarray] | None = None
 
-        def settle(cols):
-            word, k, b1, b2, n, i = cols[:6]
-            asked = cols[6] if len(cols) > 6 else np.ones(len(word), bool)
-            # of a class's postings under a word the earliest counts
-            o = np.lexsort((np.arange(len(k)), k, word))
-            again = np.zeros(len(k), bool)
-            again[o[1:]] = (k[o][1:] == k[o][:-1]) & (word[o][1:] == word[o][:-1])
-            if again.any():
-                word, k, b1, b2, n, i, asked = (c[~again] for c in (word, k, b1, b2, n, i, asked))
-            bits = b1.view(_U), b2.view(_U)
-            seen: set[tuple[int, int]] = set()
-            for a, b, more in candidates_in_runs(word, n.astype(np.int32), i.astype(np.int32), bits, asked, lo, hi):
-                if len(a):  # one row a pair, whatever words it meets under here
-                    fresh = [x for x, p in enumerate(zip(k[a].tolist(), k[b].tolist())) if p not in seen and not seen.add(p)]
-                    a, b = a[fresh], b[fresh]
-                    if len(seen) > 300_000:
-                        seen.clear()
-                if len(a) or len(more):
-                    z = np.zeros(len(more), np.int64)
-                    out = (np.concatenate([np.zeros(len(a)), z + 1]), np.concatenate([k[a], word[more]]), np.concatenate([k[b], k[more]]), np.concatenate([n[a], z]), np.concatenate([n[b], z]))
-                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(out, (np.int8, np.int64, np.int64, np.int32, np.int32), strict=True)], ["kind", "a", "b", "na", "nb"])
+        def out(cols):
+            return _settled([cols[0].view(_U), *cols[1:8]], cols[8].astype(bool), cols[9].astype(bool), lo, hi)
 
         for batch in batches:
             new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             held = new if held is None else [np.concatenate([x, y]) for x, y in zip(held, new, strict=True)]
             cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            if cut > 50_000:
-                yield from settle([c[:cut] for c in held])
+            if cut > 100_000:
+                yield from out([c[:cut] for c in held])
                 held = [c[cut:] for c in held]
         if held is not None and len(held[0]):
-            yield from settle(held)
+            yield from out(held)
 
-    return dealt.select(*names).mapInArrow(apply, _MET)
+    return rows.select(*_POST, "asked", "serves").repartition(parts, "word").sortWithinPartitions("word").mapInArrow(apply, _MET)
 
 
 def _bloom(keys: DataFrame) -> np.ndarray:
-    """A bitmap of the keys (column k)."""
+    """A bitmap of the keys (column k1)."""
 
     def local(batches):
         bits = np.zeros(BLOOM, bool)
@@ -268,39 +416,27 @@ def _bloom(keys: DataFrame) -> np.ndarray:
             bits[b.column(0).to_numpy(zero_copy_only=False).view(_U) >> _U(38)] = True
         packed = np.packbits(bits).reshape(64, -1)
         some = [i for i in range(64) if packed[i].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([_squeeze(packed[i]) for i in some], pa.binary())], ["block", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([zlib.compress(packed[i].tobytes(), 1) for i in some], pa.binary())], ["block", "bits"])
 
     def merge(batches):
         out: dict[int, np.ndarray] = {}
         for b in batches:
             for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = _loosen(raw)
+                x = np.frombuffer(zlib.decompress(raw), np.uint8)
                 out[i] = out[i] | x if i in out else x
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([_squeeze(x) for x in out.values()], pa.binary())], ["block", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in out.values()], pa.binary())], ["block", "bits"])
 
     schema = "block int, bits binary"
-    rows = keys.mapInArrow(local, schema).repartition(16, "block").mapInArrow(merge, schema).collect()
     bits = np.zeros((64, BLOOM // 512), np.uint8)
-    for r in rows:
-        bits[r.block] = _loosen(r.bits)
+    for r in keys.mapInArrow(local, schema).repartition(16, "block").mapInArrow(merge, schema).collect():
+        bits[r.block] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
     return bits.ravel()
 
 
-def _squeeze(x: np.ndarray) -> bytes:
-    import zlib
-
-    return zlib.compress(x.tobytes(), 1)
-
-
-def _loosen(raw: bytes) -> np.ndarray:
-    import zlib
-
-    return np.frombuffer(zlib.decompress(raw), np.uint8)
-
-
-def _sets(docs: DataFrame, bloom, wanted: DataFrame) -> DataFrame:
-    """k, words: the sets of the wanted classes (column k)."""
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """k1, k2, words: the sets of the wanted classes (k1, k2)."""
+    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(wanted.select("k1")))
 
     def apply(batches):
         bits = bloom.value
@@ -308,63 +444,116 @@ def _sets(docs: DataFrame, bloom, wanted: DataFrame) -> DataFrame:
             s = Lines(texts)
             at = (s.k1.view(_U) >> _U(38)).astype(np.int64)
             hit = np.flatnonzero(bits[at >> 3] & (128 >> (at & 7)).astype(np.uint8))
-            _, one = np.unique(s.k1[hit], return_index=True)
-            hit = hit[one]
+            o = hit[np.lexsort((s.k2[hit], s.k1[hit]))]
+            fresh = np.ones(len(o), bool)
+            fresh[1:] = (s.k1[o][1:] != s.k1[o][:-1]) | (s.k2[o][1:] != s.k2[o][:-1])
+            hit = o[fresh]
             n = s.size[hit]
             where = np.repeat(s.start[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(s.k1[hit]), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(s.words[where].view(np.int64)))], ["k", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(s.k1[hit]), pa.array(s.k2[hit]), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(s.words[where].view(np.int64)))], ["k1", "k2", "words"])
+
+    found = docs.select("doc_id", "text").mapInArrow(apply, "k1 long, k2 int, words array<long>")
+    once = found.groupBy("k1", "k2").agg(F.first("words").alias("words"))  # copies of a line meet before they travel
+    return saved(once.join(wanted, ["k1", "k2"], "left_semi"), "line-sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The later classes (k1, k2) of the pairs that are similar."""
+    later, earlier = sets, sets.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("words").alias("others"))
+    both = F.size(F.array_intersect("words", "others"))
+    same = pairs.join(later, ["k1", "k2"]).join(earlier, ["p1", "p2"]).withColumn("s", both)
+    return same.where(F.col("s") >= F.lit(THRESHOLD) * (F.col("n") + F.col("m") - F.col("s")) - 1e-9).select("k1", "k2")
+
 
-    found = docs.select("doc_id", "text").mapInArrow(apply, "k long, words array<long>")
-    return found.join(wanted, "k", "left_semi").groupBy("k").agg(F.first("words").alias("words"))
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.where("kind = 0").select("k1", "k2", "n", "p1", "p2", "m").distinct()
+
+
+def _rounds(rows: DataFrame, sets: DataFrame, gone: DataFrame, lo: int, hi: int) -> DataFrame:
+    """gone, with the classes that further candidates (from number lo on) settle."""
+    while True:
+        open_ = rows.join(gone.withColumn("__gone", F.lit(True)), ["k1", "k2"], "left")
+        open_ = saved(open_.withColumn("asked", F.col("asked") & F.col("__gone").isNull()).drop("__gone"), "line-open")
+        if open_.where("asked").isEmpty():
+            return gone
+        met = saved(_meet_rows(open_, lo, hi), "line-pairs")
+        gone = saved(_verified(_pairs(met), sets).unionByName(gone).distinct(), "line-gone")
+        rows, lo, hi = met.where("kind = 1").select(*_POST, "asked", "serves"), hi, hi * GROWTH
+
+
+def _cells(heavy: DataFrame) -> DataFrame:
+    """Postings of words that may be frequent, with cell and cells: those of words that are frequent get cells by class."""
+    many = heavy.groupBy("word").count().where(F.col("count") > CELL)  # at most one word for each CELL postings
+    rows = heavy.join(F.broadcast(many), "word", "left").withColumn("cells", F.coalesce(F.ceil(F.col("count") / CELL), F.lit(1)).cast("int"))
+    return rows.withColumn("cell", F.pmod(F.xxhash64("k1"), F.col("cells")).cast("int")).drop("count")
+
+
+def _in_cell(rows: DataFrame, asked: bool, serves: bool) -> DataFrame:
+    word = F.when(F.col("cells") == 1, F.col("word")).otherwise(F.xxhash64("word", "cell"))
+    return rows.select(word.alias("word"), *_POST[1:], F.lit(asked).alias("asked"), F.lit(serves).alias("serves"))
 
 
 def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All non-blank lines (doc_id, line, k1, k2, n; null doc_id last) and the classes that match an earlier one (k)."""
+    """All texts with their non-blank lines (doc_id, text_hash, lines, k1, k2; null doc_id last) and the classes (k1, k2)
+    that match an earlier one."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines, codes = first_scan(docs)
-    rarity = spark.sparkContext.broadcast(codes)
-    gone, lo, hi, postings = None, 0, FIRST_ROUND, _postings(docs, rarity)
-    while True:
-        met = saved(_meet(postings, lo, hi), "line-pairs")
-        pairs = saved(met.where("kind = 0").select("a", "b", "na", "nb").distinct(), "line-pairs")
-        wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
-        bloom = spark.sparkContext.broadcast(_bloom(wanted))
-        sets = saved(_sets(docs, bloom, wanted), "line-sets")
-        left, right = sets.select(F.col("k").alias("a"), F.col("words").alias("wa")), sets.select(F.col("k").alias("b"), F.col("words").alias("wb"))
-        both = F.size(F.array_intersect("wa", "wb"))
-        same = pairs.join(left, "a").join(right, "b").withColumn("s", both).where(F.col("s") >= F.lit(THRESHOLD) * (F.col("na") + F.col("nb") - F.col("s")) - 1e-9)
-        new = same.select(F.col("b").alias("k"))
-        gone = saved((new if gone is None else new.unionByName(gone)).distinct(), "line-gone")
-        open_ = met.where("kind = 1").select(F.col("a").alias("word"), F.col("b").alias("k")).join(gone, "k", "left_anti")
-        if open_.isEmpty():
-            return lines, gone
-        open_ = saved(open_.distinct(), "line-open")
-        ask = open_.withColumn("asked", F.lit(True))
-        again = _postings(docs, rarity).join(open_.select("word").distinct(), "word", "left_semi")
-        postings = again.join(ask, ["word", "k"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
-        lo, hi = hi, hi * GROWTH
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    texts, codes, total = first_scan(docs)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(parts, -(-total // RANGE))
+    blocks = _postings(docs.select("doc_id", "text"), spark.sparkContext.broadcast(codes), ranges, parts)
+    met = saved(_meet_blocks(blocks, ranges, FIRST_ROUND, parts), "line-pairs")
+    pairs, open_ = _pairs(met), met.where("kind = 1").select(*_POST, "asked", "serves")
+    heavy, cells = met.where("kind = 2").select(*_POST), None
+    if not heavy.isEmpty():
+        cells = saved(_cells(heavy), "line-cells")
+        more = saved(_meet_rows(_in_cell(cells, True, True), 0, FIRST_ROUND), "line-pairs")
+        pairs, open_ = pairs.unionByName(_pairs(more)), open_.unionByName(more.where("kind = 1").select(*_POST, "asked", "serves"))
+    pairs = saved(pairs, "line-pairs")
+    wanted = pairs.select("k1", "k2").unionByName(pairs.select(F.col("p1").alias("k1"), F.col("p2").alias("k2"))).unionByName(open_.select("k1", "k2"))
+    if cells is not None:
+        wanted = wanted.unionByName(cells.where("cells > 1").select("k1", "k2"))
+    sets = _sets(docs, saved(wanted.distinct(), "line-wanted"))
+    gone = _rounds(open_, sets, saved(_verified(pairs, sets).distinct(), "line-gone"), FIRST_ROUND, FIRST_ROUND * GROWTH)
+    if cells is not None:
+        apart = cells.where("cells > 1")
+        left = apart.join(gone, ["k1", "k2"], "left_anti")
+        visit = left.withColumn("cell", F.explode(F.filter(F.sequence(F.lit(0), F.col("cells") - 1), lambda c: c != F.col("cell"))))
+        gone = _rounds(_in_cell(visit, True, False).unionByName(_in_cell(apart, False, True)), sets, gone, 0, FIRST_ROUND)
+    return texts, gone
+
+
+def _text_hash(column: str):
+    return F.xxhash64(F.col(column).cast("string"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """doc_id and removed (sorted line numbers, from 0) of the documents that lose lines; null doc_ids come as one group.
+    """doc_id, text_hash (xxhash64 of the text) and removed (sorted line numbers, from 0) of the texts that lose lines.
+
+    A non-blank line goes if an earlier one, by (doc_id, line number, text hash; for lines of different words the class keys
+    instead of the text hash), null ids last, has a Jaccard similarity of 0.8 or more of their word sets (whether or not
+    that one stays). Blank lines stay. Rows with equal doc_id and text count as one text, and lose the same lines."""
+    texts, gone = matches(docs)
+    lines = texts.select("doc_id", "text_hash", F.explode(F.arrays_zip("lines", "k1", "k2")).alias("x")).select("doc_id", "text_hash", "x.*")
+    firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "lines", "text_hash")).alias("first"))
+    stay = firsts.join(gone, ["k1", "k2"], "left_anti").select("first.doc_id", "first.text_hash", F.col("first.lines").alias("line"), F.lit(None).cast("array<int>").alias("lines"))
+    both = texts.select("doc_id", "text_hash", F.lit(None).cast("int").alias("line"), "lines").unionByName(stay)
+    by_text = both.groupBy("doc_id", "text_hash").agg(F.first("lines", ignorenulls=True).alias("lines"), F.collect_list("line").alias("stay"))
+    removed = by_text.select("doc_id", "text_hash", F.array_except("lines", "stay").alias("removed")).where(F.size("removed") > 0)
+    return removed.select(F.when(F.col("doc_id") == F.lit(2**63 - 1), None).otherwise(F.col("doc_id")).alias("doc_id"), "text_hash", "removed")
+
 
-    A non-blank line goes if an earlier one, by (doc_id, line number), null ids last, has a Jaccard similarity of 0.8 or
-    more of their word sets (whether or not that one stays). Blank lines stay. Lines at the same place of rows with the
-    same doc_id don't remove each other."""
-    lines, gone = matches(docs)
-    firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("first"))
-    firsts = firsts.join(gone.withColumn("hit", F.lit(True)), firsts.k1 == F.col("k"), "left").drop("k")
-    marked = lines.join(firsts, ["k1", "k2"]).where(F.coalesce("hit", F.lit(False)) | (F.struct("doc_id", "line") > F.col("first")))
-    by_doc = marked.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
-    return by_doc.select(F.when(F.col("doc_id") == F.lit(2**63 - 1), None).otherwise(F.col("doc_id")).alias("doc_id"), "removed")
+def with_removed(docs: DataFrame, *columns) -> DataFrame:
+    """doc_id and the given columns of docs, and __removed: the numbers of the lines that go; null if none."""
+    rows = docs.select("doc_id", *columns, _text_hash("text").alias("__hash"))
+    gone = removed_lines(docs).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), F.col("removed").alias("__removed"))
+    return rows.join(gone, rows["doc_id"].cast("long").eqNullSafe(F.col("__d")) & (F.col("__hash") == F.col("__h")), "left").drop("__d", "__h", "__hash")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs, all columns, with the text of the lines that stay, and removed: the numbers of those that went."""
-    gone = removed_lines(docs).select(F.col("doc_id").alias("__d"), F.col("removed").alias("__r"))
     rows = docs.drop("removed")
-    joined = rows.join(gone, rows["doc_id"].cast("long").eqNullSafe(F.col("__d")), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__r", i))
-    text = F.when(F.col("__r").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*[(text.alias(c) if c == "text" else F.col(f"`{c}`")) for c in rows.columns], F.coalesce("__r", F.array().cast("array<int>")).alias("removed"))
+    joined = with_removed(rows, *[f"`{c}`" for c in rows.columns if c != "doc_id"])
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__removed", i))
+    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*[(text.alias(c) if c == "text" else F.col(f"`{c}`")) for c in rows.columns], F.coalesce("__removed", F.array().cast("array<int>")).alias("removed"))

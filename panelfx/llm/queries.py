@@ -48,10 +48,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
-    removed = linedup.removed_lines(read(spark, sf_dir, "documents")).withColumnRenamed("doc_id", "d")
-    joined = docs.join(removed, F.col("doc_id").eqNullSafe(F.col("d")), "left")
-    return joined.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    marked = linedup.with_removed(read(spark, sf_dir, "documents"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
+    removed = F.coalesce("__removed", F.array().cast("array<int>"))
+    return marked.select("doc_id", "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -485,6 +485,49 @@ def test_line_dedup_many_near_copies(spark, monkeypatch):
     assert {r.doc_id: r.removed for r in linedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == brute_lines(rows)
 
 
+def test_line_dedup_frequent_words_and_lines(spark, monkeypatch):
+    """A line in every text, templates with one free word, and words met cell by cell."""
+    for name, value in {"FIRST_ROUND": 1, "GROWTH": 2, "RUN": 8, "PAIRS": 64 * 16, "HOLD": 50, "RANGE": 40, "CELL": 6}.items():
+        monkeypatch.setattr(linedup, name, value)
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(50):
+        free = [f"v{k}" if rng.random() < 0.8 else f"u{rng.integers(9)}" for k in range(12)]
+        rows.append((i, f"all rights are reserved here today\none two three four id{i}\none two three four five six id{i}\n" + " ".join(free)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.removed for r in linedup.removed_lines(df).collect()} == brute_lines(rows)
+
+
+def test_line_candidates(monkeypatch):
+    """Runs met in one go and runs met class by class of size give the candidates that a plain loop gives; classes whose
+    first key agrees are told apart by the second."""
+    rng = np.random.default_rng(6)
+    m = 300
+    word = np.sort(rng.integers(0, 9, m)).astype(np.uint64)
+    n, i = rng.integers(5, 12, m), rng.integers(0, 2, m)
+    k1, k2 = np.arange(m) // 2, np.arange(m, dtype=np.int32)
+    asked, serves = rng.random(m) < 0.7, rng.random(m) < 0.7
+    bits = rng.integers(0, 4, m).astype(np.uint64)
+    lo, hi = 2, 5
+    want, beyond = set(), set()
+    for b in np.flatnonzero(asked).tolist():
+        ok = [a for a in range(b) if word[a] == word[b] and serves[a] and len(linedup._passing(n, i, bits, np.array([a]), np.array([b]))[0])]
+        want |= {(a, b) for a in ok[lo:hi]}
+        beyond |= {b} if len(ok) > hi else set()
+    assert len(want) > 100 and len(beyond) > 20
+    for run in (512, 8):
+        monkeypatch.setattr(linedup, "RUN", run)
+        monkeypatch.setattr(linedup, "PAIRS", 64 * 16)
+        got = list(linedup.candidates_in_runs(word, n, i, bits, asked, serves, lo, hi))
+        assert {(x, y) for a, b, _ in got for x, y in zip(a.tolist(), b.tolist())} == want
+        assert {x for *_, more in got for x in more.tolist()} == beyond
+    zero = np.zeros(m, np.int64)
+    rows = [r for batch in linedup._settled([word, k1, k2, bits.view(np.int64), np.arange(m), zero, n, i], asked, serves, lo, hi) for r in batch.to_pylist()]
+    pairs = [((r["p1"], r["p2"]), (r["k1"], r["k2"])) for r in rows if r["kind"] == 0]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {((k1[a], k2[a]), (k1[b], k2[b])) for a, b in want}
+    assert {r["k2"] for r in rows if r["asked"]} == beyond
+
+
 def test_line_dedup_odd(spark, odd, empty):
     out = {r.doc_id: r.removed for r in linedup.removed_lines(odd).collect()}
     assert out == {7: [0], None: [0]}  # null ids are last; 6 of 7 words are 0.857
