@@ -3,7 +3,7 @@
 A line is its set of words (A-Z lower-cased). Lines with equal sets form a class, told apart by 96 hash bits; the classes
 are joined: words are ordered by rarity (a counting sketch of fixed size gives the order; any total order is right), the
 rarest words of each set (prefix filter) index it, and pairs that meet under a word pass the length and positional
-filters, and a bitmap filter (64 parity bits of each set differ in no more bits than the sets do in words), before their
+filters, and a bitmap filter (128 parity bits of each set differ in no more bits than the sets do in words), before their
 sets are fetched and the Jaccard similarity is verified. A line goes if an earlier line, by (doc_id, line number), matches.
 
 Postings travel as blocks of columns, dealt by ranges of the word's hash whose number follows from the number of postings,
@@ -11,9 +11,9 @@ so a task holds one range of bounded size at a time. Words that may stand in mor
 the class instead, counted, and met cell by cell: first inside cells, where most members of a large group of near copies
 find an earlier one; the rest then visit the word's other cells.
 
-Under a word, each class asks for its earliest few candidates only; those that no candidate settled ask for the next, more
-and more, until every pair that passes the filters is settled. So a group of near copies costs a few comparisons a class,
-and no group emits all its pairs. Later rounds read the postings and sets that the first one saved, not the texts.
+Under a word, each class asks for its earliest candidate first; those that no candidate settled ask for more and more, until
+every pair that passes the filters is settled. So a group of near copies costs a few comparisons a class, and no group emits
+all its pairs. Later rounds read the postings of the words still open, and the sets of the classes that they compare.
 """
 
 from __future__ import annotations
@@ -34,9 +34,11 @@ BUCKETS = 1 << 24
 STEPS = 6
 #: Bits of the filter that tells which classes' sets are fetched; when it fills up, more sets than needed are fetched.
 BLOOM = 1 << 26
-FIRST_ROUND, GROWTH = 4, 16
-#: Postings that a task gathers before it sends them on; those of a range, about; those of a cell of a frequent word, about.
-HOLD, RANGE, CELL = 1_000_000, 1_000_000, 1_000_000
+FIRST_ROUND, GROWTH = 1, 256
+#: Postings that a task gathers before it sends them on; those of a range, about.
+HOLD, RANGE = 1_000_000, 1_000_000
+#: A word that may have more postings is met in cells of about CELL postings.
+FREQUENT, CELL = 1_000_000, 4096
 #: Pairs looked at in one go, inside a task.
 PAIRS = 500_000
 #: Runs of a word up to this size are met in one go.
@@ -92,17 +94,18 @@ class Lines:
     def _sums(self, x: np.ndarray) -> np.ndarray:
         return np.add.reduceat(x, self.start) if len(self.start) else np.zeros(0, _U)
 
-    def bits(self) -> np.ndarray:
-        """64 parity bits of each set."""
-        return np.bitwise_xor.reduceat(_U(1) << (self.words >> _U(3) & _U(63)), self.start).view(np.int64) if len(self.start) else np.zeros(0, np.int64)
+    def bits(self) -> list[np.ndarray]:
+        """128 parity bits of each set, in two halves."""
+        one, high = _U(1) << (self.words >> _U(3) & _U(63)), (self.words >> _U(9) & _U(1)).astype(bool)
+        return [np.bitwise_xor.reduceat(np.where(h, one, _U(0)), self.start).view(np.int64) if len(self.start) else np.zeros(0, np.int64) for h in (high, ~high)]
 
 
-_TEXT = ["doc_id", "text_hash", "lines", "k1", "k2"]
+_TEXT = ["doc_id", "text_hash", "lines", "k1", "k2", "n_lines"]
 
 
 def first_scan(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
-    """From one pass over the texts: every text's non-blank lines (doc_id, text_hash, and arrays of line numbers and class
-    keys), the frequency class of each bucket of words (0: the bucket's word occurs once in all), and the
+    """From one pass over the texts: every text's non-blank lines (doc_id, text_hash, arrays of line numbers and class
+    keys, and the number of lines), the frequency class of each bucket of words (0: the bucket's word occurs once in all), and the
     number of postings. A task's counts travel as blocks beside its lines."""
     block = 1 << 18
 
@@ -117,11 +120,11 @@ def first_scan(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
             posts = np.bincount(s.text, np.where(s.size >= 4, prefix_length(s.size), 0), minlength=len(texts)).astype(np.int64)
             lists = [pa.ListArray.from_arrays(edges, pa.array(c)) for c in (s.line, s.k1, s.k2)]
             m = len(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(_ids(batch.column(0))), batch.column(1), *lists, pa.array(posts), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(_ids(batch.column(0))), batch.column(1), *lists, pa.array([(x.count(b"\n") + 1) * there for x, there in zip(texts, batch.column(2).is_valid().to_pylist())], pa.int32()), pa.array(posts), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names)
         for k in range(0, BUCKETS, block):
             at = np.flatnonzero(total[k : k + block])
             if len(at):
-                nothing = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64())]
+                nothing = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.int64())]
                 yield pa.RecordBatch.from_arrays([*nothing, pa.array([k // block], pa.int32()), pa.array([at.astype(np.uint32).tobytes()], pa.binary()), pa.array([total[k + at].tobytes()], pa.binary())], names)
 
     def merge(batches):
@@ -134,7 +137,7 @@ def first_scan(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([code.tobytes()], pa.binary())], ["block", "codes"])
 
     names = [*_TEXT, "posts", "block", "cells", "counts"]
-    scanned = saved(docs.mapInArrow(scan, "doc_id long, text_hash long, lines array<int>, k1 array<long>, k2 array<int>, posts long, block int, cells binary, counts binary"), "lines")
+    scanned = saved(docs.mapInArrow(scan, "doc_id long, text_hash long, lines array<int>, k1 array<long>, k2 array<int>, n_lines int, posts long, block int, cells binary, counts binary"), "lines")
     blocks = scanned.where("cells is not null").select("block", "cells", "counts").repartition(BUCKETS // block, "block").mapInArrow(merge, "block int, codes binary")
     codes = np.zeros(BUCKETS, np.uint8)
     for r in blocks.collect():  # one byte a bucket
@@ -150,7 +153,7 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 #: A block's columns: the word's upper 40 bits as differences, the class, its parity bits, its first place, its size, and the
 #: word's position. Numbers that are mostly small are laid out byte by byte, so that the shuffle's compression takes the zeros.
-_COLUMNS = (("word", "<u8", True), ("k1", "<i8", False), ("k2", "<i4", False), ("bits", "<i8", False), ("doc_id", "<i8", True), ("line", "<i4", True), ("n", "<i4", True), ("i", "<i4", True))
+_COLUMNS = (("word", "<u8", True), ("k1", "<i8", False), ("k2", "<i4", False), ("bits1", "<i8", False), ("bits2", "<i8", False), ("doc_id", "<i8", True), ("line", "<i4", True), ("n", "<i4", True), ("i", "<i4", True))
 
 
 def _packed(cols: list[np.ndarray]) -> bytes:
@@ -175,7 +178,7 @@ def _unpacked(raw: bytes, n: int) -> list[np.ndarray]:
 def _postings(docs: DataFrame, rarity, ranges: int, parts: int) -> DataFrame:
     """Blocks (range, n, block) of a row for each prefix word of each distinct set of a chunk. Words that may be too
     frequent for a range go to the ranges after the last."""
-    frequent = STEPS * np.log2(CELL)
+    frequent = STEPS * np.log2(FREQUENT)
 
     def apply(batches):
         table = rarity.value
@@ -214,7 +217,7 @@ def _postings(docs: DataFrame, rarity, ranges: int, parts: int) -> DataFrame:
             to = ((word >> _U(8)) * _U(ranges) >> _U(32)).astype(np.int64)
             if (hot := s.code[at] >= frequent).any():
                 to[hot] = ranges + (s.k1[row[hot]].view(_U) % _U(parts)).astype(np.int64)
-            held.append([word, s.k1[row], s.k2[row], s.bits()[row], doc[row], s.line[row], s.size[row], i, to])
+            held.append([word, s.k1[row], s.k2[row], *(x[row] for x in s.bits()), doc[row], s.line[row], s.size[row], i, to])
             if sum(len(c[0]) for c in held) > HOLD:
                 yield send()
         if sum(len(c[0]) for c in held):
@@ -224,13 +227,13 @@ def _postings(docs: DataFrame, rarity, ranges: int, parts: int) -> DataFrame:
 
 
 def _passing(n, i, bits, a, b):
-    """The pairs of positions that pass the length, positional and bitmap filters. bits: unsigned."""
+    """The pairs of positions that pass the length, positional and bitmap filters. bits: two unsigned halves."""
     na, nb = n[a], n[b]
     ok = np.flatnonzero((na >= THRESHOLD * nb - 1e-9) & (nb >= THRESHOLD * na - 1e-9))
     if len(ok) < len(a):
         a, b, na, nb = a[ok], b[ok], na[ok], nb[ok]
     spare = na + nb - 2 * need(na, nb)
-    ok = np.flatnonzero(np.bitwise_count(bits[a] ^ bits[b]) <= spare)
+    ok = np.flatnonzero(np.bitwise_count(bits[0][a] ^ bits[0][b]) + np.bitwise_count(bits[1][a] ^ bits[1][b]) <= spare)
     a, b, na, nb, spare = a[ok], b[ok], na[ok], nb[ok], spare[ok]
     ok = 2 * np.minimum(na - i[a], nb - i[b]) >= na + nb - spare
     return a[ok], b[ok]
@@ -297,10 +300,10 @@ def candidates_in_runs(word, n, i, bits, asked, serves, lo: int, hi: int):
                     yield keep(np.concatenate(got_a), np.concatenate(got_b))
 
 
-_POST = ["word", "k1", "k2", "bits", "doc_id", "line", "n", "i"]
+_POST = ["word", "k1", "k2", "bits1", "bits2", "doc_id", "line", "n", "i"]
 #: kind 0: a pair of classes, the later one first, the earlier one (p1, p2, size m) beside it; kind 1: a posting of a word
 #: under which some class has further candidates (asked: this one has); kind 2: a posting of a word that may be frequent.
-_MET = "kind byte, word long, k1 long, k2 int, bits long, doc_id long, line int, n int, i int, p1 long, p2 int, m int, asked boolean, serves boolean"
+_MET = "kind byte, word long, k1 long, k2 int, bits1 long, bits2 long, doc_id long, line int, n int, i int, p1 long, p2 int, m int, asked boolean, serves boolean"
 _MET_NAMES = [x.split()[0] for x in _MET.split(", ")]
 _MET_TYPES = [{"byte": pa.int8(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[x.split()[1]] for x in _MET.split(", ")]
 
@@ -318,14 +321,14 @@ def _settled(cols: list[np.ndarray], asked: np.ndarray, serves: np.ndarray, lo:
     same = w[1:] == w[:-1]
     o = o[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(o) else o  # of runs of two and more
     cols, asked, serves = [c[o] for c in cols], asked[o], serves[o]
-    word, k1, k2, bits, doc, line, n, i = cols
+    word, k1, k2, _, _, doc, line, n, i = cols
     # of a class's postings under a word the earliest counts
     o = np.lexsort((line, doc, k2, k1, word))
     again = np.concatenate([[False], (word[o][1:] == word[o][:-1]) & (k1[o][1:] == k1[o][:-1]) & (k2[o][1:] == k2[o][:-1])]) if len(o) else np.zeros(0, bool)
     o = o[~again]
     o = o[np.lexsort((k2[o], k1[o], line[o], doc[o], word[o]))]
     cols, asked, serves = [c[o] for c in cols], asked[o], serves[o]
-    word, k1, k2, bits, doc, line, n, i = cols
+    word, k1, k2, bits1, bits2, doc, line, n, i = cols
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
     further = np.zeros(len(word), bool)
 
@@ -340,7 +343,7 @@ def _settled(cols: list[np.ndarray], asked: np.ndarray, serves: np.ndarray, lo:
         a, b = a[new], b[new]
         return _row_batch(0, {"k1": k1[b], "k2": k2[b], "n": n[b], "p1": k1[a], "p2": k2[a], "m": n[a]}, len(a))
 
-    for a, b, more in candidates_in_runs(word, n.astype(np.int64), i.astype(np.int64), bits.view(_U), asked, serves, lo, hi):
+    for a, b, more in candidates_in_runs(word, n.astype(np.int64), i.astype(np.int64), (bits1.view(_U), bits2.view(_U)), asked, serves, lo, hi):
         further[more] = True
         if len(a):
             pairs.append((a, b))
@@ -392,7 +395,7 @@ def _meet_rows(rows: DataFrame, lo: int, hi: int) -> DataFrame:
         held: list[np.ndarray] | None = None
 
         def out(cols):
-            return _settled([cols[0].view(_U), *cols[1:8]], cols[8].astype(bool), cols[9].astype(bool), lo, hi)
+            return _settled([cols[0].view(_U), *cols[1:9]], cols[9].astype(bool), cols[10].astype(bool), lo, hi)
 
         for batch in batches:
             new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -435,7 +438,7 @@ def _bloom(keys: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """k1, k2, words: the sets of the wanted classes (k1, k2)."""
+    """k1, k2, words: the sets of the wanted classes (k1, k2), and of a few others, from a pass over the texts."""
     bloom = docs.sparkSession.sparkContext.broadcast(_bloom(wanted.select("k1")))
 
     def apply(batches):
@@ -453,15 +456,13 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(s.k1[hit]), pa.array(s.k2[hit]), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(s.words[where].view(np.int64)))], ["k1", "k2", "words"])
 
     found = docs.select("doc_id", "text").mapInArrow(apply, "k1 long, k2 int, words array<long>")
-    once = found.groupBy("k1", "k2").agg(F.first("words").alias("words"))  # copies of a line meet before they travel
-    return saved(once.join(wanted, ["k1", "k2"], "left_semi"), "line-sets")
+    return found.groupBy("k1", "k2").agg(F.first("words").alias("words"))  # copies of a line meet before they travel
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The later classes (k1, k2) of the pairs that are similar."""
-    later, earlier = sets, sets.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("words").alias("others"))
-    both = F.size(F.array_intersect("words", "others"))
-    same = pairs.join(later, ["k1", "k2"]).join(earlier, ["p1", "p2"]).withColumn("s", both)
+    """The later classes (k1, k2) of the pairs that are similar. sets may hold more classes than needed."""
+    earlier = sets.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("words").alias("others"))
+    same = pairs.join(sets, ["k1", "k2"]).join(earlier, ["p1", "p2"]).withColumn("s", F.size(F.array_intersect("words", "others")))
     return same.where(F.col("s") >= F.lit(THRESHOLD) * (F.col("n") + F.col("m") - F.col("s")) - 1e-9).select("k1", "k2")
 
 
@@ -469,28 +470,40 @@ def _pairs(met: DataFrame) -> DataFrame:
     return met.where("kind = 0").select("k1", "k2", "n", "p1", "p2", "m").distinct()
 
 
-def _rounds(rows: DataFrame, sets: DataFrame, gone: DataFrame, lo: int, hi: int) -> DataFrame:
-    """gone, with the classes that further candidates (from number lo on) settle."""
-    while True:
-        open_ = rows.join(gone.withColumn("__gone", F.lit(True)), ["k1", "k2"], "left")
-        open_ = saved(open_.withColumn("asked", F.col("asked") & F.col("__gone").isNull()).drop("__gone"), "line-open")
-        if open_.where("asked").isEmpty():
-            return gone
-        met = saved(_meet_rows(open_, lo, hi), "line-pairs")
-        gone = saved(_verified(_pairs(met), sets).unionByName(gone).distinct(), "line-gone")
-        rows, lo, hi = met.where("kind = 1").select(*_POST, "asked", "serves"), hi, hi * GROWTH
+def _classes(pairs: DataFrame) -> DataFrame:
+    return pairs.select("k1", "k2").unionByName(pairs.select(F.col("p1").alias("k1"), F.col("p2").alias("k2"))).distinct()
 
 
-def _cells(heavy: DataFrame) -> DataFrame:
-    """Postings of words that may be frequent, with cell and cells: those of words that are frequent get cells by class."""
-    many = heavy.groupBy("word").count().where(F.col("count") > CELL)  # at most one word for each CELL postings
-    rows = heavy.join(F.broadcast(many), "word", "left").withColumn("cells", F.coalesce(F.ceil(F.col("count") / CELL), F.lit(1)).cast("int"))
-    return rows.withColumn("cell", F.pmod(F.xxhash64("k1"), F.col("cells")).cast("int")).drop("count")
+def _in_cells(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows with their words split in cells by class where a word has more than CELL rows; and the rows of such words, with
+    word0, cell and cells."""
+    many = rows.groupBy("word").count().where(F.col("count") > CELL)  # one word at most for each CELL rows
+    cut = rows.join(many, "word", "left").withColumn("cells", F.coalesce(F.ceil(F.col("count") / CELL), F.lit(1)).cast("int")).drop("count")
+    cut = cut.withColumn("cell", F.pmod(F.xxhash64("k1", "k2"), F.col("cells")).cast("int")).withColumn("word0", F.col("word"))
+    cut = saved(cut.withColumn("word", F.when(F.col("cells") == 1, F.col("word")).otherwise(F.xxhash64("word", "cell"))), "line-cells")
+    return cut.drop("word0", "cell", "cells"), cut.where("cells > 1")
 
 
-def _in_cell(rows: DataFrame, asked: bool, serves: bool) -> DataFrame:
-    word = F.when(F.col("cells") == 1, F.col("word")).otherwise(F.xxhash64("word", "cell"))
-    return rows.select(word.alias("word"), *_POST[1:], F.lit(asked).alias("asked"), F.lit(serves).alias("serves"))
+def _later_rounds(docs: DataFrame, rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """gone, with the classes that the candidates in rows (asked: of classes that ask) settle."""
+    mark = gone.withColumn("__gone", F.lit(True))
+    rows = rows.join(mark, ["k1", "k2"], "left").withColumn("asked", F.col("asked") & F.col("__gone").isNull()).drop("__gone")
+    open_ = rows.join(rows.where("asked").select("word").distinct(), "word", "left_semi")
+    own, apart = _in_cells(open_.withColumn("serves", F.lit(True)))
+    if own.isEmpty():
+        return gone
+    visit = apart.where("asked").withColumn("cell", F.explode(F.filter(F.sequence(F.lit(0), F.col("cells") - 1), lambda c: c != F.col("cell"))))
+    visit = visit.withColumn("word", F.xxhash64("word0", "cell")).withColumn("serves", F.lit(False)).drop("word0", "cell", "cells")
+    rows, lo, hi = own.unionByName(visit), 0, FIRST_ROUND * GROWTH
+    while True:
+        met = saved(_meet_rows(rows, lo, hi), "line-pairs")
+        pairs = saved(_pairs(met), "line-pairs")
+        gone = saved(_verified(pairs, _sets(docs, _classes(pairs))).unionByName(gone).distinct(), "line-gone")
+        rows = met.where("kind = 1").select(*_POST, "asked", "serves").join(gone.withColumn("__gone", F.lit(True)), ["k1", "k2"], "left")
+        rows = saved(rows.withColumn("asked", F.col("asked") & F.col("__gone").isNull()).drop("__gone"), "line-open")
+        if rows.where("asked").isEmpty():
+            return gone
+        lo, hi = hi, hi * GROWTH
 
 
 def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -503,57 +516,124 @@ def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ranges = max(parts, -(-total // RANGE))
     blocks = _postings(docs.select("doc_id", "text"), spark.sparkContext.broadcast(codes), ranges, parts)
     met = saved(_meet_blocks(blocks, ranges, FIRST_ROUND, parts), "line-pairs")
-    pairs, open_ = _pairs(met), met.where("kind = 1").select(*_POST, "asked", "serves")
-    heavy, cells = met.where("kind = 2").select(*_POST), None
-    if not heavy.isEmpty():
-        cells = saved(_cells(heavy), "line-cells")
-        more = saved(_meet_rows(_in_cell(cells, True, True), 0, FIRST_ROUND), "line-pairs")
-        pairs, open_ = pairs.unionByName(_pairs(more)), open_.unionByName(more.where("kind = 1").select(*_POST, "asked", "serves"))
+    pairs, open_ = _pairs(met), met.where("kind = 1").select(*_POST, "asked")
+    heavy = met.where("kind = 2").select(*_POST)
+    if not heavy.isEmpty():  # first inside a cell, where most classes of a large group of near copies find an earlier one
+        own, _ = _in_cells(heavy)
+        pairs = pairs.unionByName(_pairs(_meet_rows(own.withColumn("asked", F.lit(True)).withColumn("serves", F.lit(True)), 0, FIRST_ROUND)))
+        open_ = open_.unionByName(heavy.withColumn("asked", F.lit(True)))
     pairs = saved(pairs, "line-pairs")
-    wanted = pairs.select("k1", "k2").unionByName(pairs.select(F.col("p1").alias("k1"), F.col("p2").alias("k2"))).unionByName(open_.select("k1", "k2"))
-    if cells is not None:
-        wanted = wanted.unionByName(cells.where("cells > 1").select("k1", "k2"))
-    sets = _sets(docs, saved(wanted.distinct(), "line-wanted"))
-    gone = _rounds(open_, sets, saved(_verified(pairs, sets).distinct(), "line-gone"), FIRST_ROUND, FIRST_ROUND * GROWTH)
-    if cells is not None:
-        apart = cells.where("cells > 1")
-        left = apart.join(gone, ["k1", "k2"], "left_anti")
-        visit = left.withColumn("cell", F.explode(F.filter(F.sequence(F.lit(0), F.col("cells") - 1), lambda c: c != F.col("cell"))))
-        gone = _rounds(_in_cell(visit, True, False).unionByName(_in_cell(apart, False, True)), sets, gone, 0, FIRST_ROUND)
-    return texts, gone
+    gone = saved(_verified(pairs, _sets(docs, _classes(pairs))).distinct(), "line-gone")
+    return texts, _later_rounds(docs, open_, gone)
 
 
 def _text_hash(column: str):
     return F.xxhash64(F.col(column).cast("string"))
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash (xxhash64 of the text) and removed (sorted line numbers, from 0) of the texts that lose lines.
+def _staying(texts: DataFrame, gone: DataFrame) -> DataFrame:
+    """doc_id, text_hash and line of the first line of each class that isn't gone. Lines travel as blocks by ranges of the
+    class key; a line that is in every text is cut down to one row a task before."""
+    spark = texts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(texts.agg(F.sum(F.size("lines"))).first()[0] or 0)
+    ranges = max(parts, -(-n // RANGE))
+
+    def firsts(k1, k2, doc, line, th):
+        o = np.lexsort((th, line, doc, k2, k1))
+        k1, k2 = k1[o], k2[o]
+        new = np.ones(len(o), bool)
+        new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+        return k1[new], k2[new], *(c[o[new]] for c in (doc, line, th))
+
+    def sent(cols):
+        to = ((cols[0].view(_U) >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        g = group_starts(to[order])
+        rows = []
+        for a, b in zip(g.tolist(), np.append(g[1:], len(to)).tolist()):
+            at = order[a:b]
+            rows.append((int(to[at[0]]), b - a, b"".join(c[at].tobytes() for c in cols)))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["range", "n", "block"])
+
+    def local(batches):
+        held, m = [], 0
+        for b in batches:
+            lines, k1, k2 = (b.column(i) for i in (2, 3, 4))
+            row = np.repeat(np.arange(len(b)), lines.value_lengths().to_numpy(zero_copy_only=False))
+            held.append([k1.flatten().to_numpy(), k2.flatten().to_numpy(), b.column(0).to_numpy()[row], lines.flatten().to_numpy(), b.column(1).to_numpy()[row]])
+            m += len(row)
+            if m > HOLD:
+                yield sent(firsts(*(np.concatenate(c) for c in zip(*held, strict=True))))
+                held, m = [], 0
+        if m:
+            yield sent(firsts(*(np.concatenate(c) for c in zip(*held, strict=True))))
+
+    def leaving(batches):
+        for b in batches:
+            k1, k2 = b.column(0).to_numpy(), b.column(1).to_numpy()
+            none = np.full(len(k1), -1, np.int64)
+            if len(k1):
+                yield sent((k1, k2, none, none.astype(np.int32), none))
+
+    def merge(batches):
+        now, held, left = -1, [], []
+
+        def out():
+            if not held:
+                return
+            cols = firsts(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            if left:
+                key = [np.concatenate([c, *(x[i] for x in left)]) for i, c in enumerate(cols[:2])]
+                o = np.lexsort((np.arange(len(key[0])) < len(cols[0]), key[1], key[0]))  # those that leave stand first
+                a, b = o[:-1], o[1:]
+                hit = b[(key[0][a] == key[0][b]) & (key[1][a] == key[1][b]) & (a >= len(cols[0]))]
+                keep = np.ones(len(cols[0]), bool)
+                keep[hit[hit < len(cols[0])]] = False
+                cols = [c[keep] for c in cols]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (cols[2], cols[4], cols[3])], ["doc_id", "text_hash", "line"])
+
+        for b in batches:
+            for r, m, raw, leave in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if r != now:
+                    yield from out()
+                    now, held, left = r, [], []
+                at, cols = 0, []
+                for kind in ("<i8", "<i4", "<i8", "<i4", "<i8"):
+                    cols.append(np.frombuffer(raw, kind, m, at))
+                    at += m * np.dtype(kind).itemsize
+                (left if leave else held).append(cols)
+        yield from out()
+
+    schema = "range long, n int, block binary"
+    both = texts.mapInArrow(local, schema).withColumn("leave", F.lit(False)).unionByName(gone.mapInArrow(leaving, schema).withColumn("leave", F.lit(True)))
+    return both.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(merge, "doc_id long, text_hash long, line int")
+
+
+def marked_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash (xxhash64 of the text), n_lines and removed (sorted line numbers, from 0) of every row of docs. A
+    null text has no line, an empty one one.
 
     A non-blank line goes if an earlier one, by (doc_id, line number, text hash; for lines of different words the class keys
     instead of the text hash), null ids last, has a Jaccard similarity of 0.8 or more of their word sets (whether or not
-    that one stays). Blank lines stay. Rows with equal doc_id and text count as one text, and lose the same lines."""
+    that one stays). Blank lines stay. Rows with equal doc_id and text lose the same lines."""
     texts, gone = matches(docs)
-    lines = texts.select("doc_id", "text_hash", F.explode(F.arrays_zip("lines", "k1", "k2")).alias("x")).select("doc_id", "text_hash", "x.*")
-    firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "lines", "text_hash")).alias("first"))
-    stay = firsts.join(gone, ["k1", "k2"], "left_anti").select("first.doc_id", "first.text_hash", F.col("first.lines").alias("line"), F.lit(None).cast("array<int>").alias("lines"))
-    both = texts.select("doc_id", "text_hash", F.lit(None).cast("int").alias("line"), "lines").unionByName(stay)
-    by_text = both.groupBy("doc_id", "text_hash").agg(F.first("lines", ignorenulls=True).alias("lines"), F.collect_list("line").alias("stay"))
-    removed = by_text.select("doc_id", "text_hash", F.array_except("lines", "stay").alias("removed")).where(F.size("removed") > 0)
-    return removed.select(F.when(F.col("doc_id") == F.lit(2**63 - 1), None).otherwise(F.col("doc_id")).alias("doc_id"), "text_hash", "removed")
-
-
-def with_removed(docs: DataFrame, *columns) -> DataFrame:
-    """doc_id and the given columns of docs, and __removed: the numbers of the lines that go; null if none."""
-    rows = docs.select("doc_id", *columns, _text_hash("text").alias("__hash"))
-    gone = removed_lines(docs).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), F.col("removed").alias("__removed"))
-    return rows.join(gone, rows["doc_id"].cast("long").eqNullSafe(F.col("__d")) & (F.col("__hash") == F.col("__h")), "left").drop("__d", "__h", "__hash")
+    stay = _staying(texts, gone).groupBy("doc_id", "text_hash").agg(F.collect_list("line").alias("stay"))
+    rows = texts.select("doc_id", "text_hash", "n_lines", "lines").join(stay, ["doc_id", "text_hash"], "left")
+    removed = F.array_sort(F.array_except("lines", F.coalesce("stay", F.array().cast("array<int>"))))
+    return rows.select(F.when(F.col("doc_id") == F.lit(2**63 - 1), None).otherwise(F.col("doc_id")).alias("doc_id"), "text_hash", "n_lines", removed.alias("removed"))
+
+
+def removed_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash and removed of the texts that lose lines, once each."""
+    return marked_lines(docs).where(F.size("removed") > 0).select("doc_id", "text_hash", "removed").dropDuplicates(["doc_id", "text_hash"])
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs, all columns, with the text of the lines that stay, and removed: the numbers of those that went."""
+    gone = removed_lines(docs).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), F.col("removed").alias("__removed"))
     rows = docs.drop("removed")
-    joined = with_removed(rows, *[f"`{c}`" for c in rows.columns if c != "doc_id"])
+    joined = rows.join(gone, rows["doc_id"].cast("long").eqNullSafe(F.col("__d")) & (_text_hash("text") == F.col("__h")), "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__removed", i))
     text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return joined.select(*[(text.alias(c) if c == "text" else F.col(f"`{c}`")) for c in rows.columns], F.coalesce("__removed", F.array().cast("array<int>")).alias("removed"))

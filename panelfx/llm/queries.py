@@ -48,9 +48,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = linedup.with_removed(read(spark, sf_dir, "documents"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
-    removed = F.coalesce("__removed", F.array().cast("array<int>"))
-    return marked.select("doc_id", "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed"))
+    marked = linedup.marked_lines(read(spark, sf_dir, "documents"))
+    return marked.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -487,7 +487,7 @@ def test_line_dedup_many_near_copies(spark, monkeypatch):
 
 def test_line_dedup_frequent_words_and_lines(spark, monkeypatch):
     """A line in every text, templates with one free word, and words met cell by cell."""
-    for name, value in {"FIRST_ROUND": 1, "GROWTH": 2, "RUN": 8, "PAIRS": 64 * 16, "HOLD": 50, "RANGE": 40, "CELL": 6}.items():
+    for name, value in {"FIRST_ROUND": 1, "GROWTH": 2, "RANGE": 40, "FREQUENT": 20, "CELL": 6}.items():
         monkeypatch.setattr(linedup, name, value)
     rng = np.random.default_rng(5)
     rows = []
@@ -507,7 +507,7 @@ def test_line_candidates(monkeypatch):
     n, i = rng.integers(5, 12, m), rng.integers(0, 2, m)
     k1, k2 = np.arange(m) // 2, np.arange(m, dtype=np.int32)
     asked, serves = rng.random(m) < 0.7, rng.random(m) < 0.7
-    bits = rng.integers(0, 4, m).astype(np.uint64)
+    bits = rng.integers(0, 4, m).astype(np.uint64), rng.integers(0, 2, m).astype(np.uint64)
     lo, hi = 2, 5
     want, beyond = set(), set()
     for b in np.flatnonzero(asked).tolist():
@@ -522,7 +522,7 @@ def test_line_candidates(monkeypatch):
         assert {(x, y) for a, b, _ in got for x, y in zip(a.tolist(), b.tolist())} == want
         assert {x for *_, more in got for x in more.tolist()} == beyond
     zero = np.zeros(m, np.int64)
-    rows = [r for batch in linedup._settled([word, k1, k2, bits.view(np.int64), np.arange(m), zero, n, i], asked, serves, lo, hi) for r in batch.to_pylist()]
+    rows = [r for batch in linedup._settled([word, k1, k2, *(x.view(np.int64) for x in bits), np.arange(m), zero, n, i], asked, serves, lo, hi) for r in batch.to_pylist()]
     pairs = [((r["p1"], r["p2"]), (r["k1"], r["k2"])) for r in rows if r["kind"] == 0]
     assert len(pairs) == len(set(pairs)) and set(pairs) == {((k1[a], k2[a]), (k1[b], k2[b])) for a, b in want}
     assert {r["k2"] for r in rows if r["asked"]} == beyond
