@@ -36,9 +36,11 @@ STEPS = 6
 BLOOM = 1 << 26
 FIRST_ROUND, GROWTH = 1, 256
 #: Postings that a task gathers before it sends them on; those of a range, about.
-HOLD, RANGE = 1_000_000, 1_000_000
+HOLD, RANGE = 600_000, 600_000
 #: A word that may have more postings is met in cells of about CELL postings.
-FREQUENT, CELL = 1_000_000, 4096
+FREQUENT, CELL = 600_000, 4096
+#: Parts that a word's rows are dealt to when they learn how many they are.
+SALTS = 8
 #: Pairs looked at in one go, inside a task.
 PAIRS = 500_000
 #: Runs of a word up to this size are met in one go.
@@ -475,10 +477,11 @@ def _classes(pairs: DataFrame) -> DataFrame:
 
 
 def _in_cells(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows with their words split in cells by class where a word has more than CELL rows; and the rows of such words, with
-    word0, cell and cells."""
-    many = rows.groupBy("word").count().where(F.col("count") > CELL)  # one word at most for each CELL rows
-    cut = rows.join(many, "word", "left").withColumn("cells", F.coalesce(F.ceil(F.col("count") / CELL), F.lit(1)).cast("int")).drop("count")
+    """rows of the words under which some class asks, their words split in cells by class where a word has more than CELL
+    rows; and the rows of such words, with word0, cell and cells."""
+    words = rows.groupBy("word").agg(F.count("*").alias("count"), F.max("asked").alias("any")).where("any")
+    words = words.select("word", F.ceil(F.col("count") / CELL).cast("int").alias("cells"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    cut = rows.withColumn("salt", F.pmod(F.xxhash64("k2", "k1"), F.lit(SALTS)).cast("int")).join(words, ["word", "salt"]).drop("salt")
     cut = cut.withColumn("cell", F.pmod(F.xxhash64("k1", "k2"), F.col("cells")).cast("int")).withColumn("word0", F.col("word"))
     cut = saved(cut.withColumn("word", F.when(F.col("cells") == 1, F.col("word")).otherwise(F.xxhash64("word", "cell"))), "line-cells")
     return cut.drop("word0", "cell", "cells"), cut.where("cells > 1")
@@ -488,8 +491,7 @@ def _later_rounds(docs: DataFrame, rows: DataFrame, gone: DataFrame) -> DataFram
     """gone, with the classes that the candidates in rows (asked: of classes that ask) settle."""
     mark = gone.withColumn("__gone", F.lit(True))
     rows = rows.join(mark, ["k1", "k2"], "left").withColumn("asked", F.col("asked") & F.col("__gone").isNull()).drop("__gone")
-    open_ = rows.join(rows.where("asked").select("word").distinct(), "word", "left_semi")
-    own, apart = _in_cells(open_.withColumn("serves", F.lit(True)))
+    own, apart = _in_cells(rows.withColumn("serves", F.lit(True)))
     if own.isEmpty():
         return gone
     visit = apart.where("asked").withColumn("cell", F.explode(F.filter(F.sequence(F.lit(0), F.col("cells") - 1), lambda c: c != F.col("cell"))))
@@ -519,8 +521,8 @@ def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs, open_ = _pairs(met), met.where("kind = 1").select(*_POST, "asked")
     heavy = met.where("kind = 2").select(*_POST)
     if not heavy.isEmpty():  # first inside a cell, where most classes of a large group of near copies find an earlier one
-        own, _ = _in_cells(heavy)
-        pairs = pairs.unionByName(_pairs(_meet_rows(own.withColumn("asked", F.lit(True)).withColumn("serves", F.lit(True)), 0, FIRST_ROUND)))
+        own, _ = _in_cells(heavy.withColumn("asked", F.lit(True)))
+        pairs = pairs.unionByName(_pairs(_meet_rows(own.withColumn("serves", F.lit(True)), 0, FIRST_ROUND)))
         open_ = open_.unionByName(heavy.withColumn("asked", F.lit(True)))
     pairs = saved(pairs, "line-pairs")
     gone = saved(_verified(pairs, _sets(docs, _classes(pairs))).distinct(), "line-gone")
