@@ -1,9 +1,10 @@
 """Toxicity: a noisy-channel decoder restores disguised words, then learnt word evidence scores the restored text.
 
-Channel. A word may have been written with look-alike signs (l0ser, m*ron), drawn-out letters (stuuupid) or spaced-out
-letters (i d i o t, i.d.i.o.t). Each such span becomes a lattice: one column for each sign, with the letters that it
-may stand for and their costs. Viterbi finds the restored word of the highest probability under a character trigram
-model counted over all documents. A word of plain letters has one path only and is kept as it is.
+Channel. A word may have been written with look-alike signs (l0ser, m*ron), drawn-out letters (stuuupid, stuupid) or
+spaced-out letters (i d i o t, i.d.i.o.t). Each such span becomes a lattice: one column for each sign, with the letters that
+it may stand for and their costs. Viterbi finds the restored word of the highest probability under a character trigram
+model counted over all documents. Letters that the model doesn't know have one column with one option, themselves. A word of
+plain letters has one path only and is kept as it is; one with a doubled letter stands for itself and for what is decoded.
 
 Evidence. For each word and word beginning (4 to 7 letters) of labelled texts: in how many toxic texts and in how many
 different contexts (pairs with the word before) within them it occurs, and in how many other texts. The smaller of texts
@@ -31,7 +32,7 @@ LOOKALIKE = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "<": "c", "¡": "i", "*": "abcdefghijklmnopqrstuvwxyz", "#": "h", "%": "o", "&": "a",
 }
-SUBSTITUTE, WILD, REPEAT, JOIN = 1.5, 3.0, 0.5, 0.5  # costs, in nats
+SUBSTITUTE, WILD, REPEAT, DOUBLE, UNKNOWN = 1.5, 3.0, 0.5, 4.0, 3.5  # costs, in nats; UNKNOWN: of a letter outside the model
 A = len(LETTERS) + 1  # 0: outside a word
 _CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
 _CODES = np.zeros(0x180, np.int64)
@@ -41,8 +42,8 @@ for _c, _i in _CODE.items():
 _GAP = re.compile(r"[ \t.\-_~]+")
 _INNER = re.compile(r"[^\w@$!*+|€]+")
 _DECOR = re.compile(r"([^\w\s])\1{2,}$|^([^\w\s])\2{2,}")  # a word's trimmings, as in word!!! or ***word
-_DRAWN = re.compile(r"(.)\1\1")
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!*+|€])(?:[ \t.\-_*~]{1,2}(?:[^\W_]|[@$!*+|€])(?![^\W_])){3,}")
+_DRAWN, _DOUBLED = re.compile(r"(.)\1\1"), re.compile(r"(.)\1")
+_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!*+|€])(?:[ \t.\-_*~]{1,2}(?:[^\W_]|[@$!*+|€])(?![^\W_])){2,}")
 _TRIM = " \t\r\n.,;:?\"'()[]{}<>«»“”‘’…-–—_/\\=^`~"
 
 
@@ -74,68 +75,97 @@ def char_model(counts: np.ndarray) -> np.ndarray:
 
 
 class Restorer:
-    """Decodes lattices under the character model; remembers up to 200,000 spans."""
+    """Decodes lattices under the character model; remembers up to 200,000 spans of up to 64 signs."""
 
     def __init__(self, logp: np.ndarray):
         self.logp, self.memo = logp.tolist(), {}
 
-    def lattice(self, span: str) -> list[tuple[list[tuple[int, float]], bool]]:
-        """Columns of (letter code, cost), and whether a column may be skipped as part of a drawn-out letter."""
+    def lattice(self, span: str, doubled: bool = False) -> list[tuple[list[tuple[int, float, str]], float | None]]:
+        """Columns of (code, cost, letter), and the cost of skipping a column that repeats the one before, if it may be.
+        Signs that neither are letters nor look like one have no column. doubled: a letter that stands twice may be one."""
         cols = []
         for m in re.finditer(r"(.)\1*", span, re.S):
             ch, n = m[1], len(m[0])
             if ch in _CODE:
-                options = [(_CODE[ch], 0.0)]
+                options = [(_CODE[ch], 0.0, ch)]
             elif ch in LOOKALIKE:
                 cost = WILD if ch == "*" else SUBSTITUTE
-                options = [(_CODE[x], cost) for x in LOOKALIKE[ch]]
+                options = [(_CODE[x], cost, x) for x in LOOKALIKE[ch]]
+            elif ch.isalpha():
+                options = [(0, UNKNOWN, ch)]
             else:
                 continue
-            cols += [(options, n >= 3 and k > 0) for k in range(min(n, 3))]
+            skip = REPEAT if n >= 3 else DOUBLE if doubled and ch.isalpha() else None
+            cols += [(options, skip if k else None) for k in range(min(n, 3))]
         return cols
 
-    def decode(self, span: str) -> str:
+    def decode(self, span: str, doubled: bool = False) -> str:
         """The most probable word (Viterbi over pairs of letters)."""
-        if span in self.memo:
-            return self.memo[span]
+        if (span, doubled) in self.memo:
+            return self.memo[span, doubled]
         lp = self.logp
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for options, repeated in self.lattice(span):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # chains of letters, last first
+        for options, skip in self.lattice(span, doubled):
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (s, text) in best.items():
                 row = lp[a][b]
-                for x, cost in options:
-                    v = s + row[x] - cost
+                for x, cost, letter in options:
+                    v = s + (row[x] if x else 0.0) - cost
                     if (b, x) not in after or v > after[b, x][0]:
-                        after[b, x] = (v, text + LETTERS[x - 1])
-                if repeated:
-                    v = s - REPEAT
+                        after[b, x] = (v, (letter, text))
+                if skip is not None:
+                    v = s - skip
                     if (a, b) not in after or v > after[a, b][0]:
                         after[a, b] = (v, text)
             best = after
-        word = max(((s + lp[a][b][0], text) for (a, b), (s, text) in best.items()), default=(0, ""))[1]
-        if len(self.memo) > 200_000:
-            self.memo.clear()
-        self.memo[span] = word
+        chain = max(((s + lp[a][b][0], -i, text) for i, ((a, b), (s, text)) in enumerate(best.items())), default=(0, 0, None))[2]
+        letters = []
+        while chain:
+            letters.append(chain[0])
+            chain = chain[1]
+        word = "".join(reversed(letters))
+        if len(span) <= 64:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            self.memo[span, doubled] = word
         return word
 
+    def _read(self, w: str) -> list[str]:
+        """What a span stands for: its best reading, and the one without its doubled letters if the model prefers that and
+        knows its like."""
+        best = w if w.isalpha() and not _DRAWN.search(w) else self.decode(w)
+        other = self.decode(w, True) if _DOUBLED.search(w) else best
+        return [best] if other == best or not self._likely(other) else [best, other]
+
+    def _likely(self, word: str) -> bool:
+        """Whether the letters, one by one, have a mean probability of a tenth at least."""
+        a = b = 0
+        total = 0.0
+        for ch in word:
+            x = _CODE.get(ch, 0)
+            total += self.logp[a][b][x] if x else -UNKNOWN
+            a, b = b, x
+        return total >= len(word) * math.log(0.1)
+
     def token(self, token: str) -> list[str]:
         """The words that a token (lower-cased, without white space) stands for."""
         w = _DECOR.sub("", token.strip(_TRIM)).strip(_TRIM)
         if w.isalpha():
-            return [self.decode(w) if _DRAWN.search(w) else w]
+            return self._read(w)
         core = w.rstrip("!+")
         if core.isalpha():
-            return [self.decode(core) if _DRAWN.search(core) else core]
-        if not core or not (any(ch.isalpha() for ch in core) or len(core) >= 4) or len(core) > 40:
-            return [p for p in _INNER.split(core) if p.isalpha()]
-        whole = self.decode(core)
-        return [whole, *(p for p in _INNER.split(core) if p.isalpha() and p != whole)]
+            return self._read(core)
+        if not core:
+            return []
+        parts = [p for p in _INNER.split(core) if p]  # at signs that don't look like letters
+        out = self._read(core) if len(core) <= 64 or len(parts) == 1 else []  # a long chain of words is no word
+        for p in parts if len(parts) > 1 else ():
+            out += self._read(p)
+        return list(dict.fromkeys(x for x in out if x))
 
     def spaced(self, text: str) -> list[str]:
         """Words written with spaced-out letters."""
-        out = (self.decode(_GAP.sub("", span)) for span in _SPACED.findall(text))
-        return [w for w in out if len(w) >= 4]
+        return [w for span in _SPACED.findall(text) if (w := self.decode(_GAP.sub("", span)))]
 
     def words(self, text: str) -> list[str]:
         """The restored words of a text, in order; those of spaced-out spans last."""
@@ -144,15 +174,15 @@ class Restorer:
 
 
 def features(word: str) -> tuple[str, ...]:
-    return (word, *(word[:k] + "~" for k in range(4, 8) if len(word) > k)) if len(word) > 2 else ()
+    return (word, *(word[:k] + "~" for k in range(4, 8) if len(word) > k))
 
 
-def evidence(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_rows: int = 40_000, min_contexts: int = 5, max_features: int = 200_000) -> dict[str, float]:
+def evidence(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_rows: int = 40_000, min_contexts: int = 5) -> dict[str, float]:
     """Feature: probability that a text is toxic given the feature, for those that are evidence: whose share of toxic
     texts is above the overall share by more than chance over all features explains (Chernoff bound). labels: doc_id,
     toxic. Beginnings count words that aren't
-    evidence themselves, three at least. Fitted on the max_rows labelled rows whose doc_id hashes lowest (all, if fewer);
-    of words and of beginnings, at most max_features are kept, the best supported ones."""
+    evidence themselves, three at least. Fitted on the max_rows labelled rows whose doc_id hashes lowest (all, if fewer),
+    which bounds the evidence too."""
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     known = saved(known, "labels")
@@ -178,10 +208,9 @@ def evidence(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_rows: in
             for t, y in zip(texts, batch.column("toxic").to_pylist(), strict=True):
                 ws = restore.words(t.decode())
                 if y:
-                    contexts.update((w, hash_text(before)) for before, w in zip(["", *ws], ws) if len(w) > 2)
+                    contexts.update((w, hash_text(before)) for before, w in zip(["", *ws], ws))
                 for w in set(ws):
-                    if len(w) > 2:
-                        texts_with.setdefault(w, [0, 0])[int(y)] += 1
+                    texts_with.setdefault(w, [0, 0])[int(y)] += 1
             if len(contexts) + len(texts_with) > 400_000:
                 yield from send()
         yield from send()
@@ -199,7 +228,7 @@ def evidence(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_rows: in
         share = pos / n
         chance = n * (share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0))
         hit = found.where((F.col("contexts") >= min_contexts) & (share >= 0.6) & (chance > math.log(tried) + 0.5))
-        return hit.select("word", pos.alias("pos"), "neg").orderBy(F.desc("pos"), "word").limit(max_features)
+        return hit.select("word", pos.alias("pos"), "neg")
 
     whole = saved(sure(words), "toxic-words")
     rest = words.join(F.broadcast(whole.select("word")), "word", "left_anti")
