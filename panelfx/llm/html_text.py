@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: A quote begins a value only after an equals sign; elsewhere it is a character like any other.
+_ATTRIBUTES = r"""(?>=\s*"[^"]*"|=\s*'[^']*'|[^>])*+"""
 _TAG = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|template|noscript|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<[!?][^>]*(?:>|$)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)",
+    rf"<!--.*?(?:-->|$)|<(script|style|template|noscript|svg|iframe|textarea)\b{_ATTRIBUTES}>.*?(?:</\1\s*>|$)|<[!?][^>]*(?:>|$)"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRIBUTES})(?:>|$)",
     re.S | re.I,
 )
 _NAMES = re.compile(r"(?<![\w-])(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -32,10 +34,33 @@ _LEAVES_P = BLOCK - {"button", "label", "option", "select", "textarea", "body",
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
-def blocks(page: str) -> list[tuple[str, list[tuple[str, tuple[str, ...]]], int]]:
-    """(text, open block tags with their names, characters inside links) of each leaf block with text."""
-    out: list[tuple[str, list, int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+_CONTROLS = {"select", "option", "optgroup", "button"}
+
+
+class Node:
+    """An open block tag. Its features are those of the tags around it and its own; equal sets are shared, so that depth
+    costs no memory. known: the only features that are kept, if given."""
+
+    __slots__ = ("tag", "feats", "control")
+
+    def __init__(self, tag: str, names: list[str], parent: Node | None, known):
+        own = {"name=" + n for n in names} | ({"in=" + tag} if tag not in ("html", "body") else set())
+        if known is not None:
+            own &= known
+        above = parent.feats if parent else frozenset()
+        self.tag, self.feats = tag, above if own <= above else above | own
+        self.control = tag in _CONTROLS or (parent is not None and parent.control)
+
+
+_ROOT = Node("none", [], None, frozenset())
+
+
+def blocks(page: str, known=None) -> list[tuple[str, Node, int]]:
+    """(text, innermost open block tag, characters inside links) of each leaf block with text; form controls' text is left
+    out. Takes time in proportion to the page, however deep its tags are nested."""
+    out: list[tuple[str, Node, int]] = []
+    stack: list[Node] = []
+    open_: dict[str, int] = {}
     parts: list[str] = []
     linked = at = in_link = 0
 
@@ -43,11 +68,15 @@ def blocks(page: str) -> list[tuple[str, list[tuple[str, tuple[str, ...]]], int]
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
-            if text:
-                out.append((text, list(stack), min(linked, len(text))))
+            node = stack[-1] if stack else _ROOT
+            if text and not node.control:
+                out.append((text, node, min(linked, len(text))))
             parts.clear()
         linked = 0
 
+    def close():
+        open_[stack.pop().tag] -= 1
+
     for m in _TAG.finditer(page):
         if m.start() > at:
             raw = page[at : m.start()]
@@ -69,35 +98,33 @@ def blocks(page: str) -> list[tuple[str, list[tuple[str, tuple[str, ...]]], int]
             continue
         flush()
         if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if open_.get(name):
+                while stack[-1].tag != name:
+                    close()
+                close()
             in_link = 0
         else:
-            if name in _LEAVES_P and stack and stack[-1][0] == "p":
-                stack.pop()
-            while stack and name in _CLOSES and stack[-1][0] in _CLOSES[name]:
-                stack.pop()
-            if name in _HEADINGS and stack and stack[-1][0] in _HEADINGS:
-                stack.pop()
+            if name in _LEAVES_P and stack and stack[-1].tag == "p":
+                close()
+            while stack and name in _CLOSES and stack[-1].tag in _CLOSES[name]:
+                close()
+            if name in _HEADINGS and stack and stack[-1].tag in _HEADINGS:
+                close()
             if name not in VOID and not m[4].endswith("/"):
                 words = [x for g in _NAMES.findall(m[4]) for y in g if y for x in re.split(r"[^a-z]+", y.lower()) if x]
-                stack.append((name, tuple(words)))
+                stack.append(Node(name, words, stack[-1] if stack else None, known))
+                open_[name] = open_.get(name, 0) + 1
     if at < len(page):
         parts.append(page[at:])
     flush()
     return out
 
 
-def featurize(seq: list[tuple[str, list, int]]) -> list[list[str]]:
+def featurize(seq: list[tuple[str, Node, int]]) -> list[list[str]]:
     """Feature names of each block."""
     out = []
-    for k, (text, stack, linked) in enumerate(seq):
-        tags = [t for t, _ in stack]
-        f = ["bias", "tag=" + (tags[-1] if tags else "none")]
-        f += {"in=" + t for t in tags if t not in ("html", "body")}
-        f += {"name=" + n for _, names in stack for n in names}
+    for k, (text, node, linked) in enumerate(seq):
+        f = ["bias", "tag=" + node.tag, *node.feats]
         words = text.count(" ") + 1
         f.append(f"words={min(words.bit_length(), 8)}")
         share = linked / len(text)
@@ -118,7 +145,7 @@ class Field:
     """The trained field: labels 0 (other) and 1 (main text)."""
 
     def __init__(self, names: dict[str, int], emit: np.ndarray, move: np.ndarray):
-        self.names, self.emit, self.move = names, emit, move
+        self.names, self.emit, self.move, self.known = names, emit, move, frozenset(names)
         self._rows = {n: (float(emit[i, 0]), float(emit[i, 1])) for n, i in names.items()}
 
     def decode(self, feats: list[list[str]]) -> list[int]:
@@ -193,7 +220,7 @@ def train(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 120, rat
 
 
 def main_text(page: str | None, field: Field) -> str:
-    seq = blocks(page or "")
+    seq = blocks(page or "", field.known)
     return "\n\n".join(b[0] for b, y in zip(seq, field.decode(featurize(seq)), strict=True) if y)
 
 
