@@ -16,11 +16,11 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, St
 
 from .common import chunks, summed_table
 
-BUCKETS = 1 << 18
+BUCKET_BITS = 18
+#: Cells of the model at most: with very many languages, each gets fewer buckets.
+CELLS = 1 << 25
 WORDS_PER_UNIT = 4
 EM_STEPS = 12
-#: Languages at most in one text's mixture, and in the model.
-MAX_MIXTURE, MAX_LANGUAGES = 4, 200
 
 
 def _letter_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,24 +51,24 @@ def _is_letter(u: np.ndarray) -> np.ndarray:
     return out
 
 
-def _trigrams(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _trigrams(c: np.ndarray, bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of the trigram ending at each position, and the positions: those with a letter, and word ends."""
     c = c.astype(np.uint64)
     a, b, d = c[:-2], c[1:-1], c[2:]
     at = np.flatnonzero(b > 0)
     h = (a[at] * np.uint64(0x9E3779B97F4A7C15) + b[at] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (d[at] * np.uint64(0x165667B19E3779F9))
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(46)).astype(np.int64), at + 1
+    return (h >> np.uint64(64 - bits)).astype(np.int64), at + 1
 
 
-def train(docs: DataFrame, buckets: int = BUCKETS) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, bits: int = BUCKET_BITS) -> tuple[list[str], np.ndarray]:
     """Languages, and log probabilities (languages x buckets, float32) of trigrams. docs: text, lang (rows without lang
-    are left out). Counts cover every row; the table's size depends on the languages alone, and more than MAX_LANGUAGES
-    of them are refused."""
+    are left out). Counts cover every row; the table has 2^bits buckets a language, or fewer, so that it keeps to CELLS."""
     rows = docs.where(F.col("lang").isNotNull()).select(F.col("text"), F.col("lang").cast("string").alias("lang"))
-    langs = sorted(r.lang for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    while len(langs) << bits > CELLS and bits > 8:
+        bits -= 1
+    buckets = 1 << bits
     if not langs:
         return [], np.zeros((0, buckets), np.float32)
     index = {x: i for i, x in enumerate(langs)}
@@ -77,7 +77,7 @@ def train(docs: DataFrame, buckets: int = BUCKETS) -> tuple[list[str], np.ndarra
         total = np.zeros((len(langs), buckets), np.int64)
         for batch, texts in chunks(batches, "text"):
             c, text, _ = _letter_codes(texts)
-            h, at = _trigrams(c)
+            h, at = _trigrams(c, bits)
             lang = np.array([index[x] for x in batch.column("lang").to_pylist()], np.int64)
             total += np.bincount(lang[text[at]] * buckets + h, minlength=len(langs) * buckets).reshape(total.shape)
         return total
@@ -111,7 +111,7 @@ def infer(texts: list[bytes], logp: np.ndarray, penalty: float = 3.0) -> tuple[n
     """Proportions (texts x languages) of each text under its best language set, and whether it has any letter."""
     n, k = len(texts), len(logp)
     c, text, word = _letter_codes(texts)
-    h, at = _trigrams(c)
+    h, at = _trigrams(c, logp.shape[1].bit_length() - 1)
     if not len(at) or not k:
         return np.zeros((n, k)), np.bincount(text[at], minlength=n) > 0
     tg_text = text[at]
@@ -130,7 +130,8 @@ def infer(texts: list[bytes], logp: np.ndarray, penalty: float = 3.0) -> tuple[n
     full, _ = em(like, utext, n, np.ones((n, k), bool))
     order = np.argsort(-full + -1e-9 * (total - total.max(1, keepdims=True)), axis=1, kind="stable")
     best, best_value = None, None
-    for size in range(1, min(k, MAX_MIXTURE) + 1):
+    some = (full > 1e-9).sum(1)  # languages without a share add nothing
+    for size in range(1, max(1, int(some.max())) + 1):
         allowed = np.zeros((n, k), bool)
         np.put_along_axis(allowed, order[:, :size], True, 1)
         if size == 1:
