@@ -4,8 +4,8 @@ Items are partitioned by the size of their shingle set (powers of two). For a pa
 is cut into windows of 2u shingles, u apart, so a passage of up to u shingles lies whole in one of them and its Jaccard
 similarity with the window is at least t*q / (2u + (1 - t) q) for containment t and size q > u/2: over 0.19 for t = 0.8,
 whatever the document's length. A signature has 4 permutations of 64 bins (one-permutation hashing: the smallest value
-in each bin); each bin is a band of one row. With 24 shingles or more the chance to miss all bands is below 1e-8. Smaller
-items (fewer than SURE shingles) use each of their shingles as a band of its own, so they aren't missed at all.
+in each bin), or 16 permutations for small sizes; each bin is a band of one row. The chance that a pair misses all bands is
+below 1e-8: a lone shingle stands against at most three others of its window in 64 bins, 16 times.
 
 A window can only collide with an item if one of its shingles is a minimum of the item's; windows without any such
 shingle (one look-up in a bitmap each) are not signed.
@@ -23,49 +23,62 @@ from pyspark.sql import functions as F
 from .common import Words, chunks, mix, shingle_hashes
 
 _U = np.uint64
-BINS, PERMUTATIONS, SURE = 64, 4, 24
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], _U)
+BINS = 64
+#: Permutations of items below SMALL shingles, and of others.
+SMALL, MANY, FEW = 32, 16, 4
+_ODD = np.random.default_rng(97).integers(1, 2**63, MANY, dtype=np.int64).astype(_U) * _U(2) + _U(1)
 #: Shingles of benchmark items that are searched for in one pass over the documents; more items make more passes.
 BLOCK_SHINGLES = 2_000_000
 
 
-def permuted(h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and value of each hash under permutation k."""
-    x = mix(h * _ODD[k])
-    return (x >> _U(58)).astype(np.int64), x & _U((1 << 58) - 1)
+def signature(h: np.ndarray, permutations: int) -> np.ndarray:
+    """The band (a hash of permutation, bin and the bin's smallest value) of each bin that isn't empty."""
+    bands = []
+    for k in range(permutations):
+        x = mix(h * _ODD[k])  # the bin in its upper bits, then the value
+        x = np.sort(x)
+        b = x >> _U(58)
+        first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+        bands.append(mix(x[first] + _U(k)))
+    return np.concatenate(bands)
 
 
-def signature(h: np.ndarray) -> list[tuple[int, int, int]]:
-    """(permutation, bin, smallest value's shingle) of a set of shingle hashes."""
+def permutations_of(u: int) -> int:
+    return MANY if u <= SMALL else FEW
+
+
+def _minima(h: np.ndarray, permutations: int) -> np.ndarray:
+    """The shingles of a set that are the smallest of some bin under some permutation."""
     out = []
-    for k in range(PERMUTATIONS):
-        b, v = permuted(h, k)
-        order = np.lexsort((v, b))
-        first = order[np.flatnonzero(np.concatenate([[True], b[order][1:] != b[order][:-1]]))]
-        out += [(k, int(b[i]), int(h[i])) for i in first.tolist()]
-    return out
+    for k in range(permutations):
+        x = mix(h * _ODD[k])
+        order = np.argsort(x)
+        b = x[order] >> _U(58)
+        out.append(h[order[np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))]])
+    return np.unique(np.concatenate(out))
 
 
 class Index:
-    """The items of one block: shingle sets, and bands of each size partition. Its size is bounded by BLOCK_SHINGLES."""
+    """The items of one block: shingle sets, and the bands of each size partition as sorted arrays. Its size is bounded by
+    BLOCK_SHINGLES: eight bytes a shingle, and at most a band for each shingle and permutation."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.ids = [i for i, _ in items]
         self.sets = [h for _, h in items]
-        self.parts: dict[int, dict] = {}
+        of: dict[int, list[int]] = {}
         for at, h in enumerate(self.sets):
             if len(h):
-                u = 1 << int(len(h)).bit_length()
-                part = self.parts.setdefault(u, {"bands": {}, "all": []})
-                if len(h) < SURE:
-                    for x in h.tolist():
-                        part["bands"].setdefault((-1, -1, x), []).append(at)
-                else:
-                    for band in signature(h):
-                        part["bands"].setdefault(band, []).append(at)
-        for part in self.parts.values():
-            part["keys"] = np.unique(np.array([b[2] for b in part["bands"]], _U))
-        keys = [p["keys"] for p in self.parts.values()]
+                of.setdefault(1 << int(len(h)).bit_length(), []).append(at)
+        self.parts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for u, rows in of.items():
+            signed = [signature(self.sets[at], permutations_of(u)) for at in rows]
+            bands = np.concatenate(signed)
+            item = np.repeat(np.array(rows, np.int32), [len(x) for x in signed])
+            order = np.argsort(bands, kind="stable")
+            # shingles that are some item's minimum: only windows with one of them can collide
+            keys = np.unique(np.concatenate([_minima(self.sets[at], permutations_of(u)) for at in rows]))
+            self.parts[u] = bands[order], item[order], keys
+        keys = [p[2] for p in self.parts.values()]
         self.all = np.unique(np.concatenate(keys)) if keys else np.zeros(0, _U)
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.all >> _U(42)).astype(np.int64)] = True
@@ -81,14 +94,13 @@ class Index:
     def candidates(self, h: np.ndarray, at: np.ndarray) -> set[int]:
         """Items that collide with a window of the document h (its shingles in order); at: positions from maybe()."""
         found: set[int] = set()
-        for u, part in self.parts.items():
-            own = at[np.isin(h[at], part["keys"])]
+        for u, (bands, item, keys) in self.parts.items():
+            own = at[np.isin(h[at], keys)]
             for w in np.unique(np.concatenate([own // u, np.maximum(own // u - 1, 0)])).tolist() if len(own) else []:
-                window = h[w * u : w * u + 2 * u]
-                for x in window[np.isin(window, part["keys"])].tolist():
-                    found.update(part["bands"].get((-1, -1, x), ()))
-                for band in signature(window):
-                    found.update(part["bands"].get(band, ()))
+                mine = signature(h[w * u : w * u + 2 * u], permutations_of(u))
+                low, high = np.searchsorted(bands, mine), np.searchsorted(bands, mine, "right")
+                for x, y in zip(low[high > low].tolist(), high[high > low].tolist()):
+                    found.update(item[x:y].tolist())
         return found
 
 
