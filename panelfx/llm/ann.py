@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -120,6 +120,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, per_partition: i
     blocks = max(1, -(-n_q // QUERY_BLOCK))
     found = None
     for b in range(blocks):
+        # a block of the stated query set passes through the driver at a time
         rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).select("vec_id", "v").toArrow()
         shared = spark.sparkContext.broadcast((rows.column(0).to_numpy(), matrix(rows.column(1)), lines, largest))
 
@@ -140,9 +141,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, per_partition: i
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat([g[0] for g in got], [len(g[1]) for g in got]), pa.int64()), pa.array(np.concatenate([g[1] for g in got]), pa.int64()), pa.array(np.concatenate([g[2] for g in got]), pa.float64())], ["query_id", "vec_id", "score"])
 
         part = index.mapInArrow(probe, schema)
+        if blocks > 1:  # each block's rows are written before the next block is fetched
+            part = saved(_nearest(part, k), "neighbours")
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
-    from pyspark.sql import Window
+    return _nearest(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
+
+def _nearest(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.drop("rank").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
