@@ -20,9 +20,9 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stri
 from .common import checkpointed
 
 WEIGHTS = (3.0, 1.0, 2.0)
-#: Refused beyond this many sources: one row of each reaches the driver.
-MAX_SOURCES = 10_000
-BLOCKS = 256
+#: Blocks of a source; with very many sources fewer, so that about CELLS blocks in all reach the driver, and one of each
+#: source at least.
+BLOCKS, CELLS = 256, 2_000_000
 
 
 def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> dict[str | None, float]:
@@ -68,15 +68,12 @@ def _keys(docs: DataFrame, blocks: int, seed: int) -> DataFrame:
 
 
 def draws(sized: DataFrame, weights, share: float, cap: float, shards: int, blocks: int, seed: int) -> DataFrame:
-    """__s, __b, source_size, target, shards (the output shard of each copy of the block), most (null, or the words that
-    the last copy of the block where the part pass ends may have). At most `blocks` rows a source."""
-    per_block = sized.groupBy("__source", "__block").agg(F.sum("__size").alias("n"))
-    found = per_block.limit(MAX_SOURCES * blocks + 1).collect()
+    """__s, __b, __source_size, __target, __shards (the output shard of each copy of the block), __most (null, or the words
+    that the last copy of the block where the part pass ends may have). At most `blocks` rows a source."""
+    found = sized.groupBy("__source", "__block").agg(F.sum("__size").alias("n")).collect()
     words: dict[str | None, dict[int, int]] = {}
     for r in found:
         words.setdefault(r["__source"], {})[r["__block"]] = int(r.n)
-    if len(words) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
     size = {s: sum(w.values()) for s, w in words.items()}
     want = targets(list(size.items()), weights, share, cap)
     order = sorted(size, key=lambda s: (s is None, s or ""))
@@ -104,40 +101,53 @@ def draws(sized: DataFrame, weights, share: float, cap: float, shards: int, bloc
             of.setdefault(b, []).append(bisect.bisect_right(ends, k))
         cut, most = edge.get(s, (None, 0))
         rows += [(s, b, size[s], float(want[s]), of.get(b, []), most if b == cut else None) for b in words[s]]
-    schema = StructType([StructField("__s", StringType()), StructField("__b", IntegerType()), StructField("source_size", LongType()), StructField("target", DoubleType()), StructField("__shards", ArrayType(IntegerType())), StructField("__most", LongType())])
+    schema = StructType([StructField("__s", StringType()), StructField("__b", IntegerType()), StructField("__source_size", LongType()), StructField("__target", DoubleType()), StructField("__shards", ArrayType(IntegerType())), StructField("__most", LongType())])
     return sized.sparkSession.createDataFrame(rows, schema)
 
 
-def _drawn(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """rows (from _keys) with source_size, target and __shards. Only the blocks where part passes end, one of each
-    source, are sorted: their documents are taken in hash order while that brings the words taken nearer to the target."""
-    joined = rows.join(F.broadcast(table), F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b"))).drop("__s", "__b")
+def _in_block(rows: DataFrame, table: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(table), F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b"))).drop("__s", "__b")
+
+
+def _stops(sized: DataFrame, table: DataFrame) -> DataFrame:
+    """table with __stop: where the part pass ends in its last block, whose documents are taken in order of (hash, doc_id,
+    text hash) while that brings the words taken nearer to the target. Only keys of those blocks are sorted, one block of
+    each source."""
     w = Window.partitionBy("__source", "__block").orderBy("__h", "doc_id", "__t").rowsBetween(Window.unboundedPreceding, 0)
-    cut = joined.where("__most is not null").withColumn("__sum", F.sum("__size").over(w))
-    over = F.col("__sum") * 2 - F.col("__size") > F.col("__most") * 2
-    cut = cut.withColumn("__shards", F.when(over, F.slice("__shards", F.lit(1), F.size("__shards") - 1)).otherwise(F.col("__shards"))).drop("__sum")
-    return joined.where("__most is null").unionByName(cut).drop("__most")
+    cut = _in_block(sized, table.where("__most is not null")).withColumn("__sum", F.sum("__size").over(w))
+    over = cut.where(F.col("__sum") * 2 - F.col("__size") > F.col("__most") * 2)
+    stop = over.groupBy(F.col("__source").alias("__cs"), F.col("__block").alias("__cb")).agg(F.min(F.struct("__h", "doc_id", "__t")).alias("__stop"))
+    return table.join(F.broadcast(stop), F.col("__s").eqNullSafe(F.col("__cs")) & (F.col("__b") == F.col("__cb")), "left").drop("__cs", "__cb")
+
+
+def _drawn(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows (from _keys) with __source_size, __target and __shards."""
+    beyond = F.col("__stop").isNotNull() & (F.struct(F.col("__h"), F.col("doc_id").cast("long").alias("doc_id"), F.col("__t")) >= F.col("__stop"))
+    taken = F.when(beyond, F.slice("__shards", F.lit(1), F.size("__shards") - 1)).otherwise(F.col("__shards"))
+    return _in_block(rows, table).withColumn("__shards", taken)
 
 
-def _table(docs: DataFrame, weights, share, cap, shards, blocks, seed) -> tuple[DataFrame, DataFrame]:
+def _table(docs: DataFrame, weights, share, cap, shards, blocks, seed) -> tuple[DataFrame, DataFrame, int]:
+    sources = int(docs.select(F.approx_count_distinct("source", 0.05)).first()[0])
+    blocks = max(1, min(blocks, CELLS // (sources + 1)))
     sized = checkpointed(_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text"), blocks, seed).drop("text", "source"))
     shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sized, draws(sized, weights, share, cap, shards, blocks, seed)
+    return sized, checkpointed(_stops(sized, draws(sized, weights, share, cap, shards, blocks, seed))), blocks
 
 
 def plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, shards: int | None = None, blocks: int = BLOCKS, seed: int = 17) -> DataFrame:
     """One row for each row of docs: doc_id, source, size (words; null text: 0), source_size, target, copies (how often
     the mix takes it), taken (copies * size) and shards (the output shard of each copy). Reruns agree: the permutations
     hash (doc_id, text). No rows in, no rows out."""
-    sized, table = _table(docs, weights, share, cap, shards, blocks, seed)
+    sized, table, _ = _table(docs, weights, share, cap, shards, blocks, seed)
     copies = F.size("__shards").cast("long")
-    return _drawn(sized, table).select("doc_id", F.col("__source").alias("source"), F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("__size")).alias("taken"), F.col("__shards").alias("shards"))
+    return _drawn(sized, table).select("doc_id", F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), copies.alias("copies"), (copies * F.col("__size")).alias("taken"), F.col("__shards").alias("shards"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, shards: int | None = None, blocks: int = BLOCKS, seed: int = 17) -> DataFrame:
     """The mixed documents: docs' columns, each row as often as the plan takes it, dealt to output shards and shuffled
     within them by a keyed hash. The texts move once."""
-    _, table = _table(docs, weights, share, cap, shards, blocks, seed)
+    _, table, blocks = _table(docs, weights, share, cap, shards, blocks, seed)
     out = _drawn(_keys(docs, blocks, seed), table).withColumn("__shard", F.explode("__shards"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = out.select(*[f"`{c}`" for c in docs.columns], "__shard", "__h").repartition(parts, "__shard")

@@ -40,7 +40,7 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.plan(read(spark, sf_dir, "documents"), shards=64).select("doc_id", "size", "source_size", "target", "taken", "copies", "shards")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
