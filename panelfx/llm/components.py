@@ -13,13 +13,13 @@ def _star(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges: u, v long. Returns node, root (the smallest node of its component) for every node with an edge to
     another. Each round's edges are written to the shared folder, so a lost executor costs a step at most; joins, not
     windows, carry a node's edges, so that adaptive execution can split a node with very many."""
     edges = saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:  # until nothing changes, after rounds in the order of the squared logarithm of the nodes
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_star(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -30,4 +30,3 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = state
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -251,22 +251,40 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     return keyed.mapInArrow(meet, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, bits: int = BITS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable by links of at most `bits`
-    differing bits (null ids are larger than any). One row per row of docs; equal fingerprints are linked."""
-    marked = saved(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), width).select("doc_id", "fp"), "fingerprints")
+def _marked(docs: DataFrame, width: int) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
+    return saved(fingerprints(rows, width).select("doc_id", "th", "fp"), "fingerprints")
+
+
+def _named(marked: DataFrame, bits: int) -> DataFrame:
+    """fp, component_id, root of every distinct fingerprint."""
     distinct = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
     tree = components(links(distinct, bits))
     rooted = distinct.join(tree, distinct.fp == tree.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rooted.join(least, "root").select("fp", "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, bits: int = BITS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable by links of at most `bits`
+    differing bits (null ids are larger than any). One row per row of docs; equal fingerprints are linked."""
+    marked = _marked(docs, width)
+    return marked.join(_named(marked, bits), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, width: int = 3, bits: int = BITS) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its group, all columns kept; of repeated doc_ids in a group one
-    row stays, and of rows without a doc_id, those whose group has no other."""
-    found = near_duplicates(docs, width, bits).select("doc_id", "component_id").distinct()
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep"))
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """One row of each group, all columns kept: the one with the smallest (doc_id, text hash), null ids last. Of rows that
+    repeat that doc_id and text one stays. Groups hold fingerprints, so rows with equal doc_id but texts in different groups
+    are no duplicates of each other."""
+    marked = _marked(docs, width)
+    group = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
+    first = marked.groupBy("fp").agg(F.min(group).alias("first")).join(_named(marked, bits), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    # few rows repeat a doc_id and a text: only those are dropped by comparing
+    times = marked.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.lit(True).alias("again"))
+    keep = first.select(F.col("first.doc_id").alias("__d"), F.col("first.th").alias("__t"))
+    keep = saved(keep.join(times, keep["__d"].eqNullSafe(F.col("d")) & (F.col("__t") == F.col("t")), "left").select("__d", "__t", F.coalesce("again", F.lit(False)).alias("__again")), "kept")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__t"))
+    once = docs.join(keep.where("not __again"), same, "left_semi")
+    if keep.where("__again").isEmpty():
+        return once
+    return once.unionByName(docs.join(keep.where("__again"), same, "left_semi").dropDuplicates(["doc_id", "text"]))
