@@ -102,6 +102,43 @@ def test_disguises_are_restored(restorer):
     assert restorer.words("The clown, that is a well") == ["the", "clown", "that", "is", "a", "well"]
 
 
+def paths(columns):
+    """All words of a lattice with their costs."""
+    out = [("", 0.0)]
+    for options, skip in columns:
+        out = [(w + x, c + cost) for w, c in out for _, cost, x in options] + ([(w, c + skip) for w, c in out] if skip is not None else [])
+    return out
+
+
+def test_decoder_finds_the_best_path(restorer):
+    code, lp = toxicity._CODE, restorer.logp
+
+    def score(word, cost):
+        a = b = 0
+        total = -cost
+        for ch in word:
+            x = code.get(ch, 0)
+            total += lp[a][b][x] if x else 0.0
+            a, b = b, x
+        return total + lp[a][b][0]
+
+    for span in ("l0s3r", "m*r0n", "stuuupid", "1d10t", "ид1от", "b00k$", "aa"):
+        for doubled in (False, True):
+            every = paths(restorer.lattice(span, doubled))
+            best = max(score(w, c) for w, c in every)
+            assert any(abs(score(w, c) - best) < 1e-9 for w, c in every if w == restorer.decode(span, doubled))
+
+
+def test_decoder_has_no_holes(restorer):
+    assert restorer.token("дурррак") in (["дурак"], ["дуррак"]) and restorer.token("κοοοορε") in (["κορε"], ["κοορε"])
+    assert restorer.decode("ид1от")[:2] == "ид" and len(restorer.decode("ид1от")) == 5
+    assert "stupid" in restorer.token("stuupid") and "stuupid" in restorer.token("stuupid")
+    assert len(restorer.token("x" * 45 + "1")) == 1
+    long = restorer.token("1d10t" * 40)
+    assert len(long) == 1 and len(long[0]) == 200 and not set(long[0]) & set("10")
+    assert restorer.decode("1d10t") in restorer.token("hello,1d10t") and "hello" in restorer.token("hello,1d10t")
+
+
 def test_toxicity_held_out(spark):
     rng = np.random.default_rng(3)
     base = ["".join(rng.choice(list("aeiouklmnrst"), 5)) for _ in range(400)]
@@ -325,6 +362,19 @@ def test_html_rules(field):
     assert html_text.main_text(None, field) == html_text.main_text("", field) == html_text.main_text("<", field) == ""
 
 
+def test_html_attributes_and_controls(field):
+    page = "<html><body><article><h1>A title</h1><p title=it's>First paragraph has several words, and it is fine.</p><p data-x=\"a>b\">We don't lose this second paragraph, not at all.</p><textarea>typed text, here it is.</textarea><select><option>one, two, three.</option></select><p>Last paragraph, it ends here, as it should.</p></article></body></html>"
+    assert html_text.main_text(page, field).split("\n\n") == ["A title", "First paragraph has several words, and it is fine.", "We don't lose this second paragraph, not at all.", "Last paragraph, it ends here, as it should."]
+
+
+def test_html_deep_nesting(field):
+    import time
+
+    began = time.time()
+    html_text.main_text("<html><body>" + "".join(f"<div class=c{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}>t</p>" for i in range(100_000)) + "</div>" * 100_000, field)
+    assert time.time() - began < 20
+
+
 def test_html_odd(spark, field):
     rows = [(1, "u", None), (None, None, "<p>"), (2, "u", "<div>" * 3000 + "x"), (2, "u", "plain text without tags.")]
     out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), field)
@@ -363,6 +413,32 @@ def test_mix_meets_targets(spark, docs):
     assert got == {r.doc_id: r.copies for r in p if r.copies}
 
 
+def test_shards_follow_the_tree(spark, docs):
+    """Each shard gets exactly the quotas of blocks that the splitting tree gives it, source by source."""
+    shards, blocks = 5, 16
+    p = mixing.plan(docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "a").otherwise("b")), shards=shards, blocks=blocks, seed=17).collect()
+    keyed = {r.doc_id: r.__getitem__("__block") for r in mixing._keys(docs, blocks, 17).collect()}
+    units = {}
+    for r in p:
+        for copy, shard in enumerate(r.shards):
+            units.setdefault((r.source, keyed[r.doc_id], copy), set()).add(shard)
+    assert all(len(s) == 1 for s in units.values())  # a copy of a block goes to one shard
+    got = np.zeros((shards, 2), np.int64)
+    for (source, _, _), s in units.items():
+        got[s.pop(), "ab".index(source)] += 1
+    totals = got.sum(0)
+    want = mixing.split_quotas(totals, shards, np.random.default_rng([17, 1 << 20]))
+    assert (got == want).all() and abs(got.sum(1) - got.sum() / shards).max() <= 2
+    again = mixing.plan(docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "a").otherwise("b")).repartition(3), shards=shards, blocks=blocks, seed=17).collect()
+    assert {(r.doc_id, tuple(r.shards)) for r in again} == {(r.doc_id, tuple(r.shards)) for r in p}
+
+
+def test_mix_clashing_names(spark, docs):
+    rows = docs.withColumn("target", F.lit("mine")).withColumn("source_size", F.col("doc_id")).withColumn("size", F.lit(1))
+    mixed = mixing.mix(rows)
+    assert mixed.columns == rows.columns and mixed.where("target <> 'mine' or source_size <> doc_id").count() == 0 < mixed.count()
+
+
 def test_mix_odd(spark, odd, empty):
     p = mixing.plan(odd.withColumn("h", F.lit(1)).withColumn("target", F.lit("clash"))).collect()
     assert len(p) == odd.count() and {r.size for r in p if r.doc_id in (2, 3, 4)} == {0}
@@ -437,6 +513,14 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_deduplicate_repeated_ids(spark):
+    """Rows that share a doc_id but not a text are documents of their own; repeated rows are one."""
+    t, u, v = "one two three four five six seven", "other words that stand here alone today", "a third text which is unlike both of them"
+    rows = spark.createDataFrame([(2, t, 1), (5, t, 2), (5, u, 3), (5, v, 4), (5, v, 5), (None, t, 6), (None, "an own text of a row without an id", 7)], "doc_id long, text string, x int")
+    got = sorted((r.doc_id or 0, r.text) for r in simhash.deduplicate(rows).collect())
+    assert got == sorted([(2, t), (5, u), (5, v), (0, "an own text of a row without an id")])
+
+
 def test_near_duplicates_odd(spark, odd, empty):
     out = simhash.near_duplicates(odd.withColumn("fp", F.lit("clash"))).collect()
     assert len(out) == odd.count()
@@ -651,3 +735,64 @@ def test_pipeline_stages(spark):
     assert counts[0] <= 200 and counts[1] <= counts[0] and counts[2] <= counts[1] and counts[4] == counts[3] > 0
     run = corpus_pipeline.run(spark, SF)
     assert run.count() == counts[4] and run.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, empty):
+    """Nulls, ties, repeated rows, empty tables and columns named as the stages' own."""
+    import corpus_pipeline
+
+    clash = ("score", "predicted", "target", "source_size", "size", "fp", "removed", "th", "shards")
+    rows = odd.select("*", *[F.lit(f"mine {c}").alias(c) for c in clash])
+    for d in (rows, empty.select("*", *[F.lit("x").alias(c) for c in clash])):
+        n = d.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = common.saved(stage(spark, d, SF), name)
+            if name != "token_ids":
+                assert out.columns == d.columns and out.count() <= 2 * n
+                assert all(r[c] == f"mine {c}" for r in out.collect() for c in clash)
+                d = out
+            else:
+                assert out.count() == d.count()
+
+
+CONTRACT = {
+    "op1": {"doc_id": "bigint", "start": "bigint", "n_tokens": None, "ids_crc32": "bigint"},
+    "op2": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op3": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+    "op4": {"doc_id": "bigint", "held_out": "boolean", "n_tokens": None, "n_known": None, "train_tokens": "bigint", "base_score": "double", "score": "double"},
+    "op5": {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
+    "op6": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
+    "op7": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
+    "op8": {"doc_id": "bigint", "n_lines": "int", "n_removed": "int"},
+    "op9": {"doc_id": "bigint", "item_id": "bigint"},
+    "op10": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"},
+}
+
+
+def test_registered_queries_keep_their_contracts(spark):
+    from panelfx.llm.queries import ORACLES, QUERIES
+
+    n = {t: spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("documents", "pages")}
+    for op, columns in CONTRACT.items():
+        name = next(q for q in QUERIES if q.startswith(op + "_"))
+        out = QUERIES[name](spark, SF)
+        types = dict(out.dtypes)
+        assert all(c in types and (t is None or types[c] == t) for c, t in columns.items()), (name, types)
+        rows = out.collect()
+        if op not in ("op9", "op10"):
+            assert len(rows) == n["pages" if op == "op5" else "documents"]
+        for mod, left in {"op2": (3, 1), "op3": (4, 2), "op4": (5, 1)}.items():
+            if op == mod:
+                assert all(r.held_out == (common.py_crc_mod(r.doc_id, left[0]) == left[1]) for r in rows)
+        if op == "op8":
+            texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+            want = brute_lines(sorted(texts.items()))
+            assert all(r.n_lines == texts[r.doc_id].count("\n") + 1 and r.n_removed == len(r.removed) and r.removed == want.get(r.doc_id, []) for r in rows)
+        if op == "op9":
+            import duckdb
+
+            con = duckdb.connect()
+            for t in ("documents", "benchmark"):
+                con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+            sql = con.sql(f"select doc_id, item_id, item_size, containment from ({ORACLES[name]})").fetchall()
+            assert {(r.doc_id, r.item_id, r.item_size, round(r.containment, 9)) for r in rows} == {(a, b, c, round(x, 9)) for a, b, c, x in sql} and sql
