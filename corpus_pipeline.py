@@ -15,9 +15,10 @@ from panelfx.llm.common import read, saved
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier doesn't reject."""
-    judged = toxicity.classify(spark, docs, read(spark, sf_dir, "labels"))
-    return judged.where(F.col("predicted") == 0).select(*[f"`{c}`" for c in docs.columns])
+    """Documents that the toxicity classifier doesn't reject. Columns named as the classifier's keep their values."""
+    own = {c: f"__own_{c}" for c in ("score", "predicted") if c in docs.columns}
+    judged = toxicity.classify(spark, docs.withColumnsRenamed(own), read(spark, sf_dir, "labels"))
+    return judged.where(F.col("predicted") == 0).select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
