@@ -77,13 +77,14 @@ def neutralize(df: DataFrame, x: str, mv: str = "mv", industry: str = "industry"
 
 def neutralize_multi(df: DataFrame, x: str, covariates: list[str], industry: str | None = "industry", keys: list[str] | None = None, out: str | None = None) -> DataFrame:
     """Adds the residual of x on one or two covariates, an intercept and industry dummies, within keys; rows with any
-    NULL get NULL. Normal equations of the demeaned columns, in closed form; three and more covariates go through
-    neutralize_pandas."""
+    NULL or infinite value get NULL. Normal equations of the demeaned columns, in closed form; of (nearly) collinear
+    covariates the first one counts. Three and more covariates go through neutralize_pandas."""
     keys, out = keys or [DAY], out or f"{x}_res"
     if len(covariates) > 2:
         return neutralize_pandas(df, x, covariates, industry, keys, out)
     cols = [x, *covariates]
-    ok = reduce(Column.__and__, (F.col(c).isNotNull() for c in [*cols, *([industry] if industry else [])]))
+    finite = lambda c: ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf"))
+    ok = reduce(Column.__and__, [*(F.col(c).isNotNull() & finite(c) for c in cols), *([F.col(industry).isNotNull()] if industry else [])])
     within = Window.partitionBy(*keys, *([industry] if industry else []))
     group = Window.partitionBy(*keys)
     names = [f"__c{i}" for i in range(len(cols))]
@@ -96,8 +97,11 @@ def neutralize_multi(df: DataFrame, x: str, covariates: list[str], industry: str
     else:
         df = df.withColumns({"__s11": dot("__c1", "__c1"), "__s22": dot("__c2", "__c2"), "__s12": dot("__c1", "__c2"), "__s1y": dot("__c1", "__c0"), "__s2y": dot("__c2", "__c0")})
         det = F.col("__s11") * F.col("__s22") - F.col("__s12") * F.col("__s12")
-        b1 = F.try_divide(F.col("__s1y") * F.col("__s22") - F.col("__s2y") * F.col("__s12"), det)
-        b2 = F.try_divide(F.col("__s2y") * F.col("__s11") - F.col("__s1y") * F.col("__s12"), det)
+        apart = det > 1e-10 * F.col("__s11") * F.col("__s22")  # beyond rounding
+        one = F.when(F.col("__s11") > ZERO, F.col("__s1y") / F.col("__s11"))
+        two = F.when(F.col("__s11") <= ZERO, F.when(F.col("__s22") > ZERO, F.col("__s2y") / F.col("__s22")))
+        b1 = F.when(apart, F.try_divide(F.col("__s1y") * F.col("__s22") - F.col("__s2y") * F.col("__s12"), det)).otherwise(F.coalesce(one, F.lit(0.0)))
+        b2 = F.when(apart, F.try_divide(F.col("__s2y") * F.col("__s11") - F.col("__s1y") * F.col("__s12"), det)).otherwise(F.coalesce(two, F.lit(0.0)))
         fit = b1 * F.col("__c1") + b2 * F.col("__c2")
     return df.withColumn(out, F.col("__c0") - fit).drop(*names, "__s11", "__s22", "__s12", "__s1y", "__s2y")
 
@@ -110,7 +114,7 @@ def neutralize_pandas(df: DataFrame, x: str, covariates: list[str], industry: st
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
         need = [x, *covariates, *([industry] if industry else [])]
-        ok = g[need].notna().all(axis=1)
+        ok = g[need].notna().all(axis=1) & np.isfinite(g[[x, *covariates]].astype(float)).all(axis=1)
         res = pd.Series(np.nan, index=g.index)
         if ok.sum() >= 2:
             a = g.loc[ok, covariates].to_numpy(float)

@@ -117,3 +117,28 @@ def performance_summary(curve: DataFrame, periods_per_year: float = 250.0, day:
         "nav", annual.alias("annual"), F.when(F.col("std") > 0, F.col("m") / F.col("std") * periods_per_year**0.5).alias("sharpe"), F.col("low.dd").alias("max_drawdown"), F.col("low.start").alias("drawdown_start"), F.col("low.d").alias("drawdown_end"),
         F.when(F.col("low.dd") < 0, annual / -F.col("low.dd")).alias("return_drawdown"), (F.lit(1) / (1 + F.col("low.dd")) - 1).alias("recovery_gain"), "win_rate", "win_rate_traded", "profit_loss", "best", "worst", "longest_win", "longest_loss", "std",
     )
+
+
+def performance_report(curve: DataFrame, risk_free: float = 0.0, turnover: str | None = None, day: str = DAY, ret: str = "ret") -> DataFrame:
+    """One row for a series of period returns (a row a date): nav, annual (by calendar days), periods a year (rows / days *
+    365), sharpe on the period's risk-free rate, mean and largest drawdown's recovery gain and the days that it takes at
+    the annual return, winning and losing periods (0 counts as losing), mean return, profit over loss, longest runs, and
+    the mean of the turnover column (NULL without one)."""
+    c = curve.select(F.col(day).alias("d"), F.col(ret).alias("r"), (F.col(turnover) if turnover else F.lit(None)).cast("double").alias("t"))
+    run = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    c = c.withColumn("nav", F.exp(F.sum(F.log1p("r")).over(run)))
+    c = c.withColumn("dd", F.col("nav") / F.max("nav").over(run) - 1).withColumn("win", F.col("r") > 0)
+    c = c.withColumn("grp", F.row_number().over(Window.orderBy("d")) - F.row_number().over(Window.partitionBy("win").orderBy("d")))
+    c = c.withColumn("len", F.count("*").over(Window.partitionBy("win", "grp")))
+    one = lambda p: F.when(p, F.col("r"))
+    a = c.agg(
+        F.max_by("nav", "d").alias("nav"), F.datediff(F.max("d"), F.min("d")).alias("days"), F.count("r").alias("n"), F.avg("r").alias("mean_return"), F.stddev_samp("r").alias("std"), F.min("dd").alias("max_drawdown"), F.avg(1 / (1 + F.col("dd")) - 1).alias("mean_gain"),
+        F.sum(F.col("win").cast("long")).alias("wins"), F.sum((~F.col("win")).cast("long")).alias("losses"), (F.avg(one(F.col("win"))) / -F.avg(one(~F.col("win")))).alias("profit_loss"),
+        F.coalesce(F.max(F.when(F.col("win"), F.col("len"))), F.lit(0)).alias("longest_win"), F.coalesce(F.max(F.when(~F.col("win"), F.col("len"))), F.lit(0)).alias("longest_loss"), F.avg("t").alias("turnover"),
+    )
+    a = a.withColumn("per_year", F.col("n") / F.nullif(F.col("days"), F.lit(0)) * 365).withColumn("annual", F.pow("nav", F.lit(365.0) / F.nullif(F.col("days"), F.lit(0))) - 1)
+    free = F.pow(F.lit(1.0 + risk_free), 1 / F.col("per_year")) - 1
+    a = a.withColumn("sharpe", F.when((F.col("n") > 1) & (F.col("std") > 0), (F.col("mean_return") - free) / F.col("std") * F.sqrt("per_year")))
+    a = a.withColumn("max_gain", 1 / (1 + F.col("max_drawdown")) - 1)
+    days_for = lambda g: F.log1p(g) / F.nullif(F.log1p("annual"), F.lit(0.0)) * 365
+    return a.select("nav", "annual", "per_year", "sharpe", "max_drawdown", "mean_gain", "max_gain", days_for("mean_gain").alias("mean_recovery_days"), days_for("max_gain").alias("max_recovery_days"), "wins", "losses", "mean_return", "profit_loss", "longest_win", "longest_loss", "turnover")

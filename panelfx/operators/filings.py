@@ -27,6 +27,13 @@ def deadline(report: str = "report_date") -> Column:
     return F.when(q == 1, F.make_date(y, F.lit(4), F.lit(30))).when(q == 2, F.make_date(y, F.lit(8), F.lit(31))).when(q == 3, F.make_date(y, F.lit(10), F.lit(31))).otherwise(F.make_date(y + 1, F.lit(4), F.lit(30)))
 
 
+def filing_calendar(filings: DataFrame) -> DataFrame:
+    """report_date, publish_date (deadline): quarter ends from the first to the last report of filings."""
+    span = filings.agg(F.min("report_date").alias("a"), F.max("report_date").alias("b")).where("a is not null")
+    ends = span.select("b", F.explode(F.sequence(F.trunc("a", "quarter"), F.trunc("b", "quarter"), F.expr("interval 3 month"))).alias("d"))
+    return ends.select(F.last_day(F.add_months("d", 2)).alias("report_date")).withColumn("publish_date", deadline())
+
+
 def statutory_calendar(spark, start: str, end: str) -> DataFrame:
     """report_date, publish_date (deadline): quarter ends from start to end."""
     ends = spark.sql(f"SELECT explode(sequence(date'{start}', date'{end}', interval 3 month)) AS d").select(F.last_day("d").alias("report_date"))
@@ -73,17 +80,24 @@ def mark_superseded(filings: DataFrame) -> DataFrame:
     return filings.withColumn("superseded", F.coalesce(before > F.col("report_date"), F.lit(False)))
 
 
+def _filed_before(rows: DataFrame, fields: list[str], back: dict[str, Column], names) -> DataFrame:
+    """rows (with q) and, for each look-up and field, what was filed before the row (by publish date, then report) for the
+    quarter that many quarters earlier; names(look-up, field) is the new column."""
+    value = F.struct(*(F.col(f).alias(f"v{i}") for i, f in enumerate(fields)))
+    other = rows.select(KEY, F.col("q").alias("__q"), F.col("publish_date").alias("__p"), F.col("report_date").alias("__r"), value.alias("__v"))
+    wanted = rows.select(KEY, "report_date", "publish_date", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), (F.col("q") - b).alias("t")) for n, b in back.items()))).alias("w"))
+    hit = wanted.join(other, (wanted[KEY] == other[KEY]) & (F.col("w.t") == F.col("__q")) & (F.struct("__p", "__r") < F.struct("publish_date", "report_date"))).select(wanted[KEY], "report_date", "publish_date", "w.name", "__p", "__r", "__v")
+    last = hit.groupBy(KEY, "report_date", "publish_date").pivot("name", list(back)).agg(F.max_by("__v", F.struct("__p", "__r")))
+    got = last.select(KEY, "report_date", "publish_date", *(F.col(f"{n}.v{i}").alias(names(n, f)) for n in back for i, f in enumerate(fields)))
+    return rows.join(got, [KEY, "report_date", "publish_date"], "left")
+
+
 def filing_history_lookup(filings: DataFrame, field: str) -> DataFrame:
     """Adds to each filing what was filed before it (by publish date, then report) for: the quarter before (prev_q), the
     same quarter last year (same_q), the last fiscal year (last_fy) and last year's first three quarters."""
     q = F.quarter("report_date")
     back = {"prev_q": F.lit(1), "same_q": F.lit(4), "last_fy": q, "last_q1": q + 3, "last_q2": q + 2, "last_q3": q + 1}
-    rows = filings.withColumn("q", qidx())
-    other = rows.select(KEY, F.col("q").alias("__q"), F.col("publish_date").alias("__p"), F.col("report_date").alias("__r"), F.col(field).alias("__v"))
-    wanted = rows.select(KEY, "report_date", "publish_date", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), (F.col("q") - b).alias("t")) for n, b in back.items()))).alias("w"))
-    hit = wanted.join(other, (wanted[KEY] == other[KEY]) & (F.col("w.t") == F.col("__q")) & (F.struct("__p", "__r") < F.struct("publish_date", "report_date"))).select(wanted[KEY], "report_date", "publish_date", "w.name", "__p", "__v")
-    got = hit.groupBy(KEY, "report_date", "publish_date").pivot("name", list(back)).agg(F.max_by("__v", F.struct("__p", "__v")))
-    return rows.join(got, [KEY, "report_date", "publish_date"], "left")
+    return _filed_before(filings.withColumn("q", qidx()), [field], back, lambda n, f: n)
 
 
 def _growth(cur, base) -> Column:
@@ -92,14 +106,36 @@ def _growth(cur, base) -> Column:
 
 
 def legacy_derive(filings: DataFrame, field: str) -> DataFrame:
-    """On filing rows of a year-to-date field: single quarter, its growth on the quarter before, year-to-date growth, and
-    trailing twelve months (year to date + last fiscal year - same year to date a year before; the fiscal year itself
-    in the fourth quarter)."""
+    """On filing rows of a year-to-date field: single quarter (sq), year-to-date growth (ytd_yoy), and trailing twelve
+    months (ttm: year to date + last fiscal year - same year to date a year before; the fiscal year itself in the fourth
+    quarter)."""
     h = filing_history_lookup(filings, field)
     v, q = F.col(field), F.quarter("report_date")
     return h.withColumns({"sq": F.when(q == 1, v).otherwise(v - F.col("prev_q")), "ytd_yoy": _growth(v, F.col("same_q")), "ttm": F.when(q == 4, v).otherwise(v + F.col("last_fy") - F.col("same_q"))})
 
 
+def legacy_growth(filings: DataFrame, flow: str, stock: str, drop_superseded: bool = True) -> DataFrame:
+    """legacy_derive's columns of the flow field, and growth on what was filed before for the quarter before and for the
+    same quarter last year: of the single quarter (sq_qoq, sq_yoy), of the trailing twelve months (ttm_yoy) and of a stock
+    field (stock_qoq, stock_yoy). drop_superseded: reports that came after a later one only serve as a base."""
+    rows = _filed_before(legacy_derive(filings, flow), ["sq", "ttm", stock], {"b1": F.lit(1), "b4": F.lit(4)}, lambda n, f: f"__{n}_{f}")
+    grown = {"sq_qoq": ("sq", "b1"), "sq_yoy": ("sq", "b4"), "ttm_yoy": ("ttm", "b4"), "stock_qoq": (stock, "b1"), "stock_yoy": (stock, "b4")}
+    out = rows.withColumns({n: _growth(F.col(f), F.col(f"__{b}_{f}")) for n, (f, b) in grown.items()}).drop(*(f"__{b}_{f}" for b in ("b1", "b4") for f in ("sq", "ttm", stock)))
+    return mark_superseded(out).where("not superseded").drop("superseded") if drop_superseded else out
+
+
+def split_names(name: Column) -> Column:
+    """As split_flow_stock, for a column of names: a struct of field, kind and suffix; kind is NULL for names of no kind and
+    for stock fields with a view that they don't have."""
+    low = F.lower(name)
+    suffix = F.regexp_extract(low, "_(quarter_yoy|quarter_qoq|ttm_yoy|quarter|ttm|annual|raw|yoy|qoq)$", 1)
+    field = F.when(suffix == "", name).otherwise(F.substring(name, F.lit(1), F.length(name) - F.length(suffix) - 1))
+    stock_only = ~suffix.isin("quarter", "ttm", "ttm_yoy", "quarter_yoy", "quarter_qoq")
+    head = F.upper(F.substring(field, 1, 2))
+    kind = F.when(head.isin("R_", "C_"), "flow").when((head == "B_") & stock_only, "stock")
+    return F.struct(field.alias("field"), kind.alias("kind"), F.when(suffix == "", "raw").otherwise(suffix).alias("suffix"))
+
+
 def split_flow_stock(name: str) -> tuple[str, str, str]:
     """(field, kind, suffix) of a column name such as R_revenue_yoy or r_revenue_ttm. Flow fields begin with R_ or
     C_, stock fields with B_; stock fields have no quarter or trailing view."""
@@ -234,8 +270,11 @@ def align_to_trade_date(days: DataFrame, picked: DataFrame, columns: list[str],
     return asof_join(days, picked, KEY, day, "pub", columns)
 
 
-def fin_publish_dates(days: DataFrame, filings: DataFrame) -> DataFrame:
-    """Adds, for the newest report visible on each day, its report date, first and latest publication so far."""
+def fin_publish_dates(days: DataFrame, filings: DataFrame, quarter: int | None = None) -> DataFrame:
+    """Adds, for the newest report visible on each day (of one quarter of the year, if given), its report date, first and
+    latest publication so far."""
+    if quarter:
+        filings = filings.where(F.quarter("report_date") == quarter)
     w = Window.partitionBy(KEY, "report_date").orderBy("publish_date").rowsBetween(Window.unboundedPreceding, 0)
     events = filings.withColumn("first_publish", F.min("publish_date").over(w)).withColumn("newest", F.max("report_date").over(Window.partitionBy(KEY).orderBy("publish_date").rangeBetween(Window.unboundedPreceding, 0)))
     front = events.where("report_date = newest").select(KEY, F.col("publish_date").alias("pub"), "report_date", "first_publish", F.col("publish_date").alias("latest_publish")).distinct()

@@ -33,11 +33,13 @@ def incremental_recompute(bars: DataFrame, cuts: DataFrame, lookback: int, compu
     return compute(kept).where(F.col("cut").isNull() | (F.col(ts) > F.col("cut"))).drop("cut")
 
 
-def upsert_keep_last(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Union in which a new row replaces an existing one of its key. Writing the result before the state makes reruns
-    safe: the same batch applied twice gives the same table."""
+def upsert_keep_last(existing: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Union in which a new row replaces an existing one of its key. Of several rows of a key in one table the largest by
+    the order columns stays, or by all other columns, so that the winner doesn't depend on partitions. Writing the result
+    before the state makes reruns safe: the same batch applied twice gives the same table."""
     both = existing.withColumn("__b", F.lit(0)).unionByName(new.withColumn("__b", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(F.desc("__b"))
+    rest = [*(order or ()), *(c for c in existing.columns if c not in keys and c not in (order or ()))]
+    w = Window.partitionBy(*keys).orderBy(F.desc("__b"), *(F.desc_nulls_last(c) for c in rest))
     return both.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k", "__b")
 
 

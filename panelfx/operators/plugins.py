@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass
@@ -72,6 +73,11 @@ def column_name(name: str, param=None, minutes: tuple[str, ...] = (), inner: tup
     return "_".join(parts)
 
 
+def column_names(name: Column, param: Column, minutes: Column, inner: Column) -> Column:
+    """As column_name, over columns of parts; NULL parts are left out."""
+    return F.concat_ws("_", name, param, minutes, inner)
+
+
 def grouped_plugin(panel: DataFrame, fn, schema: str, key: str = "code_id") -> DataFrame:
     """Arbitrary pandas code for each code's history (a few thousand rows), for what expressions can't say."""
     return panel.groupBy(key).applyInPandas(fn, schema)

@@ -12,11 +12,15 @@ DAY, KEY = "trade_date", "code_id"
 
 
 def rebalance_calendar(calendar: DataFrame, period: str, offset: int = 0) -> DataFrame:
-    """period_id, select_date: the last trade date of each period. period: `W` (weeks), `M` (months), or a number of
-    trade days (from the offset-th day on). The calendar is a row a day."""
+    """period_id, select_date: the last trade date of each period. period: `W` (weeks), `2W`, `3W`, ... (that many weeks that
+    have trade dates, from the offset-th on), `M` (months), or a number of trade days (from the offset-th day on). The
+    calendar is a row a day."""
     days = calendar.select(DAY).distinct()
     if period in ("W", "M"):
         bucket = F.trunc(DAY, "week" if period == "W" else "month").cast("string")
+    elif period.endswith("W"):
+        week = F.dense_rank().over(Window.orderBy(F.trunc(DAY, "week"))) - 1
+        bucket = F.floor((week - offset) / int(period[:-1])).cast("string")
     else:
         rn = F.row_number().over(Window.orderBy(DAY)) - 1
         bucket = F.floor((rn - offset) / int(period)).cast("string")

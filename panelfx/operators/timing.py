@@ -41,8 +41,11 @@ def stock_signal(hours: DataFrame, signal: Callable[[Window], Column], key: str
     return hours.withColumn(out, signal(Window.partitionBy(key).orderBy(ts)))
 
 
-def signal_aggregate(signals: list[tuple[DataFrame, float]], keys: tuple[str, ...] = ("bar_ts", "code_id")) -> DataFrame:
-    """Sum over signals of weight * signal, for every key that any signal has; absent ones count 0."""
+def signal_aggregate(signals: list[tuple[DataFrame, float]], keys: tuple[str, ...] = ("bar_ts", "code_id"), codes: DataFrame | None = None) -> DataFrame:
+    """Sum over signals of weight * signal, for every key that any signal has; absent ones count 0. codes: a strategy's
+    codes (code_id), others are left out before anything is summed."""
+    if codes is not None:
+        signals = [(s.join(codes.select("code_id").distinct(), "code_id", "left_semi"), w) for s, w in signals]
     parts = [s.select(*keys, (F.lit(w) * F.coalesce("signal", F.lit(0.0))).alias("signal")) for s, w in signals]
     out = parts[0]
     for p in parts[1:]:
@@ -50,6 +53,11 @@ def signal_aggregate(signals: list[tuple[DataFrame, float]], keys: tuple[str, ..
     return out.groupBy(*keys).agg(F.sum("signal").alias("signal"))
 
 
+def signal_wide(signals: DataFrame, codes: list[int]) -> DataFrame:
+    """The aggregated signals as a table of bars by the given codes; 0 where a code has no signal."""
+    return signals.groupBy("bar_ts").pivot("code_id", codes).agg(F.sum("signal")).na.fill(0.0)
+
+
 def timing_weighted_sum(hours: DataFrame, weights: dict[str, float], out: str = "timing") -> DataFrame:
     """Sum of weight * signal over signal columns, NULL as 0."""
     total = F.lit(0.0)

@@ -123,3 +123,17 @@ SELECT {six('nav')} AS nav, {six('nav ** (365.0 / days) - 1')} AS annual, {six('
  {six('win_rate')} AS win_rate, {six('wt')} AS win_rate_traded, {six('pl')} AS profit_loss, {six('best')} AS best, {six('worst')} AS worst, lw AS longest_win, ll AS longest_loss, {six('std')} AS std FROM a, l""")
 def _(t):
     return _rounded(ops.performance_summary(_series(t)))
+
+
+@query("performance_report", f"""WITH c AS (SELECT trade_date AS d, ret AS r, abs(ret) AS t, exp(sum(ln(1 + ret)) OVER (ORDER BY trade_date)) AS nav, ret > 0 AS win FROM {_SERIES}),
+p AS (SELECT *, nav / max(nav) OVER (ORDER BY d) - 1 AS dd, row_number() OVER (ORDER BY d) - row_number() OVER (PARTITION BY win ORDER BY d) AS grp FROM c),
+q AS (SELECT *, count(*) OVER (PARTITION BY win, grp) AS len FROM p),
+a AS (SELECT arg_max(nav, d) AS nav, max(d) - min(d) AS days, count(r) AS n, avg(r) AS m, stddev_samp(r) AS std, min(dd) AS dd, avg(1 / (1 + dd) - 1) AS mg, count(*) FILTER (win) AS wins, count(*) FILTER (NOT win) AS losses,
+ avg(r) FILTER (win) / -avg(r) FILTER (NOT win) AS pl, coalesce(max(len) FILTER (win), 0) AS lw, coalesce(max(len) FILTER (NOT win), 0) AS ll, avg(t) AS turnover FROM q),
+b AS (SELECT *, n / days * 365 AS per_year, nav ** (365.0 / days) - 1 AS annual FROM a)
+SELECT {six('nav')} AS nav, {six('annual')} AS annual, {six('per_year')} AS per_year, {six('(m - (1.02 ** (1 / per_year) - 1)) / std * sqrt(per_year)')} AS sharpe, {six('dd')} AS max_drawdown, {six('mg')} AS mean_gain, {six('1 / (1 + dd) - 1')} AS max_gain,
+ {six('ln(1 + mg) / ln(1 + annual) * 365', 3)} AS mean_recovery_days, {six('ln(1 / (1 + dd)) / ln(1 + annual) * 365', 3)} AS max_recovery_days, wins, losses, {six('m')} AS mean_return, {six('pl')} AS profit_loss, lw AS longest_win, ll AS longest_loss, {six('turnover')} AS turnover FROM b""")
+def _(t):
+    out = ops.performance_report(_series(t).withColumn("t", F.abs("ret")), 0.02, "t")
+    days = ("mean_recovery_days", "max_recovery_days")
+    return out.select(*((F.floor(F.col(c) * 1000 + 0.5) / 1000).alias(c) if c in days else r6(c).alias(c) if k == "double" else F.col(c) for c, k in out.dtypes))

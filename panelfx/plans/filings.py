@@ -32,11 +32,11 @@ def _snap_query(name, sql, column, rnd=r6, places=6, base="_snap"):
 
 
 _DUE = "CASE quarter({r}) WHEN 1 THEN make_date(year({r}), 4, 30) WHEN 2 THEN make_date(year({r}), 8, 31) WHEN 3 THEN make_date(year({r}), 10, 31) ELSE make_date(year({r}) + 1, 4, 30) END"
-_STAT = f"(SELECT report_date, {_DUE.format(r='report_date')} AS publish_date FROM (SELECT CAST(last_day(unnest(generate_series(DATE '1992-03-31', DATE '1999-12-31', INTERVAL 3 MONTH))) AS DATE) AS report_date) WHERE report_date <= DATE '1999-12-31')"
+_STAT = f"(SELECT report_date, {_DUE.format(r='report_date')} AS publish_date FROM (SELECT CAST(last_day(unnest(generate_series(date_trunc('quarter', a), date_trunc('quarter', b), INTERVAL 3 MONTH)) + INTERVAL 2 MONTH) AS DATE) AS report_date FROM (SELECT min(report_date) AS a, max(report_date) AS b FROM filings)))"
 
 
 def _stat(t):
-    return ops.statutory_calendar(t.spark, "1992-03-31", "1999-12-31")
+    return ops.filing_calendar(t.filings)
 
 
 @query("statutory_calendar", f"SELECT * FROM {_STAT}")
@@ -92,11 +92,18 @@ def _(t):
     return out.select("code_id", "report_date", "publish_date", r2("sq").alias("sq"), r6("ytd_yoy").alias("ytd_yoy"), r2("ttm").alias("ttm"))
 
 
-@query("split_flow_stock", "SELECT * FROM (VALUES ('r_revenue_ttm', 'r_revenue', 'flow', 'ttm'), ('B_inventory_yoy', 'B_inventory', 'stock', 'yoy'), ('c_cash', 'c_cash', 'flow', 'raw')) v(name, field, kind, suffix) CROSS JOIN (SELECT count(*) AS n FROM filings)")
+_NAMES = ("r_revenue_ttm", "B_inventory_yoy", "c_cash", "b_inventory_ttm", "R_op_quarter_yoy", "x_other_raw", "b_cash_annual")
+_NAMED = "(SELECT code_id, report_date, publish_date, list_extract([" + ", ".join(f"'{n}'" for n in _NAMES) + f"], CAST((code_id + year(report_date) + quarter(report_date)) % {len(_NAMES)} AS INTEGER) + 1) AS name FROM filings)"
+_SUFFIX = "regexp_extract(lower(name), '_(quarter_yoy|quarter_qoq|ttm_yoy|quarter|ttm|annual|raw|yoy|qoq)$', 1)"
+
+
+@query("split_flow_stock", f"""SELECT code_id, report_date, publish_date, name, field, CASE WHEN upper(substr(field, 1, 2)) IN ('R_', 'C_') THEN 'flow' WHEN upper(substr(field, 1, 2)) = 'B_' AND suffix NOT IN ('quarter', 'ttm', 'ttm_yoy', 'quarter_yoy', 'quarter_qoq') THEN 'stock' END AS kind,
+ CASE WHEN suffix = '' THEN 'raw' ELSE suffix END AS suffix FROM (SELECT *, {_SUFFIX} AS suffix, CASE WHEN {_SUFFIX} = '' THEN name ELSE substr(name, 1, length(name) - length({_SUFFIX}) - 1) END AS field FROM {_NAMED})""")
 def _(t):
-    names = ["r_revenue_ttm", "B_inventory_yoy", "c_cash"]
-    rows = t.spark.createDataFrame([(n, *ops.split_flow_stock(n)) for n in names], "name string, field string, kind string, suffix string")
-    return rows.join(t.filings.agg(F.count("*").alias("n")), F.lit(True))
+    """A field name for each filing, parsed as a column."""
+    at = F.pmod(F.col("code_id") + F.year("report_date") + F.quarter("report_date"), F.lit(len(_NAMES))).cast("int") + 1
+    named = t.filings.select("code_id", "report_date", "publish_date", F.element_at(F.array(*map(F.lit, _NAMES)), at).alias("name"))
+    return named.withColumn("p", ops.split_names(F.col("name"))).select("code_id", "report_date", "publish_date", "name", "p.*")
 
 
 @query("view_raw", f"SELECT code_id, pub, q, r AS value FROM {_SNAP}")

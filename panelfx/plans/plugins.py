@@ -66,7 +66,9 @@ def _(t):
     return factor_attach(t.bars_m, plugins.sources["volumes"](t)).select("code_id", "trade_date", "peak")
 
 
-@query("column_naming", "SELECT 'mom_6' AS a, 'mom' AS b, 'shrink_3_20_0935_(mom_6,close)' AS c, count(*) AS n FROM bars_m")
+@query("column_naming", "SELECT code_id, trade_date, concat_ws('_', 'mom', CASE WHEN months > 0 THEN CAST(months AS VARCHAR) END, CASE WHEN months % 2 = 1 THEN '0935' END, '(close)') AS name FROM (SELECT code_id, trade_date, CAST(month(trade_date) - 1 AS INTEGER) AS months FROM bars_m)")
 def _(t):
-    names = (ops.column_name("mom", 6), ops.column_name("mom", 0), ops.column_name("shrink", (3, 20), ("0935",), (("mom", 6), "close")))
-    return t.bars_m.agg(F.count("*").alias("n")).select(*(F.lit(x).alias(k) for k, x in zip("abc", names, strict=True)), "n")
+    """The column name of each bar's own parameters: the number of months, and a minute for odd ones."""
+    months = F.month("trade_date") - 1
+    name = ops.column_names(F.lit("mom"), F.when(months > 0, months.cast("string")), F.when(months % 2 == 1, F.lit("0935")), F.lit("(close)"))
+    return t.bars_m.select("code_id", "trade_date", name.alias("name"))

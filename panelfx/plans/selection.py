@@ -20,6 +20,11 @@ def _(t):
     return ops.rebalance_calendar(t.calendar, "M").unionByName(ops.rebalance_calendar(t.calendar, "W")).unionByName(ops.rebalance_calendar(t.calendar, "5", 2))
 
 
+@query("rebalance_weeks", "SELECT '2W_1:' || CAST(floor((w - 1) / 2.0) AS BIGINT)::VARCHAR AS period_id, max(trade_date) AS select_date FROM (SELECT trade_date, dense_rank() OVER (ORDER BY date_trunc('week', trade_date)) - 1 AS w FROM calendar) GROUP BY 1")
+def _(t):
+    return ops.rebalance_calendar(t.calendar, "2W", 1)
+
+
 _SEL = f"(SELECT trade_date, code_id, score, 1.0 / count(*) OVER (PARTITION BY trade_date) AS weight FROM (SELECT *, CASE WHEN score IS NOT NULL THEN rank() OVER (PARTITION BY trade_date ORDER BY score NULLS LAST) END AS r, count(*) OVER (PARTITION BY trade_date) AS n FROM {_SCORE}) WHERE r <= {{lim}})"
 _TOP = _SEL.format(lim="10")
 

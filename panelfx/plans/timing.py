@@ -55,6 +55,25 @@ def _(t):
     return out.select("code_id", _ts("bar_ts").alias("bar_ts"), r6("signal").alias("signal"))
 
 
+_OWN = f"(SELECT code_id, bar_ts, sum(signal) AS signal FROM (SELECT code_id, bar_ts, 0.6 * signal AS signal FROM {_SIGNAL} WHERE n = 1 UNION ALL SELECT code_id, bar_ts, 0.4 * signal FROM {_SIGNAL} WHERE code_id % 2 = 0) WHERE code_id IN (SELECT code_id FROM securities WHERE industry = 2) GROUP BY 1, 2)"
+
+
+def _own(t):
+    s = _signal(t)
+    return ops.signal_aggregate([(s.where("n = 1"), 0.6), (s.where("code_id % 2 = 0"), 0.4)], codes=t.securities.where("industry = 2"))
+
+
+@query("signal_aggregate_codes", f"SELECT code_id, strftime(bar_ts, '{_TS}') AS bar_ts, {six('signal')} AS signal FROM {_OWN}")
+def _(t):
+    return _own(t).select("code_id", _ts("bar_ts").alias("bar_ts"), r6("signal").alias("signal"))
+
+
+@query("signal_wide", f"SELECT strftime(bar_ts, '{_TS}') AS bar_ts, " + ", ".join(six(f"coalesce(sum(signal) FILTER (code_id = {c}), 0)") + f' AS "{c}"' for c in (1, 2, 3, 4)) + f" FROM {_OWN} GROUP BY 1")
+def _(t):
+    out = ops.signal_wide(_own(t), [1, 2, 3, 4])
+    return out.select(_ts("bar_ts").alias("bar_ts"), *(r6(str(c)).alias(str(c)) for c in (1, 2, 3, 4)))
+
+
 @query("timing_weighted_sum", f"SELECT user_id, strftime(bar_ts, '{_TS}') AS bar_ts, {six('coalesce(CASE WHEN n > 1 THEN high END, 0) * 0.3 + low * 0.7')} AS timing FROM hour_bars")
 def _(t):
     h = t.hour_bars.withColumn("a", F.when(F.col("n") > 1, F.col("high")))

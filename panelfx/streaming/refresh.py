@@ -15,11 +15,13 @@ def hour_bar_stream(events: DataFrame, watermark: str = "2 hours") -> DataFrame:
 
 
 def upsert_stream(stream: DataFrame, target: str, keys: list[str], checkpoint: str):
-    """Runs what is available and keeps, for each key, the row of the latest batch: each batch is written to its own
-    folder of `target`, named by its number, so that a batch that runs again replaces itself. Read with read_latest."""
+    """Runs what is available and keeps, for each key, the row of the latest batch (the largest by the other columns, if a
+    batch has several): each batch is written to its own folder of `target`, named by its number, so that a batch that runs
+    again replaces itself. Read with read_latest."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.dropDuplicates(keys).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/batch={batch_id:010d}")
+        rest = F.struct(*(c for c in batch.columns if c not in keys))
+        batch.groupBy(*keys).agg(F.max(rest).alias("v")).select(*keys, "v.*").withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/batch={batch_id:010d}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
