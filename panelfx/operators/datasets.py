@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import avg_rank
-from ..llm.common import checkpointed
+from ..functions.lineage import checkpointed
 from .cross_section import preprocess_many
 from .evaluate import ic_summary, rank_ic
 from .joins import factor_attach

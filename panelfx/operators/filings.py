@@ -66,10 +66,14 @@ def asof_snapshots(filings: DataFrame, fields: list[str], look_back: int | None
     """For each (code, publish date), the latest known row of every quarter published so far. look_back keeps the newest
     quarters of each snapshot: what an operator needs, as quarters x dates grows with the square of a code's history."""
     f = filings.select(KEY, "report_date", F.col("publish_date").alias("known_on"), *fields)
-    pubs = filings.select(KEY, F.col("publish_date").alias("pub")).distinct()
-    seen = pubs.join(f, KEY).where(F.col("known_on") <= F.col("pub"))
-    if look_back:
-        seen = seen.withColumn("__n", F.max(qidx()).over(Window.partitionBy(KEY, "pub"))).where(qidx() > F.col("__n") - look_back).drop("__n")
+    if look_back:  # a publish date meets the filings of the quarters that it looks at, and no others
+        newest = F.max(qidx()).over(Window.partitionBy(KEY).orderBy("publish_date").rangeBetween(Window.unboundedPreceding, 0))
+        pubs = filings.select(KEY, F.col("publish_date").alias("pub"), newest.alias("__n")).distinct()
+        pubs = pubs.select(KEY, "pub", F.explode(F.sequence(F.col("__n") - look_back + 1, F.col("__n"))).alias("__q"))
+        seen = pubs.join(f.withColumn("__q", qidx()), [KEY, "__q"]).drop("__q")
+    else:
+        seen = filings.select(KEY, F.col("publish_date").alias("pub")).distinct().join(f, KEY)
+    seen = seen.where(F.col("known_on") <= F.col("pub"))
     best = seen.groupBy(KEY, "pub", "report_date").agg(F.max_by(F.struct("known_on", *fields), F.struct("known_on", *fields)).alias("v"))
     return best.select(KEY, "pub", "report_date", qidx().alias("q"), "v.known_on", *(f"v.{x}" for x in fields))
 

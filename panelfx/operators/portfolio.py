@@ -53,9 +53,9 @@ def turnover_cost(weights: DataFrame, commission: float = 0.00012, stamp: float
     rebalance, as old."""
     order = weights.select("select_date").distinct().withColumn("__next", F.lead("select_date").over(Window.orderBy("select_date")))
     rows = weights.join(F.broadcast(order), "select_date")
-    new = rows.select("select_date", KEY, F.col("weight").alias("d"))
-    old = rows.where("__next is not null").select(F.col("__next").alias("select_date"), KEY, (-F.col("weight")).alias("d"))
-    delta = new.unionByName(old).groupBy("select_date", KEY).agg(F.sum("d").alias("d"))
+    sides = F.array(F.struct(F.col("select_date").alias("select_date"), F.col("weight").alias("d")), F.struct(F.col("__next").alias("select_date"), (-F.col("weight")).alias("d")))
+    seen = rows.select(KEY, F.explode(sides).alias("s")).select(KEY, "s.select_date", "s.d").where("select_date is not null")
+    delta = seen.groupBy("select_date", KEY).agg(F.sum("d").alias("d"))
     by = delta.groupBy("select_date").agg(F.sum(F.greatest("d", F.lit(0.0))).alias("buy"), F.sum(F.greatest(-F.col("d"), F.lit(0.0))).alias("sell"))
     return by.withColumn("cost", (F.col("buy") + F.col("sell")) * commission + F.col("sell") * stamp)
 

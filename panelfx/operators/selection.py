@@ -160,12 +160,14 @@ def most_selected_by_year(weights: DataFrame, n: int) -> DataFrame:
 def topm_buffer(ranked: DataFrame, n: int, multipliers: list[float], rank: str = "rank") -> DataFrame:
     """mult, date, code held: a code enters at rank <= n and stays while at rank <= m = ceil(n * mult). Between, the
     last event decides: enter (1), leave (0: rank over m, or absent); no fold is needed. ranked: (trade_date, code_id,
-    rank) of every ranked row; absence is made explicit on the dates x codes grid."""
-    dates = ranked.select(DAY).distinct()
-    grid = ranked.select(KEY).distinct().join(F.broadcast(dates), F.lit(True)).join(ranked.select(DAY, KEY, rank), [DAY, KEY], "left")
-    wide = grid.withColumn("mult", F.explode(F.array(*[F.lit(float(m)) for m in multipliers])))
+    rank) of every ranked row. A date without the code ends a run of its rows, and nothing is held over from run to run."""
+    order = ranked.select(DAY).distinct().withColumn("__k", F.row_number().over(Window.orderBy(DAY)))  # a row a date
+    own = Window.partitionBy(KEY).orderBy("__k")
+    rows = ranked.select(DAY, KEY, rank).join(F.broadcast(order), DAY)
+    rows = rows.withColumn("__gap", F.when(F.col("__k") - F.lag("__k").over(own) == 1, 0).otherwise(1)).withColumn("__run", F.sum("__gap").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    wide = rows.withColumn("mult", F.explode(F.array(*[F.lit(float(m)) for m in multipliers])))
     event = F.when(F.col(rank) <= n, 1).when(F.col(rank).isNull() | (F.col(rank) > F.ceil(F.col("mult") * n)), 0)
-    held = F.last(event, ignorenulls=True).over(Window.partitionBy("mult", KEY).orderBy(DAY).rowsBetween(Window.unboundedPreceding, 0))
+    held = F.last(event, ignorenulls=True).over(Window.partitionBy("mult", KEY, "__run").orderBy("__k").rowsBetween(Window.unboundedPreceding, 0))
     return wide.withColumn("held", held).where("held = 1").select("mult", DAY, KEY, rank)
 
 

@@ -309,3 +309,47 @@ def test_hourly_weights_all_is_brute_force(spark):
     got = {(r.code_id, r.bar_ts): r.weight for r in queries()["hourly_weights_all"](spark, sf).collect()}
     assert got == {k: pytest.approx(v, abs=2e-6) for k, v in want.items()}
     assert min(ts for _, ts in got) < "1998" and min(chosen) < D(1998, 1, 1)
+
+
+def test_engine_stands_without_the_corpus_operators():
+    """Nothing outside panelfx.llm imports it."""
+    import re
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1] / "panelfx"
+    found = [p.name for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts and re.search(r"^\s*(?:from|import)\s.*\bllm\b", p.read_text(), re.M)]
+    assert not found
+
+
+def test_legacy_growth_keeps_negative_bases(spark):
+    import datetime as dt
+
+    from panelfx.operators import filings
+
+    d = dt.date
+    rows = [(1, d(2020, 3, 31), d(2020, 4, 20), -10.0, 5.0), (1, d(2020, 6, 30), d(2020, 8, 20), 10.0, 10.0), (1, d(2021, 3, 31), d(2021, 4, 20), 5.0, 0.0), (1, d(2020, 12, 31), d(2021, 4, 25), 40.0, 1.0)]
+    out = filings.legacy_growth(spark.createDataFrame(rows, "code_id long, report_date date, publish_date date, r double, b double"), "r", "b").orderBy("report_date").collect()
+    assert [r.report_date for r in out] == [d(2020, 3, 31), d(2020, 6, 30), d(2021, 3, 31)]  # the year's report came after a later one
+    half, first = out[1], out[2]
+    assert half.sq == 20.0 and half.sq_qoq == 1 - 20.0 / -10.0 and half.stock_qoq == 1.0 and half.sq_yoy is None
+    assert first.sq_yoy == 1 - 5.0 / -10.0 and first.stock_yoy == -1.0
+
+
+def test_upsert_has_a_defined_winner(spark):
+    from panelfx.operators import incremental
+
+    old = spark.createDataFrame([(1, "a", 1)], "k int, v string, at int")
+    new = spark.createDataFrame([(1, "b", 3), (1, "c", 2), (2, "x", 1), (2, "y", 1)], "k int, v string, at int")
+    for n in (1, 4):
+        got = {r.k: r.v for r in incremental.upsert_keep_last(old, new.repartition(n), ["k"], ["at"]).collect()}
+        assert got == {1: "b", 2: "y"}
+
+
+def test_neutralize_collinear_and_infinite(spark):
+    from panelfx.operators import cross_section as xs
+
+    rows = [(1, 1, float(i), 2.0 * i, float(i * i)) for i in range(6)] + [(1, 1, float("inf"), 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "trade_date int, industry int, a double, b double, y double")
+    out = xs.neutralize_multi(df, "y", ["a", "b"], out="res").collect()
+    one = {r.a: r.res for r in xs.neutralize_multi(df.where("a < 1e9"), "y", ["a"], out="res").collect()}
+    assert all(abs(r.res - one[r.a]) < 1e-9 for r in out if r.a != float("inf")) and [r.res for r in out if r.a == float("inf")] == [None]
