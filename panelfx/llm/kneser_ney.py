@@ -76,6 +76,27 @@ def _counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nd
 
 
 _WORD_BLOCK = "shard int, keys binary, a binary"
+#: Bytes of text for each shard, about: what a shard holds in memory follows from it.
+SHARD_BYTES = 32_000_000
+
+
+def _dealt(blocks: DataFrame, shards: int) -> DataFrame:
+    """Blocks dealt by shard, those of a shard one after the other."""
+    return blocks.repartition(shards, "shard").sortWithinPartitions("shard")
+
+
+def _shards_of(batches):
+    """Each shard of a partition with its rows (without the shard's number), one shard in memory at a time."""
+    now, rows = None, []
+    for batch in batches:
+        for s, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if s != now and rows:
+                yield now, rows
+                rows = []
+            now = s
+            rows.append(row)
+    if rows:
+        yield now, rows
 
 
 def word_counts(docs: DataFrame, shards: int) -> DataFrame:
@@ -104,15 +125,12 @@ def word_counts(docs: DataFrame, shards: int) -> DataFrame:
             yield send()
 
     def merge(batches):
-        got: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for b in batches:
-            for s, k, a in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                got.setdefault(s, []).append((np.frombuffer(k, _U), _unvarint(a, len(k) // 8)))
-        for s, parts in got.items():
+        for s, rows in _shards_of(batches):
+            parts = [(np.frombuffer(k, _U), _unvarint(a, len(k) // 8)) for k, a in rows]
             k, c = _counted(np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts]))
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([k.tobytes()], pa.binary()), pa.array([c.astype("<u8").tobytes()], pa.binary())], ["shard", "keys", "a"])
 
-    return docs.select("text").mapInArrow(local, _WORD_BLOCK).repartition(shards, "shard").mapInArrow(merge, _WORD_BLOCK)
+    return _dealt(docs.select("text").mapInArrow(local, _WORD_BLOCK), shards).mapInArrow(merge, _WORD_BLOCK)
 
 
 def _sum_columns(keys: np.ndarray, *cols: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -254,7 +272,8 @@ def train(docs: DataFrame, order: int = 2) -> Model:
     if order not in (2, 3):
         raise ValueError(f"order {order}: 2 or 3")
     spark = docs.sparkSession
-    shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = int(docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0)
+    shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     uri = shared_dir(spark, "kneser-ney")
     counts = saved(word_counts(docs, shards), "word-counts")
 
@@ -375,24 +394,17 @@ def _pair_counts(docs: DataFrame, shards: int, hot: np.ndarray, uri: str) -> Dat
             yield sent(*merged(held))
 
     def merge(batches):
-        got: dict[int, list] = {}
-        for batch in batches:
-            for s, a, runs, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                bs = np.frombuffer(b, _U)
-                got.setdefault(s, []).append((np.frombuffer(a, _U), np.frombuffer(runs, "<u4"), bs, np.frombuffer(c, np.uint8, len(bs)), c[len(bs) :]))
-        for s in list(got):
-            parts = got.pop(s)
+        for s, parts in _shards_of(batches):
             held = []
-            for a, runs, b, c, big in parts:
-                c = c.astype(np.int64)
-                c[c == 255] = np.frombuffer(big, "<u8")
-                held.append((np.repeat(a, runs), b, c))
+            for a, runs, b, c in parts:
+                b = np.frombuffer(b, _U)
+                held.append((np.repeat(np.frombuffer(a, _U), np.frombuffer(runs, "<u4")), b, _unvarint(c, len(b))))
             del parts
             a, b, c = merged(held)
             del held
             yield _finished(s, f"{uri}/pairs-{s:06d}-{uuid.uuid4().hex}", a, b, c)
 
-    return docs.select("text").mapInArrow(local, _PAIR_MAP).repartition(shards, "shard").mapInArrow(merge, _PAIR_SHARD)
+    return _dealt(docs.select("text").mapInArrow(local, _PAIR_MAP), shards).mapInArrow(merge, _PAIR_SHARD)
 
 
 def _vocabulary(counts: DataFrame, shards: int, hot: np.ndarray, uri: str) -> Vocabulary:
@@ -486,12 +498,9 @@ def _triple_counts(docs: DataFrame, v: Vocabulary, hot: np.ndarray, uri: str) ->
     def merge(batches):
         ids = Ids(shared.value)
         end = int(ids.of(np.array([END], _U))[0])
-        got: dict[int, list] = {}
-        for x in batches:
-            for s, a, runs, b, c, n in zip(*(x.column(i).to_pylist() for i in range(6)), strict=True):
-                got.setdefault(s, []).append((a, runs, b, c, n))
-        for s in list(got):
-            parts = got.pop(s)
+        for s, rows in _shards_of(x.select(range(6)) for x in batches):
+            parts = rows
+            del rows
             two = np.concatenate([firsts(a, runs).astype(np.int64) << 32 | _unplanes(b) for a, runs, b, _, _ in parts])
             c = np.concatenate([_unplanes(c) for *_, c, _ in parts])
             n = np.concatenate([_unvarint(n, len(c) // 4) for *_, c, n in parts])
@@ -530,16 +539,17 @@ def _triple_counts(docs: DataFrame, v: Vocabulary, hot: np.ndarray, uri: str) ->
 
     def finish(batches):
         ids = Ids(shared.value)
-        got: dict[int, list] = {}
-        for x in batches:
-            for s, a, runs, b, sizes, raw, tpath, *t in zip(*(col.to_pylist() for col in x.columns), strict=True):
+        for s, rows in _shards_of(batches):
+            parts = []
+            for a, runs, b, sizes, raw, tpath, *t in rows:
                 if tpath is not None:
                     yield pa.RecordBatch.from_arrays([pa.array([y], k) for y, k in zip((s, *[None] * 9, tpath, *t), out_types, strict=True)], out_names)
                     continue
                 cuts = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<u8").astype(np.int64))]).tolist()
-                got.setdefault(s, []).append((a, runs, b, [raw[p:q] for p, q in zip(cuts[:-1], cuts[1:])]))
-        for s in list(got):
-            parts = got.pop(s)
+                parts.append((a, runs, b, [raw[p:q] for p, q in zip(cuts[:-1], cuts[1:])]))
+            del rows
+            if not parts:
+                continue
             key = np.concatenate([firsts(a, runs).astype(_U) << _U(32) | _unplanes(b) for a, runs, b, _ in parts])
             order = np.argsort(key, kind="stable")
             key = key[order]
@@ -556,8 +566,8 @@ def _triple_counts(docs: DataFrame, v: Vocabulary, hot: np.ndarray, uri: str) ->
 
     out_names = ["shard", "path", "a", "first", "b", "second", "n1", "n2", "n3", "n4", "tpath", "t1", "t2", "t3", "t4"]
     out_types = (pa.int32(), pa.string(), *[pa.binary()] * 4, *[pa.int64()] * 4, pa.string(), *[pa.int64()] * 4)
-    triples = docs.select("text").mapInArrow(local, row).repartition(shards, "shard").mapInArrow(merge, row)
-    return triples.repartition(shards, "shard").mapInArrow(finish, f"{_PAIR_SHARD}, tpath string, t1 long, t2 long, t3 long, t4 long")
+    triples = _dealt(docs.select("text").mapInArrow(local, row), shards).mapInArrow(merge, row)
+    return _dealt(triples, shards).mapInArrow(finish, f"{_PAIR_SHARD}, tpath string, t1 long, t2 long, t3 long, t4 long")
 
 
 _STATS = "shard int, keys binary, total long, cont binary, gamma binary, sum binary, n1 long, n2 long, n3 long, n4 long, n3plus long"
@@ -582,13 +592,12 @@ def _word_stats(pairs: DataFrame, shards: int, d2: tuple[float, float, float]) -
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["shard", "a", "first", "b", "second"])
 
     def merge(batches):
-        got: dict[int, list] = {}
-        for batch in batches:
-            for s, a, first, b, second in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+        for s, rows in _shards_of(batches):
+            parts = []
+            for a, first, b, second in rows:
                 ka, kb = np.frombuffer(a, _U), np.frombuffer(b, _U)
                 ends = np.frombuffer(first, "<u4", offset=1) if len(first) % 8 == 1 else np.frombuffer(first, "<u8")
-                got.setdefault(s, []).append((ka, ends.astype(np.int64).reshape(4, -1), kb, _unvarint(second, len(kb))))
-        for s, parts in got.items():
+                parts.append((ka, ends.astype(np.int64).reshape(4, -1), kb, _unvarint(second, len(kb))))
             ka, *ends = _sum_columns(np.concatenate([p[0] for p in parts]), *np.concatenate([p[1] for p in parts], axis=1))
             kb, cont = _sum_columns(np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]))
             keys = np.union1d(ka, kb)
@@ -604,7 +613,7 @@ def _word_stats(pairs: DataFrame, shards: int, d2: tuple[float, float, float]) -
                 ["shard", "keys", "total", "cont", "gamma", "sum", "n1", "n2", "n3", "n4", "n3plus"],
             )
 
-    return pairs.mapInArrow(split, "shard int, a binary, first binary, b binary, second binary").repartition(shards, "shard").mapInArrow(merge, _STATS)
+    return _dealt(pairs.mapInArrow(split, "shard int, a binary, first binary, b binary, second binary"), shards).mapInArrow(merge, _STATS)
 
 
 def _write_words(stats: DataFrame, counts: DataFrame, uri: str, d1, total: int, floor: float) -> DataFrame:
