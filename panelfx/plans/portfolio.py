@@ -9,12 +9,12 @@ from .selection import _SCORE, _W, _scored, _weights
 
 _RET = "(SELECT trade_date, code_id, close / pre_close - 1 AS ret FROM bars_m)"
 _SPAN = "(SELECT DISTINCT trade_date FROM bars_m)"
-# selections every other month, so that weights are held over dates
-_WH = f"(SELECT * FROM {_W} WHERE month(select_date) % 2 = 1)"
+# selections of every date
+_WH = _W
 
 
 def _wh(t):
-    return _weights(t).where("month(select_date) % 2 = 1")
+    return _weights(t)
 
 
 def _ret(t):

@@ -48,7 +48,7 @@ VIEWS = {
   SELECT user_id, date_trunc('hour', ts) AS bar_ts, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS amount,
          max(value) AS high, min(value) AS low FROM events GROUP BY user_id, date_trunc('hour', ts)""",
     "notices": """
-  SELECT doc_id % (SELECT count(*) FROM supplier) AS code_id, date '1995-01-02' + CAST(doc_id % 2400 AS INTEGER) AS notice_date, substr(text, 1, 20) AS title FROM documents""",
+  SELECT doc_id % (SELECT count(*) FROM supplier) AS code_id, date '1995-01-02' + CAST(doc_id % 2400 AS INTEGER) AS notice_date, text AS title FROM documents""",
     # a monthly panel with everything that selections and evaluations need
     "panel": """
   SELECT b.*, s.code, s.name, s.industry, b.close * s.float_shares AS mv,
