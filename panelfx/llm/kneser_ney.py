@@ -7,7 +7,7 @@ large. Nothing but per-shard totals reaches the driver.
 
 Files, in the shared folder, all little-endian arrays sorted by hash:
     words-S: word hash u64 | backed-off log probability's value f64 | weight of the backed-off model after the word f64 | total of pairs after the word u32 x 2 (total, count)
-    pairs-S, triples-S: number of keys and of large counts by column | hash u64 | large counts (u64 position, u64 count) by column | counts u8 by column, 255 standing for a large one
+    pairs-S, triples-S: rows of counts, keyed by the hash of the words: a header, frequent combinations of counts, written-out counts, buckets of the hash's upper bits, its next 32 bits (u32), and a byte for the counts
 
 The order is two or three. Order two: pairs, backed off to continuation counts of single words, backed off to a uniform
 distribution. Order three: triples, backed off to pairs counted by the distinct words before them (pairs at a text's begin,
@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -156,26 +157,89 @@ def _unplanes(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
+def _squeezed(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw) if raw else b""
+
+
+def _loosened(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw) if raw else b""
+
+
+#: Keys of a bucket of a file, about; a key's upper bits are its bucket, the next 32 are stored.
+BUCKET = 16
+
+
 def _write_keyed(path: str, key: np.ndarray, *cols: np.ndarray) -> None:
-    """A file of sorted keys with counts."""
-    large = [np.flatnonzero(c >= 255) for c in cols]
+    """A file of sorted keys with counts: rows of counts are told apart by one byte, the number of a frequent combination,
+    or 255 for a row that is written out."""
+    n = len(key)
+    bits = max(0, int(n // BUCKET).bit_length())
+    bounds = np.searchsorted(key >> _U(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, n])
+    low = (key << _U(bits)) >> _U(32)
+    packed = np.zeros(n, np.uint64)
+    fits = np.ones(n, bool)
+    room = 60 // len(cols)
+    for i, c in enumerate(cols):
+        fits &= c < 1 << room
+        packed |= np.minimum(c, (1 << room) - 1).astype(_U) << _U(room * i)
+    kinds, inv, times = np.unique(packed[fits], return_inverse=True, return_counts=True)
+    top = np.sort(np.argsort(-times, kind="stable")[:255])
+    number = np.full(len(kinds), 255, np.uint8)
+    number[top] = np.arange(len(top), dtype=np.uint8)
+    code = np.full(n, 255, np.uint8)
+    code[fits] = number[inv]
+    out = np.flatnonzero(code == 255)
+    combos = np.stack([(kinds[top] >> _U(room * i)) & _U((1 << room) - 1) for i in range(len(cols))])
+    wide = "<u8" if any(len(c) and int(c.max()) >= 1 << 32 for c in cols) else "<u4"
     write_bytes(
-        path, np.array([len(key), *map(len, large)], "<u8").tobytes(), key.tobytes(),
-        *(x for at, c in zip(large, cols, strict=True) for x in (at.astype("<u8").tobytes(), c[at].astype("<u8").tobytes())), *(np.minimum(c, 255).astype(np.uint8).tobytes() for c in cols),
+        path, np.array([n, bits, len(top), len(out), np.dtype(wide).itemsize], "<u8").tobytes(), combos.astype("<u8").tobytes(), b"".join(c[out].astype(wide).tobytes() for c in cols),
+        out.astype("<u4").tobytes(), bounds.astype("<u4").tobytes(), low.astype("<u4").tobytes(), code.tobytes(),
     )
 
 
-def _open_keyed(path: str, width: int):
-    """Keys, and (positions of large counts, large counts, small counts) by column."""
-    raw = open_mapped(path)
-    n, *big = raw[: 8 * (width + 1)].view("<u8").tolist()
-    x = 8 * (width + 1)
-    key, x = raw[x : x + 8 * n].view(_U), x + 8 * n
-    large = []
-    for k in big:
-        large.append((raw[x : x + 8 * k].view("<u8"), raw[x + 8 * k : x + 16 * k].view("<u8")))
-        x += 16 * k
-    return key, [(*large[i], raw[x + n * i : x + n * (i + 1)]) for i in range(width)]
+class Keyed:
+    """A mapped file of sorted keys with counts. An unseen key is taken for a seen one with a chance of about
+    BUCKET / 2^32."""
+
+    def __init__(self, path: str, width: int):
+        raw = open_mapped(path)
+        self.n, self.bits, combos, out, wide = raw[:40].view("<u8").tolist()
+        at = 40
+
+        def part(kind: str, size: int) -> np.ndarray:
+            nonlocal at
+            x = raw[at : at + size * np.dtype(kind).itemsize].view(kind)
+            at += size * np.dtype(kind).itemsize
+            return x
+
+        self.combos = part("<u8", combos * width).reshape(width, combos).astype(np.int64)
+        self.large = part(f"<u{wide}", out * width).reshape(width, out)
+        self.out = part("<u4", out)
+        self.bounds, self.low, self.code = part("<u4", (1 << self.bits) + 1), part("<u4", self.n), part("u1", self.n)
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of keys, and whether they are there: a binary search in each key's bucket."""
+        bucket = (key >> _U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(key), np.int64)
+        want = ((key << _U(self.bits)) >> _U(32)).astype(np.uint32)
+        lo, hi = self.bounds[bucket].astype(np.int64), self.bounds[bucket + 1].astype(np.int64)
+        end = hi.copy()
+        while (open_ := lo < hi).any():
+            mid = (lo + hi) >> 1
+            less = open_ & (self.low[np.minimum(mid, self.n - 1)] < want)
+            lo = np.where(less, mid + 1, lo)
+            hi = np.where(open_ & ~less, mid, hi)
+        at = np.minimum(lo, self.n - 1)
+        return at, (lo < end) & (self.low[at] == want)
+
+    def counts(self, at: np.ndarray) -> np.ndarray:
+        """A row for each column."""
+        code = self.code[at]
+        out = np.zeros((len(self.large), len(at)), np.int64)
+        known = code < 255
+        out[:, known] = self.combos[:, code[known]]
+        if not known.all():
+            out[:, ~known] = self.large[:, np.searchsorted(self.out, at[~known])]
+        return out
 
 
 @dataclass
@@ -309,7 +373,7 @@ def train(docs: DataFrame, order: int = 2) -> Model:
     # counts of counts, over shards
     n_of = pairs.select("n1", "n2", "n3", "n4").groupBy().sum().first()
     d2 = discounts(*(int(x or 0) for x in n_of))
-    stats = saved(_word_stats(pairs, shards, d2), "word-stats")
+    stats = saved(_word_stats(pairs, shards, d2, vocab), "word-stats")
     n_of = stats.select("n1", "n2", "n3", "n4", "total").groupBy().sum().first()
     d1 = discounts(*(int(x or 0) for x in n_of[:4]))
     total = int(n_of[4] or 0)
@@ -336,18 +400,21 @@ def _pair_shard(a: np.ndarray, b: np.ndarray, shards: int, hot: np.ndarray) -> n
 _PAIR_SHARD = "shard int, path string, a binary, first binary, b binary, second binary, n1 long, n2 long, n3 long, n4 long"
 
 
-def _finished(s: int, path: str, a: np.ndarray, b: np.ndarray, c: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
-    """Writes a shard's distinct pairs, sorted by first word, with their counts (and more columns); its row."""
+def _finished(s: int, path: str, a: np.ndarray, b: np.ndarray, c: np.ndarray, *more: np.ndarray, ids=None) -> pa.RecordBatch:
+    """Writes a shard's distinct pairs, sorted by first word, with their counts (and more columns); its row, with words by
+    hash, or by id in planes if ids are given."""
     key = pair_key(a, b)
     order = np.argsort(key)
     _write_keyed(path, key[order], *(x[order] for x in (c, *more)))
+    a, b = ids or (a, b)
+    told = (lambda x: _squeezed(_planes(x))) if ids else (lambda x: x.tobytes())
     g = group_starts(a)
     ends = [np.add.reduceat(x, g) for x in (c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c >= 3).astype(np.int64))]
     vb, vc = _counted(b)
     first = np.stack(ends).astype("<u4") if c.sum() < 2**32 else np.stack(ends).astype("<u8")
     ns = [int((c == k).sum()) for k in (1, 2, 3, 4)]
     return pa.RecordBatch.from_arrays(
-        [pa.array([x], t) for x, t in zip((s, path, a[g].tobytes(), first.tobytes(), vb.tobytes(), _varint(vc), *ns), (pa.int32(), pa.string(), *[pa.binary()] * 4, *[pa.int64()] * 4), strict=True)],
+        [pa.array([x], t) for x, t in zip((s, path, told(a[g]), first.tobytes(), told(vb), _varint(vc), *ns), (pa.int32(), pa.string(), *[pa.binary()] * 4, *[pa.int64()] * 4), strict=True)],
         ["shard", "path", "a", "first", "b", "second", "n1", "n2", "n3", "n4"],
     )
 
@@ -446,6 +513,7 @@ def _triple_counts(docs: DataFrame, v: Vocabulary, hot: np.ndarray, uri: str) ->
     names = ["shard", "a", "runs", "b", "c", "n", "tpath", "t1", "t2", "t3", "t4"]
 
     def batch(rows):
+        rows = [(i, *map(_squeezed, row[:5]), *row[5:]) for i, *row in rows]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types, strict=True)], names)
 
     def blocks(s, a, *cols):
@@ -499,7 +567,7 @@ def _triple_counts(docs: DataFrame, v: Vocabulary, hot: np.ndarray, uri: str) ->
         ids = Ids(shared.value)
         end = int(ids.of(np.array([END], _U))[0])
         for s, rows in _shards_of(x.select(range(6)) for x in batches):
-            parts = rows
+            parts = [[_loosened(x) for x in row] for row in rows]
             del rows
             two = np.concatenate([firsts(a, runs).astype(np.int64) << 32 | _unplanes(b) for a, runs, b, _, _ in parts])
             c = np.concatenate([_unplanes(c) for *_, c, _ in parts])
@@ -545,6 +613,7 @@ def _triple_counts(docs: DataFrame, v: Vocabulary, hot: np.ndarray, uri: str) ->
                 if tpath is not None:
                     yield pa.RecordBatch.from_arrays([pa.array([y], k) for y, k in zip((s, *[None] * 9, tpath, *t), out_types, strict=True)], out_names)
                     continue
+                a, runs, b, sizes, raw = map(_loosened, (a, runs, b, sizes, raw))
                 cuts = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<u8").astype(np.int64))]).tolist()
                 parts.append((a, runs, b, [raw[p:q] for p, q in zip(cuts[:-1], cuts[1:])]))
             del rows
@@ -559,9 +628,9 @@ def _triple_counts(docs: DataFrame, v: Vocabulary, hot: np.ndarray, uri: str) ->
             for i in range(5):
                 cols.append(np.add.reduceat(np.concatenate([_unvarint(raw[i], len(b) // 4) for _, _, b, raw in parts])[order], g))
             del parts, order, g
-            a, b = ids.hashes((key >> _U(32)).astype(np.int64)), ids.hashes((key & _U(low)).astype(np.int64))
+            by_id = (key >> _U(32)).astype(np.int64), (key & _U(low)).astype(np.int64)
             del key
-            done = _finished(s, f"{uri}/pairs-{s:06d}-{uuid.uuid4().hex}", a, b, *cols)
+            done = _finished(s, f"{uri}/pairs-{s:06d}-{uuid.uuid4().hex}", *map(ids.hashes, by_id), *cols, ids=by_id)
             yield pa.RecordBatch.from_arrays([*done.columns, pa.array([None], pa.string()), *[pa.array([None], pa.int64())] * 4], out_names)
 
     out_names = ["shard", "path", "a", "first", "b", "second", "n1", "n2", "n3", "n4", "tpath", "t1", "t2", "t3", "t4"]
@@ -573,21 +642,31 @@ def _triple_counts(docs: DataFrame, v: Vocabulary, hot: np.ndarray, uri: str) ->
 _STATS = "shard int, keys binary, total long, cont binary, gamma binary, sum binary, n1 long, n2 long, n3 long, n4 long, n3plus long"
 
 
-def _word_stats(pairs: DataFrame, shards: int, d2: tuple[float, float, float]) -> DataFrame:
-    """By word shard: word, distinct words before it, weight after it, and total after it."""
+def _word_stats(pairs: DataFrame, shards: int, d2: tuple[float, float, float], vocab: Vocabulary | None) -> DataFrame:
+    """By word shard: word, distinct words before it, weight after it, and total after it. With a vocabulary, words travel
+    by id; ids are ranks by hash, so both ascend together."""
+
+    def words(raw):
+        return _unplanes(_loosened(raw)).astype(np.int64) if vocab else np.frombuffer(raw, _U)
+
+    def told(k):
+        return _squeezed(_planes(k)) if vocab else k.tobytes()
+
+    def cuts(k):
+        return np.searchsorted(k, vocab.starts).tolist() if vocab else np.searchsorted(_shard(k, shards), np.arange(shards + 1)).tolist()
 
     def split(batches):
         for batch in batches:
             for a, first, b, second in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
-                ka, kb = np.frombuffer(a, _U), np.frombuffer(b, _U)
+                ka, kb = words(a), words(b)
                 ends = np.frombuffer(first, "<u4" if len(first) == 16 * len(ka) else "<u8").astype(np.int64).reshape(4, -1)
                 cont = _unvarint(second, len(kb))
-                ca, cb = np.searchsorted(_shard(ka, shards), np.arange(shards + 1)).tolist(), np.searchsorted(_shard(kb, shards), np.arange(shards + 1)).tolist()
+                ca, cb = cuts(ka), cuts(kb)
                 rows = []
                 for s in range(shards):
                     x, y, p, q = ca[s], ca[s + 1], cb[s], cb[s + 1]
                     if y > x or q > p:
-                        rows.append((s, ka[x:y].tobytes(), ends[:, x:y].astype("<u8").tobytes() if ends.size and ends.max() >= 2**32 else b"4" + ends[:, x:y].astype("<u4").tobytes(), kb[p:q].tobytes(), _varint(cont[p:q])))
+                        rows.append((s, told(ka[x:y]), ends[:, x:y].astype("<u8").tobytes() if ends.size and ends.max() >= 2**32 else b"4" + ends[:, x:y].astype("<u4").tobytes(), told(kb[p:q]), _varint(cont[p:q])))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["shard", "a", "first", "b", "second"])
 
@@ -595,7 +674,7 @@ def _word_stats(pairs: DataFrame, shards: int, d2: tuple[float, float, float]) -
         for s, rows in _shards_of(batches):
             parts = []
             for a, first, b, second in rows:
-                ka, kb = np.frombuffer(a, _U), np.frombuffer(b, _U)
+                ka, kb = words(a), words(b)
                 ends = np.frombuffer(first, "<u4", offset=1) if len(first) % 8 == 1 else np.frombuffer(first, "<u8")
                 parts.append((ka, ends.astype(np.int64).reshape(4, -1), kb, _unvarint(second, len(kb))))
             ka, *ends = _sum_columns(np.concatenate([p[0] for p in parts]), *np.concatenate([p[1] for p in parts], axis=1))
@@ -608,6 +687,7 @@ def _word_stats(pairs: DataFrame, shards: int, d2: tuple[float, float, float]) -
             total[at] = ends[0]
             gamma[at] = (d2[0] * ends[1] + d2[1] * ends[2] + d2[2] * ends[3]) / ends[0]
             ns = [int((c == k).sum()) for k in (1, 2, 3, 4)]
+            keys = Ids(vocab).hashes(keys) if vocab else keys
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x], t) for x, t in zip((s, keys.tobytes(), int(c.sum()), _varint(c), gamma.tobytes(), _varint(total), *ns, int((c >= 3).sum())), (pa.int32(), pa.binary(), pa.int64(), *[pa.binary()] * 3, *[pa.int64()] * 5), strict=True)],
                 ["shard", "keys", "total", "cont", "gamma", "sum", "n1", "n2", "n3", "n4", "n3plus"],
@@ -660,23 +740,17 @@ class Scorer:
     def _keyed(self, kind: str, s: int, width: int):
         if (kind, s) not in self.maps:
             path = (self.m.pairs if kind == "p" else self.m.triples).get(s)
-            self.maps[kind, s] = (np.zeros(0, _U), []) if path is None else _open_keyed(path, width)
+            self.maps[kind, s] = Keyed(path, width) if path is not None else None
         return self.maps[kind, s]
 
     def _counts(self, kind: str, shard: np.ndarray, key: np.ndarray, width: int) -> np.ndarray:
         out = np.zeros((width, len(key)), np.int64)
         for s, at in _by_shard(shard):
-            keys, cols = self._keyed(kind, s, width)
-            if len(keys):
+            file = self._keyed(kind, s, width)
+            if file is not None and file.n:
                 at = at[np.argsort(key[at])]  # ascending look-ups stay within few pages
-                pos = np.minimum(np.searchsorted(keys, key[at]), len(keys) - 1)
-                ok = keys[pos] == key[at]
-                for i, (where, large, small) in enumerate(cols):
-                    c = small[pos].astype(np.int64)
-                    if len(where):
-                        big = ok & (c == 255)
-                        c[big] = large[np.searchsorted(where, pos[big].astype(_U))].astype(np.int64)
-                    out[i, at[ok]] = c[ok]
+                pos, ok = file.find(key[at])
+                out[:, at[ok]] = file.counts(pos[ok])
         return out
 
     def words(self, h: np.ndarray):
