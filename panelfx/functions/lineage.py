@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 
+def shared_folder(spark, label: str) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or the warehouse where that is unset."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and written to the folder of spark.checkpoint.dir; below the warehouse where that is unset."""
     spark = df.sparkSession

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import avg_rank
-from ..functions.lineage import checkpointed
+from ..functions.lineage import checkpointed, shared_folder
 from .cross_section import preprocess_many
 from .evaluate import ic_summary, rank_ic
 from .joins import factor_attach
@@ -91,13 +91,16 @@ def rolling_train_predict(dataset: DataFrame, features: list[str], label: str, w
         target = ready.where((F.col(DAY) >= F.lit(w.test_start)) & (F.col(DAY) < F.lit(w.test_end))) if predict_on == "test" else part.where("is_val")
         if part.isEmpty():
             continue
+        own = None
         for seed in seeds[:1] if kind == "linear" else seeds:
             fit = _model(kind, params or {}, seed).fit(part.where("not is_val") if kind == "linear" else part)
             err = fit.transform(part).groupBy("is_val").agg(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("label"), 2))).alias("rmse"))
             rmse = {r.is_val: r.rmse for r in err.collect()}
             records.append((int(w.window_id), int(seed), int(getattr(fit, "getNumTrees", 0) or 0), rmse.get(False), rmse.get(True)))
             p = fit.transform(target).select(F.lit(int(w.window_id)).alias("window_id"), F.lit(int(seed)).alias("seed"), DAY, KEY, "label", "prediction")
-            predictions = p if predictions is None else predictions.unionByName(p)
+            own = p if own is None else own.unionByName(p)
+        own = checkpointed(own)  # a window's predictions: the plan doesn't grow with windows and seeds
+        predictions = own if predictions is None else predictions.unionByName(own)
     record = spark.createDataFrame(records, "window_id int, seed int, trees int, train_rmse double, val_rmse double")
     if predictions is None:
         empty = spark.createDataFrame([], f"window_id int, {DAY} date, {KEY} long, label double, ml_factor double")
@@ -125,18 +128,70 @@ def param_candidates(grid: dict[str, list], trials: int, seed: int = 1) -> list[
     return points if len(points) <= trials else random.Random(seed).sample(points, trials)
 
 
-def param_search(dataset: DataFrame, features: list[str], label: str, windows: DataFrame, candidates: list[dict], kind: str = "linear", seeds: tuple[int, ...] = (1,)) -> DataFrame:
-    """trial, params, ic_mean, ic_ir, best: each candidate fitted over the windows and scored by rank IC on validation
-    rows; the largest ic_mean is best. The candidates are a short driver-side list, their fits are distributed."""
+def sample_params(ranges: dict[str, tuple | list], trials: int, seed: int = 1) -> list[dict]:
+    """A seeded sample of `trials` points: of (low, high, step) a number on those steps, of a list one of its items."""
+    import random
+
+    draw = random.Random(seed)
+
+    def one(r):
+        if isinstance(r, list):
+            return draw.choice(r)
+        low, high, step = r
+        x = low + step * draw.randint(0, int(round((high - low) / step)))
+        return int(x) if isinstance(low, int) and isinstance(step, int) else round(x, 10)
+
+    return [{k: one(r) for k, r in ranges.items()} for _ in range(trials)]
+
+
+#: Measures that are better when smaller; the others when larger.
+SMALLER = ("train_rmse", "val_rmse", "overfit_ratio")
+
+
+def param_search(dataset: DataFrame, features: list[str], label: str, windows: DataFrame, candidates: list[dict], kind: str = "linear", seeds: tuple[int, ...] = (1,), metric: str = "ic_mean") -> DataFrame:
+    """trial, params, ic_mean, ic_ir (rank IC on validation rows), train_rmse, val_rmse and overfit_ratio (means over windows
+    and seeds; the ratio is validation over training), best: each candidate fitted over the windows; the best by the
+    metric, which of equal ones is the first. The candidates are a short driver-side list, their fits are distributed."""
     spark = dataset.sparkSession
     out = None
     for i, params in enumerate(candidates):
-        pred, _ = rolling_train_predict(dataset, features, label, windows, seeds, kind, params, predict_on="val")
-        s = ic_summary(rank_ic(pred, "ml_factor", "label")).select(F.lit(i).alias("trial"), F.lit(str(params)).alias("params"), F.col("mean").alias("ic_mean"), F.col("ir").alias("ic_ir"))
+        pred, fits = rolling_train_predict(dataset, features, label, windows, seeds, kind, params, predict_on="val")
+        if fits is None:  # a model without records
+            errors = spark.range(1).select(*(F.lit(None).cast("double").alias(c) for c in SMALLER))
+        else:
+            errors = fits.agg(F.avg("train_rmse").alias("train_rmse"), F.avg("val_rmse").alias("val_rmse"), F.avg(F.try_divide("val_rmse", "train_rmse")).alias("overfit_ratio"))
+        s = ic_summary(rank_ic(pred, "ml_factor", "label")).join(errors, F.lit(True)).select(F.lit(i).alias("trial"), F.lit(str(params)).alias("params"), F.col("mean").alias("ic_mean"), F.col("ir").alias("ic_ir"), *SMALLER)
         out = s if out is None else out.unionByName(s)
     if out is None:
-        return spark.createDataFrame([], "trial int, params string, ic_mean double, ic_ir double, best boolean")
-    return out.withColumn("best", F.row_number().over(Window.orderBy(F.desc_nulls_last("ic_mean"), "trial")) == 1)
+        return spark.createDataFrame([], "trial int, params string, ic_mean double, ic_ir double, train_rmse double, val_rmse double, overfit_ratio double, best boolean")
+    order = F.asc_nulls_last(metric) if metric in SMALLER else F.desc_nulls_last(metric)
+    return out.withColumn("best", F.row_number().over(Window.orderBy(order, "trial")) == 1)
+
+
+def tree_importance(model, features: list[str], name: str) -> DataFrame:
+    """model, feature, gain, splits of a fitted tree ensemble: a split's gain counts by the rows that reached it. Features
+    without a split have 0. Read from the saved model's nodes, a row a node."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    path = shared_folder(spark, "model")
+    model.write().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select("nodeData.*").where("split.featureIndex >= 0")
+    used = nodes.groupBy(F.col("split.featureIndex").alias("i")).agg(F.sum(F.col("gain") * F.col("rawCount")).alias("gain"), F.count("*").alias("splits"))
+    names = spark.createDataFrame(list(enumerate(features)), "i int, feature string")
+    return names.join(used, "i", "left").select(F.lit(name).alias("model"), "feature", F.coalesce("gain", F.lit(0.0)).alias("gain"), F.coalesce("splits", F.lit(0)).alias("splits"))
+
+
+def rolling_importance(dataset: DataFrame, features: list[str], label: str, windows: DataFrame, seeds: tuple[int, ...] = (1,), params: dict | None = None) -> DataFrame:
+    """tree_importance of one boosted model for each window and seed, as importance_table takes it."""
+    ready = checkpointed(_assembled(dataset, features, label).select(DAY, "label", "features"))
+    out = None
+    for w in windows.orderBy("window_id").collect():
+        part = ready.where((F.col(DAY) >= F.lit(w.train_start)) & (F.col(DAY) < F.lit(w.test_start))).withColumn("is_val", F.col(DAY) >= F.lit(w.val_start))
+        for seed in seeds if not part.isEmpty() else ():
+            one = tree_importance(_model("gbt", params or {}, seed).fit(part), features, f"{w.window_id}-{seed}")
+            out = one if out is None else out.unionByName(one)
+    return out if out is not None else dataset.sparkSession.createDataFrame([], "model string, feature string, gain double, splits long")
 
 
 def importance_table(importances: DataFrame) -> DataFrame:
@@ -154,7 +209,8 @@ def sample_rows(df: DataFrame, n: int, keys: list[str], seed: int = 1) -> DataFr
 def permutation_importance(model, df: DataFrame, features: list[str], label: str, n: int = 2000, seed: int = 1) -> DataFrame:
     """feature, delta: rise of the RMSE on a sample of n rows when the feature is shuffled among them."""
     base = sample_rows(df.na.fill(0.0, features), n, [DAY, KEY], seed).select(DAY, KEY, label, *features)
-    base = base.withColumn("__i", F.row_number().over(Window.orderBy(DAY, KEY))).persist()
+    base = base.withColumn("__i", F.row_number().over(Window.orderBy(DAY, KEY)))
+    base = checkpointed(base)  # n rows
 
     def rmse(d):
         return F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("label"), 2)))

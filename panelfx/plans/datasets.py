@@ -79,16 +79,26 @@ def _(t):
     return ops.overfit_summary(_metrics(t)).select("window_id", *(r6(c).alias(c) for c in ("train_rmse", "val_rmse", "mean_ratio", "max_ratio")))
 
 
+_SCORES = ("ic_mean", "ic_ir", "train_rmse", "val_rmse", "overfit_ratio")
+
+
 @query("param_search")
 def _(t):
     tries = ops.param_candidates({"regParam": [0.0, 0.1], "elasticNetParam": [0.0]}, 2)
-    return ops.param_search(_dataset(t), ["momentum", "volume"], "label", _windows(t), tries).withColumns({"ic_mean": r6("ic_mean"), "ic_ir": r6("ic_ir")})
+    return ops.param_search(_dataset(t), ["momentum", "volume"], "label", _windows(t), tries).withColumns({c: r6(c) for c in _SCORES})
 
 
 @query("validate_params")
 def _(t):
     """One parameter set on validation rows."""
-    return ops.param_search(_dataset(t), ["momentum", "volume"], "label", _windows(t), [{"regParam": 0.05}]).withColumns({"ic_mean": r6("ic_mean"), "ic_ir": r6("ic_ir")})
+    return ops.param_search(_dataset(t), ["momentum", "volume"], "label", _windows(t), [{"regParam": 0.05}]).withColumns({c: r6(c) for c in _SCORES})
+
+
+@query("model_importance")
+def _(t):
+    """Gain and split shares of boosted models, one for each window."""
+    imp = ops.rolling_importance(_dataset(t).where("label is not null"), ["momentum", "volume"], "label", _windows(t))
+    return ops.importance_table(imp).select("feature", r6("gain_pct").alias("gain_pct"), r6("split_pct").alias("split_pct"))
 
 
 _IMP = "(SELECT industry AS model, 'f' || code_id % 7 AS feature, sum(float_shares) AS gain, count(*) AS splits FROM securities GROUP BY 1, 2)"

@@ -1,17 +1,13 @@
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import r6
+from ..functions.lineage import shared_folder
 from ..sources import readers as ops
 from .registry import query, six
 
 
 def _scratch(t) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or the warehouse where that is unset."""
-    conf = t.spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir") or t.spark.sparkContext.getCheckpointDir() or t.spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/panel-{uuid.uuid4().hex}"
+    return shared_folder(t.spark, "panel")
 
 
 @query("scan_bars", "SELECT 'c' || code_id AS code, trade_date, open, high, low, close, CAST(NULL AS DOUBLE) AS total_mv FROM bars_m")

@@ -353,3 +353,40 @@ def test_neutralize_collinear_and_infinite(spark):
     out = xs.neutralize_multi(df, "y", ["a", "b"], out="res").collect()
     one = {r.a: r.res for r in xs.neutralize_multi(df.where("a < 1e9"), "y", ["a"], out="res").collect()}
     assert all(abs(r.res - one[r.a]) < 1e-9 for r in out if r.a != float("inf")) and [r.res for r in out if r.a == float("inf")] == [None]
+
+
+def test_importance_search_and_permutation(spark):
+    """Importances of fitted trees against the model's own, RMSEs and the metric's direction, a permutation by hand."""
+    import datetime as dt
+
+    import numpy as np
+
+    from panelfx.operators import datasets as ops
+
+    rng = np.random.default_rng(3)
+    days = [dt.date(2020 + m // 12, m % 12 + 1, 1) for m in range(30)]
+    rows = [(d, c, float(a), float(b), float(3 * a + 0.1 * rng.normal())) for d in days for c in range(20) for a, b in [rng.normal(size=2)]]
+    df = spark.createDataFrame(rows, "trade_date date, code_id long, a double, b double, label double")
+    windows = ops.rolling_windows(df, 24, 6, 3, 3)
+    imp = ops.rolling_importance(df, ["a", "b"], "label", windows.limit(1), params={"maxIter": 3, "maxDepth": 2})
+    by = {r.feature: r for r in imp.collect()}
+    assert by["a"].gain > 10 * by["b"].gain and by["a"].splits > 0
+    tries = ops.sample_params({"regParam": (0.0, 2.0, 0.5), "elasticNetParam": [0.0]}, 3, seed=2)
+    assert len(tries) == 3 and all(t["regParam"] in (0.0, 0.5, 1.0, 1.5, 2.0) for t in tries)
+    found = ops.param_search(df, ["a", "b"], "label", windows.limit(1), [{"regParam": 5.0}, {"regParam": 0.0}], metric="val_rmse").collect()
+    best = [r for r in found if r.best]
+    assert len(best) == 1 and best[0].trial == 1 and best[0].val_rmse == min(r.val_rmse for r in found)
+    assert all(abs(r.overfit_ratio - r.val_rmse / r.train_rmse) < 1e-9 for r in found)
+    model = ops._model("linear", {}, 1).fit(ops._assembled(df, ["a", "b"], "label"))
+    got = {r.feature: r.delta for r in ops.permutation_importance(model, df, ["a", "b"], "label", n=200).collect()}
+    sample = [(r.a, r.b, r.label) for r in ops.sample_rows(df, 200, ["trade_date", "code_id"]).orderBy("trade_date", "code_id").collect()]
+    weights, x = model.coefficients.toArray(), np.array(sample)
+    order = {k: [r.i - 1 for r in spark.range(1, 201).select(F.col("id").cast("int").alias("i")).orderBy(F.xxhash64("i", F.lit(1 + k)), "i").collect()] for k in (0, 1)}
+
+    def rmse(m):
+        return float(np.sqrt(np.mean((m @ weights + model.intercept - x[:, 2]) ** 2)))
+
+    for k, f in enumerate(("a", "b")):
+        mixed = x[:, :2].copy()
+        mixed[:, k] = mixed[order[k], k]
+        assert abs(got[f] - (rmse(mixed) - rmse(x[:, :2]))) < 1e-9
