@@ -139,6 +139,13 @@ def test_decoder_has_no_holes(restorer):
     assert restorer.decode("1d10t") in restorer.token("hello,1d10t") and "hello" in restorer.token("hello,1d10t")
 
 
+def test_toxicity_score_by_hand(restorer):
+    """Noisy-or over the distinct tokens, each by its best feature."""
+    weight = {"idiot": 0.9, "stup~": 0.5, "stupid": 0.4, "trash": 0.2}
+    for text, doubts in {"1d10t and 1d10t": [0.1], "you st*pid IDIOT": [0.5, 0.1], "i d i o t": [0.1], "": [], "clean words": [], "trash, idiot!": [0.8, 0.1]}.items():
+        assert abs(toxicity.score_text(text, restorer, weight, {}) - (1 - 0.99 * math.prod(doubts))) < 1e-12, text
+
+
 def test_toxicity_held_out(spark):
     rng = np.random.default_rng(3)
     base = ["".join(rng.choice(list("aeiouklmnrst"), 5)) for _ in range(400)]
@@ -181,6 +188,38 @@ def test_language_mixture(spark):
     assert pi[0, 1] == pytest.approx(2 / 3, abs=0.1) and pi[1].tolist() == [0.0, 1.0]
 
 
+def test_em_by_hand():
+    """Proportions against a plain loop, text by text."""
+    rng = np.random.default_rng(8)
+    text = np.repeat([0, 1, 3], [4, 7, 2])
+    like = rng.normal(size=(len(text), 3)) * 2
+    allowed = np.ones((4, 3), bool)
+    allowed[1, 2] = False
+    pi, ll = langid.em(like, text, 4, allowed, steps=5)
+    for t in (0, 1, 3):
+        p = [float(x) / allowed[t].sum() for x in allowed[t]]
+        rows = [[math.exp(v) for v in r] for r in like[text == t]]
+        for _ in range(5):
+            share = [[p[k] * r[k] / sum(p[j] * r[j] for j in range(3)) for k in range(3)] for r in rows]
+            p = [sum(s[k] for s in share) / len(rows) for k in range(3)]
+        assert np.allclose(pi[t], p) and abs(ll[t] - sum(math.log(sum(p[k] * r[k] for k in range(3))) for r in rows)) < 1e-9
+
+
+def test_language_sets_have_no_cap():
+    """A text of six languages gets all six; languages are letters of their own here."""
+    langs, bits = 6, 12
+    alphabets = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx"]
+    rng = np.random.default_rng(9)
+    own = [" ".join("".join(rng.choice(list(a), 6)) for _ in range(400)) for a in alphabets]
+    logp = np.zeros((langs, 1 << bits), np.float32)
+    for i, t in enumerate(own):
+        c, *_ = langid._letter_codes([t.encode()])
+        n = np.bincount(langid._trigrams(c, bits)[0], minlength=1 << bits) + 0.05
+        logp[i] = np.log(n / n.sum())
+    pi, _ = langid.infer([" ".join(t[:700] for t in own).encode()], logp)
+    assert (pi[0] > 0.1).all()
+
+
 def test_em_raises_likelihood():
     rng = np.random.default_rng(0)
     like, text = rng.normal(size=(60, 3)), np.repeat([0, 1, 2], 20)
@@ -796,3 +835,31 @@ def test_registered_queries_keep_their_contracts(spark):
                 con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
             sql = con.sql(f"select doc_id, item_id, item_size, containment from ({ORACLES[name]})").fetchall()
             assert {(r.doc_id, r.item_id, r.item_size, round(r.containment, 9)) for r in rows} == {(a, b, c, round(x, 9)) for a, b, c, x in sql} and sql
+
+
+def test_pipeline_by_brute_force(spark):
+    """run() against the classifier's verdicts, all pairs of fingerprints, all items in all documents, the plan's copies
+    and the tokenizer itself."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    verdict = {r.doc_id: r.predicted for r in toxicity.classify(spark, d, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+    rows = [(r.doc_id, r.text) for r in d.orderBy("doc_id").collect() if not verdict[r.doc_id]]
+    label = labels_by_brute_force(np.array([brute_fingerprint(t) for _, t in rows], np.uint64)).tolist()
+    first: dict = {}
+    for (i, _), g in zip(rows, label):
+        first[g] = min(first.get(g, i), i)
+    rows = [(i, t) for i, t in rows if i in set(first.values())]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    bad = {i for i, _ in brute_containment(rows, items)}
+    rows = [(i, t) for i, t in rows if i not in bad]
+    copies = {r.doc_id: r.copies for r in mixing.plan(d.where(F.col("doc_id").isin([i for i, _ in rows]))).collect()}
+    tok = Tokenizer.from_file(BPE)
+    want, start = [], 0
+    for i, t in rows:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        for _ in range(copies[i]):
+            want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+            start += len(ids)
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, SF).collect()) == want
