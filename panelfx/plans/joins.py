@@ -29,7 +29,7 @@ def _(t):
 
 _FOREIGN = "(SELECT o_custkey % 10 AS code_id, CAST(o_orderdate AS DATE) AS trade_date, CAST(max(o_totalprice) AS DOUBLE) AS foreign_close FROM orders WHERE NOT (o_custkey % 10 = 3 AND o_orderdate > DATE '1996-01-01') GROUP BY 1, 2)"
 _FX = "(SELECT CAST(o_orderdate AS DATE) AS trade_date, floor(avg(1 + (o_orderkey % 7) / 10.0) * 1e6 + 0.5) / 1e6 AS rate FROM orders GROUP BY 1)"
-_HOME = "(SELECT * FROM bars_m WHERE code_id < 10)"
+_HOME = "(SELECT * FROM bars_m)"
 
 
 @query("ordered_merge_ffill", f"""WITH f AS {_FOREIGN}, x AS {_FX}, h AS {_HOME},
@@ -43,7 +43,7 @@ def _(t):
     fx = o.groupBy("trade_date").agg(r6(F.avg(1 + (F.col("o_orderkey") % 7) / 10.0)).alias("rate"))
     from ..functions import r4
 
-    return ops.ordered_merge_ffill(t.bars_m.where("code_id < 10"), foreign, fx, "code_id").select("code_id", "trade_date", "foreign_close", "rate", r4("foreign_adj").alias("foreign_adj"))
+    return ops.ordered_merge_ffill(t.bars_m, foreign, fx, "code_id").select("code_id", "trade_date", "foreign_close", "rate", r4("foreign_adj").alias("foreign_adj"))
 
 
 @query("ordered_merge_ffill_all")

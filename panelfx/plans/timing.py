@@ -80,15 +80,14 @@ def _(t):
     return ops.timing_weighted_sum(h, {"a": 0.3, "low": 0.7}).select("user_id", _ts("bar_ts").alias("bar_ts"), r6("timing").alias("timing"))
 
 
-@query("hourly_weights", f"""WITH w AS (SELECT * FROM {_W} WHERE select_date >= DATE '1998-01-01'), e AS (SELECT d, coalesce((SELECT min(trade_date) FROM calendar WHERE trade_date > d), (SELECT max(trade_date) FROM calendar)) AS nd FROM (SELECT DISTINCT select_date AS d FROM w)),
+@query("hourly_weights", f"""WITH w AS (SELECT * FROM {_W}), e AS (SELECT d, coalesce((SELECT min(trade_date) FROM calendar WHERE trade_date > d), (SELECT max(trade_date) FROM calendar)) AS nd FROM (SELECT DISTINCT select_date AS d FROM w)),
 s AS (SELECT max(d) AS select_date, CAST(nd AS TIMESTAMP) + INTERVAL 630 MINUTE AS f FROM e GROUP BY nd), p AS (SELECT *, lead(f) OVER (ORDER BY f) AS t FROM s),
-g AS (SELECT code_id, bar_ts, CASE WHEN amount > 1000 THEN 0.5 ELSE 0.9 END AS signal FROM (SELECT b.code_id, x.bar_ts, b.amount FROM (SELECT * FROM bars_d WHERE trade_date >= DATE '1998-01-01') b JOIN {_GRID} x ON b.trade_date = x.trade_date))
+g AS (SELECT code_id, bar_ts, CASE WHEN amount > 1000 THEN 0.5 ELSE 0.9 END AS signal FROM (SELECT b.code_id, x.bar_ts, b.amount FROM bars_d b JOIN {_GRID} x ON b.trade_date = x.trade_date))
 SELECT w.code_id, strftime(x.bar_ts - INTERVAL 1 HOUR, '{_TS}') AS bar_ts, {six('w.weight * coalesce(g.signal, 1)')} AS weight FROM w JOIN p ON w.select_date = p.select_date JOIN {_GRID} x ON x.bar_ts >= p.f AND (p.t IS NULL OR x.bar_ts < p.t) LEFT JOIN g ON g.code_id = w.code_id AND g.bar_ts = x.bar_ts""")
 def _(t):
-    w = _weights(t).where("select_date >= date'1998-01-01'")
     grid = ops.hour_grid(t.calendar)
-    signals = t.bars_d.where("trade_date >= date'1998-01-01'").join(grid, "trade_date").select("code_id", "bar_ts", F.when(F.col("amount") > 1000, 0.5).otherwise(0.9).alias("signal"))
-    return ops.hourly_weights(w, t.calendar, signals).select("code_id", _ts("bar_ts").alias("bar_ts"), r6("weight").alias("weight"))
+    signals = t.bars_d.join(grid, "trade_date").select("code_id", "bar_ts", F.when(F.col("amount") > 1000, 0.5).otherwise(0.9).alias("signal"))
+    return ops.hourly_weights(_weights(t), t.calendar, signals).select("code_id", _ts("bar_ts").alias("bar_ts"), r6("weight").alias("weight"))
 
 
 @query("hourly_weights_all")
