@@ -134,6 +134,17 @@ def weights_matrix(weights: DataFrame, dates: DataFrame) -> DataFrame:
     return grid.join(weights.groupBy("strategy", "select_date", KEY).agg(F.sum("weight").alias("weight")), ["strategy", "select_date", KEY], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
 
 
+def period_ratios(weights: DataFrame, dates: DataFrame) -> DataFrame:
+    """Target ratios by (strategy, period, time): every rebalance date of the period (dates: period, select_date) with every
+    selected code, absent ones 0. weights: strategy, period, time, select_date, code_id, weight; selections on other dates
+    have no row. Groups and dates are few and broadcast; what grows is the result."""
+    by = ["strategy", "period", "time"]
+    groups = weights.select(*by).distinct().join(dates.select("period", "select_date").distinct(), "period")
+    grid = weights.select(KEY).distinct().join(F.broadcast(groups), F.lit(True))
+    held = weights.groupBy(*by, "select_date", KEY).agg(F.sum("weight").alias("weight"))
+    return grid.join(held, [*by, "select_date", KEY], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+
+
 def period_weights(strategies: DataFrame) -> DataFrame:
     """Capital share of each period id: (strategy_weight, period, offsets array) spread evenly over the offsets."""
     each = strategies.select(F.col("strategy_weight") / F.size("offsets"), "period", F.explode("offsets").alias("offset")).toDF("w", "period", "offset")

@@ -175,3 +175,15 @@ SELECT a.mult, {six('a.turnover')} AS turnover, {six('a.ret')} AS ret, {six('1 -
 def _(t):
     out = ops.buffer_report(_held(t), t.panel)
     return out.select("mult", *(r6(c).alias(c) for c in ("turnover", "ret", "turnover_cut", "return_kept")))
+
+
+@query("period_ratios", f"""WITH w AS (SELECT strategy, CASE strategy WHEN 'a' THEN 'M' ELSE 'W' END AS period, CASE strategy WHEN 'a' THEN '0935' ELSE 'close' END AS time, select_date, code_id, weight FROM {_TWO}),
+d AS (SELECT DISTINCT 'M' AS period, trade_date AS select_date FROM bars_m UNION ALL SELECT 'W', max(trade_date) FROM calendar GROUP BY date_trunc('week', trade_date))
+SELECT g.strategy, g.period, g.time, d.select_date, c.code_id, {six('coalesce(w.weight, 0)')} AS weight FROM (SELECT DISTINCT strategy, period, time FROM w) g JOIN d ON d.period = g.period CROSS JOIN (SELECT DISTINCT code_id FROM w) c
+LEFT JOIN w ON w.strategy = g.strategy AND w.period = g.period AND w.time = g.time AND w.select_date = d.select_date AND w.code_id = c.code_id""")
+def _(t):
+    a = F.col("strategy") == "a"
+    w = _two(t).withColumn("period", F.when(a, "M").otherwise("W")).withColumn("time", F.when(a, "0935").otherwise("close"))
+    monthly = t.bars_m.select(F.lit("M").alias("period"), F.col("trade_date").alias("select_date")).distinct()
+    weekly = ops.rebalance_calendar(t.calendar, "W").select(F.lit("W").alias("period"), "select_date")
+    return ops.period_ratios(w, monthly.unionByName(weekly)).select("strategy", "period", "time", "select_date", "code_id", r6("weight").alias("weight"))
