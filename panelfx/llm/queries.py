@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_text, html_training, kneser_ney, langid, linedup, mixing, simhash, token_store, toxicity
+from . import align, ann, conversations, decontaminate, html_text, html_training, kneser_ney, langid, linedup, mixing, simhash, token_store, toxicity
 from .common import crc_mod, read
 
 
@@ -61,7 +61,17 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_toxicity, op3_language, op4_language_model, op5_main_text, op6_mixing, op7_simhash, op8_line_dedup, op9_decontamination, op10_nearest)}
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    return conversations.repaired_digest(conversations.repair(conversations.damage(rows)))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align.align(read(spark, sf_dir, "documents"), a, b)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_toxicity, op3_language, op4_language_model, op5_main_text, op6_mixing, op7_simhash, op8_line_dedup, op9_decontamination, op10_nearest, op12_conversation_repair, op13_token_alignment)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 _SHINGLES = r"""
