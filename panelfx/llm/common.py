@@ -162,13 +162,16 @@ def combine(*hs: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words [^\\x20\\x09-\\x0D]+ of several texts, A-Z lower-cased: byte spans, text index and 64-bit hash of each."""
+    """The words [^\\x20\\x09-\\x0D]+ of several texts, A-Z lower-cased unless not fold: byte spans, text index and 64-bit
+    hash of each."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], fold: bool = True):
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
         self.n_texts = len(texts)
         self.text_start = np.concatenate([[0], np.cumsum(lens + 1)[:-1]]) if len(texts) else np.zeros(0, np.int64)
-        self.raw = b" ".join(texts).translate(_LOWER)
+        self.raw = b" ".join(texts)
+        if fold:
+            self.raw = self.raw.translate(_LOWER)
         buf = np.frombuffer(self.raw, np.uint8)
         solid = ~_SPACE[buf]
         edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, ann, conversations, decontaminate, html_text, html_training, kneser_ney, langid, linedup, mixing, simhash, token_store, toxicity
+from . import align, ann, conversations, decontaminate, html_text, html_training, kneser_ney, langid, linedup, mixing, phrases, simhash, token_store, toxicity
 from .common import crc_mod, read
 
 
@@ -61,6 +61,10 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations")
     return conversations.repaired_digest(conversations.repair(conversations.damage(rows)))
@@ -71,7 +75,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(read(spark, sf_dir, "documents"), a, b)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_toxicity, op3_language, op4_language_model, op5_main_text, op6_mixing, op7_simhash, op8_line_dedup, op9_decontamination, op10_nearest, op12_conversation_repair, op13_token_alignment)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_toxicity, op3_language, op4_language_model, op5_main_text, op6_mixing, op7_simhash, op8_line_dedup, op9_decontamination, op10_nearest, op11_substring_dedup, op12_conversation_repair, op13_token_alignment)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 _SHINGLES = r"""
@@ -87,5 +91,16 @@ n AS (SELECT item_id, count(*) AS item_size FROM b GROUP BY item_id)
 SELECT doc_id, item_id, item_size, count(*) / item_size AS containment
 FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, item_size HAVING count(*) >= 0.8 * item_size""",
 }
+ORACLES["op11_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT r, unnest(range(1, len(w) - 33)) AS p, unnest(list_transform(range(1, len(w) - 33), lambda i: md5(array_to_string(w[i:i + 34], ' ')))) AS h
+  FROM d WHERE len(w) >= 35),
+often AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, p + unnest(range(0, 35)) AS p FROM windows SEMI JOIN often USING (h)),
+words AS (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS k, count(*) AS n FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)"""
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
