@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import div, min_rank
 from .joins import asof_join
+from .staging import staged_entry  # noqa: F401
 
 DAY, KEY = "trade_date", "code_id"
 
@@ -73,39 +74,6 @@ def override_positions(weights: DataFrame, overrides: DataFrame, strategy: str =
     return weights.unionByName(copies)
 
 
-def staged_entry(selections: DataFrame, targets: list[float]) -> DataFrame:
-    """Staged entry of strategies that run in offsets: (strategy, select_date, stage, code_id) selections become
-    (strategy, select_date, code_id, share). On each date the codes of that date's stage are new entries: codes that no
-    stage selects any more leave at once; codes that stay are scaled down if more is held than their target; the rest up
-    to the date's total target (targets[number of stages filled - 1]) is split among the newly selected codes.
-
-    Each date depends on what was held before, so a strategy's dates are folded in order within one group (dates x codes
-    of one strategy: a few thousand entries); strategies are independent and spread over the cluster."""
-    import pandas as pd
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        held: dict[int, float] = {}
-        active: dict[int, set] = {}
-        out = []
-        for date, day in g.sort_values(["select_date", "stage", "code_id"]).groupby("select_date", sort=True):
-            for stage, rows in day.groupby("stage", sort=True):
-                active[int(stage)] = set(rows["code_id"])
-            wanted = set().union(*active.values())
-            held = {c: w for c, w in held.items() if c in wanted}
-            total = targets[min(len(active), len(targets)) - 1]
-            now = sum(held.values())
-            if now > total:
-                held = {c: w * total / now for c, w in held.items()}
-                now = total
-            fresh = sorted(c for c in set(day["code_id"]) if c not in held)
-            for c in fresh:
-                held[c] = (total - now) / len(fresh)
-            out += [(g["strategy"].iloc[0], date, c, w) for c, w in sorted(held.items())]
-        return pd.DataFrame(out, columns=["strategy", "select_date", "code_id", "share"])
-
-    return selections.select("strategy", "select_date", "stage", "code_id").groupBy("strategy").applyInPandas(fold, "strategy string, select_date date, code_id long, share double")
-
-
 def final_weight(selected: DataFrame, strategies: DataFrame) -> DataFrame:
     """weight * strategy weight * staged share (1 if there is none). Strategy weights are scaled to a sum of 1 only if they
     exceed it. strategies: strategy, strategy_weight (few rows, broadcast)."""

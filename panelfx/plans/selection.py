@@ -82,10 +82,36 @@ def _(t):
     return ops.override_positions(_weights(t), over).select("select_date", "code_id", r6("weight").alias("weight"))
 
 
-@query("staged_entry")
-def _(t):
-    staged = _weights(t).withColumn("strategy", F.concat(F.lit("s"), F.year("select_date").cast("string"))).withColumn("stage", F.month("select_date") % 2)
-    return ops.staged_entry(staged, [0.5, 1.0]).withColumn("share", r6("share"))
+_STAGED = f"""WITH RECURSIVE s AS (SELECT DISTINCT 's' || year(select_date) AS strategy, select_date, month(select_date) % 2 AS stage, code_id FROM {_W}),
+d AS (SELECT strategy, select_date, row_number() OVER (PARTITION BY strategy ORDER BY select_date) - 1 AS k, count(*) OVER (PARTITION BY strategy) AS last
+  FROM (SELECT DISTINCT strategy, select_date FROM s)),
+dd AS (SELECT d.strategy, select_date, k, last, CAST(CASE WHEN n = 2 THEN 1.0 ELSE 0.5 END AS DOUBLE) AS target FROM d
+  JOIN (SELECT a.strategy, a.k, count(*) AS n FROM d a JOIN (SELECT strategy, stage, min(select_date) AS f FROM s GROUP BY 1, 2) b
+        ON a.strategy = b.strategy AND b.f <= a.select_date GROUP BY 1, 2) USING (strategy, k)),
+v AS (SELECT strategy, stage, k, coalesce(lead(k) OVER (PARTITION BY strategy, stage ORDER BY k), last) AS until
+  FROM (SELECT DISTINCT strategy, stage, k, last FROM s JOIN dd USING (strategy, select_date))),
+p AS (SELECT s.strategy, s.code_id, dd.k, v.until FROM s JOIN dd USING (strategy, select_date) JOIN v ON v.strategy = s.strategy AND v.stage = s.stage AND v.k = dd.k),
+q AS (SELECT *, CASE WHEN k <= max(until) OVER (PARTITION BY strategy, code_id ORDER BY k, until ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS apart FROM p),
+i AS (SELECT strategy, code_id, min(k) AS entry, max(until) AS leave FROM (SELECT *, sum(apart) OVER (PARTITION BY strategy, code_id ORDER BY k, until ROWS UNBOUNDED PRECEDING) AS run FROM q)
+  GROUP BY strategy, code_id, run),
+c AS (SELECT strategy, entry, leave, count(*) AS n FROM i GROUP BY 1, 2, 3),
+r(strategy, k, entry, leave, n, share) AS (
+  SELECT c.strategy, dd.k, c.entry, c.leave, c.n, target / sum(c.n) OVER (PARTITION BY c.strategy) FROM c JOIN dd ON dd.strategy = c.strategy AND dd.k = 0 AND c.entry = 0
+  UNION ALL
+  SELECT strategy, k, entry, leave, n, CASE WHEN entry < k THEN share * CASE WHEN held > target THEN target / held ELSE 1 END ELSE (target - least(held, target)) / fresh END
+  FROM (SELECT m.*, dd.target, sum(CASE WHEN entry < m.k THEN n * share ELSE 0 END) OVER w AS held, sum(CASE WHEN entry = m.k THEN n ELSE 0 END) OVER w AS fresh
+    FROM (SELECT strategy, k + 1 AS k, entry, leave, n, share FROM r WHERE leave > k + 1
+      UNION ALL SELECT c.strategy, c.entry, c.entry, c.leave, c.n, CAST(0 AS DOUBLE) FROM c JOIN (SELECT DISTINCT strategy, k FROM r) x ON c.strategy = x.strategy AND c.entry = x.k + 1) m
+    JOIN dd ON dd.strategy = m.strategy AND dd.k = m.k WINDOW w AS (PARTITION BY m.strategy))
+)
+SELECT i.strategy, dd.select_date, i.code_id, {six('a.share')} AS share
+FROM (SELECT DISTINCT strategy, k, entry, share FROM r) a JOIN i ON i.strategy = a.strategy AND i.entry = a.entry AND a.k < i.leave JOIN dd ON dd.strategy = a.strategy AND dd.k = a.k"""
+
+
+@query("staged_entry", _STAGED)
+def _(t):
+    staged = _weights(t).withColumn("strategy", F.concat(F.lit("s"), F.year("select_date").cast("string")))
+    return ops.staged_entry(staged.withColumn("stage", F.month("select_date") % 2), [0.5, 1.0]).withColumn("share", r6("share"))
 
 
 @query("staged_entry_one_stage", f"SELECT strategy, select_date, code_id, {six('weight')} AS share FROM {_W} WHERE weight IS NOT NULL AND select_date = (SELECT min(select_date) FROM {_W})")

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from panelfx.functions import avg_rank, min_rank
-from panelfx.operators import bars, cross_section, evaluate, filings, incremental, joins, plugins, portfolio, selection, timing
+from panelfx.operators import bars, cross_section, evaluate, filings, incremental, joins, plugins, portfolio, selection, staging, timing
 from panelfx.sources import readers
 
 D = dt.date
@@ -122,6 +122,50 @@ def test_staged_entry(spark):
     assert got == {(1, 1): 0.25, (1, 2): 0.25, (2, 1): 0.25, (2, 2): 0.25, (2, 3): 0.5, (3, 2): 0.25, (3, 3): 0.5}
 
 
+def fold_by_code(rows, targets):
+    """Staged entry, date by date and code by code."""
+    held, active, out = {}, {}, {}
+    for day in sorted({d for d, _, _ in rows}):
+        for stage in {s for d, s, _ in rows if d == day}:
+            active[stage] = {c for d, s, c in rows if (d, s) == (day, stage)}
+        wanted = set().union(*active.values())
+        held = {c: w for c, w in held.items() if c in wanted}
+        total, now = targets[min(len(active), len(targets)) - 1], sum(held.values())
+        if now > total:
+            held = {c: w * total / now for c, w in held.items()}
+            now = total
+        fresh = [c for c in {c for d, _, c in rows if d == day} if c not in held]
+        held |= {c: (total - now) / len(fresh) for c in fresh}
+        out |= {(day, c): w for c, w in held.items()}
+    return out
+
+
+def test_staged_entry_by_code(spark):
+    import random
+
+    draw, rows = random.Random(5), []
+    for s in ("p", "q"):
+        for day in range(1, 25):
+            for stage in draw.sample(range(3), draw.choice([1, 1, 2])):
+                rows += [(s, D(2020, 1, day), stage, c) for c in draw.sample(range(9), draw.randint(1, 4))]
+    df = spark.createDataFrame(rows + rows[:5], "strategy string, select_date date, stage int, code_id long")
+    for targets in ([0.4, 0.7, 1.0], [0.9, 0.5]):
+        got = {(r.strategy, r.select_date, r.code_id): r.share for r in selection.staged_entry(df, targets).collect()}
+        want = {(s, *k): w for s in ("p", "q") for k, w in fold_by_code([r[1:] for r in rows if r[0] == s], targets).items()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_staged_entry_spreads_one_strategy(spark):
+    """No plan step groups a strategy's codes: pandas sees counts by entry and exit."""
+    days = spark.range(40).selectExpr("date_add(date'2020-01-01', cast(id as int)) select_date", "cast(id % 2 as int) stage")
+    df = days.crossJoin(spark.range(500).selectExpr("id code_id")).where("(code_id * 7 + dayofyear(select_date) * 3) % 11 < 4").selectExpr("'s' strategy", "*")
+    cohorts = staging.holding_intervals(df).groupBy("strategy", "entry", "exit").count()
+    assert cohorts.count() <= 40 * 41 / 2
+    shares = selection.staged_entry(df, [0.5, 1.0]).groupBy("select_date").agg(F.sum("share").alias("s"))
+    assert shares.where("s > 1 + 1e-9").count() == 0
+    assert selection.staged_entry(df.limit(0), [1.0]).count() == 0
+
+
 def test_select_topn_ties_and_share(spark):
     df = panel(spark, [1.0, 1.0, 2.0, None]).withColumnRenamed("x", "score")
     assert [(r.code_id, r.weight) for r in selection.select_topn(df, 1).orderBy("code_id").collect()] == [(0, 0.5), (1, 0.5)]
