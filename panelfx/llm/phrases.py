@@ -31,7 +31,7 @@ from .common import Words, chunks, mix, saved
 
 WINDOW = 35
 #: Words of an anchor, windows of a piece, bytes of texts in a bucket.
-ANCHOR, PIECE, BUCKET_BYTES = 12, 256, 3_000_000
+ANCHOR, PIECE, BUCKET_BYTES = 12, 256, 6_000_000
 #: An anchor in more pieces than this leads to them by its whole windows, one key each.
 CROWDED = 64
 #: Bits of a Bloom filter, at most.
@@ -197,7 +197,7 @@ def home_windows(texts: DataFrame, window: int, anchors) -> DataFrame:
     """t, starts: the windows that recur, at their homes. anchors: a broadcast filter of recurring anchors."""
 
     def emit(batches):
-        for batch, raw in chunks(batches, "text", 8_000_000):
+        for batch, raw in chunks(batches, "text", 4_000_000):
             x = Windows(raw, window)
             w, v = x.hashes()
             hit = np.flatnonzero(anchors.value.has(x.anchor))
@@ -285,7 +285,7 @@ def routes(texts: DataFrame, found: DataFrame, window: int, buckets: int, anchor
         return emit
 
     def text_keys(batches):
-        for batch, raw in chunks(batches, "text", 8_000_000):
+        for batch, raw in chunks(batches, "text", 4_000_000):
             x = Windows(raw, window)
             text, key = keys_of(x, crowded and crowded.value)
             if crowded is None:
@@ -310,50 +310,61 @@ class Automaton:
 
     def __init__(self, passages: list[bytes], window: int):
         self.window = window
+        self.size = min(ANCHOR, window)
         split = [p.split() for p in passages]
-        self.ids: dict[bytes, int] = {}
+        ids: dict[bytes, int] = {}
         for words in split:
             for w in words:
-                self.ids.setdefault(w, len(self.ids))
-        self.pieces = [np.array([self.ids[w] for w in words], np.int64) for words in split]
-        self.width = 3 if len(self.ids) < 1 << 18 else 5
-        n = self.width
-        self.code = {
-            w: chr(0x40 + (i & 63)) + "".join(chr(0x80 + (i >> 6 * k & 63)) for k in range(1, n)) for w, i in self.ids.items()
-        }
+                if w not in ids:
+                    ids[w] = len(ids)
+        self.width = n = 3 if len(ids) < 1 << 18 else 5
+        low = [chr(0x80 + k) for k in range(64)]
+        self.code = {w: chr(0x40 + (i & 63)) + "".join([low[i >> 6 * k & 63] for k in range(1, n)]) for w, i in ids.items()}
         self.unknown = "!" * n
-        self.size = min(ANCHOR, window)
-        x = Windows(passages, window)
-        text, at, _ = x.anchors()
-        payload: dict[str, list[tuple[int, int]]] = {}
+        coded = ["".join([self.code[w] for w in words]) for words in split]
+        self.pieces = [self._ids(c) for c in coded]
+        text, at, _ = Windows(passages, window).anchors()
+        payload: dict[str, list[int]] = {}
         for p, a in zip(text.tolist(), at.tolist()):
-            payload.setdefault("".join(map(self.code.__getitem__, split[p][a : a + self.size])), []).append((p, a))
+            payload.setdefault(coded[p][a * n : (a + self.size) * n], []).append((p << 40) - a)
         self.tree = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        #: For each anchor its pieces, and where in them it stands: piece << 40, less the place.
         self.places = [np.array(v, np.int64) for v in payload.values()]
         for k, phrase in enumerate(payload):
             self.tree.add_word(phrase, k)
         self.tree.make_automaton()
 
-    def covered(self, words: list[bytes]) -> np.ndarray:
-        """Which words lie in a window that a piece has too."""
-        out = np.zeros(len(words), bool)
+    def _ids(self, coded: str) -> np.ndarray:
+        """The words' ids from their codes (-1: no word of a piece)."""
+        x = np.frombuffer(coded.encode("latin-1"), np.uint8).reshape(-1, self.width)
+        out = (x[:, 0] & 63).astype(np.int64)
+        for k in range(1, self.width):
+            out |= (x[:, k] & 63).astype(np.int64) << 6 * k
+        out[x[:, 0] == 0x21] = -1
+        return out
+
+    def covered(self, words: list[bytes]) -> np.ndarray | None:
+        """Which words lie in a window that a piece has too; None if no word does."""
         if len(words) < self.window or not self.places:
-            return out
-        got = list(self.tree.iter("".join([self.code.get(w, self.unknown) for w in words])))
+            return None
+        unknown, code = self.unknown, self.code.get
+        coded = "".join([code(w, unknown) for w in words])
+        got = list(self.tree.iter(coded))
         if not got:
-            return out
+            return None
         ends, which = np.array(got, np.int64).T
-        begins = (ends + 1) // self.width - self.size
-        shifts = [  # piece, and where its first word would stand
-            (self.places[k][:, 0] << 40) + (b - self.places[k][:, 1] + (1 << 39)) for b, k in zip(begins.tolist(), which.tolist())
-        ]
-        ids = np.fromiter((self.ids.get(w, -1) for w in words), np.int64, len(words))
+        begins = (ends + 1) // self.width - self.size + (1 << 39)
+        shifts = [self.places[k] + b for b, k in zip(begins.tolist(), which.tolist())]  # where a piece's first word would stand
+        ids, out = self._ids(coded), np.zeros(len(words), bool)
         for s in np.unique(np.concatenate(shifts)).tolist():
             piece, shift = self.pieces[s >> 40], (s & (1 << 40) - 1) - (1 << 39)
             lo, hi = max(shift, 0), min(shift + len(piece), len(words))
             if hi - lo < self.window:
                 continue
             same = ids[lo:hi] == piece[lo - shift : hi - shift]
+            if same.all():
+                out[lo:hi] = True
+                continue
             edge = np.flatnonzero(np.diff(same, prepend=False, append=False))
             for x, y in zip(edge[0::2].tolist(), edge[1::2].tolist()):
                 if y - x >= self.window:
@@ -378,7 +389,7 @@ def _streamed(batches, window: int, with_kept: bool) -> Iterator[pa.RecordBatch]
                 tree = Automaton(passages, window)
             words = body.split()
             gone = tree.covered(words)
-            left = [w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words
+            left = words if gone is None else [w for w, g in zip(words, gone.tolist()) if not g]
             kept = b" ".join(left)
             row = {"t": t, "u": u, "n_words": len(words), "n_removed": len(words) - len(left), "kept_sha256": hashlib.sha256(kept).hexdigest()}
             if with_kept:
