@@ -12,6 +12,7 @@ from ..functions.lineage import checkpointed, shared_folder
 from .cross_section import preprocess_many
 from .evaluate import ic_summary, rank_ic
 from .joins import factor_attach
+from .linear import fit_windows, predict_windows, ridge_windows, worse
 
 DAY, KEY = "trade_date", "code_id"
 
@@ -82,12 +83,20 @@ def _model(kind: str, params: dict, seed: int):
 def rolling_train_predict(dataset: DataFrame, features: list[str], label: str, windows: DataFrame, seeds: tuple[int, ...] = (1, 2, 3, 4, 5), kind: str = "gbt", params: dict | None = None, predict_on: str = "test") -> tuple[DataFrame, DataFrame]:
     """Predictions (window_id, trade_date, code_id, raw label, ml_factor: mean over seeds) and training records
     (window_id, seed, trees, train_rmse, val_rmse). Each fit is distributed; the driver loops over windows and seeds, both
-    few. Validation rows stop boosting early."""
+    few. Validation rows stop boosting early. Linear models, plain or ridge, come from sums (operators/linear.py): one scan for
+    all windows."""
     spark = dataset.sparkSession
+    if kind == "linear" and set(params or {}) <= {"regParam"}:
+        ready = checkpointed(dataset.select(DAY, KEY, label, *features))
+        fits = checkpointed(fit_windows(ready, features, label, windows, (params or {}).get("regParam", 0.0)))
+        records = fits.select("window_id", F.lit(int(seeds[0])).alias("seed"), F.lit(0).alias("trees"), "train_rmse", "val_rmse")
+        found = predict_windows(ready, features, label, windows, fits, predict_on)
+        return found.select("window_id", DAY, KEY, "label", F.col("prediction").alias("ml_factor")), records
     ready = checkpointed(_assembled(dataset, features, label).select(DAY, KEY, "label", "features"))  # each fit plans anew
     predictions, records = None, []
     for w in windows.orderBy("window_id").collect():
-        part = ready.where((F.col(DAY) >= F.lit(w.train_start)) & (F.col(DAY) < F.lit(w.test_start))).withColumn("is_val", F.col(DAY) >= F.lit(w.val_start))
+        part = ready.where((F.col(DAY) >= F.lit(w.train_start)) & (F.col(DAY) < F.lit(w.test_start)) & F.col("label").isNotNull())
+        part = part.withColumn("is_val", F.col(DAY) >= F.lit(w.val_start))
         target = ready.where((F.col(DAY) >= F.lit(w.test_start)) & (F.col(DAY) < F.lit(w.test_end))) if predict_on == "test" else part.where("is_val")
         if part.isEmpty():
             continue
@@ -148,24 +157,71 @@ def sample_params(ranges: dict[str, tuple | list], trials: int, seed: int = 1) -
 SMALLER = ("train_rmse", "val_rmse", "overfit_ratio")
 
 
-def param_search(dataset: DataFrame, features: list[str], label: str, windows: DataFrame, candidates: list[dict], kind: str = "linear", seeds: tuple[int, ...] = (1,), metric: str = "ic_mean") -> DataFrame:
-    """trial, params, ic_mean, ic_ir (rank IC on validation rows), train_rmse, val_rmse and overfit_ratio (means over windows
-    and seeds; the ratio is validation over training), best: each candidate fitted over the windows; the best by the
-    metric, which of equal ones is the first. The candidates are a short driver-side list, their fits are distributed."""
-    spark = dataset.sparkSession
-    out = None
-    for i, params in enumerate(candidates):
-        pred, fits = rolling_train_predict(dataset, features, label, windows, seeds, kind, params, predict_on="val")
-        if fits is None:  # a model without records
-            errors = spark.range(1).select(*(F.lit(None).cast("double").alias(c) for c in SMALLER))
-        else:
-            errors = fits.agg(F.avg("train_rmse").alias("train_rmse"), F.avg("val_rmse").alias("val_rmse"), F.avg(F.try_divide("val_rmse", "train_rmse")).alias("overfit_ratio"))
-        s = ic_summary(rank_ic(pred, "ml_factor", "label")).join(errors, F.lit(True)).select(F.lit(i).alias("trial"), F.lit(str(params)).alias("params"), F.col("mean").alias("ic_mean"), F.col("ir").alias("ic_ir"), *SMALLER)
-        out = s if out is None else out.unionByName(s)
-    if out is None:
-        return spark.createDataFrame([], "trial int, params string, ic_mean double, ic_ir double, train_rmse double, val_rmse double, overfit_ratio double, best boolean")
+_TRIALS = "trial int, params string, windows long, ic_mean double, ic_ir double, train_rmse double, val_rmse double, overfit_ratio double"
+
+
+def _ranked(trials: DataFrame, metric: str) -> DataFrame:
+    """Adds best: the best trial by the metric among those with all windows, of equal ones the first."""
+    full = F.col("windows") == F.max("windows").over(Window.partitionBy(F.lit(0)))
     order = F.asc_nulls_last(metric) if metric in SMALLER else F.desc_nulls_last(metric)
-    return out.withColumn("best", F.row_number().over(Window.orderBy(order, "trial")) == 1)
+    first = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("__full"), order, "trial"))  # a row a trial
+    return trials.withColumn("__full", full).withColumn("best", F.col("__full") & (first == 1)).drop("__full")
+
+
+def _scores(predictions: DataFrame, fits: DataFrame, params: list[dict]) -> DataFrame:
+    """A trial's row: measures of its validation predictions (window_id, trial, trade_date, label, prediction) and fits."""
+    daily = rank_ic(predictions, "prediction", "label", ("trial",))
+    ic = daily.groupBy("trial").agg(F.avg("ic").alias("ic_mean"), F.try_divide(F.avg("ic"), F.stddev("ic")).alias("ic_ir"))
+    errors = fits.groupBy("trial").agg(F.count("*").alias("windows"), F.avg("train_rmse").alias("train_rmse"), F.avg("val_rmse").alias("val_rmse"), F.avg(F.try_divide("val_rmse", "train_rmse")).alias("overfit_ratio"))
+    names = predictions.sparkSession.createDataFrame([(i, str(p)) for i, p in enumerate(params)], "trial int, params string")
+    return F.broadcast(names).join(errors, "trial", "left").join(ic, "trial", "left").select("trial", "params", F.coalesce("windows", F.lit(0)).alias("windows"), "ic_mean", "ic_ir", *SMALLER)
+
+
+def param_search(dataset: DataFrame, features: list[str], label: str, windows: DataFrame, candidates: list[dict], kind: str = "linear", seeds: tuple[int, ...] = (1,), metric: str = "ic_mean", race: float | None = None, least: int = 4) -> DataFrame:
+    """trial, params, windows (used), ic_mean, ic_ir (rank IC on validation rows), train_rmse, val_rmse and overfit_ratio (means
+    over windows and seeds; the ratio is validation over training), best: the best by the metric among the candidates that
+    ran over all windows, which of equal ones is the first.
+
+    Ridge candidates (regParam alone) share one scan of the table and one eigendecomposition a window. Other candidates are
+    fitted window by window; with race, a level such as 0.95, those whose validation loss (the RMSE, or the negated mean
+    rank IC if the metric is an IC) is worse than the best one's by a paired t-test at that level are given up once they
+    have run over `least` windows. The candidates and windows are short driver-side lists; the fits are distributed."""
+    spark = dataset.sparkSession
+    if not candidates:
+        return spark.createDataFrame([], f"{_TRIALS}, best boolean")
+    if kind == "linear" and all(set(c) <= {"regParam"} for c in candidates):
+        ready = checkpointed(dataset.select(DAY, KEY, label, *features))
+        fits = checkpointed(ridge_windows(ready, features, label, windows, [c.get("regParam", 0.0) for c in candidates]))
+        return _ranked(_scores(predict_windows(ready, features, label, windows, fits, "val"), fits, candidates), metric)
+    ready = checkpointed(dataset.select(DAY, KEY, label, *features))
+    alive, losses = list(range(len(candidates))), [[] for _ in candidates]
+    found = records = None
+    for w in windows.select("window_id").orderBy("window_id").collect():
+        one = windows.where(F.col("window_id") == int(w.window_id))
+        ran = []
+        for c in alive:
+            pred, fits = rolling_train_predict(ready, features, label, one, seeds, kind, candidates[c], predict_on="val")
+            pred = pred.withColumnRenamed("ml_factor", "prediction").withColumn("trial", F.lit(c))
+            own = fits.groupBy("window_id").agg(F.avg("train_rmse").alias("train_rmse"), F.avg("val_rmse").alias("val_rmse")).withColumn("trial", F.lit(c))
+            found = pred if found is None else found.unionByName(pred)
+            own = checkpointed(own)
+            records = own if records is None else records.unionByName(own)
+            if race is not None:
+                row = own.first()
+                loss = row.val_rmse if row else None
+                if row and metric not in SMALLER:
+                    mean = rank_ic(pred, "prediction", "label").agg(F.avg("ic")).first()[0]
+                    loss = None if mean is None else -mean
+                if loss is not None:
+                    ran.append((c, loss))
+        if race is not None and len(ran) == len(alive):  # a window counts if all have a loss there
+            for c, loss in ran:
+                losses[c].append(loss)
+            gone = worse(losses, alive, race, least)
+            alive = [c for c in alive if c not in gone]
+    if found is None:
+        return spark.createDataFrame([(i, str(c), 0, *[None] * 5, False) for i, c in enumerate(candidates)], f"{_TRIALS}, best boolean")
+    return _ranked(_scores(found, records, candidates), metric)
 
 
 def tree_importance(model, features: list[str], name: str) -> DataFrame:

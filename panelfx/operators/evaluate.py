@@ -15,16 +15,21 @@ def _pairs(df: DataFrame, pred: str, ret: str) -> DataFrame:
     return df.where(F.col(pred).isNotNull() & F.col(ret).isNotNull())
 
 
-def pearson_ic(df: DataFrame, pred: str = "pred", ret: str = "ret") -> DataFrame:
-    """trade_date, ic: Pearson correlation over complete pairs; dates with one row or without spread are left out."""
-    by = _pairs(df, pred, ret).groupBy(DAY).agg(F.corr(pred, ret).alias("ic"), F.count_distinct(pred).alias("a"), F.count_distinct(ret).alias("b"))
-    return by.where("a >= 2 and b >= 2").select(DAY, "ic")
+def pearson_ic(df: DataFrame, pred: str = "pred", ret: str = "ret", more: tuple[str, ...] = ()) -> DataFrame:
+    """trade_date (and the columns `more`), ic: Pearson correlation over complete pairs; dates with one row or without
+    spread are left out."""
+    by = _pairs(df, pred, ret).groupBy(DAY, *more)
+    # not corr(), which fails on a date without spread
+    ic = F.try_divide(F.covar_pop(pred, ret), F.stddev_pop(pred) * F.stddev_pop(ret))
+    both = by.agg(ic.alias("ic"), F.count_distinct(pred).alias("a"), F.count_distinct(ret).alias("b"))
+    return both.where("a >= 2 and b >= 2").select(DAY, *more, "ic")
 
 
-def rank_ic(df: DataFrame, pred: str = "pred", ret: str = "ret") -> DataFrame:
+def rank_ic(df: DataFrame, pred: str = "pred", ret: str = "ret", more: tuple[str, ...] = ()) -> DataFrame:
     """As pearson_ic, of the average ranks (Spearman)."""
-    ranked = _pairs(df, pred, ret).select(DAY, avg_rank(pred, DAY).alias("__p"), avg_rank(ret, DAY).alias("__r"))
-    return pearson_ic(ranked, "__p", "__r")
+    by = [DAY, *more]
+    ranked = _pairs(df, pred, ret).select(*by, avg_rank(pred, by).alias("__p"), avg_rank(ret, by).alias("__r"))
+    return pearson_ic(ranked, "__p", "__r", more)
 
 
 def ic_summary(ic: DataFrame) -> DataFrame:

@@ -53,11 +53,33 @@ def _(t):
     return pred.withColumn("ml_factor", r6("ml_factor"))
 
 
-@query("rolling_train_linear")
+def _ridge(penalties):
+    """SQL: CTEs sol (window_id, trial, a, b1, b2) and fit (adds train_rmse, val_rmse) from the normal equations of two
+    features, the penalty on unit scale."""
+    trials = ", ".join(f"({i}, CAST({x} AS DOUBLE))" for i, x in enumerate(penalties))
+    return f"""{_DATA}, win AS {_WIN}, tr AS (SELECT * FROM (VALUES {trials}) t(trial, pen)),
+lin AS (SELECT w.*, trade_date, label, coalesce(momentum, 0) AS momentum, coalesce(volume, 0) AS volume, trade_date >= val_start AS is_val FROM ds d JOIN win w ON trade_date >= train_start AND trade_date < w.test_start WHERE label IS NOT NULL),
+mom AS (SELECT window_id, avg(momentum) AS m1, avg(volume) AS m2, avg(label) AS m0, var_pop(momentum) AS c11, var_pop(volume) AS c22, covar_pop(momentum, volume) AS c12,
+  covar_pop(momentum, label) AS r1, covar_pop(volume, label) AS r2, stddev_pop(label) AS s FROM lin WHERE NOT is_val GROUP BY 1),
+raw AS (SELECT window_id, trial, m0, m1, m2, c11 * (1 + pen / s) AS d1, c22 * (1 + pen / s) AS d2, c12, r1, r2 FROM mom CROSS JOIN tr),
+b AS (SELECT window_id, trial, m0, m1, m2, (r1 * d2 - r2 * c12) / (d1 * d2 - c12 * c12) AS b1, (r2 * d1 - r1 * c12) / (d1 * d2 - c12 * c12) AS b2 FROM raw),
+sol AS (SELECT window_id, trial, m0 - b1 * m1 - b2 * m2 AS a, b1, b2 FROM b),
+fit AS (SELECT window_id, trial, sqrt(avg((a + b1 * momentum + b2 * volume - label) ** 2) FILTER (NOT is_val)) AS train_rmse,
+  sqrt(avg((a + b1 * momentum + b2 * volume - label) ** 2) FILTER (is_val)) AS val_rmse FROM lin JOIN sol USING (window_id) GROUP BY 1, 2)"""
+
+
+@query("rolling_train_linear", f"""WITH {_ridge([0.0])} SELECT w.window_id, trade_date, code_id, label, {six('a + b1 * momentum + b2 * volume')} AS ml_factor
+FROM (SELECT trade_date, code_id, {six('label')} AS label, coalesce(momentum, 0) AS momentum, coalesce(volume, 0) AS volume FROM ds) d JOIN win w ON trade_date >= test_start AND trade_date < test_end JOIN sol ON sol.window_id = w.window_id""")
 def _(t):
     """The deterministic baseline: one linear fit a window."""
     pred, _ = ops.rolling_train_predict(_dataset(t), ["momentum", "volume"], "label", _windows(t), kind="linear")
-    return pred.withColumn("ml_factor", r6("ml_factor"))
+    return pred.withColumns({c: r6(c) for c in ("label", "ml_factor")})
+
+
+@query("rolling_fits_linear", f"WITH {_ridge([0.0])} SELECT window_id, {six('train_rmse')} AS train_rmse, {six('val_rmse')} AS val_rmse FROM fit")
+def _(t):
+    _, fits = ops.rolling_train_predict(_dataset(t), ["momentum", "volume"], "label", _windows(t), kind="linear")
+    return fits.select("window_id", r6("train_rmse").alias("train_rmse"), r6("val_rmse").alias("val_rmse"))
 
 
 _PREDS = "(SELECT code_id % 4 AS window_id, code_id % 3 AS seed, close / 1000 AS label, open / 1000 AS prediction, CASE WHEN month(trade_date) < 9 THEN 'train' ELSE 'val' END AS part FROM bars_m)"
@@ -82,13 +104,27 @@ def _(t):
 _SCORES = ("ic_mean", "ic_ir", "train_rmse", "val_rmse", "overfit_ratio")
 
 
-@query("param_search")
+def _search(penalties):
+    """SQL for param_search over ridge penalties by ic_mean."""
+    names = ", ".join(f"({i}, '{{''regParam'': {x}}}')" for i, x in enumerate(penalties))
+    return f"""WITH {_ridge(penalties)}, nm AS (SELECT * FROM (VALUES {names}) n(trial, params)),
+val AS (SELECT trial, trade_date, label, a + b1 * momentum + b2 * volume AS p FROM lin JOIN sol USING (window_id) WHERE is_val),
+rk AS (SELECT trial, trade_date, rank() OVER (PARTITION BY trial, trade_date ORDER BY p) + (count(*) OVER (PARTITION BY trial, trade_date, p) - 1) / 2.0 AS x,
+  rank() OVER (PARTITION BY trial, trade_date ORDER BY label) + (count(*) OVER (PARTITION BY trial, trade_date, label) - 1) / 2.0 AS y FROM val),
+ic AS (SELECT trial, trade_date, corr(x, y) AS ic FROM rk GROUP BY 1, 2 HAVING count(DISTINCT x) >= 2 AND count(DISTINCT y) >= 2),
+sc AS (SELECT trial, avg(ic) AS ic_mean, avg(ic) / stddev_samp(ic) AS ic_ir FROM ic GROUP BY 1),
+er AS (SELECT trial, count(*) AS windows, avg(train_rmse) AS train_rmse, avg(val_rmse) AS val_rmse, avg(val_rmse / train_rmse) AS overfit_ratio FROM fit GROUP BY 1)
+SELECT trial, params, windows, {six('ic_mean')} AS ic_mean, {six('ic_ir')} AS ic_ir, {six('train_rmse')} AS train_rmse, {six('val_rmse')} AS val_rmse, {six('overfit_ratio')} AS overfit_ratio,
+  row_number() OVER (ORDER BY floor(ic_mean * 1e9 + 0.5) DESC, trial) = 1 AS best FROM nm JOIN sc USING (trial) JOIN er USING (trial)"""
+
+
+@query("param_search", _search([0.0, 0.1, 1.0]))
 def _(t):
-    tries = ops.param_candidates({"regParam": [0.0, 0.1], "elasticNetParam": [0.0]}, 2)
+    tries = ops.param_candidates({"regParam": [0.0, 0.1, 1.0]}, 3)
     return ops.param_search(_dataset(t), ["momentum", "volume"], "label", _windows(t), tries).withColumns({c: r6(c) for c in _SCORES})
 
 
-@query("validate_params")
+@query("validate_params", _search([0.05]))
 def _(t):
     """One parameter set on validation rows."""
     return ops.param_search(_dataset(t), ["momentum", "volume"], "label", _windows(t), [{"regParam": 0.05}]).withColumns({c: r6(c) for c in _SCORES})
