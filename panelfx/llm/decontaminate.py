@@ -157,6 +157,9 @@ def _search(shared, width: int, threshold: float):
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """docs without the documents that contain an item; rows without doc_id stay unless a row without doc_id does."""
-    bad = find(docs, benchmark, width, threshold).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti")
+    """docs without the rows that contain an item. Rows are judged by their texts: of rows that share a doc_id, or have
+    none, those with other texts stay."""
+    text = F.col("text").cast("string")
+    bad = find(docs.select(F.xxhash64(text).alias("doc_id"), "text"), benchmark, width, threshold)
+    bad = bad.select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(bad, F.xxhash64(docs["text"].cast("string")) == F.col("__bad"), "left_anti")
