@@ -120,13 +120,34 @@ def labelled_page(seed: int) -> tuple[str, dict[str, int]]:
     return "".join(p.html), p.labels
 
 
-def labelled_sequence(seed: int) -> tuple[list[list[str]], list[int]]:
-    page, labels = labelled_page(seed)
-    seq = blocks(page)
+def bare_page(seed: int) -> tuple[str, dict[str, int]]:
+    """A page without furniture: one to three blocks of main text, in a few tags, very many or none."""
+    p = _Page(seed)
+    r = p.r
+    if r.random() < 0.5:
+        p.html.append("<html>")
+        if r.random() < 0.4:
+            p.add(0, p.text(3, 12, 0.4), "<head><title>", "</title></head>")
+        p.html.append("<body>")
+    inner = r.choice(["", "<p>", "<p>", "<div>", "<div><p>", "<article><p>", "<main><article><p>", "<section><p>", f'<div class="{r.choice(MAIN)}"><p>'])
+    p.html.append("<div>" * r.choice([0, 0, 0, 1, 2, 40]))
+    blocks_ = r.choice([1, 1, 1, 2, 3, 5])
+    for k in range(blocks_):
+        text = p.text(1 if k else 4, r.choice([8, 90]))
+        if r.random() < 0.4:
+            text += r.choice([" |", " | " + p.word(), " |."])
+        p.add(1, text, inner, "</p>" if inner.endswith("<p>") else "</div>" if inner else "<hr>" if blocks_ > 1 else "")
+    return "".join(p.html), p.labels
+
+
+def labelled_sequence(seed: int, page=labelled_page) -> tuple[list[list[str]], list[int]]:
+    text, labels = page(seed)
+    seq = blocks(text)
     own = [next((labels[w] for w in (x.rstrip(".") for x in text.split(" ")[:2]) if w in labels), 0) for text, _, _ in seq]
     return featurize(seq), own
 
 
-def trained_field(n_pages: int = 300) -> Field:
-    """The field fitted on n_pages generated pages."""
-    return train([s for s in (labelled_sequence(i) for i in range(n_pages)) if s[1]])
+def trained_field(n_pages: int = 300, n_bare: int = 150) -> Field:
+    """The field fitted on n_pages generated pages and n_bare without furniture."""
+    pages = [labelled_sequence(i) for i in range(n_pages)] + [labelled_sequence(i, bare_page) for i in range(n_bare)]
+    return train([s for s in pages if s[1]])

@@ -414,10 +414,28 @@ def test_html_deep_nesting(field):
     assert time.time() - began < 20
 
 
+def test_pages_without_furniture(field):
+    text = "The first sentence has several words, and it is fine. The second one ends here, as it should."
+    two = f"{text}\n\nAnother paragraph, which says that all of this stays in the text."
+    for before, after in (
+        ("<html><body><main><article><p>", "</p></article></main></body></html>"), ("<html><body><div>", "</div></body></html>"), ("", ""),
+        ("<p>", "</p>"), ("<html><body>" + "<div>" * 20_000 + "<p>", "</p>"), ("<html><head><title>A title</title></head><body><article><p>", "</p></article></body></html>"),
+    ):
+        assert html_text.main_text(before + text + after, field) == text, before[:60]
+    assert html_text.main_text("<body><p>" + two.replace("\n\n", "</p><p>") + "</p>", field) == two
+    wrong = total = 0
+    for s in range(7000, 7100):
+        feats, labels = html_training.labelled_sequence(s, html_training.bare_page)
+        wrong += sum(a != b for a, b in zip(field.decode(feats), labels, strict=True))
+        total += len(labels)
+    assert wrong / total < 0.03
+
+
 def test_html_odd(spark, field):
     rows = [(1, "u", None), (None, None, "<p>"), (2, "u", "<div>" * 3000 + "x"), (2, "u", "plain text without tags.")]
     out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), field)
     assert out.count() == 4 and out.where("text is null").count() == 0
+    assert out.where("text = 'plain text without tags.'").count() == 1
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string"), field).count() == 0
 
 
