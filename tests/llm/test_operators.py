@@ -398,7 +398,8 @@ def test_main_text_of_test_pages(spark, field):
 def test_html_rules(field):
     page = '<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><a href="/">Home</a></nav><article><h1>A &amp; B&nbsp;c</h1><p>One <b>two</b>\n three,<br>four.<p>Caf&eacute; &#x41; text that goes on.</article><!-- <p>no</p> --><footer>&copy; us</footer>'
     assert html_text.main_text(page, field) == "A & B c\n\nOne two three, four.\n\nCafé A text that goes on."
-    assert html_text.main_text(None, field) == html_text.main_text("", field) == html_text.main_text("<", field) == ""
+    assert html_text.main_text(None, field) == html_text.main_text("", field) == html_text.main_text("<p>", field) == ""
+    assert html_text.main_text("<", field) == "<"  # no tag: text
 
 
 def test_html_attributes_and_controls(field):
