@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ _GAP = re.compile(r"[ \t.\-_~]+")
 _INNER = re.compile(r"[^\w@$!*+|€]+")
 _DECOR = re.compile(r"([^\w\s])\1{2,}$|^([^\w\s])\2{2,}")  # a word's trimmings, as in word!!! or ***word
 _DRAWN, _DOUBLED = re.compile(r"(.)\1\1"), re.compile(r"(.)\1")
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!*+|€])(?:[ \t.\-_*~]{1,2}(?:[^\W_]|[@$!*+|€])(?![^\W_])){2,}")
+_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!*+|€])(?:[ \t.\-_*~]{1,4}(?:[^\W_]|[@$!*+|€])(?![^\W_])){2,}")
 _TRIM = " \t\r\n.,;:?\"'()[]{}<>«»“”‘’…-–—_/\\=^`~"
 
 
@@ -158,9 +159,14 @@ class Restorer:
         if not core:
             return []
         parts = [p for p in _INNER.split(core) if p]  # at signs that don't look like letters
-        out = self._read(core) if len(core) <= 64 or len(parts) == 1 else []  # a long chain of words is no word
-        for p in parts if len(parts) > 1 else ():
-            out += self._read(p)
+        out = self._read(core)
+        if len(parts) > 1:
+            for p in parts:
+                out += self._read(p)
+            for short, run in groupby(parts, lambda p: len(p) <= 2):  # single signs beside whole words
+                run = list(run)
+                if short and 2 < len(run) < len(parts):
+                    out += self._read("".join(run))
         return list(dict.fromkeys(x for x in out if x))
 
     def spaced(self, text: str) -> list[str]:

@@ -102,6 +102,13 @@ def test_disguises_are_restored(restorer):
     assert restorer.words("The clown, that is a well") == ["the", "clown", "that", "is", "a", "well"]
 
 
+def test_disguises_of_any_length(restorer):
+    for before in ("", "hello;", "hello;" * 11, "hello;" * 50):
+        assert "idiot" in restorer.words(f"and {before}i;d;1;o;t"), before
+    for gap in (" ", "  ", "   ", " - ", ". ", " _ "):
+        assert "idiot" in restorer.words("so " + gap.join("idiot") + " it is"), gap
+
+
 def paths(columns):
     """All words of a lattice with their costs."""
     out = [("", 0.0)]
