@@ -7,9 +7,9 @@
    Runs of home windows, cut into pieces of PIECE windows, are read from their texts: every recurring window is in
    exactly one piece.
 3. Automata. Texts are dealt to buckets of about BUCKET_BYTES; a bucket gets the pieces that share an anchor with its
-   texts. The anchors' words of a bucket's pieces are compiled into an Aho-Corasick automaton, a shard of the automaton
-   of all passages that holds what this bucket needs, and the bucket's texts stream through it. Wherever an anchor is
-   found, text and piece are laid side by side and compared word by word: equal runs of at least `window` words are
+   texts. Phrases of a bucket's pieces (an anchor with what all its windows share) are compiled into an Aho-Corasick
+   automaton, a shard of the automaton of all passages that holds what this bucket needs, and the bucket's texts stream
+   through it. Wherever a phrase is found, text and piece are laid side by side and compared word by word: equal runs of at least `window` words are
    recurring windows. So a text passes one automaton once, whatever the number of shards.
 4. Texts that are copies of each other are removed whole, if they have a window at all.
 
@@ -304,13 +304,21 @@ def routes(texts: DataFrame, found: DataFrame, window: int, buckets: int, anchor
     return of_texts.join(of_pieces, "key").select("bucket", "piece").distinct()
 
 
+def cores(x: Windows) -> tuple[list[int], list[int], list[int]]:
+    """For each anchor of each text: text, begin and end (in its words) of what the windows with that anchor have in common,
+    the anchor at least."""
+    new = np.flatnonzero(np.concatenate([[True], (x.anchor_word[1:] != x.anchor_word[:-1]) | (x.text[1:] != x.text[:-1])])[: len(x.text)])
+    last = np.append(new[1:], len(x.text)) - 1
+    return x.text[new].tolist(), x.start[last].tolist(), (x.start[new] + x.window).tolist()
+
+
 class Automaton:
-    """The pieces of a bucket. Words have codes of equal length, whose first letter is of another kind than the rest, so
-    that anchors are found at words only."""
+    """The pieces of a bucket. For each anchor of a piece, what all windows with that anchor share is a phrase of the
+    automaton: every window holds a phrase, and few pieces share one. Words have codes of equal length, whose first letter is of another kind than the rest, so
+    that phrases are found at words only."""
 
     def __init__(self, passages: list[bytes], window: int):
         self.window = window
-        self.size = min(ANCHOR, window)
         split = [p.split() for p in passages]
         ids: dict[bytes, int] = {}
         for words in split:
@@ -323,12 +331,11 @@ class Automaton:
         self.unknown = "!" * n
         coded = ["".join([self.code[w] for w in words]) for words in split]
         self.pieces = [self._ids(c) for c in coded]
-        text, at, _ = Windows(passages, window).anchors()
         payload: dict[str, list[int]] = {}
-        for p, a in zip(text.tolist(), at.tolist()):
-            payload.setdefault(coded[p][a * n : (a + self.size) * n], []).append((p << 40) - a)
+        for p, a, b in zip(*cores(Windows(passages, window))):
+            payload.setdefault(coded[p][a * n : b * n], []).append((p << 40) - b)
         self.tree = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        #: For each anchor its pieces, and where in them it stands: piece << 40, less the place.
+        #: For each phrase its pieces, and where in them it ends: piece << 40, less that place.
         self.places = [np.array(v, np.int64) for v in payload.values()]
         for k, phrase in enumerate(payload):
             self.tree.add_word(phrase, k)
@@ -353,13 +360,13 @@ class Automaton:
         if not got:
             return None
         ends, which = np.array(got, np.int64).T
-        begins = (ends + 1) // self.width - self.size + (1 << 39)
-        shifts = [self.places[k] + b for b, k in zip(begins.tolist(), which.tolist())]  # where a piece's first word would stand
+        ends = (ends + 1) // self.width + (1 << 39)
+        shifts = [self.places[k] + e for e, k in zip(ends.tolist(), which.tolist())]  # where a piece's first word would stand
         ids, out = self._ids(coded), np.zeros(len(words), bool)
         for s in np.unique(np.concatenate(shifts)).tolist():
             piece, shift = self.pieces[s >> 40], (s & (1 << 40) - 1) - (1 << 39)
             lo, hi = max(shift, 0), min(shift + len(piece), len(words))
-            if hi - lo < self.window:
+            if hi - lo < self.window or out[lo:hi].all():
                 continue
             same = ids[lo:hi] == piece[lo - shift : hi - shift]
             if same.all():
