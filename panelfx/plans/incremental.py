@@ -1,8 +1,10 @@
 from pyspark.sql import functions as F
 
 from ..functions import r4
+from ..functions.lineage import shared_folder
 from ..operators import incremental as ops
 from ..operators.factors import close_std
+from ..sources import store
 from .registry import query, six
 
 _STATE = "(SELECT code_id, f AS factor, CASE WHEN code_id % 7 = 1 THEN m + 30 WHEN code_id % 7 = 2 THEN m ELSE m - 100 END AS done_max, code_id % 7 <> 3 AS valid FROM (SELECT code_id, max(trade_date) AS m FROM bars_d GROUP BY 1) CROSS JOIN (VALUES ('a'), ('b')) v(f) WHERE NOT (code_id % 5 = 0 AND f = 'b'))"
@@ -45,10 +47,38 @@ def _(t):
     return ops.definition_invalidation(state, {"a": "close / lag", "b": "new text"}).select("code_id", "factor")
 
 
-@query("stream_incremental", "SELECT user_id, strftime(bar_ts, '%Y-%m-%d %H:%M:%S') AS bar_ts, n, amount, high, low FROM hour_bars")
+@query("upsert_bucketed", "SELECT code_id, trade_date, CASE WHEN trade_date >= DATE '1997-01-01' THEN close * 2 ELSE close END AS close FROM bars_m")
 def _(t):
-    """The batch form of the streaming bars (the streaming run is compared with it in the tests)."""
+    """The same through a bucketed table: the second batch rewrites the buckets that it touches."""
+    b = t.bars_m.select("code_id", "trade_date", "close")
+    path = shared_folder(t.spark, "store")
+    store.create(t.spark, path, b.schema, ["code_id", "trade_date"], 32)
+    store.upsert(t.spark, path, b.where("trade_date < date'1998-01-01'"), "bars", 0)
+    store.upsert(t.spark, path, b.where("trade_date >= date'1997-01-01'").withColumn("close", F.col("close") * 2), "bars", 1)
+    return store.read(t.spark, path)
+
+
+@query("hour_bars_batch", "SELECT user_id, strftime(bar_ts, '%Y-%m-%d %H:%M:%S') AS bar_ts, n, amount, high, low FROM hour_bars")
+def _(t):
+    """The batch form of the hourly bars of an event stream (the streaming run is compared with it in the tests)."""
     from ..streaming import hour_bar_stream
 
     out = hour_bar_stream(t.events)
     return out.withColumn("bar_ts", F.date_format("bar_ts", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("stream_incremental", f"""SELECT code_id, trade_date, {six('x', 4)} AS x FROM (
+SELECT code_id, trade_date, CASE WHEN count(close) OVER f = 5 THEN stddev_samp(close) OVER f END AS x FROM bars_m WINDOW f AS (PARTITION BY code_id ORDER BY trade_date ROWS 4 PRECEDING))""")
+def _(t):
+    """The streaming run over files: the bars up to 1995 but for the last two months of every other code, then, after a
+    restart, the rest, the late ones among them, and a far bar of no code, which lets the last bars out."""
+    from ..streaming import run_rolling
+
+    bars = t.bars_m.select("code_id", "trade_date", "close")
+    early = (F.col("trade_date") < "1996-01-01") & ~((F.col("trade_date") >= "1995-11-01") & (F.col("code_id") % 2 == 0))
+    end = t.spark.range(1).select(F.lit(-1).cast(bars.schema["code_id"].dataType).alias("code_id"), F.lit("2100-01-01").cast("date").alias("trade_date"), F.lit(0.0).alias("close"))
+    source, target, mark = (shared_folder(t.spark, x) for x in ("bars", "factors", "progress"))
+    for part in (bars.where(early), bars.where(~early), end):
+        part.write.mode("append").parquet(source)
+        run_rolling(t.spark, source, bars.schema, target, mark, 5, late="70 days")
+    return store.read(t.spark, target).where("code_id >= 0").select("code_id", "trade_date", r4("factor").alias("x"))

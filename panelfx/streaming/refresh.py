@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import store
+
 
 def hour_bar_stream(events: DataFrame, watermark: str = "2 hours") -> DataFrame:
     """Hourly bars of an event stream (user_id, ts, value): event-time windows behind a watermark; later events are left
@@ -14,20 +16,22 @@ def hour_bar_stream(events: DataFrame, watermark: str = "2 hours") -> DataFrame:
     return out.select("user_id", F.col("w.start").alias("bar_ts"), "n", "amount", "high", "low")
 
 
-def upsert_stream(stream: DataFrame, target: str, keys: list[str], checkpoint: str):
+def upsert_stream(stream: DataFrame, target: str, keys: list[str], checkpoint: str, buckets: int = 16):
     """Runs what is available and keeps, for each key, the row of the latest batch (the largest by the other columns, if a
-    batch has several): each batch is written to its own folder of `target`, named by its number, so that a batch that runs
-    again replaces itself. Read with read_latest."""
+    batch has several) in a store (sources/store.py), made if there is none. A batch rewrites the buckets that it has keys
+    of; a batch that runs again counts once. Read with read_latest."""
+    spark = stream.sparkSession
+    try:
+        store.manifest(spark, target)
+    except FileNotFoundError:
+        store.create(spark, target, stream.schema, keys, buckets)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rest = F.struct(*(c for c in batch.columns if c not in keys))
-        batch.groupBy(*keys).agg(F.max(rest).alias("v")).select(*keys, "v.*").withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/batch={batch_id:010d}")
+        store.upsert(batch.sparkSession, target, batch, checkpoint, batch_id)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_latest(spark, target: str, keys: list[str]) -> DataFrame:
+def read_latest(spark, target: str) -> DataFrame:
     """The row of the latest batch of each key."""
-    rows = spark.read.option("basePath", target).parquet(f"{target}/batch=*").drop("batch")
-    rest = [c for c in rows.columns if c not in (*keys, "batch_id")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("v")).select(*keys, "v.*")
+    return store.read(spark, target)
