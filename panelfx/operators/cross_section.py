@@ -76,12 +76,12 @@ def neutralize(df: DataFrame, x: str, mv: str = "mv", industry: str = "industry"
 
 
 def neutralize_multi(df: DataFrame, x: str, covariates: list[str], industry: str | None = "industry", keys: list[str] | None = None, out: str | None = None) -> DataFrame:
-    """Adds the residual of x on one or two covariates, an intercept and industry dummies, within keys; rows with any
-    NULL or infinite value get NULL. Normal equations of the demeaned columns, in closed form; of (nearly) collinear
-    covariates the first one counts. Three and more covariates go through neutralize_pandas."""
+    """Adds the residual of x on the covariates, an intercept and industry dummies, within keys; rows with any NULL or
+    infinite value get NULL. Normal equations of the demeaned columns; of (nearly) collinear covariates the first one
+    counts. One or two covariates are solved in closed form, more by elimination (neutralize_gram)."""
     keys, out = keys or [DAY], out or f"{x}_res"
     if len(covariates) > 2:
-        return neutralize_pandas(df, x, covariates, industry, keys, out)
+        return neutralize_gram(df, x, covariates, industry, keys, out)
     cols = [x, *covariates]
     finite = lambda c: ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf"))
     ok = reduce(Column.__and__, [*(F.col(c).isNotNull() & finite(c) for c in cols), *([F.col(industry).isNotNull()] if industry else [])])
@@ -106,28 +106,50 @@ def neutralize_multi(df: DataFrame, x: str, covariates: list[str], industry: str
     return df.withColumn(out, F.col("__c0") - fit).drop(*names, "__s11", "__s22", "__s12", "__s1y", "__s2y")
 
 
-def neutralize_pandas(df: DataFrame, x: str, covariates: list[str], industry: str | None, keys: list[str], out: str) -> DataFrame:
-    """As neutralize_multi for any number of covariates: a date's cross-section (thousands of rows) is one group."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        need = [x, *covariates, *([industry] if industry else [])]
-        ok = g[need].notna().all(axis=1) & np.isfinite(g[[x, *covariates]].astype(float)).all(axis=1)
-        res = pd.Series(np.nan, index=g.index)
-        if ok.sum() >= 2:
-            a = g.loc[ok, covariates].to_numpy(float)
-            parts = [np.ones((len(a), 1)), a]
-            if industry:
-                parts.append(pd.get_dummies(g.loc[ok, industry], drop_first=True).to_numpy(float))
-            m = np.concatenate(parts, axis=1)
-            y = g.loc[ok, x].to_numpy(float)
-            res[ok] = y - m @ np.linalg.lstsq(m, y, rcond=None)[0]
-        return g.assign(**{out: res.where(res.notna(), None).astype(float)})
-
-    schema = StructType([*df.schema.fields, StructField(out, DoubleType())])
-    return df.groupBy(*keys).applyInPandas(fit, schema).withColumn(out, F.when(~F.isnan(out), F.col(out)))
+def solve_in_order(gram: Column, p: int) -> Column:
+    """The p coefficients (array) of normal equations by Gauss-Jordan elimination in array expressions. gram: the rows of
+    the p x (p + 1) system, one after another, the right-hand side last in each. A column whose pivot is within rounding of
+    what those before it explain (1e-10 of its own) gets 0: of collinear columns the first one counts."""
+    m = p + 1
+    own = [gram[k * m + k] for k in range(p)]
+
+    def step(state: Column, k: Column) -> Column:
+        g = state["g"]
+        pivot = F.element_at(g, (k * m + k + 1).cast("int"))
+        use = pivot > 1e-10 * F.element_at(state["own"], (k + 1).cast("int"))
+
+        def cell(v: Column, t: Column) -> Column:
+            row, col = F.floor(t / m), t % m
+            top = F.element_at(g, (k * m + col + 1).cast("int")) / pivot
+            return F.when(~use, v).when(row == k, top).otherwise(v - F.element_at(g, (row * m + k + 1).cast("int")) * top)
+
+        used = F.concat(state["used"], F.array(use))
+        return F.struct(F.transform(g, cell).alias("g"), state["own"].alias("own"), used.alias("used"))
+
+    start = F.struct(gram.alias("g"), F.array(*own).alias("own"), F.array().cast("array<boolean>").alias("used"))
+    done = F.aggregate(F.sequence(F.lit(0), F.lit(p - 1)), start, step)
+    return F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda k: F.when(F.element_at(done["used"], (k + 1).cast("int")), F.element_at(done["g"], (k * m + p + 1).cast("int"))).otherwise(0.0))
+
+
+def neutralize_gram(df: DataFrame, x: str, covariates: list[str], industry: str | None, keys: list[str], out: str) -> DataFrame:
+    """neutralize_multi for any number of covariates, within the JVM: one exchange by keys; the columns less their industry
+    means; one row of sums of products a group; its solution goes back to the group's rows by a join on the same keys."""
+    cols = [x, *covariates]
+    finite = lambda c: ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf"))
+    ok = reduce(Column.__and__, [*(F.col(c).isNotNull() & finite(c) for c in cols), *([F.col(industry).isNotNull()] if industry else [])])
+    names = [f"__c{i}" for i in range(len(cols))]
+    within = Window.partitionBy(*keys, *([industry] if industry else []))
+    base = df.repartition(*keys).withColumns({n: F.when(ok, F.col(c).cast("double")) for n, c in zip(names, cols, strict=True)})
+    base = base.withColumns({n: F.col(n) - F.avg(n).over(within) for n in names})
+    p = len(covariates)
+    order = [*range(1, p + 1), 0]
+    products = [F.sum(F.col(f"__c{i}") * F.col(f"__c{j}")) for i in range(1, p + 1) for j in order]
+    own = [f"__k{i}" for i in range(len(keys))]
+    sums = base.where("__c0 is not null").groupBy(*[F.col(k).alias(n) for k, n in zip(keys, own, strict=True)]).agg(F.array(*products).alias("__g"))
+    solved = sums.select(*own, solve_in_order(F.col("__g"), p).alias("__b"))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, own, strict=True)])
+    fit = reduce(Column.__add__, [F.col("__b")[i] * F.col(f"__c{i + 1}") for i in range(p)])
+    return base.join(solved, same, "left").withColumn(out, F.col("__c0") - fit).drop(*names, *own, "__b")
 
 
 def zscore(x: str, keys: list[str] | None = None) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import product as cartesian
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -258,25 +260,70 @@ def importance_table(importances: DataFrame) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int, keys: list[str], seed: int = 1) -> DataFrame:
-    """n rows by a keyed hash: the same ones however the table is partitioned."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
-
-
-def permutation_importance(model, df: DataFrame, features: list[str], label: str, n: int = 2000, seed: int = 1) -> DataFrame:
-    """feature, delta: rise of the RMSE on a sample of n rows when the feature is shuffled among them."""
-    base = sample_rows(df.na.fill(0.0, features), n, [DAY, KEY], seed).select(DAY, KEY, label, *features)
-    base = base.withColumn("__i", F.row_number().over(Window.orderBy(DAY, KEY)))
-    base = checkpointed(base)  # n rows
+    """n rows by a keyed hash (md5 of the keys' texts and the seed, joined by |): the same ones however the table is
+    partitioned."""
+    text = F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys), F.lit(str(seed)))
+    return df.orderBy(F.md5(text.cast("binary")), *keys).limit(n)
+
+
+def permuted(i: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """A keyed bijection of 0..n-1: four Feistel rounds on the next even number of bits, walked along its cycle until the
+    value is below n again."""
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    mask = np.uint64((1 << half) - 1)
+
+    def once(x: np.ndarray) -> np.ndarray:
+        a, b = x >> np.uint64(half), x & mask
+        for r in range(4):
+            f = (b + np.uint64(seed * 4 + r + 1)) * np.uint64(0x9E3779B97F4A7C15)
+            f = (f ^ (f >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            a, b = b, a ^ (f >> np.uint64(32) & mask)
+        return a << np.uint64(half) | b
+
+    with np.errstate(over="ignore"):
+        out = once(np.asarray(i).astype(np.uint64))
+        while (beyond := out >= np.uint64(n)).any():
+            out[beyond] = once(out[beyond])
+    return out.astype(np.int64)
+
+
+def with_ordinals(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """df, checkpointed, with its rows numbered from 0 without gaps, and their number: by partition, from the partitions'
+    counts; no sort."""
+    held = checkpointed(df)
+    counts = {r.p: r.n for r in held.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
+    starts, total = [0] * (max(counts, default=0) + 1), 0
+    for p in sorted(counts):
+        starts[p], total = total, total + counts[p]
+    place = F.monotonically_increasing_id()
+    first = F.array(*[F.lit(x).cast("long") for x in starts])
+    numbered = held.withColumn("__id", place)
+    return numbered.withColumn(name, F.element_at(first, (F.shiftright("__id", 33) + 1).cast("int")) + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id"), total
+
+
+def permutation_importance(model, df: DataFrame, features: list[str], label: str, n: int | None = 2000, seed: int = 1) -> DataFrame:
+    """feature, delta: rise of the RMSE when the feature is shuffled among the rows, a sample of n or, without n, all. Rows
+    are numbered by partition and moved by a keyed bijection of the numbers (`permuted`), so no row count needs one sort."""
+    ready = df.na.fill(0.0, features)
+    chosen = sample_rows(ready, n, [DAY, KEY], seed) if n else ready
+    base, total = with_ordinals(chosen.select(DAY, KEY, label, *features), "__i")
+    base = checkpointed(base)
 
-    def rmse(d):
+    def rmse():
         return F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("label"), 2)))
 
-    plain = model.transform(_assembled(base, features, label)).agg(rmse(base).alias("r0"))
+    plain = model.transform(_assembled(base, features, label)).agg(rmse().alias("r0"))
     out = None
     for k, f in enumerate(features):
-        mixed = base.select(F.col(f).alias("__x"), F.row_number().over(Window.orderBy(F.xxhash64("__i", F.lit(seed + k)), "__i")).alias("__i"))
+
+        def move(batches, key=seed * 1000 + k):
+            for batch in batches:
+                to = permuted(batch.column(0).to_numpy(), total, key)
+                yield pa.RecordBatch.from_arrays([pa.array(to), batch.column(1)], ["__i", "__x"])
+
+        mixed = base.select("__i", F.col(f).cast("double").alias("__x")).mapInArrow(move, "__i long, __x double")
         moved = base.drop(f).join(mixed, "__i").withColumnRenamed("__x", f)
-        one = model.transform(_assembled(moved, features, label)).agg(rmse(base).alias("r")).join(plain, F.lit(True)).select(F.lit(f).alias("feature"), (F.col("r") - F.col("r0")).alias("delta"))
+        one = model.transform(_assembled(moved, features, label)).agg(rmse().alias("r")).join(plain, F.lit(True)).select(F.lit(f).alias("feature"), (F.col("r") - F.col("r0")).alias("delta"))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import avg_rank
@@ -99,8 +99,9 @@ def period_returns(returns: DataFrame, unit: str = "month", ret: str = "ret") ->
     return span.join(by, "period", "left").select("period", F.coalesce("ret", F.lit(0.0)).alias("ret"))
 
 
-def performance_summary(curve: DataFrame, periods_per_year: float = 250.0, day: str = DAY, ret: str = "ret") -> DataFrame:
-    """One row for a series of period returns (a row a date): nav, annual (by calendar days), sharpe, max_drawdown with its
+def performance_summary(curve: DataFrame, periods_per_year: float | None = None, day: str = DAY, ret: str = "ret") -> DataFrame:
+    """One row for a series of period returns (a row a date): nav, annual (by calendar days), sharpe (on a year's periods:
+    rows / days * 365, unless given), max_drawdown with its
     start and end, return over drawdown, win rate with and without zero returns, profit over loss, best, worst, longest
     winning and losing runs (0 if there is none), deviation."""
     c = curve.select(F.col(day).alias("d"), F.col(ret).alias("r")).withColumn("nav", F.exp(F.sum(F.log(1 + F.col("r"))).over(Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0))))
@@ -112,24 +113,36 @@ def performance_summary(curve: DataFrame, periods_per_year: float = 250.0, day:
     c = c.withColumn("len", F.count("*").over(Window.partitionBy(F.signum("r"), "grp")))
     low = F.min(F.struct("dd", "d", F.col("peak.at").alias("start")))
     out = c.agg(
-        F.max_by("nav", "d").alias("nav"), F.datediff(F.max("d"), F.min("d")).alias("days"), F.avg("r").alias("m"), F.stddev_samp("r").alias("std"), low.alias("low"),
+        F.max_by("nav", "d").alias("nav"), F.datediff(F.max("d"), F.min("d")).alias("days"), F.avg("r").alias("m"), F.count("r").alias("n"), F.stddev_samp("r").alias("std"), low.alias("low"),
         F.avg((F.col("r") > 0).cast("double")).alias("win_rate"), (F.sum((F.col("r") > 0).cast("double")) / F.nullif(F.sum((F.col("r") != 0).cast("double")), F.lit(0.0))).alias("win_rate_traded"),
         (F.avg(F.when(F.col("r") > 0, F.col("r"))) / -F.avg(F.when(F.col("r") < 0, F.col("r")))).alias("profit_loss"), F.max("r").alias("best"), F.min("r").alias("worst"),
         F.coalesce(F.max(F.when(F.col("r") > 0, F.col("len"))), F.lit(0)).alias("longest_win"), F.coalesce(F.max(F.when(F.col("r") < 0, F.col("len"))), F.lit(0)).alias("longest_loss"),
     )
     annual = F.pow(F.col("nav"), F.lit(365.0) / F.nullif(F.col("days"), F.lit(0))) - 1
+    per_year = F.lit(float(periods_per_year)) if periods_per_year else F.col("n") / F.nullif(F.col("days"), F.lit(0)) * 365
     return out.select(
-        "nav", annual.alias("annual"), F.when(F.col("std") > 0, F.col("m") / F.col("std") * periods_per_year**0.5).alias("sharpe"), F.col("low.dd").alias("max_drawdown"), F.col("low.start").alias("drawdown_start"), F.col("low.d").alias("drawdown_end"),
+        "nav", annual.alias("annual"), F.when(F.col("std") > 0, F.col("m") / F.col("std") * F.sqrt(per_year)).alias("sharpe"), F.col("low.dd").alias("max_drawdown"), F.col("low.start").alias("drawdown_start"), F.col("low.d").alias("drawdown_end"),
         F.when(F.col("low.dd") < 0, annual / -F.col("low.dd")).alias("return_drawdown"), (F.lit(1) / (1 + F.col("low.dd")) - 1).alias("recovery_gain"), "win_rate", "win_rate_traded", "profit_loss", "best", "worst", "longest_win", "longest_loss", "std",
     )
 
 
-def performance_report(curve: DataFrame, risk_free: float = 0.0, turnover: str | None = None, day: str = DAY, ret: str = "ret") -> DataFrame:
+def turnover_of_commission(commission: str, assets: str, rate: float, day: str = DAY) -> Column:
+    """A period's turnover from what it paid in commission: the amount traded (commission / rate) over the assets before,
+    or the period's own where there are none before; NULL for no assets or no rate."""
+    if rate <= 0:
+        return F.lit(None).cast("double")
+    own = F.nullif(F.col(assets).cast("double"), F.lit(0.0))
+    before = F.lag(own).over(Window.orderBy(day))  # a row a date
+    return F.try_divide(F.col(commission).cast("double") / rate, F.coalesce(before, own))
+
+
+def performance_report(curve: DataFrame, risk_free: float = 0.0, turnover: str | Column | None = None, day: str = DAY, ret: str = "ret") -> DataFrame:
     """One row for a series of period returns (a row a date): nav, annual (by calendar days), periods a year (rows / days *
     365), sharpe on the period's risk-free rate, mean and largest drawdown's recovery gain and the days that it takes at
     the annual return, winning and losing periods (0 counts as losing), mean return, profit over loss, longest runs, and
-    the mean of the turnover column (NULL without one)."""
-    c = curve.select(F.col(day).alias("d"), F.col(ret).alias("r"), (F.col(turnover) if turnover else F.lit(None)).cast("double").alias("t"))
+    the mean of the turnover column or expression, such as turnover_of_commission (NULL without one)."""
+    traded = F.col(turnover) if isinstance(turnover, str) else F.lit(None) if turnover is None else turnover
+    c = curve.select(F.col(day).alias("d"), F.col(ret).alias("r"), traded.cast("double").alias("t"))
     run = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
     c = c.withColumn("nav", F.exp(F.sum(F.log1p("r")).over(run)))
     c = c.withColumn("dd", F.col("nav") / F.max("nav").over(run) - 1).withColumn("win", F.col("r") > 0)

@@ -74,6 +74,24 @@ def _(t):
     return out.withColumn("__det", det).select("code_id", "trade_date", F.when(F.col("__det") > 1e-3, r6("res")).alias("res"))
 
 
+_THREE = """WITH a AS (SELECT code_id, trade_date, industry, CASE WHEN ok THEN momentum END AS y, CASE WHEN ok THEN ln(mv) END AS p, CASE WHEN ok THEN volume / 100 END AS q, CASE WHEN ok THEN amount / 100000 END AS r
+  FROM (SELECT *, momentum IS NOT NULL AND mv > 0 AS ok FROM panel)),
+c AS (SELECT code_id, trade_date, y - avg(y) OVER i AS y, p - avg(p) OVER i AS p, q - avg(q) OVER i AS q, r - avg(r) OVER i AS r FROM a WINDOW i AS (PARTITION BY trade_date, industry)),
+o AS (SELECT *, sum(p * p) OVER d AS op, sum(q * q) OVER d AS oq, sum(r * r) OVER d AS o_r FROM c WINDOW d AS (PARTITION BY trade_date)),
+c1 AS (SELECT *, sum(p * y) OVER d AS py, sum(p * q) OVER d AS pq, sum(p * r) OVER d AS pr FROM o WINDOW d AS (PARTITION BY trade_date)),
+c2 AS (SELECT code_id, trade_date, op, oq, o_r, CASE WHEN op > 0 THEN y - p * py / op ELSE y END AS y, CASE WHEN op > 0 THEN q - p * pq / op ELSE q END AS q, CASE WHEN op > 0 THEN r - p * pr / op ELSE r END AS r FROM c1),
+c3 AS (SELECT *, sum(q * q) OVER d AS dq, sum(q * y) OVER d AS qy, sum(q * r) OVER d AS qr FROM c2 WINDOW d AS (PARTITION BY trade_date)),
+c4 AS (SELECT code_id, trade_date, o_r, CASE WHEN dq > 1e-10 * oq THEN y - q * qy / dq ELSE y END AS y, CASE WHEN dq > 1e-10 * oq THEN r - q * qr / dq ELSE r END AS r FROM c3),
+c5 AS (SELECT *, sum(r * r) OVER d AS dr, sum(r * y) OVER d AS ry FROM c4 WINDOW d AS (PARTITION BY trade_date))
+"""
+
+
+@query("neutralize_three", f"{_THREE} SELECT code_id, trade_date, {six('CASE WHEN dr > 1e-10 * o_r THEN y - r * ry / dr ELSE y END')} AS res FROM c5")
+def _(t):
+    p = t.panel.withColumns({"lmv": F.when(F.col("mv") > 0, F.log(F.when(F.col("mv") > 0, F.col("mv")))), "q": F.col("volume") / 100, "r": F.col("amount") / 100000})
+    return ops.neutralize_multi(p, "momentum", ["lmv", "q", "r"], out="res").select("code_id", "trade_date", r6("res").alias("res"))
+
+
 @query("zscore", f"SELECT code_id, trade_date, {six('z')} AS z FROM {_Z.format(src=_MOM)}")
 def _(t):
     return t.panel.select("code_id", "trade_date", r6(ops.zscore("momentum")).alias("z"))

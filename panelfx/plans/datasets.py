@@ -166,6 +166,6 @@ def _(t):
     return ops.permutation_importance(model, data, ["momentum", "volume"], "label").withColumn("delta", r6("delta"))
 
 
-@query("sample_rows")
+@query("sample_rows", "SELECT code_id, trade_date, close FROM bars_m ORDER BY md5(code_id || '|' || trade_date || '|1'), code_id, trade_date LIMIT 2000")
 def _(t):
     return ops.sample_rows(t.bars_m, 2000, ["code_id", "trade_date"]).select("code_id", "trade_date", "close")

@@ -117,9 +117,9 @@ def _(t):
 p AS (SELECT *, max(nav) OVER (ORDER BY d) AS peak, row_number() OVER (ORDER BY d) - row_number() OVER (PARTITION BY sign(r) ORDER BY d) AS grp FROM c),
 q AS (SELECT *, nav / peak - 1 AS dd, count(*) OVER (PARTITION BY sign(r), grp) AS len, (SELECT min(x.d) FROM c x WHERE x.nav = p.peak) AS start FROM p),
 l AS (SELECT d, start, dd FROM q ORDER BY dd, d LIMIT 1),
-a AS (SELECT arg_max(nav, d) AS nav, max(d) - min(d) AS days, avg(r) AS m, stddev_samp(r) AS std, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, sum(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) / sum(CASE WHEN r <> 0 THEN 1.0 ELSE 0.0 END) AS wt,
+a AS (SELECT arg_max(nav, d) AS nav, max(d) - min(d) AS days, count(r) AS n, avg(r) AS m, stddev_samp(r) AS std, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, sum(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) / sum(CASE WHEN r <> 0 THEN 1.0 ELSE 0.0 END) AS wt,
  avg(CASE WHEN r > 0 THEN r END) / -avg(CASE WHEN r < 0 THEN r END) AS pl, max(r) AS best, min(r) AS worst, coalesce(max(CASE WHEN r > 0 THEN len END), 0) AS lw, coalesce(max(CASE WHEN r < 0 THEN len END), 0) AS ll FROM q)
-SELECT {six('nav')} AS nav, {six('nav ** (365.0 / days) - 1')} AS annual, {six('m / std * sqrt(250.0)')} AS sharpe, {six('dd')} AS max_drawdown, start AS drawdown_start, l.d AS drawdown_end, {six('(nav ** (365.0 / days) - 1) / -dd')} AS return_drawdown, {six('1 / (1 + dd) - 1')} AS recovery_gain,
+SELECT {six('nav')} AS nav, {six('nav ** (365.0 / days) - 1')} AS annual, {six('m / std * sqrt(n / days * 365)')} AS sharpe, {six('dd')} AS max_drawdown, start AS drawdown_start, l.d AS drawdown_end, {six('(nav ** (365.0 / days) - 1) / -dd')} AS return_drawdown, {six('1 / (1 + dd) - 1')} AS recovery_gain,
  {six('win_rate')} AS win_rate, {six('wt')} AS win_rate_traded, {six('pl')} AS profit_loss, {six('best')} AS best, {six('worst')} AS worst, lw AS longest_win, ll AS longest_loss, {six('std')} AS std FROM a, l""")
 def _(t):
     return _rounded(ops.performance_summary(_series(t)))
@@ -137,3 +137,10 @@ def _(t):
     out = ops.performance_report(_series(t).withColumn("t", F.abs("ret")), 0.02, "t")
     days = ("mean_recovery_days", "max_recovery_days")
     return out.select(*((F.floor(F.col(c) * 1000 + 0.5) / 1000).alias(c) if c in days else r6(c).alias(c) if k == "double" else F.col(c) for c, k in out.dtypes))
+
+
+@query("turnover_of_commission", f"""WITH c AS (SELECT trade_date, abs(ret) * 1000 AS paid, CASE WHEN month(trade_date) = 3 THEN 0 ELSE 1e6 + ret * 1e5 END AS assets FROM {_SERIES})
+SELECT trade_date, {six('(paid / 0.0003) / coalesce(lag(nullif(assets, 0)) OVER (ORDER BY trade_date), nullif(assets, 0))')} AS turnover FROM c""")
+def _(t):
+    c = _series(t).select("trade_date", (F.abs("ret") * 1000).alias("paid"), F.when(F.month("trade_date") == 3, 0).otherwise(F.lit(1e6) + F.col("ret") * 1e5).alias("assets"))
+    return c.select("trade_date", r6(ops.turnover_of_commission("paid", "assets", 0.0003)).alias("turnover"))

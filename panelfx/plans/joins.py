@@ -27,29 +27,18 @@ def _(t):
     return ops.next_date_map(t.orders.select(F.col("o_orderdate").cast("date").alias("d")).distinct(), t.calendar)
 
 
-_FOREIGN = "(SELECT o_custkey % 10 AS code_id, CAST(o_orderdate AS DATE) AS trade_date, CAST(max(o_totalprice) AS DOUBLE) AS foreign_close FROM orders WHERE NOT (o_custkey % 10 = 3 AND o_orderdate > DATE '1996-01-01') GROUP BY 1, 2)"
+_FOREIGN = """(SELECT o_custkey % (SELECT count(*) FROM supplier) AS code_id, CAST(o_orderdate AS DATE) + 92 AS trade_date, CAST(max(o_totalprice) AS DOUBLE) AS foreign_close
+FROM orders WHERE NOT (o_custkey % 10 = 3 AND o_orderdate > DATE '1996-01-01') GROUP BY 1, 2)"""
 _FX = "(SELECT CAST(o_orderdate AS DATE) AS trade_date, floor(avg(1 + (o_orderkey % 7) / 10.0) * 1e6 + 0.5) / 1e6 AS rate FROM orders GROUP BY 1)"
-_HOME = "(SELECT * FROM bars_m)"
 
 
-@query("ordered_merge_ffill", f"""WITH f AS {_FOREIGN}, x AS {_FX}, h AS {_HOME},
+@query("ordered_merge_ffill", f"""WITH f AS {_FOREIGN}, x AS {_FX}, h AS (SELECT * FROM bars_m),
 ok AS (SELECT a.code_id FROM (SELECT code_id, max(trade_date) AS m FROM f GROUP BY 1) a JOIN (SELECT code_id, max(trade_date) AS m FROM h GROUP BY 1) b ON a.code_id = b.code_id WHERE b.m - a.m <= 10)
 SELECT h.code_id, h.trade_date, g.foreign_close, x.rate, {six('g.foreign_close * x.rate', 4)} AS foreign_adj
 FROM h ASOF LEFT JOIN (SELECT * FROM f WHERE code_id IN (SELECT code_id FROM ok)) g ON h.code_id = g.code_id AND h.trade_date >= g.trade_date ASOF LEFT JOIN x ON h.trade_date >= x.trade_date""")
-def _(t):
-    o = t.orders.withColumn("trade_date", F.col("o_orderdate").cast("date"))
-    code = (F.col("o_custkey") % 10).alias("code_id")
-    foreign = o.where(~((F.col("o_custkey") % 10 == 3) & (F.col("o_orderdate") > "1996-01-01"))).groupBy(code, "trade_date").agg(F.max("o_totalprice").cast("double").alias("foreign_close"))
-    fx = o.groupBy("trade_date").agg(r6(F.avg(1 + (F.col("o_orderkey") % 7) / 10.0)).alias("rate"))
-    from ..functions import r4
-
-    return ops.ordered_merge_ffill(t.bars_m, foreign, fx, "code_id").select("code_id", "trade_date", "foreign_close", "rate", r4("foreign_adj").alias("foreign_adj"))
-
-
-@query("ordered_merge_ffill_all")
 def _(t):
     """Over every code: the stand-in foreign codes are spread over as many codes as there are suppliers. Their days are 92
-    after the orders', as bars end 95 days after orders: without that, every code is stale (so in ordered_merge_ffill)."""
+    after the orders', as bars end 95 days after orders: without that, every code would be stale."""
     from ..functions import r4
 
     n = F.broadcast(t.supplier.agg(F.count("*").alias("n")))
