@@ -70,18 +70,52 @@ def classify_board(code: Column) -> Column:
     return F.when(code.startswith("bj"), 0).when(code.startswith("sh60"), 1).when(code.startswith("sh68"), 2).when(code.startswith("sz0"), 3).when(code.startswith("sz"), 4)
 
 
-def densify_calendar(bars: DataFrame, calendar: DataFrame, flows: tuple[str, ...] = ("volume", "amount")) -> DataFrame:
-    """A row for each calendar date from a code's first bar on. On added days close is carried on, open, high, low and
-    pre_close are that close, flows are 0 and is_trade is 0. The calendar (a row a day) is broadcast; the output's size
-    is what the join makes."""
-    span = bars.groupBy(KEY).agg(F.min(DAY).alias("__first"))
+def run_length_panel(bars: DataFrame, calendar: DataFrame) -> DataFrame:
+    """bars on calendar dates, each with __k (its place in the calendar, from 0), __until (the place of the code's next bar;
+    the calendar's length for its last one), close carried on over missing ones, and __before (the close carried to the
+    bar). A bar stands for the days up to the next one: halted days have no rows. The calendar (a row a day) is broadcast."""
     days = calendar.select(F.col(DAY)).distinct()
-    grid = span.join(F.broadcast(days), F.col(DAY) >= F.col("__first")).drop("__first")
-    out = grid.join(bars.withColumn("is_trade", F.lit(1)), [KEY, DAY], "left").withColumn("is_trade", F.coalesce("is_trade", F.lit(0)))
-    out = out.withColumn("close", ffill("close", KEY, DAY))
-    before = F.lag("close").over(history())
-    fill = {p: F.coalesce(p, "close") for p in ("open", "high", "low")} | {"pre_close": F.coalesce("pre_close", before)} | {f: F.coalesce(f, F.lit(0.0)) for f in flows}
-    return out.withColumns(fill)
+    order = days.select(DAY, (F.row_number().over(Window.orderBy(DAY)) - 1).alias("__k"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("__n"))
+    rows = bars.join(F.broadcast(order), DAY)
+    w = Window.partitionBy(KEY).orderBy("__k")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("close", F.last("close", ignorenulls=True).over(upto))
+    rows = rows.withColumns({"__until": F.coalesce(F.lead("__k").over(w), "__n"), "__before": F.lag("close").over(w)})
+    return rows.drop("__n").select(*bars.columns, "__k", "__until", "__before")
+
+
+def expand_days(panel: DataFrame, calendar: DataFrame, flows: tuple[str, ...] = ("volume", "amount"), days: DataFrame | None = None) -> DataFrame:
+    """The days of a run-length panel as rows, or only the days asked for (trade_date). On halted days close is carried on,
+    open, high, low and pre_close are that close, flows are 0, is_trade is 0 and everything else NULL."""
+    order = calendar.select(F.col(DAY).alias("__day")).distinct()
+    order = order.select("__day", (F.row_number().over(Window.orderBy("__day")) - 1).alias("__at"))
+    if days is None:
+        rows = panel.withColumn("__at", F.explode(F.sequence("__k", F.greatest("__k", F.col("__until") - 1))))
+        rows = rows.join(F.broadcast(order), "__at")
+    else:
+        asked = order.join(days.select(F.col(DAY).alias("__day")).distinct(), "__day", "left_semi")
+        inside = (F.col("__at") >= F.col("__k")) & (F.col("__at") < F.greatest(F.col("__until"), F.col("__k") + 1))
+        rows = panel.join(F.broadcast(asked), inside)
+    own = F.col("__at") == F.col("__k")
+
+    def value(c: str) -> Column:
+        if c in ("open", "high", "low"):
+            return F.when(own, F.coalesce(c, "close")).otherwise(F.col("close"))
+        if c == "pre_close":
+            return F.when(own, F.coalesce(c, "__before")).otherwise(F.col("close"))
+        if c in flows:
+            return F.when(own, F.coalesce(c, F.lit(0.0))).otherwise(0.0)
+        return F.col(c) if c in (KEY, "close") else F.when(own, F.col(c))
+
+    rest = [c for c in panel.columns if c not in (KEY, DAY, "__k", "__until", "__before")]
+    return rows.select(KEY, F.col("__day").alias(DAY), *(value(c).alias(c) for c in rest), own.cast("int").alias("is_trade"))
+
+
+def densify_calendar(bars: DataFrame, calendar: DataFrame, flows: tuple[str, ...] = ("volume", "amount"), days: DataFrame | None = None) -> DataFrame:
+    """A row for each calendar date from a code's first bar on a calendar date on, or for the dates of `days` only. On added
+    days close is carried on, open, high, low and pre_close are that close, flows are 0 and is_trade is 0. Windows run over
+    the bars, not over the days added: those come from the run-length panel by one explode."""
+    return expand_days(run_length_panel(bars, calendar), calendar, flows, days)
 
 
 def membership_fill(panel: DataFrame, column: str) -> DataFrame:

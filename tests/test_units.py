@@ -86,6 +86,38 @@ def test_price_limits(spark):
     assert [(r.up_limit, r.down_limit) for r in df.collect()] == [(11.43, 9.36), (12.0, 8.0), (11.0, 9.0), (12.0, 8.0), (10.51, 9.5), (13.09, 7.05)]
 
 
+def test_run_length_panel_against_the_grid(spark):
+    import random
+
+    draw = random.Random(1)
+    days = [D(2020, 1, d) for d in range(1, 29) if d % 7]
+    data = []
+    for code in range(5):
+        for d in days:
+            if draw.random() < 0.5:
+                data.append((d, code, *(draw.choice([None, float(draw.randint(1, 9))]) for _ in range(6)), draw.choice(["Y", None])))
+    columns = "trade_date date, code_id long, open double, high double, low double, close double, pre_close double, volume double, m string"
+    df, cal = spark.createDataFrame(data, columns), spark.createDataFrame([(d,) for d in days], "trade_date date")
+    got = {(r.code_id, r.trade_date): r for r in bars.densify_calendar(df, cal, ("volume",)).collect()}
+    known, want = {(r[1], r[0]): r for r in data}, 0
+    for code in range(5):
+        close = None
+        for d in days[days.index(min(x for c, x in known if c == code)) :]:
+            want += 1
+            row, before = known.get((code, d)), close
+            close = row[5] if row and row[5] is not None else close
+            out = got[code, d]
+            o, h, lo, p, v, m = (row[2], row[3], row[4], row[6], row[7], row[8]) if row else (None,) * 6
+            fill = lambda x: close if x is None else x
+            assert (out.close, out.open, out.high, out.low) == (close, fill(o), fill(h), fill(lo))
+            assert (out.pre_close, out.volume, out.m, out.is_trade) == (before if p is None else p, v or 0.0, m, int(row is not None))
+    assert len(got) == want
+    some = cal.where("day(trade_date) in (3, 20)")
+    few = bars.densify_calendar(df, cal, ("volume",), days=some)
+    assert sorted(map(str, few.collect())) == sorted(str(r) for (_, d), r in got.items() if d.day in (3, 20))
+    assert bars.run_length_panel(df, cal).count() == len(data)
+
+
 def test_densify_and_membership(spark):
     cal = spark.createDataFrame([(D(2020, 1, d),) for d in range(1, 6)], "trade_date date")
     b = spark.createDataFrame([(1, D(2020, 1, 2), 5.0, 5.0, 5.0, 5.0, 5.0, 10.0, 50.0, "Y"), (1, D(2020, 1, 4), 6.0, 6.0, 6.0, 6.0, 5.0, 1.0, 6.0, None)], "code_id long, trade_date date, open double, high double, low double, close double, pre_close double, volume double, amount double, m string")
