@@ -283,20 +283,3 @@ def fin_publish_dates(days: DataFrame, filings: DataFrame, quarter: int | None =
     events = filings.withColumn("first_publish", F.min("publish_date").over(w)).withColumn("newest", F.max("report_date").over(Window.partitionBy(KEY).orderBy("publish_date").rangeBetween(Window.unboundedPreceding, 0)))
     front = events.where("report_date = newest").select(KEY, F.col("publish_date").alias("pub"), "report_date", "first_publish", F.col("publish_date").alias("latest_publish")).distinct()
     return asof_join(days, front, KEY, "trade_date", "pub", ["report_date", "first_publish", "latest_publish"])
-
-
-def fin_columns(filings: DataFrame, days: DataFrame, wanted: list[str], look_back: int = 9) -> DataFrame:
-    """Adds fundamentals by name (field_view, as r_revenue_ttm) to daily rows, all from one snapshot table and sort."""
-    parsed = {w: split_flow_stock(w) for w in wanted}
-    fields = sorted({f for f, _, _ in parsed.values()})
-    snap = asof_snapshots(filings, fields, look_back)
-    flows = sorted({f for f, k, _ in parsed.values() if k == "flow"})
-    snap = snap.withColumns({f"{f}__quarter": view_quarter(f) for f in flows})
-    snap = snap.withColumns({f"{f}__ttm": view_ttm(f"{f}__quarter", f) for f in flows})
-    make = {
-        "raw": lambda f: F.col(f), "annual": lambda f: F.when(_Q("report_date") == 4, F.col(f)), "quarter": lambda f: F.col(f"{f}__quarter"), "ttm": lambda f: F.col(f"{f}__ttm"), "yoy": fin_yoy, "qoq": fin_qoq,
-        "quarter_yoy": lambda f: fin_yoy(f"{f}__quarter"), "quarter_qoq": lambda f: fin_qoq(f"{f}__quarter"), "ttm_yoy": lambda f: fin_yoy(f"{f}__ttm"),
-    }
-    new = {w: make[s](f) for w, (f, _, s) in parsed.items() if w != f}
-    snap = snap.withColumns(new)
-    return align_to_trade_date(days, pick_latest_published(snap, wanted), wanted)

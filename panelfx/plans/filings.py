@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from ..functions import div, r2, r6
 from ..operators import filings as ops
+from ..operators import revisions
 from ..operators.joins import asof_join
 from .registry import query, six
 
@@ -63,6 +64,14 @@ def _(t):
     return _snap(t).drop("rq")
 
 
+@query("quarter_changes", f"""WITH c AS (SELECT DISTINCT a.code_id, a.q, p.publish_date AS pub FROM (SELECT code_id, q, min(known_on) AS first FROM {_SNAP} GROUP BY 1, 2) a
+ JOIN filings p ON p.code_id = a.code_id AND p.publish_date >= a.first AND CAST(year(p.report_date) * 4 + quarter(p.report_date) AS INTEGER) BETWEEN a.q - 4 AND a.q)
+SELECT s.code_id, s.q, s.pub, s.r AS now, y.r AS year_ago FROM c JOIN {_SNAP} s ON s.code_id = c.code_id AND s.q = c.q AND s.pub = c.pub LEFT JOIN {_SNAP} y ON y.code_id = s.code_id AND y.pub = s.pub AND y.q = s.q - 4""")
+def _(t):
+    out = revisions.quarter_changes(t.filings, ["r_revenue"], 4)
+    return out.select("code_id", "q", "pub", F.col("r_revenue__0").alias("now"), F.col("r_revenue__4").alias("year_ago"))
+
+
 @query("asof_snapshots_bounded", f"SELECT code_id, pub, report_date, r FROM (SELECT *, max(q) OVER (PARTITION BY code_id, pub) AS m FROM {_SNAP}) WHERE q > m - 5")
 def _(t):
     return ops.asof_snapshots(t.filings, ["r_revenue"], 5).select("code_id", "pub", "report_date", F.col("r_revenue").alias("r"))
@@ -195,7 +204,7 @@ def _(t):
 @query("fin_columns", f"""WITH x AS (SELECT *, {_chg(4)} AS qy, {_chg(1, 'b')} AS bq FROM {_FULL}), p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY code_id, pub ORDER BY q DESC) AS k FROM x) WHERE k = 1)
 SELECT b.code_id, b.trade_date, p.r AS r_revenue, {six('rq', 2)} AS r_revenue_quarter, {six('ttm', 2)} AS r_revenue_ttm, {six('qy')} AS r_revenue_quarter_yoy, {six('bq')} AS b_inventory_qoq FROM bars_m b ASOF LEFT JOIN p ON b.code_id = p.code_id AND b.trade_date >= p.pub""")
 def _(t):
-    out = ops.fin_columns(t.filings, t.bars_m, ["r_revenue", "r_revenue_quarter", "r_revenue_ttm", "r_revenue_quarter_yoy", "b_inventory_qoq"])
+    out = revisions.fin_columns(t.filings, t.bars_m, ["r_revenue", "r_revenue_quarter", "r_revenue_ttm", "r_revenue_quarter_yoy", "b_inventory_qoq"])
     return out.select("code_id", "trade_date", "r_revenue", r2("r_revenue_quarter").alias("r_revenue_quarter"), r2("r_revenue_ttm").alias("r_revenue_ttm"), r6("r_revenue_quarter_yoy").alias("r_revenue_quarter_yoy"), r6("b_inventory_qoq").alias("b_inventory_qoq"))
 
 
@@ -238,9 +247,10 @@ _VAL = f"SELECT b.code_id, b.trade_date, {{c}} FROM (SELECT m.*, m.close * s.flo
 
 
 def _valued(t):
-    s = _full(t).withColumns({"qy": ops.fin_yoy("rq"), "by": ops.fin_yoy("b")})
+    front = revisions.newest_quarter(revisions.quarter_changes(t.filings, ["r_revenue", "b_inventory"], 5))
+    views = {"rq": revisions.single("r_revenue"), "b": revisions.known("b_inventory"), "qy": revisions.VIEWS["quarter_yoy"][1]("r_revenue"), "by": revisions.VIEWS["yoy"][1]("b_inventory")}
     days = t.bars_m.join(t.securities, "code_id").withColumn("mv", F.col("close") * F.col("float_shares"))
-    return ops.align_to_trade_date(days, ops.pick_latest_published(s, ["rq", "b", "qy", "by"]), ["rq", "b", "qy", "by"])
+    return ops.align_to_trade_date(days, front.select("code_id", "pub", *(c.alias(n) for n, c in views.items())), list(views))
 
 
 @query("f_value_ratios", _VAL.format(c=f"{six('rq / nullif(mv, 0)', 6)} AS sp, {six('p.b / nullif(mv, 0)', 6)} AS bm"))

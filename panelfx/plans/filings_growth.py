@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import div, r2, r6
 from ..operators import filings as ops
+from ..operators import revisions
 from ..sources.fixtures import VIEWS
 from .filings import _LOOK, _Q
 from .registry import query, six
@@ -69,10 +70,14 @@ x AS (SELECT *, {_at('pq', 4)} AS p4, {_at('pq', 1)} AS p1, {_at('gm', 1)} AS g1
 y AS (SELECT *, row_number() OVER (PARTITION BY code_id, pub ORDER BY q DESC) AS k FROM x)"""
 
 
-def _results(t):
-    s = ops.asof_snapshots(t.results, list(_FIELDS))
-    s = s.withColumns({"rq": ops.view_quarter("r_revenue"), "pq": ops.view_quarter("r_profit"), "cq": ops.view_quarter("r_cost")})
-    return s.withColumn("gm", div(F.col("rq") - F.col("cq"), "rq"))
+def _results(t, views):
+    """Views of the newest quarter known, by publish date."""
+    front = revisions.newest_quarter(revisions.quarter_changes(t.results, list(_FIELDS), 5))
+    return front.select("code_id", "pub", *(c.alias(n) for n, c in views.items()))
+
+
+def _margin(k):
+    return div(revisions.single("r_revenue", k) - revisions.single("r_cost", k), revisions.single("r_revenue", k))
 
 
 @query("f_growth_profit", f"""WITH {_RESULTS} SELECT b.code_id, b.trade_date, {six('CASE WHEN p4 < 0 THEN -(pq / nullif(p4, 0) - 1) ELSE pq / nullif(p4, 0) - 1 END')} AS profit_yoy,
@@ -80,9 +85,9 @@ def _results(t):
 FROM bars_m b ASOF LEFT JOIN (SELECT * FROM y WHERE k = 1) p ON b.code_id = p.code_id AND b.trade_date >= p.pub""")
 def _(t):
     """Shares are constant here, so earnings per share grow as the quarter's profit does."""
-    cols = {"profit_yoy": ops.fin_yoy("pq"), "eps_qoq": ops.fin_qoq("pq"), "gross_margin_change": ops.fin_diff("gm", 1), "roe": div("pq", "b_equity")}
-    picked = ops.pick_latest_published(_results(t).withColumns(cols), list(cols))
-    return ops.align_to_trade_date(t.bars_m, picked, list(cols)).select("code_id", "trade_date", *(r6(c).alias(c) for c in cols))
+    profit, before, year_ago = (revisions.single("r_profit", k) for k in (0, 1, 4))
+    cols = {"profit_yoy": revisions.change(profit, year_ago), "eps_qoq": revisions.change(profit, before), "gross_margin_change": _margin(0) - _margin(1), "roe": div(profit, "b_equity__0")}
+    return ops.align_to_trade_date(t.bars_m, _results(t, cols), list(cols)).select("code_id", "trade_date", *(r6(c).alias(c) for c in cols))
 
 
 @query("f_value_profit", f"""WITH {_RESULTS} SELECT b.code_id, b.trade_date, {six('pq / nullif(mv, 0)')} AS ep, {six('rq / nullif(mv, 0)')} AS sp, {six('b_equity / nullif(mv, 0)')} AS bm
@@ -92,5 +97,6 @@ def _(t):
 
     days = t.bars_m.join(t.securities, "code_id").withColumn("mv", F.col("close") * F.col("float_shares"))
     v = value_ratios("pq", "rq", "b_equity", "mv")
-    out = ops.align_to_trade_date(days, ops.pick_latest_published(_results(t), ["pq", "rq", "b_equity"]), ["pq", "rq", "b_equity"])
+    views = {"pq": revisions.single("r_profit"), "rq": revisions.single("r_revenue"), "b_equity": revisions.known("b_equity")}
+    out = ops.align_to_trade_date(days, _results(t, views), list(views))
     return out.select("code_id", "trade_date", *(r6(v[c]).alias(c) for c in ("ep", "sp", "bm")))
