@@ -78,6 +78,13 @@ def column_names(name: Column, param: Column, minutes: Column, inner: Column) ->
     return F.concat_ws("_", name, param, minutes, inner)
 
 
+def setting_name(factor: str, param: str, minutes: str, inner: str) -> Column:
+    """column_name over columns of a settings table: parameters that are empty, 0 or NULL are left out, the inner field is in
+    brackets."""
+    part = lambda c: F.when(~F.coalesce(F.col(c).cast("string"), F.lit("")).isin("", "0", "false", "0.0"), F.col(c).cast("string"))
+    return column_names(F.col(factor), part(param), part(minutes), F.concat(F.lit("("), part(inner), F.lit(")")))
+
+
 def grouped_plugin(panel: DataFrame, fn, schema: str, key: str = "code_id") -> DataFrame:
     """Arbitrary pandas code for each code's history (a few thousand rows), for what expressions can't say."""
     return panel.groupBy(key).applyInPandas(fn, schema)

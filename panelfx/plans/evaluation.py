@@ -85,11 +85,11 @@ def _(t):
     return _rounded(ops.topn_excess(_wide(t), "top3"))
 
 
-_SERIES = f"(SELECT trade_date, {_TAME.format(x='market')} AS ret FROM " + _WIDE + " WHERE market IS NOT NULL AND month(trade_date) <> 5)"
+_SERIES = f"(SELECT trade_date, {_TAME.format(x='market')} AS ret FROM " + _WIDE + " WHERE market IS NOT NULL)"
 
 
 def _series(t):
-    return _wide(t).where("market is not null and month(trade_date) <> 5").select("trade_date", F.expr(_TAME.format(x="market")).alias("ret"))
+    return _wide(t).where("market is not null").select("trade_date", F.expr(_TAME.format(x="market")).alias("ret"))
 
 
 def _periods(unit, step):

@@ -1,8 +1,9 @@
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import r6
 from ..operators import joins as ops
+from ..operators.datasets import rolling_windows
+from .datasets import _WIN
 from .registry import query, six
 
 _FIL = "(SELECT code_id, publish_date, max(b_inventory) AS b_inventory FROM filings GROUP BY code_id, publish_date)"
@@ -93,14 +94,7 @@ def _(t):
     return ops.anti_missing_periods(expected, t.filings, ["code_id", "report_date"])
 
 
-_WIN = "(SELECT t AS test_start, least(t + INTERVAL 3 MONTH, DATE '1998-12-01') AS test_end, t - INTERVAL 6 MONTH AS val_start, t - INTERVAL 24 MONTH AS train_start, row_number() OVER (ORDER BY t) AS window_id FROM (SELECT unnest(generate_series(DATE '1997-01-01', DATE '1998-09-01', INTERVAL 3 MONTH)) AS t))"
-
-
 @query("interval_window_join", f"SELECT code_id, trade_date, window_id, CASE WHEN trade_date < val_start THEN 'train' WHEN trade_date < test_start THEN 'val' ELSE 'test' END AS part FROM bars_m JOIN {_WIN} w ON trade_date >= train_start AND trade_date < test_end")
 def _(t):
-    starts = t.spark.sql("SELECT explode(sequence(date'1997-01-01', date'1998-09-01', interval 3 month)) AS test_start")
-    windows = starts.select(
-        F.row_number().over(Window.orderBy("test_start")).alias("window_id"), "test_start", F.least(F.add_months("test_start", 3), F.lit("1998-12-01").cast("date")).alias("test_end"),
-        F.add_months("test_start", -6).alias("val_start"), F.add_months("test_start", -24).alias("train_start"),
-    )
+    windows = rolling_windows(t.bars_m, 24, 6, 3, 3, "1997-01-01")
     return ops.interval_window_join(t.bars_m, windows).select("code_id", "trade_date", "window_id", "part")

@@ -41,14 +41,25 @@ def _ewm(g):
     return g.assign(x=g["close"].ewm(alpha=0.5, adjust=False).mean())[["code_id", "trade_date", "x"]]
 
 
-@query("grouped_plugin", f"""WITH RECURSIVE n AS (SELECT code_id, trade_date, close, row_number() OVER (PARTITION BY code_id ORDER BY trade_date) AS k FROM bars_m), e AS (SELECT code_id, trade_date, k, close AS x FROM n WHERE k = 1 UNION ALL SELECT n.code_id, n.trade_date, n.k, 0.5 * n.close + 0.5 * e.x FROM e JOIN n ON n.code_id = e.code_id AND n.k = e.k + 1)
-SELECT code_id, trade_date, {six('x', 4)} AS x FROM e""")
+_DECAY = f"""WITH RECURSIVE n AS (SELECT code_id, trade_date, close, row_number() OVER (PARTITION BY code_id ORDER BY trade_date) AS k FROM bars_m), e AS (SELECT code_id, trade_date, k, close AS x FROM n WHERE k = 1 UNION ALL SELECT n.code_id, n.trade_date, n.k, 0.5 * n.close + 0.5 * e.x FROM e JOIN n ON n.code_id = e.code_id AND n.k = e.k + 1)
+SELECT code_id, trade_date, {six('x', 4)} AS x FROM e"""
+
+
+@query("grouped_plugin", _DECAY)
 def _(t):
     from ..functions import r4
 
     return ops.grouped_plugin(t.bars_m.select("code_id", "trade_date", "close"), _ewm, "code_id long, trade_date date, x double").withColumn("x", r4("x"))
 
 
+@query("recurrence_plugin", _DECAY.replace("0.5 * n.close + 0.5 * e.x", "n.close / 3 + e.x * 2 / 3").replace(six("x", 4), six("x")))
+def _(t):
+    """A decay as a segmented scan: a code's history is spread over tasks."""
+    from ..operators.scan import decay, segmented_scan
+
+    return segmented_scan(t.bars_m.select("code_id", "trade_date", "close"), decay(1 / 3), "close").select("code_id", "trade_date", r6("x").alias("x"))
+
+
 @query("rule_plugin", "SELECT code_id, trade_date FROM bars_m WHERE volume > 100")
 def _(t):
     return plugins.apply_rules(t.bars_m, ["liquid"]).select("code_id", "trade_date")
@@ -66,9 +77,13 @@ def _(t):
     return factor_attach(t.bars_m, plugins.sources["volumes"](t)).select("code_id", "trade_date", "peak")
 
 
-@query("column_naming", "SELECT code_id, trade_date, concat_ws('_', 'mom', CASE WHEN months > 0 THEN CAST(months AS VARCHAR) END, CASE WHEN months % 2 = 1 THEN '0935' END, '(close)') AS name FROM (SELECT code_id, trade_date, CAST(month(trade_date) - 1 AS INTEGER) AS months FROM bars_m)")
+@query("column_naming", """SELECT code_id, trade_date, concat_ws('_', factor, CASE WHEN param > 0 THEN CAST(param AS VARCHAR) END, CASE WHEN minute <> '' THEN minute END, CASE WHEN field <> '' THEN '(' || field || ')' END) AS name
+FROM (SELECT code_id, trade_date, CASE code_id % 3 WHEN 0 THEN 'mom' WHEN 1 THEN 'std' ELSE 'cap' END AS factor, CAST(month(trade_date) - 1 AS INTEGER) AS param, CASE WHEN month(trade_date) % 2 = 0 THEN '0935' ELSE '' END AS minute,
+ CASE WHEN code_id % 2 = 0 THEN 'close' ELSE '' END AS field FROM bars_m)""")
 def _(t):
-    """The column name of each bar's own parameters: the number of months, and a minute for odd ones."""
-    months = F.month("trade_date") - 1
-    name = ops.column_names(F.lit("mom"), F.when(months > 0, months.cast("string")), F.when(months % 2 == 1, F.lit("0935")), F.lit("(close)"))
-    return t.bars_m.select("code_id", "trade_date", name.alias("name"))
+    """Names of factor settings, a row each: factor, parameter, minute and inner field, any of which may be empty."""
+    settings = t.bars_m.select(
+        "code_id", "trade_date", F.element_at(F.array(F.lit("mom"), F.lit("std"), F.lit("cap")), (F.col("code_id") % 3 + 1).cast("int")).alias("factor"), (F.month("trade_date") - 1).alias("param"),
+        F.when(F.month("trade_date") % 2 == 0, "0935").otherwise("").alias("minute"), F.when(F.col("code_id") % 2 == 0, "close").otherwise("").alias("field"),
+    )
+    return settings.select("code_id", "trade_date", ops.setting_name("factor", "param", "minute", "field").alias("name"))

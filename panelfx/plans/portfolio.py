@@ -73,13 +73,13 @@ def _(t):
 
 
 _TAME = "greatest(least((ret - 4.6) / 40, 0.2), -0.2)"
-_BENCH = "(SELECT trade_date, greatest(least((avg(close / pre_close) - 5) / 40, 0.2), -0.2) AS b FROM bars_m WHERE month(trade_date) <> 6 GROUP BY trade_date)"
+_BENCH = "(SELECT trade_date, greatest(least((avg(close / pre_close) - 5) / 40, 0.2), -0.2) AS b FROM bars_m GROUP BY trade_date)"
 _CURVE = f"(SELECT p.trade_date, exp(sum(ln(1 + {_TAME})) OVER w) AS nav, exp(sum(ln(1 + coalesce(b, 0))) OVER w) AS bench FROM {_PR} p LEFT JOIN {_BENCH} x ON p.trade_date = x.trade_date WINDOW w AS (ORDER BY p.trade_date))"
 
 
 def _curve(t):
     r = ops.portfolio_returns(_wh(t), _ret(t)).withColumn("ret", F.expr(_TAME))
-    bench = t.bars_m.where("month(trade_date) <> 6").groupBy("trade_date").agg(F.expr("greatest(least((avg(close / pre_close) - 5) / 40, 0.2), -0.2)").alias("ret"))
+    bench = t.bars_m.groupBy("trade_date").agg(F.expr("greatest(least((avg(close / pre_close) - 5) / 40, 0.2), -0.2)").alias("ret"))
     return ops.benchmark_curve(r, bench)
 
 
