@@ -102,6 +102,22 @@ def weights_matrix(weights: DataFrame, dates: DataFrame) -> DataFrame:
     return grid.join(weights.groupBy("strategy", "select_date", KEY).agg(F.sum("weight").alias("weight")), ["strategy", "select_date", KEY], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
 
 
+def weights_with_exits(weights: DataFrame, dates: DataFrame, by: tuple[str, ...] = ("strategy",), of: tuple[str, ...] = ()) -> DataFrame:
+    """The date x code matrix without its zeros, but for those that sell: weights on rebalance dates (repeated rows summed),
+    and 0 on the first rebalance date after a run of dates that a code is held on. Rows in proportion to the weights, where
+    the whole matrix has codes x dates. dates: the columns `of` (a part of `by` that has calendars of its own, such as the
+    period) and select_date; selections on other dates have no row."""
+    order = dates.select(*of, "select_date").distinct()
+    when = Window.partitionBy(*of, F.lit(0)).orderBy("select_date")  # a row a date of a calendar
+    order = order.select(*of, "select_date", F.row_number().over(when).alias("__k"), F.lead("select_date").over(when).alias("__next"))
+    held = weights.join(F.broadcast(order), [*of, "select_date"]).groupBy(*by, KEY, "select_date", "__k", "__next").agg(F.sum("weight").alias("weight"))
+    last = F.coalesce(F.lead("__k").over(Window.partitionBy(*by, KEY).orderBy("__k")) != F.col("__k") + 1, F.lit(True))
+    held = held.withColumn("__last", last)
+    sold = F.when(F.col("__last") & F.col("__next").isNotNull(), F.struct(F.col("__next").alias("select_date"), F.lit(0.0).alias("weight")))
+    rows = F.array_compact(F.array(F.struct("select_date", "weight"), sold))
+    return held.select(*by, KEY, F.explode(rows).alias("r")).select(*by, KEY, "r.select_date", "r.weight")
+
+
 def period_ratios(weights: DataFrame, dates: DataFrame) -> DataFrame:
     """Target ratios by (strategy, period, time): every rebalance date of the period (dates: period, select_date) with every
     selected code, absent ones 0. weights: strategy, period, time, select_date, code_id, weight; selections on other dates

@@ -157,6 +157,16 @@ def _(t):
     return ops.weights_matrix(_weights(t), dates).select("code_id", "select_date", r6("weight").alias("weight"))
 
 
+@query("weights_with_exits", f"""WITH w AS (SELECT * FROM {_TWO}), d AS (SELECT select_date, row_number() OVER (ORDER BY select_date) AS k, lead(select_date) OVER (ORDER BY select_date) AS next
+  FROM (SELECT DISTINCT trade_date AS select_date FROM calendar WHERE day(trade_date) = 1)),
+h AS (SELECT strategy, code_id, select_date, k, next, sum(weight) AS weight FROM w JOIN d USING (select_date) GROUP BY ALL)
+SELECT strategy, code_id, select_date, {six('weight')} AS weight FROM h UNION ALL
+SELECT a.strategy, a.code_id, a.next, 0 FROM h a LEFT JOIN h b ON b.strategy = a.strategy AND b.code_id = a.code_id AND b.k = a.k + 1 WHERE b.k IS NULL AND a.next IS NOT NULL""")
+def _(t):
+    dates = t.calendar.where("day(trade_date) = 1").select(F.col("trade_date").alias("select_date"))
+    return ops.weights_with_exits(_two(t), dates).withColumn("weight", r6("weight"))
+
+
 @query("period_weights", f"SELECT 'P' || industry || '_' || o AS period_id, {six('sum(w / 2)')} AS weight FROM (SELECT industry, float_shares / 1000000 AS w, unnest([0, code_id % 3 + 1]) AS o FROM securities) GROUP BY 1")
 def _(t):
     s = t.securities.select((F.col("float_shares") / 1000000).alias("strategy_weight"), F.concat(F.lit("P"), F.col("industry")).alias("period"), F.array(F.lit(0).cast("long"), F.col("code_id") % 3 + 1).alias("offsets"))

@@ -70,6 +70,14 @@ def _(t):
     return ops.load_factor_slice(t.spark, path, ["close"], ["f1", "f2"], t.securities.where("industry = 1").select("code_id"), check=True)
 
 
+@query("load_bucketed_slice", "SELECT code_id, trade_date, close, volume * 2 AS f1, amount AS f2 FROM bars_m WHERE code_id % 3 > 0")
+def _(t):
+    path = _scratch(t)
+    rows = t.bars_m.select("code_id", "trade_date", "close", (F.col("volume") * 2).alias("f1"), F.col("amount").alias("f2"))
+    ops.write_bucketed_panel(rows, path, ("f1", "f2"), 8)
+    return ops.load_bucketed_slice(t.spark, path, ["close"], ["f1", "f2"]).where("code_id % 3 > 0")
+
+
 @query("write_csv_report", "SELECT CAST(code_id AS VARCHAR) AS code_id, CAST(count(*) AS VARCHAR) AS n FROM bars_m GROUP BY code_id")
 def _(t):
     path = _scratch(t)

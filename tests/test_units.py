@@ -282,6 +282,34 @@ def test_factor_slice_checks_alignment(spark, tmp_path):
         readers.load_factor_slice(spark, str(tmp_path / "p"), ["close"], ["f"], check=True)
 
 
+def test_bucketed_slice_moves_no_row(spark, tmp_path):
+    data = [(D(2020, 1, d), c, float(d), float(c), float(c * d)) for c in range(50) for d in range(1, 6)]
+    p = spark.createDataFrame(data, "trade_date date, code_id long, close double, f double, g double")
+    path = str(tmp_path / "b")
+    readers.write_bucketed_panel(p, path, ("f", "g"), 4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = readers.load_bucketed_slice(spark, path, ["close"], ["f", "g"])
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.trade_date, r.code_id, r.close, r.f, r.g) for r in out.collect()) == sorted(data)
+        few = readers.load_bucketed_slice(spark, path, ["close"], ["f"], codes=[7])
+        plan = few._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "EqualTo(code_id,7)" in plan and few.count() == 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_weights_with_exits(spark):
+    rows_ = [("s", D(2020, 1, d), c, 0.5) for d, c in ((1, 1), (1, 2), (2, 1), (4, 1), (5, 2))] + [("s", D(2020, 1, 1), 1, 0.25), ("s", D(2020, 1, 9), 1, 1.0)]
+    w = spark.createDataFrame(rows_, "strategy string, select_date date, code_id long, weight double")
+    dates = spark.createDataFrame([(D(2020, 1, d),) for d in range(1, 6)], "select_date date")
+    got = {(r.select_date.day, r.code_id): r.weight for r in selection.weights_with_exits(w, dates).collect()}
+    assert got == {(1, 1): 0.75, (1, 2): 0.5, (2, 1): 0.5, (2, 2): 0.0, (3, 1): 0.0, (4, 1): 0.5, (5, 1): 0.0, (5, 2): 0.5}
+    grid = {(r.select_date.day, r.code_id): r.weight for r in selection.weights_matrix(w, dates).collect()}
+    assert all(grid[k] == v for k, v in got.items()) and all(v == 0 for k, v in grid.items() if k not in got)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from panelfx.streaming import hour_bar_stream, upsert_stream
     from panelfx.streaming.refresh import read_latest
