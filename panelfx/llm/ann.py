@@ -29,7 +29,7 @@ from .common import open_mapped, saved, shared_dir, write_bytes
 
 #: Lines; first radius, as a multiple of the projections' median absolute deviation; its growth a round; share of the lines
 #: whose windows must hold a vector; chance that a true neighbour is verified; rounds until all vectors are.
-LINES, START, GROWTH, THRESHOLD, CERTAIN, ROUNDS = 64, 1.0, 1.2, 0.6, 0.97, 60
+LINES, START, GROWTH, THRESHOLD, CERTAIN, ROUNDS = 32, 1.0, 1.2, 0.6, 0.95, 60
 #: Queries of one pass over the index (their vectors are what is broadcast).
 QUERY_BLOCK = 20_000
 
@@ -82,7 +82,7 @@ class Partition:
         p = unit @ lines[:, :-1].T + extra[:, None] * lines[:, -1]
         order = np.argsort(p, axis=0, kind="stable").T
         self.sorted = np.take_along_axis(p, order.T, 0).T.copy()
-        self.order = order.astype(np.int32)
+        self.order = order.astype(np.intp)
         return self
 
     def save(self, uri: str) -> None:
@@ -111,6 +111,7 @@ class Partition:
         c = unit @ lines[:, :-1].T * largest  # scaled to the common norm; the extra coordinate is 0
         spread = float(np.median(np.abs(self.sorted - np.median(self.sorted, 1, keepdims=True)))) or largest
         counts = [np.zeros(n, np.uint8) for _ in q]
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(q)
         out: list = [None] * len(q)
         live = np.arange(len(q))
         lo = hi = None
@@ -125,43 +126,58 @@ class Partition:
                 else:
                     new = [o[x:y] for o, x, y in zip(self.order, a[r].tolist(), lo[r].tolist())]
                     new += [o[x:y] for o, x, y in zip(self.order, hi[r].tolist(), b[r].tolist())]
-                counts[i] += np.bincount(np.concatenate(new), minlength=n).astype(np.uint8)
-                at = np.flatnonzero(counts[i] >= need)
-                done = self._best(at, q[i], unit[i], own[i], k, far * radius, largest, final=len(at) == n)
+                before = counts[i]
+                counts[i] = before + np.bincount(np.concatenate(new), minlength=n).astype(np.uint8)
+                reached = counts[i] >= need
+                at = np.flatnonzero(reached & (before < need))  # verified once, when they reach the threshold
+                if len(at):
+                    best[i] = self._merged(best[i], at, self.x.take(at, axis=0) @ q[i], k)
+                done = self._best(best[i], unit[i], own[i], k, far * radius, largest, final=rounds >= ROUNDS or bool(reached.all()))
                 if done is None:
                     more.append(r)
                 else:
-                    out[i], counts[i] = done, None
+                    out[i], counts[i], best[i] = done, None, None
             lo, hi, live = a[more], b[more], live[more]
             rounds += 1
             radius = radius * GROWTH if rounds < ROUNDS else np.inf
         return out
 
-    def _best(self, at, q, unit, own, k, within, largest, final):
-        """The k best ids among the verified vectors; None if the k-th isn't near enough to stop."""
-        if not final and len(at) <= k:
-            return None
-        s = self.x[at] @ q
-        if len(at) > k + 1:
+    @staticmethod
+    def _merged(have, at, s, k):
+        """The verified vectors among which the k best are: k + 1 and their ties."""
+        at, s = np.concatenate([have[0], at]), np.concatenate([have[1], s])
+        if len(at) > 4 * (k + 1):
             top = np.flatnonzero(s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1])
             at, s = at[top], s[top]
+        return at, s
+
+    def _best(self, have, unit, own, k, within, largest, final):
+        """The k best ids among the verified vectors; None if the k-th isn't near enough to stop."""
+        at, s = have
+        if not final:
+            if len(at) <= k:
+                return None
+            kth = np.partition(s, len(s) - k)[len(s) - k]
+            low = at[np.flatnonzero(s == kth)[0]]
+            if self._distance(low, unit, largest) > within:  # the k-th is no farther than what copies and own leave
+                return None
         some = np.minimum(np.diff(self.starts)[at], k + 1)  # of copies, the smallest ids; own may be among them
         ids = self.ids[np.repeat(self.starts[at] - np.cumsum(some) + some, some) + np.arange(some.sum())]
         where, s = np.repeat(at, some), np.repeat(s, some)
         order = np.lexsort((ids, -s))
         order = order[ids[order] != own]
         order = order[np.sort(np.unique(ids[order], return_index=True)[1])][:k]  # an id's best row
-        if not final:
-            if len(order) < k:
-                return None
-            x = self.x[where[order[-1]]]
-            size = np.abs(x).max()
-            x = x / size
-            cosine = float(x @ unit) * size * self.scale / largest  # of the lifted vectors, which have the common norm
-            if largest * math.sqrt(max(2 - 2 * cosine, 0.0)) > within:
-                return None
+        if not final and (len(order) < k or self._distance(where[order[-1]], unit, largest) > within):
+            return None
         return ids[order], s[order]
 
+    def _distance(self, i, unit, largest) -> float:
+        """Of the lifted vectors, which have the common norm."""
+        x = self.x[i]
+        size = np.abs(x).max()
+        cosine = float((x / size) @ unit) * size * self.scale / largest
+        return largest * math.sqrt(max(2 - 2 * cosine, 0.0))
+
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, per_partition: int = 20_000, seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest of those verified, nearest first, ties to the smaller
@@ -199,7 +215,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, per_partition: i
 
     dealt = vectors.select("vec_id", "v").repartition(parts, "vec_id", "v").distinct()
     index = saved(dealt.mapInArrow(build, "uri string"), "index")
-    index = index.repartition(parts, "uri")
+    index = index.repartitionByRange(max(parts, index.count()), "uri")  # evenly, whatever the names
     n_q = queries.count()
     blocks = max(1, -(-n_q // QUERY_BLOCK))
     found = None
