@@ -229,7 +229,7 @@ def param_search(dataset: DataFrame, features: list[str], label: str, windows: D
 
 def tree_importance(model, features: list[str], name: str) -> DataFrame:
     """model, feature, gain, splits of a fitted tree ensemble: a split's gain counts by the rows that reached it. Features
-    without a split have 0. Read from the saved model's nodes, a row a node."""
+    without a split have 0. Read from the saved model's nodes, a row a node; the folder is deleted again."""
     from pyspark.sql import SparkSession
 
     spark = SparkSession.getActiveSession()
@@ -237,8 +237,11 @@ def tree_importance(model, features: list[str], name: str) -> DataFrame:
     model.write().save(path)
     nodes = spark.read.parquet(f"{path}/data").select("nodeData.*").where("split.featureIndex >= 0")
     used = nodes.groupBy(F.col("split.featureIndex").alias("i")).agg(F.sum(F.col("gain") * F.col("rawCount")).alias("gain"), F.count("*").alias("splits"))
-    names = spark.createDataFrame(list(enumerate(features)), "i int, feature string")
-    return names.join(used, "i", "left").select(F.lit(name).alias("model"), "feature", F.coalesce("gain", F.lit(0.0)).alias("gain"), F.coalesce("splits", F.lit(0)).alias("splits"))
+    found = {r.i: (r.gain, r.splits) for r in used.collect()}  # a row a feature
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    rows = [(name, f, *found.get(i, (0.0, 0))) for i, f in enumerate(features)]
+    return spark.createDataFrame(rows, "model string, feature string, gain double, splits long")
 
 
 def rolling_importance(dataset: DataFrame, features: list[str], label: str, windows: DataFrame, seeds: tuple[int, ...] = (1,), params: dict | None = None) -> DataFrame:

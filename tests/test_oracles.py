@@ -12,7 +12,7 @@ from panelfx.plans import oracles, queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
-SLOW = {"param_search", "rolling_train_predict", "permutation_importance", "model_importance"}
+SLOW = {"rolling_train_predict", "model_importance"}
 
 
 @pytest.fixture(scope="module")
