@@ -88,10 +88,3 @@ def _(t):
     grid = ops.hour_grid(t.calendar)
     signals = t.bars_d.join(grid, "trade_date").select("code_id", "bar_ts", F.when(F.col("amount") > 1000, 0.5).otherwise(0.9).alias("signal"))
     return ops.hourly_weights(_weights(t), t.calendar, signals).select("code_id", _ts("bar_ts").alias("bar_ts"), r6("weight").alias("weight"))
-
-
-@query("hourly_weights_all")
-def _(t):
-    """Over every selection and bar."""
-    signals = t.bars_d.join(ops.hour_grid(t.calendar), "trade_date").select("code_id", "bar_ts", F.when(F.col("amount") > 1000, 0.5).otherwise(0.9).alias("signal"))
-    return ops.hourly_weights(_weights(t), t.calendar, signals).select("code_id", _ts("bar_ts").alias("bar_ts"), r6("weight").alias("weight"))

@@ -403,7 +403,7 @@ def test_ordered_merge_ffill_has_every_bar(spark):
         assert r.foreign_adj is None if close is None or rate is None else r.foreign_adj == pytest.approx(close * r.rate, abs=1e-3)
 
 
-def test_hourly_weights_all_is_brute_force(spark):
+def test_hourly_weights_is_brute_force(spark):
     from panelfx.plans import queries
     from panelfx.plans.selection import _weights
     from panelfx.sources.fixtures import Tables
@@ -426,7 +426,7 @@ def test_hourly_weights_all_is_brute_force(spark):
             factor = 1.0 if (code, d) not in amount else 0.5 if amount[code, d] > 1000 else 0.9
             for h in ("09:30:00", "10:30:00", "13:00:00", "14:00:00"):
                 want[code, f"{d} {h}"] = w * factor
-    got = {(r.code_id, r.bar_ts): r.weight for r in queries()["hourly_weights_all"](spark, sf).collect()}
+    got = {(r.code_id, r.bar_ts): r.weight for r in queries()["hourly_weights"](spark, sf).collect()}
     assert got == {k: pytest.approx(v, abs=2e-6) for k, v in want.items()}
     assert min(ts for _, ts in got) < "1998" and min(chosen) < D(1998, 1, 1)
 
