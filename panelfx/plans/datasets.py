@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import r6
+from ..functions.lineage import checkpointed
 from ..operators import datasets as ops
 from .cross_section import _PRE
 from .registry import query, six
@@ -161,7 +162,7 @@ def _(t):
 
 @query("permutation_importance")
 def _(t):
-    data = _dataset(t).where("label is not null")
+    data = checkpointed(_dataset(t).where("label is not null").select("trade_date", "code_id", "label", "momentum", "volume"))  # the fit and the sample read it
     model = ops._model("linear", {}, 1).fit(ops._assembled(data, ["momentum", "volume"], "label"))
     return ops.permutation_importance(model, data, ["momentum", "volume"], "label").withColumn("delta", r6("delta"))
 
