@@ -22,19 +22,53 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, filesystem, saved, shared_dir
+from .common import chunks, filesystem, group_starts, mix, offset_powers, saved, shared_dir
 
 SKIPPABLE_SEEK, SKIPPABLE_INDEX, SEEK_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 #: Ids in a frame, about; a document is never cut.
 FRAME_IDS = 1 << 16
-#: Distinct pieces of text whose ids a worker remembers.
-CACHE = 300_000
+#: Distinct pieces of text whose ids a worker remembers: so many of late, and at most as many from before.
+CACHE = 200_000
+#: Characters whose pieces are found in one go.
+AT_ONCE = 500_000
 
 # The published pre-tokenisation pattern of the byte-level BPE vocabulary (fixed value), for texts of _PLAIN characters,
 # where [^\W\d_] is \p{L} and \d is \p{N}. Texts with other characters go to the library whole: its Unicode tables decide.
 _PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\u00a1-\u00a9\u00ab-\u00b1\u00b4-\u00b8\u00bb\u00bf-\u024f\u0391-\u03a1\u03b1-\u03c9\u0410-\u044f\u2010-\u2015\u2018-\u201f\u2026\u20ac]")
 
+#: Kinds of the _PLAIN characters: white space, letter, digit, other; and a random number for each.
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+_KIND = np.array([_SPACE if chr(c).isspace() else _LETTER if chr(c).isalpha() else _DIGIT if chr(c).isdigit() else _OTHER for c in range(0x20AD)], np.uint8)
+_CHAR = np.random.default_rng(20240701).integers(1, 2**63, len(_KIND), dtype=np.int64).astype(np.uint64) | np.uint64(1)
+
+
+def piece_starts(cp: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the pieces of _PIECES begin in the code points of several _PLAIN texts laid end to end. starts: where those
+    texts that aren't empty begin."""
+    kind, n = _KIND[cp], len(cp)
+    begins = np.zeros(n + 1, bool)  # of a text; n ends the last
+    begins[starts], begins[n] = True, True
+    cut = begins.copy()
+    cut[1:n] |= kind[1:] != kind[:-1]
+    run = np.flatnonzero(cut)
+    end = run[1:]
+    end = end[(kind[run[:-1]] == _SPACE) & ~begins[end]]  # of white space with a word behind it: its last character stands apart,
+    cut[end - 1] = True
+    cut[end[cp[end - 1] == 0x20]] = False  # and goes with the word if it is a blank
+    at = np.flatnonzero(cp == 0x27)
+    at = at[cut[at] & ~begins[at + 1]]
+    if len(at):  # 's 't 'm 'd 're 've 'll
+        low = np.append(cp, 0).astype(np.int64)
+        one, two = low[at + 1], np.where(begins[at + 1], 0, low[np.minimum(at + 2, n)])
+        two[begins[np.minimum(at + 2, n)]] = 0
+        short = np.isin(one, [*b"stmd"])
+        pair = np.isin(one << 8 | two, [int.from_bytes(x) for x in (b"re", b"ve", b"ll")])
+        cut[at[short | pair] + 1] = False
+        cut[at[short] + 2] = True
+        cut[at[pair] + 3] = True
+    return np.flatnonzero(cut[:n])
+
 
 def byte_letters() -> dict[int, str]:
     """The byte-level vocabulary's letter for each byte: printable bytes stand for themselves, the others follow from
@@ -56,6 +90,7 @@ class Encoder:
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.letters = byte_letters()
         self.ids: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         probe = "It's  a (test),\n\n of 12 words\t\u2026 na\u00efve  "
         try:
             self.by_piece = self._by_piece(probe) == self._whole(probe)
@@ -66,25 +101,76 @@ class Encoder:
         tokens = self.tok.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
         return np.array([t.id for t in tokens], "<u4").tobytes()
 
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece. What was asked for lately stays when the memory is full."""
+        if len(self.ids) > CACHE:
+            self.ids, self.old = {}, self.ids
+        ids, out = self.ids, []
+        for p in pieces:
+            x = ids.get(p)
+            if x is None:
+                ids[p] = x = self.old.get(p) or self._piece(p)
+            out.append(x)
+        return out
+
     def _by_piece(self, text: str) -> bytes:
-        pieces, ids = _PIECES.findall(text), self.ids
-        try:
-            return b"".join(map(ids.__getitem__, pieces))
-        except KeyError:
-            if len(ids) > CACHE:
-                ids.clear()
-            for p in pieces:
-                if p not in ids:
-                    ids[p] = self._piece(p)
-            return b"".join(map(ids.__getitem__, pieces))
+        return b"".join(self._known(_PIECES.findall(text)))
+
+    def _all_by_piece(self, texts: list[str]) -> list[bytes]:
+        """As _by_piece for each text. Pieces with the same 64 bits of hash in these texts are looked up once."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        text = "".join(texts)
+        cp = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        if not len(cp):
+            return [b""] * len(texts)
+        begin = np.cumsum(sizes) - sizes
+        start = piece_starts(cp, begin[sizes > 0])
+        end = np.append(start[1:], len(cp))
+        up, down = offset_powers(len(cp))
+        acc = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CHAR[cp] * up)])
+        h = mix((acc[end] - acc[start]) * down[start] + (end - start).astype(np.uint64))
+        order = np.argsort(h)
+        first = group_starts(h[order])
+        which = np.empty(len(h), np.int64)
+        which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+        rep = order[first]
+        known = self._known([text[a:b] for a, b in zip(start[rep].tolist(), end[rep].tolist(), strict=True)])
+        flat, n = np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
+        count = n[which]
+        stop = np.cumsum(count)
+        ids = flat[np.repeat((np.cumsum(n) - n)[which] - (stop - count), count) + np.arange(stop[-1])]
+        edge = np.concatenate([[0], stop])[np.searchsorted(start, np.append(begin, len(cp)))]
+        return [ids[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _is_plain(self, text: str) -> bool:
+        return self.by_piece and not _NOT_PLAIN.search(text) and not any(s in text for s in self.special)
+
     def __call__(self, text: str) -> bytes:
-        if self.by_piece and not _NOT_PLAIN.search(text) and not any(s in text for s in self.special):
-            return self._by_piece(text)
-        return self._whole(text)
+        return self._by_piece(text) if self._is_plain(text) else self._whole(text)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        out, held, size = [b""] * len(texts), [], 0
+
+        def found() -> None:
+            for i, ids in zip(held, self._all_by_piece([texts[i] for i in held]), strict=True):
+                out[i] = ids
+            held.clear()
+
+        for i, t in enumerate(texts):
+            if len(t) > AT_ONCE or not self._is_plain(t):
+                out[i] = self(t)
+                continue
+            if size + len(t) > AT_ONCE:
+                found()
+                size = 0
+            held.append(i)
+            size += len(t)
+        found()
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -203,8 +289,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, uri: str, end_id: int = 0
         for batch, texts in chunks(batches, "text"):
             if out is None:
                 out, enc = ShardWriter(path), encoder(tokenizer_path)
-            for d, t in zip(batch.column(0).to_pylist(), texts, strict=True):
-                out.add(d, enc(t.decode()) + end)
+            for d, ids in zip(batch.column(0).to_pylist(), enc.encode([t.decode() for t in texts]), strict=True):
+                out.add(d, ids + end)
         if out is not None:
             made = out.close()
             yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "frame": k, "docs": d, "ids": n} for k, (d, n) in enumerate(made)], schema=_MANIFEST)
