@@ -241,9 +241,11 @@ def _passing(n, i, bits, a, b):
     return a[ok], b[ok]
 
 
-def candidates_in_runs(word, n, i, bits, asked, serves, lo: int, hi: int):
+def candidates_in_runs(word, n, i, bits, asked, serves, lo: int, hi: int, kept: np.ndarray | None = None):
     """Within runs of equal words (rows in order of place), in pieces of bounded size: (earlier, later, beyond) positions
-    of each asked row's passing earlier candidates number lo to hi that serve; beyond: rows that have more."""
+    of each asked row's passing earlier candidates number lo to hi that serve; beyond: rows that have more. kept, a mask, is
+    set for those and for the rows that may be candidates of theirs, from the first on."""
+    kept = np.zeros(len(word), bool) if kept is None else kept
     g = group_starts(word)
     size = np.diff(np.append(g, len(word)))
 
@@ -254,8 +256,10 @@ def candidates_in_runs(word, n, i, bits, asked, serves, lo: int, hi: int):
         a, b = a[o], b[o]
         s = group_starts(b)
         rank = np.arange(len(b)) - np.repeat(s, np.diff(np.append(s, len(b))))
-        use = (rank >= lo) & (rank < hi)
-        return a[use], b[use], np.unique(b[rank >= hi])
+        use, more = (rank >= lo) & (rank < hi), np.unique(b[rank >= hi])
+        if len(more):
+            kept[more] = kept[a[np.isin(b, more)]] = True
+        return a[use], b[use], more
 
     small = np.flatnonzero((size > 1) & (size <= RUN))
     if len(small):  # in order of size, a row meets the rows before it that aren't too small
@@ -299,12 +303,15 @@ def candidates_in_runs(word, n, i, bits, asked, serves, lo: int, hi: int):
                     got_b.append(b)
                     found += np.bincount(np.searchsorted(later, b), minlength=len(later))
                 if got_a:
-                    yield keep(np.concatenate(got_a), np.concatenate(got_b))
+                    found = keep(np.concatenate(got_a), np.concatenate(got_b))
+                    if len(found[2]):  # not all of their candidates were looked at
+                        kept[serve[:stop]] = True
+                    yield found
 
 
 _POST = ["word", "k1", "k2", "bits1", "bits2", "doc_id", "line", "n", "i"]
-#: kind 0: a pair of classes, the later one first, the earlier one (p1, p2, size m) beside it; kind 1: a posting of a word
-#: under which some class has further candidates (asked: this one has); kind 2: a posting of a word that may be frequent.
+#: kind 0: a pair of classes, the later one first, the earlier one (p1, p2, size m) beside it; kind 1: a posting of a class
+#: that has further candidates under the word (asked), or that may be one of those candidates; kind 2: a posting of a word that may be frequent.
 _MET = "kind byte, word long, k1 long, k2 int, bits1 long, bits2 long, doc_id long, line int, n int, i int, p1 long, p2 int, m int, asked boolean, serves boolean"
 _MET_NAMES = [x.split()[0] for x in _MET.split(", ")]
 _MET_TYPES = [{"byte": pa.int8(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[x.split()[1]] for x in _MET.split(", ")]
@@ -332,7 +339,7 @@ def _settled(cols: list[np.ndarray], asked: np.ndarray, serves: np.ndarray, lo:
     cols, asked, serves = [c[o] for c in cols], asked[o], serves[o]
     word, k1, k2, bits1, bits2, doc, line, n, i = cols
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
-    further = np.zeros(len(word), bool)
+    further, kept = np.zeros(len(word), bool), np.zeros(len(word), bool)
 
     def fresh():
         """One row a pair, whatever words it meets under here."""
@@ -345,7 +352,7 @@ def _settled(cols: list[np.ndarray], asked: np.ndarray, serves: np.ndarray, lo:
         a, b = a[new], b[new]
         return _row_batch(0, {"k1": k1[b], "k2": k2[b], "n": n[b], "p1": k1[a], "p2": k2[a], "m": n[a]}, len(a))
 
-    for a, b, more in candidates_in_runs(word, n.astype(np.int64), i.astype(np.int64), (bits1.view(_U), bits2.view(_U)), asked, serves, lo, hi):
+    for a, b, more in candidates_in_runs(word, n.astype(np.int64), i.astype(np.int64), (bits1.view(_U), bits2.view(_U)), asked, serves, lo, hi, kept):
         further[more] = True
         if len(a):
             pairs.append((a, b))
@@ -354,9 +361,7 @@ def _settled(cols: list[np.ndarray], asked: np.ndarray, serves: np.ndarray, lo:
     if pairs:
         yield fresh()
     if further.any():
-        g = group_starts(word)
-        size = np.diff(np.append(g, len(word)))
-        at = np.flatnonzero(np.repeat(np.maximum.reduceat(further, g), size))
+        at = np.flatnonzero(kept)
         for x in range(0, len(at), 100_000):
             y = at[x : x + 100_000]
             yield _row_batch(1, dict(zip(_POST, (c[y] for c in (word.view(np.int64), *cols[1:])), strict=True)) | {"asked": further[y], "serves": serves[y]}, len(y))
@@ -487,11 +492,18 @@ def _in_cells(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut.drop("word0", "cell", "cells"), cut.where("cells > 1")
 
 
+def _still_open(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows of the words under which a class that isn't gone asks; those that are gone don't ask. Only rows that ask are told
+    from those gone: the others are many, and most of their words are settled."""
+    asks = rows.where("asked").join(gone.withColumn("__gone", F.lit(True)), ["k1", "k2"], "left")
+    asks = asks.withColumn("asked", F.col("__gone").isNull()).drop("__gone")
+    words = asks.where("asked").select("word").distinct()
+    return asks.unionByName(rows.where("not asked")).join(words, "word", "left_semi")
+
+
 def _later_rounds(docs: DataFrame, rows: DataFrame, gone: DataFrame) -> DataFrame:
     """gone, with the classes that the candidates in rows (asked: of classes that ask) settle."""
-    mark = gone.withColumn("__gone", F.lit(True))
-    rows = rows.join(mark, ["k1", "k2"], "left").withColumn("asked", F.col("asked") & F.col("__gone").isNull()).drop("__gone")
-    own, apart = _in_cells(rows.withColumn("serves", F.lit(True)))
+    own, apart = _in_cells(_still_open(rows, gone).withColumn("serves", F.lit(True)))
     if own.isEmpty():
         return gone
     visit = apart.where("asked").withColumn("cell", F.explode(F.filter(F.sequence(F.lit(0), F.col("cells") - 1), lambda c: c != F.col("cell"))))
@@ -501,9 +513,8 @@ def _later_rounds(docs: DataFrame, rows: DataFrame, gone: DataFrame) -> DataFram
         met = saved(_meet_rows(rows, lo, hi), "line-pairs")
         pairs = saved(_pairs(met), "line-pairs")
         gone = saved(_verified(pairs, _sets(docs, _classes(pairs))).unionByName(gone).distinct(), "line-gone")
-        rows = met.where("kind = 1").select(*_POST, "asked", "serves").join(gone.withColumn("__gone", F.lit(True)), ["k1", "k2"], "left")
-        rows = saved(rows.withColumn("asked", F.col("asked") & F.col("__gone").isNull()).drop("__gone"), "line-open")
-        if rows.where("asked").isEmpty():
+        rows = saved(_still_open(met.where("kind = 1").select(*_POST, "asked", "serves"), gone), "line-open")
+        if rows.isEmpty():
             return gone
         lo, hi = hi, hi * GROWTH
 
