@@ -32,6 +32,8 @@ from .common import Words, chunks, mix, saved
 WINDOW = 35
 #: Words of an anchor, windows of a piece, bytes of texts in a bucket.
 ANCHOR, PIECE, BUCKET_BYTES = 12, 256, 6_000_000
+#: Bytes of texts whose windows are hashed in one go: their arrays are about seventy times as large.
+SCAN_BYTES = 1_000_000
 #: An anchor in more pieces than this leads to them by its whole windows, one key each.
 CROWDED = 64
 #: Bits of a Bloom filter, at most.
@@ -197,7 +199,7 @@ def home_windows(texts: DataFrame, window: int, anchors) -> DataFrame:
     """t, starts: the windows that recur, at their homes. anchors: a broadcast filter of recurring anchors."""
 
     def emit(batches):
-        for batch, raw in chunks(batches, "text", 4_000_000):
+        for batch, raw in chunks(batches, "text", SCAN_BYTES):
             x = Windows(raw, window)
             w, v = x.hashes()
             hit = np.flatnonzero(anchors.value.has(x.anchor))
@@ -285,7 +287,7 @@ def routes(texts: DataFrame, found: DataFrame, window: int, buckets: int, anchor
         return emit
 
     def text_keys(batches):
-        for batch, raw in chunks(batches, "text", 4_000_000):
+        for batch, raw in chunks(batches, "text", SCAN_BYTES):
             x = Windows(raw, window)
             text, key = keys_of(x, crowded and crowded.value)
             if crowded is None:
@@ -319,21 +321,27 @@ class Automaton:
 
     def __init__(self, passages: list[bytes], window: int):
         self.window = window
-        split = [p.split() for p in passages]
+        found, first, size = [], 0, 0  # (passage, begin, end) of each core, of some passages at a time
+        for k, p in enumerate(passages, 1):
+            size += len(p)
+            if size > SCAN_BYTES // 2 or k == len(passages):
+                found += [(i + first, a, b) for i, a, b in zip(*cores(Windows(passages[first:k], window)), strict=True)]
+                first, size = k, 0
         ids: dict[bytes, int] = {}
-        for words in split:
-            for w in words:
+        for p in passages:
+            for w in p.split():
                 if w not in ids:
                     ids[w] = len(ids)
         self.width = n = 3 if len(ids) < 1 << 18 else 5
         low = [chr(0x80 + k) for k in range(64)]
         self.code = {w: chr(0x40 + (i & 63)) + "".join([low[i >> 6 * k & 63] for k in range(1, n)]) for w, i in ids.items()}
         self.unknown = "!" * n
-        coded = ["".join([self.code[w] for w in words]) for words in split]
-        self.pieces = [self._ids(c) for c in coded]
+        coded = ["".join([self.code[w] for w in p.split()]) for p in passages]
+        self.pieces = [self._ids(c).astype(np.int32) for c in coded]
         payload: dict[str, list[int]] = {}
-        for p, a, b in zip(*cores(Windows(passages, window))):
+        for p, a, b in found:
             payload.setdefault(coded[p][a * n : b * n], []).append((p << 40) - b)
+        del found, coded, ids
         self.tree = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         #: For each phrase its pieces, and where in them it ends: piece << 40, less that place.
         self.places = [np.array(v, np.int64) for v in payload.values()]
@@ -393,7 +401,7 @@ def _streamed(batches, window: int, with_kept: bool) -> Iterator[pa.RecordBatch]
                 continue
             seen.add((t, u))
             if tree is None:
-                tree = Automaton(passages, window)
+                tree, passages = Automaton(passages, window), []
             words = body.split()
             gone = tree.covered(words)
             left = words if gone is None else [w for w, g in zip(words, gone.tolist()) if not g]

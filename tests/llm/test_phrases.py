@@ -102,3 +102,19 @@ def test_bloom(spark):
     others = np.random.default_rng(3).integers(-(2**62), 2**62, 20_000)
     assert x.has(others.view(np.uint64)).mean() < 0.05
     assert not phrases.bloom(df.limit(0), 0).has(keys.view(np.uint64)).any()
+
+
+def test_automaton_needs_little_beside_itself():
+    """op11_substring_dedup took more than 3,000 MB of an executor: what is built on the way was 68 times the passages."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    passages = [" ".join(f"w{k}" for k in rng.integers(0, 20_000, 290).tolist()).encode() for _ in range(600)]
+    phrases.Automaton(passages[:5], 35)
+    tracemalloc.start()
+    tree = phrases.Automaton(passages, 35)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * sum(map(len, passages))
+    words = b"x y".split() + passages[599].split()[100:160] + b"z".split()
+    assert tree.covered(words).tolist() == [False] * 2 + [True] * 60 + [False]
