@@ -83,10 +83,59 @@ def _model(kind: str, params: dict, seed: int):
     return GBTRegressor(featuresCol="features", labelCol="label", predictionCol="prediction", seed=seed, **(defaults | params))
 
 
+def _binned(rows: DataFrame, features: list[str], edges: list[list[float]]) -> DataFrame:
+    """rows with each feature as the number of its bin: those between edges, closed on the left."""
+    from pyspark.ml.feature import Bucketizer
+
+    names = [f"__b{i}" for i in range(len(features))]
+    splits = [[float("-inf"), *e, float("inf")] for e in edges]
+    out = Bucketizer(inputCols=features, outputCols=names, splitsArray=splits, handleInvalid="keep").transform(rows)
+    return out.drop(*features).withColumns({f: F.col(n).cast("int") for n, f in zip(names, features, strict=True)}).drop(*names)  # numbers, not categories
+
+
+def _at_once(spark, fn, items) -> list:
+    """fn of each item, the Spark jobs of which run side by side: fits are rows of short jobs."""
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
+
+    with ThreadPool(max(1, min(8, len(items)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(fn), items, 1)
+
+
+def boosting_cells(part: DataFrame, features: list[str], params: dict) -> tuple[DataFrame, list[list[float]]] | None:
+    """The rows of a window (is_val, label, features without NULLs) as boosted trees see them: features in as many bins as
+    the trees have (maxBins, 32), by the quantiles of the training rows; rows of a day and part that are alike in all bins
+    are one cell. A cell has its rows' number as weight and stands as two points, mean label plus and minus the deviation:
+    number, sum and sum of squares of the labels are its rows' own, and squared errors, gains and leaves follow from these.
+    So a fit takes no more points than there are cells, however many codes a day has. Other losses keep labels apart. Also
+    the bins' edges; None without training rows."""
+    bins = params.get("maxBins", 32)
+    shares = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    found = part.where("not is_val").agg(*(F.percentile_approx(F.col(f).cast("double"), shares).alias(f"e{i}") for i, f in enumerate(features))).first()
+    if found[0] is None:
+        return None
+    edges = [sorted({x for x in e if abs(x) < float("inf")}) for e in found]
+    own = [] if params.get("lossType", "squared") == "squared" else ["label"]
+    cells = _binned(part, features, edges).groupBy(DAY, "is_val", *features, *own).agg(F.count("*").alias("n"), F.avg("label").alias("m"), F.stddev_pop("label").alias("s"))
+    points = F.when(F.col("s") > 0, F.array(F.col("m") - F.col("s"), F.col("m") + F.col("s"))).otherwise(F.array("m"))
+    points = cells.select("is_val", *features, F.explode(points).alias("label"), (F.col("n") / F.size(points)).alias("weight"))
+    return checkpointed(_assembled(points, features, "label").select("is_val", "label", "weight", "features")), edges
+
+
+def _boost(cells: DataFrame, params: dict, seed: int):
+    """A boosted model of weighted cells; the least number of rows in a node counts rows, not cells."""
+    params = {"weightCol": "weight"} | params
+    if "minInstancesPerNode" in params:
+        rows = cells.where("not is_val").agg(F.sum("weight")).first()[0]
+        params["minWeightFractionPerNode"] = min(params.pop("minInstancesPerNode") / rows, 0.499)
+    return _model("gbt", params, seed).fit(cells)
+
+
 def rolling_train_predict(dataset: DataFrame, features: list[str], label: str, windows: DataFrame, seeds: tuple[int, ...] = (1, 2, 3, 4, 5), kind: str = "gbt", params: dict | None = None, predict_on: str = "test") -> tuple[DataFrame, DataFrame]:
     """Predictions (window_id, trade_date, code_id, raw label, ml_factor: mean over seeds) and training records
     (window_id, seed, trees, train_rmse, val_rmse). Each fit is distributed; the driver loops over windows and seeds, both
-    few. Validation rows stop boosting early. Linear models, plain or ridge, come from sums (operators/linear.py): one scan for
+    few. Validation rows stop boosting early; trees are grown on cells of binned rows (boosting_cells). Linear models, plain or ridge, come from sums (operators/linear.py): one scan for
     all windows."""
     spark = dataset.sparkSession
     if kind == "linear" and set(params or {}) <= {"regParam"}:
@@ -95,29 +144,45 @@ def rolling_train_predict(dataset: DataFrame, features: list[str], label: str, w
         records = fits.select("window_id", F.lit(int(seeds[0])).alias("seed"), F.lit(0).alias("trees"), "train_rmse", "val_rmse")
         found = predict_windows(ready, features, label, windows, fits, predict_on)
         return found.select("window_id", DAY, KEY, "label", F.col("prediction").alias("ml_factor")), records
-    ready = checkpointed(_assembled(dataset, features, label).select(DAY, KEY, "label", "features"))  # each fit plans anew
+    trees = kind != "linear"
+    ready = dataset.na.fill(0.0, features).withColumn("label", F.col(label).cast("double"))
+    ready = checkpointed(ready.select(DAY, KEY, "label", *features) if trees else _assembled(dataset, features, label).select(DAY, KEY, "label", "features"))  # each fit plans anew
     predictions, records = None, []
     for w in windows.orderBy("window_id").collect():
         part = ready.where((F.col(DAY) >= F.lit(w.train_start)) & (F.col(DAY) < F.lit(w.test_start)) & F.col("label").isNotNull())
         part = part.withColumn("is_val", F.col(DAY) >= F.lit(w.val_start))
         target = ready.where((F.col(DAY) >= F.lit(w.test_start)) & (F.col(DAY) < F.lit(w.test_end))) if predict_on == "test" else part.where("is_val")
-        if part.isEmpty():
+        if trees:
+            cells = boosting_cells(part, features, params or {})
+            if cells is None:
+                continue
+            points, edges = cells
+            target = _assembled(_binned(target, features, edges), features, "label")
+        elif part.isEmpty():
             continue
-        own = None
-        for seed in seeds[:1] if kind == "linear" else seeds:
-            fit = _model(kind, params or {}, seed).fit(part.where("not is_val") if kind == "linear" else part)
-            err = fit.transform(part).groupBy("is_val").agg(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("label"), 2))).alias("rmse"))
-            rmse = {r.is_val: r.rmse for r in err.collect()}
+        else:
+            points = part.withColumn("weight", F.lit(1.0))
+
+        def train(seed: int, points=points):
+            fit = _boost(points, params or {}, seed) if trees else _model(kind, params or {}, seed).fit(points.where("not is_val"))
+            square = F.pow(F.col("prediction") - F.col("label"), 2) * F.col("weight")
+            err = fit.transform(points).groupBy("is_val").agg(F.sqrt(F.sum(square) / F.sum("weight")).alias("rmse"))
+            return fit, {r.is_val: r.rmse for r in err.collect()}
+
+        own, names = target.select(DAY, KEY, "label", "features"), []
+        used = seeds if trees else seeds[:1]
+        for seed, (fit, rmse) in zip(used, _at_once(spark, train, used), strict=True):
             records.append((int(w.window_id), int(seed), int(getattr(fit, "getNumTrees", 0) or 0), rmse.get(False), rmse.get(True)))
-            p = fit.transform(target).select(F.lit(int(w.window_id)).alias("window_id"), F.lit(int(seed)).alias("seed"), DAY, KEY, "label", "prediction")
-            own = p if own is None else own.unionByName(p)
-        own = checkpointed(own)  # a window's predictions: the plan doesn't grow with windows and seeds
+            names.append(f"__p{len(names)}")
+            own = fit.setPredictionCol(names[-1]).transform(own)
+        mean = sum((F.col(n) for n in names[1:]), F.col(names[0])) / len(names)
+        own = checkpointed(own.select(F.lit(int(w.window_id)).alias("window_id"), DAY, KEY, "label", mean.alias("ml_factor")))  # the plan doesn't grow with windows and seeds
         predictions = own if predictions is None else predictions.unionByName(own)
     record = spark.createDataFrame(records, "window_id int, seed int, trees int, train_rmse double, val_rmse double")
     if predictions is None:
         empty = spark.createDataFrame([], f"window_id int, {DAY} date, {KEY} long, label double, ml_factor double")
         return empty, record
-    return predictions.groupBy("window_id", DAY, KEY, "label").agg(F.avg("prediction").alias("ml_factor")), record
+    return predictions, record
 
 
 def training_metrics(predictions: DataFrame, by: list[str], label: str = "label", prediction: str = "prediction", part: str = "part") -> DataFrame:
@@ -228,15 +293,15 @@ def param_search(dataset: DataFrame, features: list[str], label: str, windows: D
 
 
 def tree_importance(model, features: list[str], name: str) -> DataFrame:
-    """model, feature, gain, splits of a fitted tree ensemble: a split's gain counts by the rows that reached it. Features
-    without a split have 0. Read from the saved model's nodes, a row a node; the folder is deleted again."""
+    """model, feature, gain, splits of a fitted tree ensemble: a split's gain counts by the rows (the weight) that reached
+    it. Features without a split have 0. Read from the saved model's nodes, a row a node; the folder is deleted again."""
     from pyspark.sql import SparkSession
 
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     path = shared_folder(spark, "model")
     model.write().save(path)
     nodes = spark.read.parquet(f"{path}/data").select("nodeData.*").where("split.featureIndex >= 0")
-    used = nodes.groupBy(F.col("split.featureIndex").alias("i")).agg(F.sum(F.col("gain") * F.col("rawCount")).alias("gain"), F.count("*").alias("splits"))
+    used = nodes.groupBy(F.col("split.featureIndex").alias("i")).agg(F.sum(F.col("gain") * F.col("impurityStats")[0]).alias("gain"), F.count("*").alias("splits"))
     found = {r.i: (r.gain, r.splits) for r in used.collect()}  # a row a feature
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
@@ -246,13 +311,17 @@ def tree_importance(model, features: list[str], name: str) -> DataFrame:
 
 def rolling_importance(dataset: DataFrame, features: list[str], label: str, windows: DataFrame, seeds: tuple[int, ...] = (1,), params: dict | None = None) -> DataFrame:
     """tree_importance of one boosted model for each window and seed, as importance_table takes it."""
-    ready = checkpointed(_assembled(dataset, features, label).select(DAY, "label", "features"))
-    out = None
-    for w in windows.orderBy("window_id").collect():
+    ready = dataset.na.fill(0.0, features).withColumn("label", F.col(label).cast("double"))
+    ready = checkpointed(ready.where("label is not null").select(DAY, "label", *features))
+
+    def grow(w) -> list[DataFrame]:
         part = ready.where((F.col(DAY) >= F.lit(w.train_start)) & (F.col(DAY) < F.lit(w.test_start))).withColumn("is_val", F.col(DAY) >= F.lit(w.val_start))
-        for seed in seeds if not part.isEmpty() else ():
-            one = tree_importance(_model("gbt", params or {}, seed).fit(part), features, f"{w.window_id}-{seed}")
-            out = one if out is None else out.unionByName(one)
+        cells = boosting_cells(part, features, params or {})
+        return [tree_importance(_boost(cells[0], params or {}, seed), features, f"{w.window_id}-{seed}") for seed in seeds] if cells else []
+
+    out = None
+    for one in (x for found in _at_once(dataset.sparkSession, grow, windows.orderBy("window_id").collect()) for x in found):
+        out = one if out is None else out.unionByName(one)
     return out if out is not None else dataset.sparkSession.createDataFrame([], "model string, feature string, gain double, splits long")
 
 
