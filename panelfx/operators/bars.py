@@ -123,6 +123,18 @@ def membership_fill(panel: DataFrame, column: str) -> DataFrame:
     return panel.withColumn(column, F.coalesce(F.when(F.col("is_trade") == 0, ffill(column, KEY, DAY)).otherwise(F.col(column)), F.lit("N")))
 
 
+def membership_days(bars: DataFrame, calendar: DataFrame, column: str) -> DataFrame:
+    """code_id, trade_date, is_trade, column: membership_fill of the calendar's days. What a halted day carries is known at the
+    bar before it, so the window runs over bars; the days come after it and are neither sorted nor held."""
+    known = F.last(column, ignorenulls=True).over(history().rowsBetween(Window.unboundedPreceding, 0))
+    rows = run_length_panel(bars.select(KEY, DAY, "close", column), calendar).withColumn("__held", known)
+    order = calendar.select(F.col(DAY).alias("__day")).distinct().select("__day", (F.row_number().over(Window.orderBy("__day")) - 1).alias("__at"))
+    out = rows.withColumn("__at", F.explode(F.sequence("__k", F.greatest("__k", F.col("__until") - 1)))).join(F.broadcast(order), "__at")
+    own = F.col("__at") == F.col("__k")
+    value = F.coalesce(F.when(own, F.col(column)).otherwise(F.col("__held")), F.lit("N"))
+    return out.select(KEY, F.col("__day").alias(DAY), own.cast("int").alias("is_trade"), value.alias(column))
+
+
 def trim_delisted(panel: DataFrame, mark: str = "退") -> DataFrame:
     """Drops what follows the last row whose name has the delisting mark; codes without the mark stay whole."""
     last = F.max(F.when(F.col("name").contains(mark), F.col(DAY))).over(Window.partitionBy(KEY))

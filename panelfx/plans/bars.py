@@ -71,8 +71,8 @@ def _(t):
 @query("membership_fill", f"""SELECT code_id, trade_date, coalesce(CASE WHEN is_trade = 0 THEN last_value(m IGNORE NULLS) OVER (PARTITION BY code_id ORDER BY trade_date) ELSE m END, 'N') AS member
 FROM (SELECT code_id, trade_date, is_trade, CASE WHEN v > 30 THEN 'Y' WHEN v > 15 THEN 'N' END AS m FROM {_DENSE})""")
 def _(t):
-    dense = ops.densify_calendar(t.bars_d, t.calendar, flows=()).withColumn("member", F.when(F.col("volume") > 30, "Y").when(F.col("volume") > 15, "N"))
-    return ops.membership_fill(dense, "member").select("code_id", "trade_date", "member")
+    marked = t.bars_d.withColumn("member", F.when(F.col("volume") > 30, "Y").when(F.col("volume") > 15, "N"))
+    return ops.membership_days(marked, t.calendar, "member").select("code_id", "trade_date", "member")
 
 
 _MARKED = "(SELECT b.code_id, b.trade_date, CASE WHEN s.name LIKE '%退%' AND b.trade_date > DATE '1996-12-31' THEN substr(s.name, 3) ELSE s.name END AS name FROM bars_m b JOIN securities s ON b.code_id = s.code_id)"
