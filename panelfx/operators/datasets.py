@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import avg_rank
 from ..functions.lineage import checkpointed, shared_folder
-from .cross_section import preprocess_many
+from .cross_section import preprocess_wide
 from .evaluate import ic_summary, rank_ic
 from .joins import factor_attach
 from .linear import fit_windows, predict_windows, ridge_windows, worse
@@ -21,14 +21,11 @@ DAY, KEY = "trade_date", "code_id"
 
 def build_dataset(base: DataFrame, label: DataFrame, features: DataFrame, label_col: str, feature_cols: list[str], mv: str = "mv", industry: str = "industry", plain: tuple[str, ...] = ("industry", "mv")) -> DataFrame:
     """Base rows with label and features, rows without label dropped, label and features (but the plain ones) clipped,
-    neutralised and z-scored; the raw label stays as raw_return. The columns go through one long table, which carries what
-    isn't changed, and come back by a pivot with a fixed list: no join with the rows they came from. A (date, code) is one row."""
+    neutralised and z-scored; the raw label stays as raw_return. A (date, code) is one row."""
     wide = factor_attach(base.select(DAY, KEY, mv, industry), label.select(DAY, KEY, label_col), features.select(DAY, KEY, *[c for c in feature_cols if c not in (mv, industry)]))
-    wide = wide.where(F.col(label_col).isNotNull())
+    wide = wide.where(F.col(label_col).isNotNull()).withColumn("raw_return", F.col(label_col))
     todo = [label_col, *(c for c in feature_cols if c not in plain)]
-    ids = [DAY, KEY, "raw_return"]
-    long = preprocess_many(wide.withColumn("raw_return", F.col(label_col)), todo, ids, mv, industry)
-    return long.groupBy(DAY, KEY, mv, industry, "raw_return").pivot("factor", todo).agg(F.first("value"))
+    return preprocess_wide(wide.select(DAY, KEY, mv, industry, "raw_return", *todo), todo, mv, industry)
 
 
 def training_set(dataset: DataFrame, label_col: str, drop: tuple[str, ...] = ("mv",)) -> DataFrame:

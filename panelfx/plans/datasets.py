@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import r6
-from ..functions.lineage import checkpointed
+from ..functions.lineage import checkpointed, parquet_copy
 from ..operators import datasets as ops
 from .cross_section import _PRE
 from .registry import query, six
@@ -15,7 +15,7 @@ FROM labelled l JOIN {_pre('momentum')} a USING (trade_date, code_id) JOIN {_pre
 
 
 def _dataset(t):
-    p = t.panel
+    p = parquet_copy(t.panel.select("trade_date", "code_id", "mv", "industry", "next_return", "momentum", "volume"), "panel")  # base, label and features read it
     label = p.select("trade_date", "code_id", F.col("next_return").alias("label"))
     return ops.build_dataset(p.select("trade_date", "code_id", "mv", "industry"), label, p.select("trade_date", "code_id", "momentum", "volume"), "label", ["momentum", "volume", "mv", "industry"])
 
