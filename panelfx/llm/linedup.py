@@ -18,6 +18,7 @@ all its pairs. Later rounds read the postings of the words still open, and the s
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, group_starts, mix, saved
+from .common import _LOWER, chunks, group_starts, mix, saved
 
 _U = np.uint64
 THRESHOLD = 0.8
@@ -56,40 +57,69 @@ def prefix_length(n):
     return n - np.ceil(THRESHOLD * n - 1e-9).astype(np.int64) + 1
 
 
-def _line_order(h: np.ndarray, at: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """The order by (at, code, h). One sort of a packed key does it, unless different words agree in its 32 hash bits."""
+#: A word of up to LONG bytes is hashed eight bytes at a time, beside the others; a longer one by itself.
+LONG = 64
+_SOLID = bytes(b not in (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D) for b in range(256))
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+
+
+def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words raw[starts:ends]; at least eight bytes of raw follow the last one."""
+    eight = np.ndarray(max(0, len(raw) - 7), "<u8", raw, strides=(1,))
+    size = ends - starts
+    h = mix((eight[starts] & _FIRST[np.minimum(size, 8)]) ^ size.astype(_U) * _U(0x9FB21C651E98DF25))
+    k, at = 8, np.flatnonzero((size > 8) & (size <= LONG))
+    while len(at):
+        h[at] = mix(h[at] ^ (eight[starts[at] + k] & _FIRST[np.minimum(size[at] - k, 8)]))
+        k += 8
+        at = at[size[at] > k]
+    for j in np.flatnonzero(size > LONG).tolist():
+        h[j] = int.from_bytes(hashlib.blake2b(raw[starts[j] : ends[j]], digest_size=8).digest(), "little")
+    return h
+
+
+def _line_order(h: np.ndarray, line: np.ndarray, code: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """h and code by (line, code, h), of words whose lines ascend. One sort of a packed key does it, unless different words
+    agree in the hash bits of the key. Without code, all are 0."""
+    if code is None:
+        code = np.zeros(len(h), np.uint8)
     if not len(h):
-        return np.zeros(0, np.int64)
-    line = np.concatenate([[0], np.cumsum(at[1:] != at[:-1])]).astype(_U)
+        return h, code
     if int(line[-1]) < 1 << 24:
-        key = line << _U(40) | code.astype(_U) << _U(32) | h >> _U(32)
+        key = line.astype(_U) << _U(40)
+        key |= code.astype(_U) << _U(32)
+        key |= h >> _U(32)
         order = np.argsort(key)
         k, x = key[order], h[order]
         if not ((k[1:] == k[:-1]) & (x[1:] != x[:-1])).any():
-            return order
-    return np.lexsort((h, at << 8 | code))
+            return x, (k >> _U(32)).astype(np.uint8)
+    order = np.lexsort((h, line << 8 | code))
+    return h[order], code[order]
 
 
 class Lines:
     """Sets of the non-blank lines of several texts: text, line number, size, class keys, and words ordered by rarity."""
 
     def __init__(self, texts: list[bytes], rarity: np.ndarray | None = None):
-        w = Words(texts)
-        self.all_hashes = h = w.hashes()
-        newlines = np.cumsum(w.buf == 10)
-        base = np.where(w.text_start > 0, newlines[np.maximum(w.text_start - 1, 0)], 0) if len(w.buf) else np.zeros(len(texts), np.int64)
-        line_of = newlines[w.starts] if len(h) else np.zeros(0, np.int64)
-        code = rarity[(h >> _U(40)).astype(np.int64)].astype(np.int64) if rarity is not None else np.zeros(len(h), np.int64)
-        at = w.text * np.int64(1 << 36) + line_of  # unique per line, ascending
-        order = _line_order(h, at, code)
-        h, at, code = h[order], at[order], code[order]
+        raw = b"".join((b" ", b"\n".join(texts), b"         ")).translate(_LOWER)
+        solid = np.frombuffer(raw.translate(_SOLID), bool)
+        edge = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+        starts, ends = edge[0::2], edge[1::2]
+        self.all_hashes = h = word_hashes(raw, starts, ends)
+        newlines = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
+        words = np.diff(np.searchsorted(starts, newlines), prepend=0, append=len(starts))  # of each line
+        line = np.repeat(np.arange(len(words)), words)
+        h, code = _line_order(h, line, None if rarity is None else rarity[(h >> _U(40)).astype(np.int64)])
         fresh = np.ones(len(h), bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1])
-        self.words, at, self.code = h[fresh], at[fresh], code[fresh]
-        self.start = group_starts(at)
-        self.size = np.diff(np.append(self.start, len(at)))
-        self.text = (at[self.start] >> 36).astype(np.int64)
-        self.line = ((at[self.start] & ((1 << 36) - 1)) - base[self.text] if len(self.start) else np.zeros(0, np.int64)).astype(np.int32)
+        fresh[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+        self.words, line, self.code = h[fresh], line[fresh], code[fresh]
+        self.start = group_starts(line)
+        self.size = np.diff(np.append(self.start, len(line)))
+        line = line[self.start]
+        lens = np.fromiter(map(len, texts), np.int64, len(texts))
+        base = np.searchsorted(newlines, np.cumsum(lens + 1) - lens)  # a text's first line
+        self.text = np.searchsorted(base, line, "right") - 1
+        self.line = (line - base[self.text] if len(line) else line).astype(np.int32)
         self.k1 = self._sums(mix(self.words ^ _U(0x1234567))).view(np.int64)
         self.k2 = (self._sums(mix(self.words * _U(0x9E3779B97F4A7C15) + _U(1))) >> _U(32)).astype(np.uint32).view(np.int32)
 
@@ -115,7 +145,7 @@ def first_scan(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
         total = np.zeros(BUCKETS, np.int32)
         for batch, texts in chunks(batches, "text"):
             s = Lines(texts)
-            b = np.sort((s.all_hashes >> _U(40)).astype(np.int64))
+            b = np.sort((s.all_hashes >> _U(40)).astype(np.uint32))
             g = group_starts(b)
             total[b[g]] += np.diff(np.append(g, len(b))).astype(np.int32)
             edges = pa.array(np.searchsorted(s.text, np.arange(len(texts) + 1)).astype(np.int32))
@@ -189,7 +219,9 @@ def _postings(docs: DataFrame, rarity, ranges: int, parts: int) -> DataFrame:
         def send():
             cols = [np.concatenate(c) for c in zip(*held, strict=True)]
             word, to = cols[0], cols.pop()
-            order = np.lexsort((word, to))
+            order = np.argsort(word)  # ranges ascend with the word
+            if int(to.max()) >= ranges:
+                order = order[np.argsort(to[order], kind="stable")]
             to = to[order]
             cols = [c[order] for c in cols]
             g = group_starts(to)
@@ -310,9 +342,9 @@ def candidates_in_runs(word, n, i, bits, asked, serves, lo: int, hi: int, kept:
 
 
 _POST = ["word", "k1", "k2", "bits1", "bits2", "doc_id", "line", "n", "i"]
-#: kind 0: a pair of classes, the later one first, the earlier one (p1, p2, size m) beside it; kind 1: a posting of a class
+#: kind 0: a pair of classes, the later one first, the earlier one (p1, p2, size m, first place p_doc and p_line) beside it; kind 1: a posting of a class
 #: that has further candidates under the word (asked), or that may be one of those candidates; kind 2: a posting of a word that may be frequent.
-_MET = "kind byte, word long, k1 long, k2 int, bits1 long, bits2 long, doc_id long, line int, n int, i int, p1 long, p2 int, m int, asked boolean, serves boolean"
+_MET = "kind byte, word long, k1 long, k2 int, bits1 long, bits2 long, doc_id long, line int, n int, i int, p1 long, p2 int, m int, p_doc long, p_line int, asked boolean, serves boolean"
 _MET_NAMES = [x.split()[0] for x in _MET.split(", ")]
 _MET_TYPES = [{"byte": pa.int8(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[x.split()[1]] for x in _MET.split(", ")]
 
@@ -322,20 +354,37 @@ def _row_batch(kind: int, cols: dict[str, np.ndarray], m: int) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(given[c]).cast(t) if c in given else pa.nulls(m, t) for c, t in zip(_MET_NAMES, _MET_TYPES, strict=True)], _MET_NAMES)
 
 
+def first_postings(word, k1, k2, doc, line) -> np.ndarray:
+    """The order by (word, place, class) of a class's earliest posting under each word; words of one posting are left out.
+    Sorts of packed keys do it, unless a key is too narrow, or unequal classes agree in one."""
+    o = np.argsort(word)
+    same = word[o][1:] == word[o][:-1]
+    o = o[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(o) else o
+    if not len(o):
+        return o
+    w, rank = word[o], np.unique(doc[o], return_inverse=True)[1].astype(_U)
+    run = np.concatenate([[0], np.cumsum(w[1:] != w[:-1])]).astype(_U)
+    n_run, n_rank, n_line = (int(x.max()).bit_length() for x in (run, rank, line[o]))
+    if n_run + n_rank + n_line <= 64 and n_run <= 24:
+        key = run << _U(n_rank + n_line) | rank << _U(n_line) | line[o].astype(_U)
+        p = np.argsort(key)
+        key, o, run = key[p], o[p], run[p]
+        one, two = k1[o], k2[o]
+        if not ((key[1:] == key[:-1]) & ((one[1:] != one[:-1]) | (two[1:] != two[:-1]))).any():
+            key = run << _U(40) | one.view(_U) >> _U(24)
+            p = np.argsort(key)
+            key, one, two = key[p], one[p], two[p]
+            if not ((key[1:] == key[:-1]) & ((one[1:] != one[:-1]) | (two[1:] != two[:-1]))).any():
+                return o[np.sort(np.minimum.reduceat(p, group_starts(key)))]
+    o = o[np.lexsort((line[o], doc[o], k2[o], k1[o], word[o]))]
+    w, one, two = word[o], k1[o], k2[o]
+    o = o[np.concatenate([[True], (w[1:] != w[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])])]
+    return o[np.lexsort((k2[o], k1[o], line[o], doc[o], word[o]))]
+
+
 def _settled(cols: list[np.ndarray], asked: np.ndarray, serves: np.ndarray, lo: int, hi: int):
     """Rows of kinds 0 and 1 for whole runs of words, in any order."""
-    word = cols[0]
-    o = np.argsort(word, kind="stable")
-    w = word[o]
-    same = w[1:] == w[:-1]
-    o = o[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(o) else o  # of runs of two and more
-    cols, asked, serves = [c[o] for c in cols], asked[o], serves[o]
-    word, k1, k2, _, _, doc, line, n, i = cols
-    # of a class's postings under a word the earliest counts
-    o = np.lexsort((line, doc, k2, k1, word))
-    again = np.concatenate([[False], (word[o][1:] == word[o][:-1]) & (k1[o][1:] == k1[o][:-1]) & (k2[o][1:] == k2[o][:-1])]) if len(o) else np.zeros(0, bool)
-    o = o[~again]
-    o = o[np.lexsort((k2[o], k1[o], line[o], doc[o], word[o]))]
+    o = first_postings(*(cols[c] for c in (0, 1, 2, 5, 6)))
     cols, asked, serves = [c[o] for c in cols], asked[o], serves[o]
     word, k1, k2, bits1, bits2, doc, line, n, i = cols
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
@@ -350,7 +399,7 @@ def _settled(cols: list[np.ndarray], asked: np.ndarray, serves: np.ndarray, lo:
         new = np.ones(len(a), bool)
         new[1:] = (k1[a][1:] != k1[a][:-1]) | (k1[b][1:] != k1[b][:-1]) | (k2[a][1:] != k2[a][:-1]) | (k2[b][1:] != k2[b][:-1])
         a, b = a[new], b[new]
-        return _row_batch(0, {"k1": k1[b], "k2": k2[b], "n": n[b], "p1": k1[a], "p2": k2[a], "m": n[a]}, len(a))
+        return _row_batch(0, {"k1": k1[b], "k2": k2[b], "doc_id": doc[b], "line": line[b], "n": n[b], "p1": k1[a], "p2": k2[a], "m": n[a], "p_doc": doc[a], "p_line": line[a]}, len(a))
 
     for a, b, more in candidates_in_runs(word, n.astype(np.int64), i.astype(np.int64), (bits1.view(_U), bits2.view(_U)), asked, serves, lo, hi, kept):
         further[more] = True
@@ -417,13 +466,18 @@ def _meet_rows(rows: DataFrame, lo: int, hi: int) -> DataFrame:
     return rows.select(*_POST, "asked", "serves").repartition(parts, "word").sortWithinPartitions("word").mapInArrow(apply, _MET)
 
 
-def _bloom(keys: DataFrame) -> np.ndarray:
-    """A bitmap of the keys (column k1)."""
+def _bit(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The filter's bit of a place."""
+    return (mix(doc.view(_U) * _U(0x9E3779B97F4A7C15) + line.astype(_U)) >> _U(38)).astype(np.int64)
+
+
+def _bloom(places: DataFrame) -> np.ndarray:
+    """A bitmap of the places (doc_id, line)."""
 
     def local(batches):
         bits = np.zeros(BLOOM, bool)
         for b in batches:
-            bits[b.column(0).to_numpy(zero_copy_only=False).view(_U) >> _U(38)] = True
+            bits[_bit(*(b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))] = True
         packed = np.packbits(bits).reshape(64, -1)
         some = [i for i in range(64) if packed[i].any()]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([zlib.compress(packed[i].tobytes(), 1) for i in some], pa.binary())], ["block", "bits"])
@@ -439,22 +493,34 @@ def _bloom(keys: DataFrame) -> np.ndarray:
 
     schema = "block int, bits binary"
     bits = np.zeros((64, BLOOM // 512), np.uint8)
-    for r in keys.mapInArrow(local, schema).repartition(16, "block").mapInArrow(merge, schema).collect():
+    for r in places.mapInArrow(local, schema).repartition(16, "block").mapInArrow(merge, schema).collect():
         bits[r.block] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
     return bits.ravel()
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """k1, k2, words: the sets of the wanted classes (k1, k2), and of a few others, from a pass over the texts."""
-    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(wanted.select("k1")))
+def lines_at(texts: list[bytes], ids: np.ndarray, bits: np.ndarray) -> list[bytes]:
+    """The lines of the texts whose places (text's id, line number) the bitmap has, uncut otherwise."""
+    raw = b"\n".join(texts)
+    newlines = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
+    starts, ends = np.concatenate([[0], newlines + 1]), np.append(newlines, len(raw))
+    lens = np.fromiter(map(len, texts), np.int64, len(texts))
+    base = np.searchsorted(starts, np.cumsum(lens + 1) - lens - 1)
+    count = np.diff(np.append(base, len(starts)))
+    at = _bit(np.repeat(ids, count), np.arange(len(starts)) - np.repeat(base, count))
+    hit = np.flatnonzero(bits[at >> 3] & (128 >> (at & 7)).astype(np.uint8))
+    return [raw[a:b] for a, b in zip(starts[hit].tolist(), ends[hit].tolist(), strict=True)]
+
+
+def _sets(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """k1, k2, words: the sets of the classes that stand at the places (doc_id, line), and of a few others. A pass over the
+    texts looks for the places; only the lines found are read as words."""
+    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(places))
 
     def apply(batches):
         bits = bloom.value
-        for _, texts in chunks(batches, "text"):
-            s = Lines(texts)
-            at = (s.k1.view(_U) >> _U(38)).astype(np.int64)
-            hit = np.flatnonzero(bits[at >> 3] & (128 >> (at & 7)).astype(np.uint8))
-            o = hit[np.lexsort((s.k2[hit], s.k1[hit]))]
+        for batch, texts in chunks(batches, "text"):
+            s = Lines(lines_at(texts, _ids(batch.column(0)), bits))
+            o = np.lexsort((s.k2, s.k1))
             fresh = np.ones(len(o), bool)
             fresh[1:] = (s.k1[o][1:] != s.k1[o][:-1]) | (s.k2[o][1:] != s.k2[o][:-1])
             hit = o[fresh]
@@ -463,7 +529,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(s.k1[hit]), pa.array(s.k2[hit]), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(s.words[where].view(np.int64)))], ["k1", "k2", "words"])
 
     found = docs.select("doc_id", "text").mapInArrow(apply, "k1 long, k2 int, words array<long>")
-    return found.groupBy("k1", "k2").agg(F.first("words").alias("words"))  # copies of a line meet before they travel
+    return found.groupBy("k1", "k2").agg(F.first("words").alias("words"))  # repeated rows have the same places
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -474,11 +540,12 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _pairs(met: DataFrame) -> DataFrame:
-    return met.where("kind = 0").select("k1", "k2", "n", "p1", "p2", "m").distinct()
+    return met.where("kind = 0").select("k1", "k2", "doc_id", "line", "n", "p1", "p2", "p_doc", "p_line", "m").distinct()
 
 
-def _classes(pairs: DataFrame) -> DataFrame:
-    return pairs.select("k1", "k2").unionByName(pairs.select(F.col("p1").alias("k1"), F.col("p2").alias("k2"))).distinct()
+def _places(pairs: DataFrame) -> DataFrame:
+    """Where the pairs' classes stand first."""
+    return pairs.select("doc_id", "line").unionByName(pairs.select(F.col("p_doc").alias("doc_id"), F.col("p_line").alias("line")))
 
 
 def _in_cells(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -512,7 +579,7 @@ def _later_rounds(docs: DataFrame, rows: DataFrame, gone: DataFrame) -> DataFram
     while True:
         met = saved(_meet_rows(rows, lo, hi), "line-pairs")
         pairs = saved(_pairs(met), "line-pairs")
-        gone = saved(_verified(pairs, _sets(docs, _classes(pairs))).unionByName(gone).distinct(), "line-gone")
+        gone = saved(_verified(pairs, _sets(docs, _places(pairs))).unionByName(gone).distinct(), "line-gone")
         rows = saved(_still_open(met.where("kind = 1").select(*_POST, "asked", "serves"), gone), "line-open")
         if rows.isEmpty():
             return gone
@@ -536,7 +603,7 @@ def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = pairs.unionByName(_pairs(_meet_rows(own.withColumn("serves", F.lit(True)), 0, FIRST_ROUND)))
         open_ = open_.unionByName(heavy.withColumn("asked", F.lit(True)))
     pairs = saved(pairs, "line-pairs")
-    gone = saved(_verified(pairs, _sets(docs, _classes(pairs))).distinct(), "line-gone")
+    gone = saved(_verified(pairs, _sets(docs, _places(pairs))).distinct(), "line-gone")
     return texts, _later_rounds(docs, open_, gone)
 
 

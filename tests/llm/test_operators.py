@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -713,6 +714,65 @@ def test_line_rounds_get_open_rows_only(spark):
     assert sorted((r.word, r.k1, r.asked) for r in open_.collect()) == [(2, 2, False), (2, 20, False), (2, 22, True)]
 
 
+def test_line_sets_read_lines_at_places_only(spark, monkeypatch):
+    """A pass for sets reads as words only the lines at the places asked for (op8_line_dedup: each pass read every line of every
+    text, a fifth of its CPU seconds); repeated and null ids give every line that stands at the place."""
+    texts, ids = ["a b\n\nc d e f", "", None, "g h\ni j", "k l\nm n"], [1, 2, 3, 4, None]
+    at = linedup._bit(np.array([1, 4, 2**63 - 1]), np.array([2, 0, 1], np.int32))
+    bits = np.zeros(linedup.BLOOM // 8, np.uint8)
+    np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+    seen = []
+    lines = linedup.Lines
+    monkeypatch.setattr(linedup, "Lines", lambda x, *rest: seen.extend(x) or lines(x, *rest))
+    monkeypatch.setattr(linedup, "_bloom", lambda places: bits)
+
+    class Docs:
+        def __getattr__(self, name):
+            return self
+
+        def __call__(self, *args):
+            return self
+
+        def broadcast(self, x):
+            self.value = x
+            return self
+
+        def mapInArrow(self, f, schema):  # noqa: N802
+            self.found = list(f([pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "text": texts})]))
+            return self
+
+    docs = Docs()
+    linedup._sets(docs, docs)
+    assert seen == [b"c d e f", b"g h", b"m n"]
+    assert sorted(len(x) for x in docs.found[0].column(2).to_pylist()) == [2, 2, 4]
+
+
+def test_line_words_of_any_length():
+    """Words that differ in their last byte, in length or in NUL bytes only are different words; case and place don't matter."""
+    words_ = [b"x" * n + end for n in (*range(1, 20), 63, 64, 65, 200) for end in (b"y", b"z", b"\0", b"\0\0")]
+    texts = [b"\n".join([b"", *words_, b" \t"]), b"  ".join(words_).upper(), b""]
+    s = linedup.Lines(texts)
+    assert len(set(s.all_hashes.tolist())) == len({w for t in texts for w in t.lower().split()}) and (s.all_hashes[: len(words_)] == s.all_hashes[len(words_) :]).all()
+    assert s.text.tolist() == [0] * len(words_) + [1] and s.line.tolist() == [*range(1, len(words_) + 1), 0] and s.size[-1] == len(set(words_))
+
+
+def test_line_first_postings():
+    """A class's earliest posting under each word, whether packed keys do or not."""
+    rng = np.random.default_rng(8)
+    for case in range(60):
+        m = int(rng.integers(1, 200))
+        word, c = rng.integers(0, 1 + m // 5, m).astype(np.uint64), rng.integers(0, 30, m)
+        k1, k2 = (c // 2, (c % 2).astype(np.int32)) if case % 2 else (common.mix(c.astype(np.uint64)).view(np.int64), np.zeros(m, np.int32))
+        doc, line = np.where(rng.random(m) < 0.1, 2**63 - 1, rng.integers(0, 40, m)), rng.integers(0, 3, m).astype(np.int32) + np.int32(case % 3 * 10**9)
+        rows = sorted(zip(*(x.tolist() for x in (word, doc, line, k1, k2)), strict=True))
+        first = {}
+        for w, d, x, *k in rows:
+            first.setdefault((w, *k), (w, d, x, *k))
+        want = [r for r in first.values() if (word == r[0]).sum() > 1]
+        got = linedup.first_postings(word, k1, k2, doc, line)
+        assert list(zip(*(x[got].tolist() for x in (word, doc, line, k1, k2)), strict=True)) == want
+
+
 def test_line_dedup_odd(spark, odd, empty):
     out = {r.doc_id: r.removed for r in linedup.removed_lines(odd).collect()}
     assert out == {7: [0], None: [0]}  # null ids are last; 6 of 7 words are 0.857
