@@ -107,7 +107,7 @@ def test_state_partitions_follow_the_bars(spark, tmp_path, monkeypatch):
     spark.range(2000).coalesce(1).write.parquet(str(tmp_path / "in"))
     large = spark.newSession()
     large.conf.set("spark.sql.shuffle.partitions", "64")
-    monkeypatch.setattr(lineage, "SHARE", lineage.file_bytes(spark, str(tmp_path / "in")) // 16)
-    assert 16 <= state_partitions(large, str(tmp_path / "in")) <= 17
+    monkeypatch.setattr(lineage, "SHARE", lineage.file_bytes(spark, str(tmp_path / "in")) // 4)
+    assert 16 <= state_partitions(large, str(tmp_path / "in")) <= 20
     monkeypatch.setattr(lineage, "SHARE", 1)
     assert state_partitions(large, str(tmp_path / "in")) == 64
